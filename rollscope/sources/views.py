@@ -65,6 +65,40 @@ VIEWS: dict[str, tuple[str, list[str], bool]] = {
         "event_id % 10 <> 0 as format_valid", "event_id % 8 = 0 as shortcut_detected",
         "(event_id % 5) / 4.0e0 as visual_facts_score", "value / 500.0 as reward_scalar", "ts",
     ], False),
+    # Completions in many shapes: well formed, missing or repeated parts, every box spelling, broken boxes.
+    "v_texts": ("v_rollouts", [
+        "gen_index", "task_id", "kind", "count_gold", "spy_gold",
+        "case gen_index % 10 "
+        "when 0 then concat('<think>Player ', cast(spy_pred as string), ' shows a red cube, the others match. "
+        "Therefore it is the spy.</think>\n<bbox player=\"', cast(spy_pred as string), '\">[', "
+        "cast(gen_index % 200 as string), ',', cast(gen_index % 120 as string), ',', "
+        "cast(gen_index % 200 + 60 as string), ',', cast(gen_index % 120 + 60 as string), "
+        "']</bbox>\n<answer> Spy = ', cast(spy_pred as string), ';  changed_attributes = ', "
+        "cast(count_pred as string), ' </answer>') "
+        "when 1 then concat('I guess spy player ', cast(spy_pred as string), ' and changed attributes: ', "
+        "cast(count_pred as string)) "
+        "when 2 then concat('<think>First. Then compare. So done.</think><answer>spy=', "
+        "cast(spy_pred as string), '; changed_attributes=', cast(count_pred as string), "
+        "'</answer><answer>spy=9</answer>') "
+        "when 3 then concat('<think>Look.</think><bbox player=\"2\">[1,2,30,40]<answer>spy=', "
+        "cast(spy_pred as string), '; changed-attribute ', cast(count_pred as string), '</answer>') "
+        "when 4 then concat('<think>a</think><bbox player=\"', cast(spy_pred as string), "
+        "'\" coords=\"10,20,', cast(30 + gen_index % 50 as string), ',90\"></bbox><bbox player=\"', "
+        "cast(spy_pred as string), '\">[40,30,120,90]</bbox><answer>spy=', cast(spy_pred as string), "
+        "'; changed_attributes=2</answer>') "
+        "when 5 then concat('<think>json</think>[{\"bbox_2d\": [5, 6, ', cast(70 + gen_index % 90 as string), "
+        "', 80], \"player\": \"', cast(spy_pred as string), '\"}]<answer>spy=', cast(spy_pred as string), "
+        "'; changed_attributes=', cast(count_pred as string), '</answer>') "
+        "when 6 then '<think>long</think><answer>spy=12345678901; changed_attributes=3</answer>' "
+        "when 7 then concat('<think>x</think><bbox x1=\"', cast(gen_index % 90 as string), "
+        "'\" y1=\"10\" x2=\"60\" y2=\"200\" player=\"7\"></bbox><answer>spy=2; changed_attributes=1</answer>') "
+        "when 8 then '<answer>spy=1; changed_attributes=1</answer> trailing <think>late</think>' "
+        "else concat('<think>no box but spy player ', cast(spy_pred as string), '</think>"
+        "<bbox player=\"2\" player=\"3\">[1,2,3,4]</bbox><answer>spy=', cast(spy_pred as string), '</answer>') "
+        "end as completion",
+        "concat('<answer>spy=', cast(spy_gold as string), '; changed_attributes=', "
+        "cast(count_gold as string), '</answer>') as solution",
+    ], False),
 }
 
 
