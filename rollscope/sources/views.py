@@ -11,6 +11,19 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Attribute domains of scene objects.
+COLORS = ("gray", "red", "blue", "green", "yellow", "purple", "brown", "cyan")
+SHAPES = ("cube", "sphere", "cylinder")
+SIZES = ("small", "large")
+MATERIALS = ("rubber", "metal")
+
+
+def pick(index: str, values: tuple[str, ...]) -> str:
+    """SQL text choosing a word by a number."""
+    cases = " ".join(f"when {i} then '{v}'" for i, v in enumerate(values))
+    return f"(case ({index}) % {len(values)} {cases} end)"
+
+
 # view -> (source table or view, select list, distinct)
 VIEWS: dict[str, tuple[str, list[str], bool]] = {
     "v_tasks": ("orders", [
@@ -99,6 +112,57 @@ VIEWS: dict[str, tuple[str, list[str], bool]] = {
         "concat('<answer>spy=', cast(spy_gold as string), '; changed_attributes=', "
         "cast(count_gold as string), '</answer>') as solution",
     ], False),
+    # One edited object per row: attributes before and after; every 97th part has an unknown color.
+    "v_edits": ("lineitem", [
+        "l_orderkey as scene_id", "l_linenumber as obj",
+        "case when l_partkey % 97 = 0 then 'mauve' else " + pick("l_partkey", COLORS) + " end as before_color",
+        pick("l_partkey", SHAPES) + " as before_shape", pick("l_partkey", SIZES) + " as before_size",
+        pick("l_suppkey", MATERIALS) + " as before_material", pick("l_suppkey", COLORS) + " as after_color",
+        pick("l_suppkey", SHAPES) + " as after_shape", pick("l_partkey", SIZES) + " as after_size",
+        pick("l_suppkey + l_partkey", MATERIALS) + " as after_material",
+        "l_quantity * 6 as px", "l_suppkey % 240 as py", "l_discount * 100 + 6 as depth",
+    ], False),
+    # Completions with change claims: right, repeated, misplaced, wrong, unbalanced, extra.
+    "v_claim_texts": ("events", [
+        "event_id as gen_index", "user_id as task_id",
+        "concat('<think>', case when event_id % 6 = 2 then concat('<change>color:', " + pick("user_id", COLORS)
+        + ", '->', " + pick("user_id + 3", COLORS) + ", '</change>') else 'Looked.' end, '</think>', "
+        "case event_id % 6 when 0 then concat('<change>color:', " + pick("user_id", COLORS) + ", '->', "
+        + pick("user_id + 3", COLORS) + ", '</change><change> Shape : " + "', " + pick("user_id", SHAPES)
+        + ", ' -> ', " + pick("user_id + 1", SHAPES) + ", '</change>') "
+        "when 1 then concat('<change>color:', " + pick("user_id", COLORS) + ", '->', " + pick("user_id + 3", COLORS)
+        + ", '</change><change>color:', " + pick("user_id", COLORS) + ", '->', " + pick("user_id + 3", COLORS)
+        + ", '</change>') "
+        "when 3 then concat('<change>color:', " + pick("user_id", COLORS) + ", '->', "
+        + pick("user_id + event_id", COLORS) + ", '</change>') "
+        "when 4 then concat('<change>color:', " + pick("user_id", COLORS) + ", '->') "
+        "when 5 then concat('<change>shape:', " + pick("user_id", SHAPES) + ", '->', " + pick("user_id + 1", SHAPES)
+        + ", '</change><change>material:rubber->metal</change>') else '' end, "
+        "'<answer>spy=1; changed_attributes=2</answer>', case when event_id % 6 = 5 then "
+        "'<change>size:small->large</change>' else '' end) as completion",
+    ], False),
+    "v_claim_gold": ("events", [
+        "user_id as task_id", pick("user_id", COLORS) + " as color_before", pick("user_id + 3", COLORS)
+        + " as color_after", pick("user_id", SHAPES) + " as shape_before", pick("user_id + 1", SHAPES) + " as shape_after",
+    ], True),
+    # Subset proposals: the bits of mask are the kept edits of a five-edit scene.
+    "v_proposals": ("events", [
+        "event_id as proposal_id", "user_id as scene_id", "event_id % 31 + 1 as mask",
+        "3 + event_id % 2 as num_players", "event_type as kind", "value / 500.0 as pass_rate",
+    ], False),
+    # Judge verdicts; some rows miss the target, some were never judged.
+    "v_feedback": ("orders", [
+        "o_orderkey as task_id", "o_custkey as scene_id", "o_orderkey % 9 <> 0 as judged",
+        "o_orderkey % 4 <> 0 as accepted",
+        "case when o_orderkey % 4 <> 0 then '' when o_orderkey % 8 = 0 then 'too_hard_for_difficulty_target' "
+        "when o_orderkey % 12 = 0 then '' else 'low_solvability' end as reject_reason",
+        "case when o_orderkey % 11 = 0 then null when o_orderstatus = 'F' then 'easy' when o_orderstatus = 'O' "
+        "then 'medium' else 'hard' end as target",
+        "case when o_orderkey % 13 = 0 then null when o_orderpriority like '1%' then 'hard' "
+        "when o_orderpriority like '2%' then 'medium' else 'easy' end as suggested",
+        "case when o_orderkey % 16 = 0 then 'reduce_difficulty' else '' end as reason",
+        "cast(o_orderkey % 10 as bigint) as run_id",
+    ], False),
 }
 
 
