@@ -92,20 +92,27 @@ def difficulty_allocation(mix: DataFrame, total: str, shares: Sequence[str]) ->
     Rounds each share half-even, then hands out (or takes back) the remaining units one by one from
     the largest share on.
     """
-    base = [F.bround(F.col(s) * F.col(total), 0).cast("bigint") for s in shares]
-    cols = mix.select("*", *[b.alias(f"__b_{s}") for b, s in zip(base, shares)])
-    drift = F.col(total) - sum((F.col(f"__b_{s}") for s in shares), F.lit(0))
-    cols = cols.withColumn("__drift", drift)
-    out = []
     k = len(shares)
-    for i, s in enumerate(shares):
-        larger = sum(((F.col(o) > F.col(s)) | ((F.col(o) == F.col(s)) & F.lit(j < i))).cast("int")
-                     for j, o in enumerate(shares) if j != i)
-        n = F.abs(F.col("__drift"))
-        steps = F.floor((n - larger + (k - 1)) / k)
-        units = F.greatest(steps, F.lit(0)) * F.signum("__drift")
-        out.append(F.greatest(F.col(f"__b_{s}") + units, F.lit(0)).cast("bigint").alias(f"n_{s}"))
-    return cols.select(*mix.columns, *out)
+    start = F.array(*[F.bround(F.col(s) * F.col(total), 0).cast("bigint") for s in shares])
+    # Bucket numbers in share order, largest first, ties in the given order.
+    order = F.transform(F.array_sort(F.array(*[
+        F.struct((-F.col(s)).alias("w"), F.lit(i).alias("i")) for i, s in enumerate(shares)])), lambda x: x["i"])
+    drift = F.col(total) - F.aggregate(start, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    unit = F.signum(drift).cast("bigint")
+    zero = F.struct(start.alias("a"), F.lit(0).alias("at"))
+
+    def step(acc: Column, _: Column) -> Column:
+        # Next bucket round the order that can change: any when adding, a non-empty one when taking back.
+        slot = F.filter(F.transform(F.sequence(acc["at"], acc["at"] + (k - 1)), lambda j: F.struct(
+            j.alias("j"), F.get(order, F.pmod(j, F.lit(k))).alias("i"))),
+            lambda c: (unit > 0) | (F.get(acc["a"], c["i"]) > 0))[0]
+        return F.struct(F.transform(acc["a"], lambda v, i: F.when(i == slot["i"], v + unit).otherwise(v)).alias("a"),
+                        (slot["j"] + 1).alias("at"))
+
+    steps = F.when(drift == 0, F.array().cast("array<bigint>")).otherwise(
+        F.sequence(F.lit(1).cast("bigint"), F.greatest(F.abs(drift), F.lit(1))))
+    shared = mix.withColumn("__a", F.aggregate(steps, zero, step, lambda acc: acc["a"]))
+    return shared.select(*mix.columns, *[F.get("__a", F.lit(i)).alias(f"n_{s}") for i, s in enumerate(shares)])
 
 
 def cyclic_repeat(df: DataFrame, key: str, seed: int, epoch: int, batch: int, cycle: int, mini: int) -> DataFrame:

@@ -206,7 +206,7 @@ def enumerate_subsets(scenes: DataFrame, num_edits: str, cap: int | None = None)
     k = F.when(F.col(num_edits) <= MAX_EDITS, F.col(num_edits)).otherwise(
         F.raise_error(F.concat(F.lit("too many edits in scene "), F.col("scene_id").cast("string"))).cast("bigint"))
     masks = scenes.select("scene_id", F.col(num_edits), F.explode(F.sequence(
-        F.lit(1).cast("bigint"), F.shiftleft(F.lit(1).cast("bigint"), k.cast("int")) - 1)).alias("mask"))
+        F.lit(1).cast("bigint"), F.pow(F.lit(2), k).cast("bigint") - 1)).alias("mask"))
     out = masks.select("scene_id", "mask", mask_members(F.col("mask"), MAX_EDITS).alias("keep"))
     if cap is None:
         return out
