@@ -160,3 +160,44 @@ def union_replays(parts: dict[str, DataFrame]) -> DataFrame:
     if out is None:
         raise ValueError("no replay tables given")
     return out
+
+
+def task_metadata_flatten(tasks: DataFrame, meta: str, width: int = 320, height: int = 240) -> DataFrame:
+    """Budget and image size from nested alternatives: the task's own value, then the judge's, then defaults."""
+    m = F.col(meta)
+    return tasks.select(
+        *[c for c in tasks.columns if c != meta],
+        F.coalesce(m["task"]["budget_steps"], m["judge"]["budget_steps"]).alias("budget_steps"),
+        F.coalesce(m["task"]["budget_source"], m["judge"]["budget_source"], F.lit("fallback_default")).alias("budget_source"),
+        F.coalesce(m["variant"]["image_width"], F.lit(width)).alias("image_width"),
+        F.coalesce(m["variant"]["image_height"], F.lit(height)).alias("image_height"))
+
+
+# Change count from which a task counts as visually saturated.
+SATURATED = 6
+
+
+def heuristic_verdict(tasks: DataFrame) -> DataFrame:
+    """Rule-only verdict from the difficulty gap and the number of changes."""
+    from rollscope.operators.gates import TOO_HARD_REASON, difficulty_rank, easier_level
+
+    n = F.col("num_attr_changes")
+    too_hard = difficulty_rank(F.col("difficulty_estimate")) - difficulty_rank(F.col("difficulty_target")) >= 2
+    reason = F.when(too_hard, F.lit(TOO_HARD_REASON)).when(n >= SATURATED, F.lit("high_visual_ambiguity")).otherwise(F.lit(""))
+    ok = reason == ""
+    half = F.floor(n / 2)
+    return tasks.select(
+        "*", ok.alias("accepted"), reason.alias("reject_reason"), F.when(ok, F.lit(0.9)).otherwise(F.lit(0.4)).alias("solvability_score"),
+        F.when(n >= 3, F.lit(0.85)).otherwise(F.lit(0.6)).alias("visual_grounding_score"),
+        F.when(n >= SATURATED, F.lit(0.7)).otherwise(F.lit(0.2)).alias("ambiguity_score"),
+        (3 + half).alias("budget_steps"), (120 + 20 * half).alias("budget_tokens"),
+        F.when(too_hard, easier_level(F.col("difficulty_target"))).otherwise(F.col("difficulty_target")).alias("suggested"))
+
+
+def passthrough_verdict(tasks: DataFrame) -> DataFrame:
+    """Stable columns for tasks beyond the judging budget; marked as not judged, no feedback."""
+    half = F.floor(F.col("num_attr_changes") / 2)
+    return tasks.select(
+        "*", F.lit(True).alias("accepted"), F.lit(False).alias("judged"), F.lit(1.0).alias("solvability_score"),
+        F.lit(0.7).alias("visual_grounding_score"), F.lit(0.2).alias("ambiguity_score"), (3 + half).alias("budget_steps"),
+        (120 + 20 * half).alias("budget_tokens"), F.lit(None).cast("string").alias("suggested"))

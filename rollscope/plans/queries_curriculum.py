@@ -27,15 +27,15 @@ def learnability(spark, sf):
 
 
 SCORE_SQL = STATS_BIG + """
-, pr as (select proposal_id, proposal_id * 2 as tid, mask from v_proposals),
+, pr as (select proposal_id, proposal_id * 2 as tid, mask, kind from v_proposals),
 scored as (select p.proposal_id, p.mask, s.n is not null as reached, coalesce(4 * s.pass_rate * (1 - s.pass_rate), 0) as learnability, s.class as solver_class
- from pr p left join stats s on s.task_id = p.tid and p.proposal_id % 3 <> 0)
+ from pr p left join stats s on s.task_id = p.tid and p.kind <> 'error')
 """
 
 
 def scored_proposals(spark, sf):
     p = proposals(spark, sf)
-    tasks = p.filter("proposal_id % 3 <> 0").select("proposal_id", (F.col("proposal_id") * 2).alias("task_id"))
+    tasks = p.filter("kind <> 'error'").select("proposal_id", (F.col("proposal_id") * 2).alias("task_id"))
     st = stats.task_statistics(view(spark, sf, "v_rollouts_big"), scene=None)
     return C.proposal_score(p.drop("pass_rate"), tasks, st)
 
@@ -79,12 +79,13 @@ def distinct_choices(spark, sf):
 
 
 @register("proposal_plan", with_sql("v_proposals", f"""
-with ok as (select * from v_proposals where scene_id % 7 <> 0), d as (select scene_id, num_players, mask, min(proposal_id) as proposal_id from ok group by 1, 2, 3 order by 4 limit 400)
+with ok as (select * from v_proposals where scene_id not in (select c_custkey from customer where c_acctbal < 0)), d as (select scene_id, num_players, mask, min(proposal_id) as proposal_id from ok group by 1, 2, 3 order by 4 limit 400)
 select proposal_id, scene_id, {KEEP_TXT.format('mask')} as keep,
  cast(('0x' || substr(sha256('42|' || scene_id || '|' || num_players), 1, 8))::bigint % num_players + 1 as bigint) as spy_player from d"""))
 def proposal_plan(spark, sf):
     p = proposals(spark, sf)
-    out = C.proposal_plan(p, 400, 42, exclude=p.filter("scene_id % 7 = 0"))
+    closed = view(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("scene_id"))
+    out = C.proposal_plan(p, 400, 42, exclude=closed)
     return out.select("proposal_id", "scene_id", F.array_join("keep", ",").alias("keep"), "spy_player")
 
 
@@ -192,12 +193,13 @@ def rank_visible_edits(spark, sf):
 
 @register("bootstrap_pairs", with_sql("v_edits", VIS_SQL + """
 , p as (select scene_id, max(case when visible_rank = 1 then obj end) f, max(case when visible_rank = 2 then obj end) s from vis group by 1 having count(*) = 2),
-k as (select * from p where scene_id % 3 <> 0 order by sha256('5|' || scene_id) limit 50)
+k as (select * from p where scene_id not in (select o_orderkey from orders where o_orderstatus = 'F') order by sha256('5|' || scene_id) limit 50)
 select scene_id, scene_id || '::bootstrap::' || f || '|' || least(f, s) || '-' || greatest(f, s) as pair_id, r.role as pair_role,
  case when r.role = 'small' then cast(f as varchar) else least(f, s) || ',' || greatest(f, s) end as keep from k cross join (values ('small'), ('large')) r(role)"""))
 def bootstrap_pairs(spark, sf):
     edits = view(spark, sf, "v_edits")
-    out = C.bootstrap_pairs(edits, _clutter(spark, sf), 100, 5, exclude=edits.filter("scene_id % 3 = 0"))
+    done = view(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("scene_id"))
+    out = C.bootstrap_pairs(edits, _clutter(spark, sf), 100, 5, exclude=done)
     return out.select("scene_id", "pair_id", "pair_role", F.array_join("keep", ",").alias("keep"))
 
 

@@ -141,7 +141,7 @@ def union_replays(spark, sf):
 
 
 DETS = ("vec_id as det_id", "vec_id % 10 as image_id", "cast(label as bigint) as category", "(vec_id * 37 % 101) / 100.0e0 as score", "vec_id % 3 <> 0 as hit")
-PR_SQL = "with d as (select " + ", ".join(DETS) + """ from embeddings), n as (select category, count(*) as positives from d where det_id % 2 = 0 or hit group by 1),
+PR_SQL = "with d as (select " + ", ".join(DETS) + """ from embeddings), n as (select category, count(*) as positives from d group by 1),
 c as (select d.*, sum(hit::int) over w as tp, sum((not hit)::int) over w as fp from d window w as (partition by category order by score desc, det_id rows unbounded preceding)),
 r as (select c.*, tp / positives as recall, tp / (tp + fp) as precision from c join n on c.category = n.category)
 """
@@ -152,7 +152,7 @@ select det_id, category, cast(tp as bigint) tp, cast(fp as bigint) fp, round(rec
  round(max(precision) over (partition by category order by score desc, det_id rows between current row and unbounded following), 9) as envelope from r""")
 def pr_curve(spark, sf):
     d = view(spark, sf, "embeddings").selectExpr(*DETS)
-    pos = d.filter("det_id % 2 = 0 or hit").groupBy("category").agg(F.count(F.lit(1)).alias("positives"))
+    pos = d.groupBy("category").agg(F.count(F.lit(1)).alias("positives"))
     out = detection.pr_curve(d, ["category"], pos, [F.col("score").desc(), F.col("det_id").asc()])
     return out.select("det_id", "category", "tp", "fp", r9("recall"), r9("precision"), r9("envelope"))
 
