@@ -281,3 +281,39 @@ def mcq_score(content: Column, solution: Column) -> Column:
 
 def yes_no_score(content: Column, solution: Column) -> Column:
     return (yes_no(content) == yes_no(solution)).cast("double")
+
+
+# LaTeX rewrites applied in order (pattern, replacement).
+LATEX_DROPS = ("\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$")
+LATEX_BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}])*+\})*+\})*+)\}"
+
+
+def last_boxed(text: Column) -> Column:
+    """Content of the last boxed answer, up to three levels of braces; null when there is none."""
+    found = F.regexp_extract_all(text, F.lit(LATEX_BOXED), 1)
+    return F.when(F.size(found) > 0, F.element_at(found, -1))
+
+
+def latex_normalize(text: Column) -> Column:
+    """Canonical form of a LaTeX answer: spacing, units, fractions and roots written one way."""
+    t = F.coalesce(text, F.lit(""))
+    t = F.replace(F.replace(t, F.lit("\n"), F.lit("")), F.lit("\\!"), F.lit(""))
+    t = F.replace(t, F.lit("\\\\"), F.lit("\\"))
+    for old, new in (("tfrac", "frac"), ("dfrac", "frac"), *[(d, "") for d in LATEX_DROPS[2:]]):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    # Units follow as a text group; several such groups leave the answer as it is.
+    unit = F.lit("\\text{ ")
+    t = let(t, lambda s: F.when(F.instr(s, unit) > 0, F.substring(s, F.lit(1), F.instr(s, unit) - 1)).otherwise(s))
+    t = F.replace(t, F.lit("\\%"), F.lit(""))
+    t = F.replace(F.replace(t, F.lit(" ."), F.lit(" 0.")), F.lit("{."), F.lit("{0."))
+    t = F.regexp_replace(t, r"^\.", "0.")
+    t = F.regexp_replace(t, r"^[^=]{0,2}=([^=]*)$", "$1")
+    t = F.replace(F.regexp_replace(t, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
+    t = F.regexp_replace(t, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
+    t = F.regexp_replace(t, r"\\frac([^{])\{", r"\\frac{$1}{")
+    t = F.regexp_replace(t, r"^0\.5$", r"\\frac{1}{2}")
+    return F.regexp_replace(t, r"^(0|-?[1-9]\d*)/(0|-?[1-9]\d*)$", r"\\frac{$1}{$2}")
+
+
+def latex_equal(answer: Column, gold: Column) -> Column:
+    return latex_normalize(F.coalesce(last_boxed(answer), answer)) == latex_normalize(gold)

@@ -146,10 +146,8 @@ select gen_index % 4 as global_step, gen_index % 2 as rank, count(*) n, round(su
 def scan_step_dumps(spark, sf):
     path = S.scratch(spark, "dumps")
     r = _rollouts(spark, sf)
-    marked = r.withColumns({"s": F.col("gen_index") % 4, "k": F.col("gen_index") % 2})
-    for step in range(4):
-        for rank in range(2):
-            marked.filter((F.col("s") == step) & (F.col("k") == rank)).drop("s", "k").write.json(f"{path}/step_{step}/rank{rank}")
+    marked = r.withColumns({"step": F.concat(F.lit("step_"), F.col("gen_index") % 4), "rank": F.concat(F.lit("rank"), F.col("gen_index") % 2)})
+    marked.write.partitionBy("step", "rank").json(path)
     out = S.scan_step_dumps(spark, path, ROLLOUT)
     return out.groupBy("global_step", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward_scalar"), 6).alias("total"))
 
@@ -176,10 +174,9 @@ def scan_scores(spark, sf):
 def scan_predictions(spark, sf):
     path = S.scratch(spark, "preds")
     d = view(spark, sf, "documents").selectExpr("cast(doc_id as string) as idx", "lang as prediction")
-    # A split-JSON document per block of rows: column names once, data as arrays.
-    blocks = d.groupBy(F.pmod(F.xxhash64("idx"), F.lit(16)).alias("b")).agg(F.collect_list(F.array("idx", "prediction")).alias("data"))
-    blocks.select(F.array(F.lit("idx"), F.lit("prediction")).alias("columns"), "data").repartition(16, "b" if "b" in blocks.columns else "data") \
-        .write.json(path)
+    # A split-JSON document per block of at most 256 rows: column names once, data as arrays.
+    blocks = d.groupBy(F.floor(F.col("idx").cast("bigint") / 256).alias("b")).agg(F.collect_list(F.array("idx", "prediction")).alias("data"))
+    blocks.select(F.array(F.lit("idx"), F.lit("prediction")).alias("columns"), "data").write.json(path)
     doc = spark.read.schema("columns array<string>, data array<array<string>>").json(path)
     rows = doc.select(F.explode(F.transform("data", lambda r: F.map_from_arrays(F.col("columns"), r))).alias("r"))
     return rows.select(F.col("r")["idx"].alias("idx"), F.col("r")["prediction"].alias("prediction"))

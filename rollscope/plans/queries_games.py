@@ -273,3 +273,9 @@ def pairwise_evidence(spark, sf):
     df = view(spark, sf, "events").selectExpr("user_id", "event_id", CLUES[2]).select(
         "user_id", "event_id", F.array_intersect(tokens(F.col("clue")), words).alias("k"))
     return pairs.mean_sibling_evidence(df, ["user_id"], "event_id", "k").select("user_id", "event_id", r9("evidence"))
+
+
+@register("basic_format", with_sql("v_rollouts", REPLY_SQL + """
+select gen_index, case gen_index % 8 when 0 then 1.0 when 1 then 1.0 when 2 then 1.0 when 3 then 0.3 when 4 then 0.3 when 5 then 0.7 when 6 then 0.0 else 0.3 end as score from t"""))
+def basic_format(spark, sf):
+    return replies(spark, sf).select("gen_index", G.basic_format(F.col("reply")).alias("score"))

@@ -253,3 +253,25 @@ def proposal_parse(spark, sf):
         "when 2 then '<keep>[0, 9]</keep>' else '<keep>[a]</keep>' end, if(gen_index % 3 = 0, '<players> 4 </players>', '<players>12</players>')) as txt")
     return t.select("gen_index", F.array_join(T.proposal_keep(F.col("txt"), F.lit(4)), ",").alias("keep"),
                     T.proposal_players(F.col("txt")).alias("players"))
+
+
+@register("format_rec", with_sql("v_texts", """
+select gen_index, regexp_matches(completion, '(?s)<think>.*?</think>\\s*<answer>.*?\\{.*\\[\\d+,\\s*\\d+,\\s*\\d+,\\s*\\d+\\].*\\}.*?</answer>') as format_rec
+from (select gen_index, case when gen_index % 2 = 0 then '<think>a</think>' || chr(10) || '<answer>{"b": [' || gen_index || ', 2, 3, 4]}</answer>' else completion end as completion from v_texts)"""))
+def format_rec(spark, sf):
+    c = F.when(F.col("gen_index") % 2 == 0, F.concat(
+        F.lit('<think>a</think>\n<answer>{"b": ['), F.col("gen_index").cast("string"), F.lit(", 2, 3, 4]}</answer>"))).otherwise(F.col("completion"))
+    return view(spark, sf, "v_texts").select("gen_index", c.rlike(T.FORMAT_REC).alias("format_rec"))
+
+
+@register("latex_normalize", with_sql("v_rollouts", """
+select gen_index, case gen_index % 8 when 0 then '\\frac{' || spy_pred || '}{' || count_pred || '}' when 1 then '\\frac{1}{2}' when 2 then '\\sqrt{' || spy_pred || '}' when 3 then cast(spy_pred as varchar)
+ when 4 then case when spy_pred = 5 then '\\frac{1}{2}' else '0.' || spy_pred end when 5 then '\\frac{' || spy_pred || '}{' || count_pred || '}' when 6 then '\\frac{' || spy_pred || '}{' || count_pred || '}' else '90' end as canon, gen_index % 8 in (0, 5, 6) as same from v_rollouts"""))
+def latex_normalize(spark, sf):
+    q = view(spark, sf, "v_rollouts").selectExpr(
+        "gen_index", "spy_pred", "count_pred", "case gen_index % 8 when 0 then concat('\\\\dfrac', spy_pred, count_pred) when 1 then '0.5' when 2 then concat('x = \\\\sqrt', spy_pred) "
+        "when 3 then concat(spy_pred, '\\\\text{ cm}') when 4 then concat('.', spy_pred) when 5 then concat(spy_pred, '/', count_pred) "
+        "when 6 then concat('so \\\\boxed{\\\\frac', spy_pred, '{', count_pred, '}}') else '90^\\\\circ' end as said")
+    body = F.coalesce(T.last_boxed(F.col("said")), F.col("said"))
+    gold = F.concat(F.col("spy_pred").cast("string"), F.lit("/"), F.col("count_pred").cast("string"))
+    return q.select("gen_index", T.latex_normalize(body).alias("canon"), T.latex_equal(F.col("said"), gold).alias("same"))

@@ -152,8 +152,8 @@ def sink_training_export(replays: Mapping[str, DataFrame], grpo: DataFrame, path
 
 
 def scan_step_dumps(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """All step_*/rank*.jsonl rows with step and rank taken from the path."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/step_*/rank*")
+    """All step_N/rankR rows with step and rank taken from the path; folders may be partition folders."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/*step_*/*rank*")
     return with_step_and_rank(df)
 
 
