@@ -142,10 +142,7 @@ def potential_decision(format_ok: Column, correct: Column) -> Column:
 
 
 def _hits(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(0)
-    for w in words:
-        out = out + F.contains(text, F.lit(w)).cast("int")
-    return out
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
 
 
 def clue_content(text: Column, repetition: Column) -> Column:

@@ -84,17 +84,14 @@ class RewardConfig:
 
 
 def any_term(text: Column, terms: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(text, F.lit(t))
-    return out
+    """Whether any term occurs; the term list is one constant array, so the plan stays small."""
+    words = F.array(*[F.lit(t) for t in terms])
+    return T.let(text, lambda t: F.exists(words, lambda w: F.contains(t, w)))
 
 
 def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
-    out = F.lit(0)
-    for t in terms:
-        out = out + F.contains(text, F.lit(t)).cast("int")
-    return out
+    words = F.array(*[F.lit(t) for t in terms])
+    return T.let(text, lambda t: F.size(F.filter(words, lambda w: F.contains(t, w))))
 
 
 def exact_answer(completion: Column, solution: Column) -> Column:
@@ -146,40 +143,48 @@ def budget_score(steps: Column, words: Column, budget_steps: Column, budget_toke
 
 def causal_structure(squeezed: Column) -> Column:
     """Share of four checks: visual evidence, comparison, outlier, derivation."""
-    checks = [term_hits(squeezed, VISUAL_TERMS) >= 2, any_term(squeezed, COMPARE_TERMS),
-              squeezed.rlike(OUTLIER_PATTERN), any_term(squeezed, DERIVE_TERMS)]
-    total = sum((c.cast("int") for c in checks[1:]), checks[0].cast("int"))
-    return F.when(squeezed == "", F.lit(0.0)).otherwise(total / 4.0)
+    def share(r: Column) -> Column:
+        checks = [term_hits(r, VISUAL_TERMS) >= 2, any_term(r, COMPARE_TERMS), r.rlike(OUTLIER_PATTERN),
+                  any_term(r, DERIVE_TERMS)]
+        total = sum((c.cast("int") for c in checks[1:]), checks[0].cast("int"))
+        return F.when(r == "", F.lit(0.0)).otherwise(total / 4.0)
+
+    return T.let(squeezed, share)
 
 
 def shortcut_reasons(squeezed: Column) -> Column:
-    reasons = F.array_compact(F.array(
-        F.when(T.word_count(squeezed) < 8, F.lit("very_short_reasoning")),
-        F.when(~any_term(squeezed, SHORTCUT_VISUAL), F.lit("missing_visual_evidence")),
-        F.when(~any_term(squeezed, SHORTCUT_COMPARE), F.lit("missing_comparison")),
-        F.when(any_term(squeezed, GUESS_TERMS) & ~squeezed.rlike(REASON_PATTERN), F.lit("guess_without_evidence"))))
-    return F.when(squeezed == "", F.array(F.lit("empty_reasoning"))).otherwise(reasons)
+    def reasons(r: Column) -> Column:
+        found = F.array_compact(F.array(
+            F.when(T.word_count(r) < 8, F.lit("very_short_reasoning")),
+            F.when(~any_term(r, SHORTCUT_VISUAL), F.lit("missing_visual_evidence")),
+            F.when(~any_term(r, SHORTCUT_COMPARE), F.lit("missing_comparison")),
+            F.when(any_term(r, GUESS_TERMS) & ~r.rlike(REASON_PATTERN), F.lit("guess_without_evidence"))))
+        return F.when(r == "", F.array(F.lit("empty_reasoning"))).otherwise(found)
+
+    return T.let(squeezed, reasons)
 
 
 def shortcut(squeezed: Column) -> Column:
-    return (squeezed == "") | (F.size(shortcut_reasons(squeezed)) >= 2)
+    return T.let(squeezed, lambda r: (r == "") | (F.size(shortcut_reasons(r)) >= 2))
 
 
 def spy_structure(squeezed: Column) -> Column:
     """Structure score of spot-the-odd-image reasoning, five parts of 0.2."""
-    numbered = F.size(F.array_distinct(F.regexp_extract_all(squeezed, F.lit(NUMBERED_PATTERN), 1)))
-    ordinal = F.size(F.array_distinct(F.regexp_extract_all(squeezed, F.lit(ORDINAL_PATTERN), 0)))
-    named = any_term(squeezed, ("player", "image"))
-    hits = term_hits(squeezed, SPY_VISUAL_TERMS)
-    spy = F.contains(squeezed, F.lit("spy"))
-    chosen = any_term(squeezed, SELECT_TERMS) | squeezed.rlike(SPY_CHOICE_PATTERN)
-    score = (
-        F.when((numbered >= 2) | (named & (ordinal >= 2)), 0.2).when(named, 0.1).otherwise(0.0)
-        + F.when(any_term(squeezed, SPY_COMPARE_TERMS), 0.2).otherwise(0.0)
-        + F.when(squeezed.rlike(OUTLIER_PATTERN), 0.2).otherwise(0.0)
-        + F.when(hits >= 2, 0.2).when(hits == 1, 0.1).otherwise(0.0)
-        + F.when(spy & chosen, 0.2).when(spy, 0.1).otherwise(0.0))
-    return F.when(squeezed == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
+    def total(r: Column) -> Column:
+        numbered = F.size(F.array_distinct(F.regexp_extract_all(r, F.lit(NUMBERED_PATTERN), 1)))
+        ordinal = F.size(F.array_distinct(F.regexp_extract_all(r, F.lit(ORDINAL_PATTERN), 0)))
+        named = any_term(r, ("player", "image"))
+        visual = T.let(term_hits(r, SPY_VISUAL_TERMS), lambda n: F.when(n >= 2, 0.2).when(n == 1, 0.1).otherwise(0.0))
+        spy = F.contains(r, F.lit("spy"))
+        chosen = any_term(r, SELECT_TERMS) | r.rlike(SPY_CHOICE_PATTERN)
+        score = (
+            F.when((numbered >= 2) | (named & (ordinal >= 2)), 0.2).when(named, 0.1).otherwise(0.0)
+            + F.when(any_term(r, SPY_COMPARE_TERMS), 0.2).otherwise(0.0)
+            + F.when(r.rlike(OUTLIER_PATTERN), 0.2).otherwise(0.0) + visual
+            + F.when(spy & chosen, 0.2).when(spy, 0.1).otherwise(0.0))
+        return F.when(r == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
+
+    return T.let(squeezed, total)
 
 
 def process_score(squeezed: Column, causal: Column, structure: Column, is_shortcut: Column,

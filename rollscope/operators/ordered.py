@@ -18,11 +18,12 @@ CHUNK = 512
 
 
 def ema(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Mapping[str, str],
-        alpha: float, init: float = 0.0, chunk: int = CHUNK) -> DataFrame:
+        alpha: float, init: float = 0.0, chunk: int = CHUNK, position: str | None = None) -> DataFrame:
     """Add b_n = alpha * b_(n-1) + (1 - alpha) * x_n per key, for each output name -> input column.
 
     Inside a chunk the baseline is a scaled running sum; the chunk end values of the few chunks
     whose weight still shows in a double are added by an equi-join on the chunk number.
+    `position` names an optional output column with the row's place in its key.
     """
     keys = list(keys)
     chunk = max(1, min(chunk, int(250 / -math.log10(alpha))))
@@ -46,7 +47,7 @@ def ema(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Map
     joined = local.join(carry, [*keys, "__chunk"], "left")
     decay = F.pow(a, F.col("__p") + 1)
     return joined.select(
-        *df.columns,
+        *df.columns, *([F.col("__rn").alias(position)] if position else []),
         *[(F.col(f"__e_{n}") + decay * F.coalesce(F.col(f"__c_{n}"), F.lit(0.0))
            + F.pow(a, F.col("__rn")) * F.lit(float(init))).alias(n) for n in values])
 
@@ -59,16 +60,15 @@ def stage_switch(steps: DataFrame, run: str, step: str, *, rho: float = 0.95, ac
     State is (stage, dwell); the dwell counter never needs to exceed the larger limit, so a chunk of
     steps is a small table from entry state to exit state.
     """
-    smooth = ema(steps, [run], [F.col(step).asc()], {"acc_bar": "acc", "na_bar": "na"}, rho)
+    smooth = ema(steps, [run], [F.col(step).asc()], {"acc_bar": "acc", "na_bar": "na"}, rho,
+                 position="__rn")
     limit = max(min_dwell, patience or 0)
     width = limit + 1
     flagged = smooth.select(
-        run, step, "acc_bar", "na_bar",
+        run, step, "acc_bar", "na_bar", "__rn", F.floor((F.col("__rn") - 1) / CHUNK).alias("__chunk"),
         ((F.round("acc_bar", 12) >= acc_up) & (F.round("na_bar", 12) <= na_down)).alias("__up"),
         ((F.round(1.0 - F.col("acc_bar"), 12) >= err_up) | (F.round("na_bar", 12) >= na_up)).alias("__down"))
-    rows = skew.number_rows_by_key(flagged, [run], [F.col(step).asc()], "__rn").withColumn(
-        "__chunk", F.floor((F.col("__rn") - 1) / CHUNK))
-    chunks = rows.groupBy(run, "__chunk").agg(F.array_sort(F.collect_list(F.struct(
+    chunks = flagged.groupBy(run, "__chunk").agg(F.array_sort(F.collect_list(F.struct(
         F.col("__rn"), F.col(step), F.col("acc_bar"), F.col("na_bar"), F.col("__up"), F.col("__down")))).alias("__s"))
 
     def next_state(state: Column, s: Column) -> Column:

@@ -166,16 +166,35 @@ VIEWS: dict[str, tuple[str, list[str], bool]] = {
 }
 
 
+# Views whose rows cost real work per text; a small table in one file would otherwise run in one task.
+TEXT_VIEWS = {"v_texts", "v_claim_texts", "documents", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Deal rows over all cores when the table is too small for its splits to do so."""
+    spark = df.sparkSession
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    cores = spark.sparkContext.defaultParallelism
+    small = fs.getContentSummary(hpath).getLength() < cores * 64 * 1024 * 1024
+    return df.repartition(cores) if small and cores > 1 else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived view as a DataFrame."""
+    return _build(spark, sf_dir, name, name in TEXT_VIEWS)
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str, text: bool) -> DataFrame:
     if name in TABLES:
-        return table(spark, sf_dir, name)
+        df = table(spark, sf_dir, name)
+        return spread(df, f"{sf_dir}/{name}.parquet") if text else df
     source, exprs, distinct = VIEWS[name]
-    df = view(spark, sf_dir, source).selectExpr(*exprs)
+    df = _build(spark, sf_dir, source, text).selectExpr(*exprs)
     return df.distinct() if distinct else df
 
 
