@@ -83,7 +83,8 @@ def coco_match(dets: DataFrame, gold: DataFrame, keys: Sequence[str], thresholds
         return let(F.array_max(ranked), taken)
 
     folded = F.aggregate("dets", zero, step, lambda acc: acc["out"])
-    return runs.select(*keys, "area", "thr", F.inline(folded))
+    # Outer, so that no size test on the fold is added below the generator and the fold runs once.
+    return runs.select(*keys, "area", "thr", F.inline_outer(folded)).filter("det_id is not null")
 
 
 def gold_counts(gold: DataFrame, keys: Sequence[str], areas: Sequence[str] = tuple(AREAS)) -> DataFrame:

@@ -89,13 +89,13 @@ def stage_switch(steps: DataFrame, run: str, step: str, *, rho: float = 0.95, ac
         F.get(m["__map"], acc["at"].cast("int")).alias("at"),
         F.array_append(acc["out"], F.struct(m["__chunk"].alias("chunk"), acc["at"].alias("start"))).alias("out")),
         lambda acc: acc["out"])
-    begin = ordered.select(run, F.inline(starts)).withColumnsRenamed({"chunk": "__chunk", "start": "__start"})
+    begin = ordered.select(run, F.inline_outer(starts)).filter("chunk is not null").withColumnsRenamed({"chunk": "__chunk", "start": "__start"})
     replay0 = F.struct(F.col("__start").alias("at"), F.array().cast("array<bigint>").alias("out"))
     states = F.aggregate("__s", replay0, lambda acc, s: F.struct(
         next_state(acc["at"], s).alias("at"),
         F.array_append(acc["out"], next_state(acc["at"], s)).alias("out")), lambda acc: acc["out"])
     replayed = chunks.join(begin, [run, "__chunk"]).select(
-        run, F.inline(F.arrays_zip(F.col("__s"), states.alias("__state"))))
+        run, F.inline_outer(F.arrays_zip(F.col("__s"), states.alias("__state")))).filter("__state is not null")
     return replayed.select(
         run, F.col("__s")[step].alias(step), F.col("__s")["acc_bar"].alias("acc_bar"),
         F.col("__s")["na_bar"].alias("na_bar"), F.floor(F.col("__state") / width).alias("stage"),

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from rollscope.functions import facts as FX
 from rollscope.functions.boxes import centre_box
+from rollscope.functions.text import let
 from rollscope.operators import skew
 from rollscope.operators.ranking import hash_order
 
-MAX_EDITS = 16
+MAX_EDITS = 30
 
 
 def edit_facts(edits: DataFrame) -> DataFrame:
@@ -129,21 +130,22 @@ def object_relations(objects: DataFrame, kind: str, seed: int = 1701) -> DataFra
     unique = (objects.filter(valid).groupBy("scene_id", desc.alias("d"))
               .agg(F.count(F.lit(1)).alias("n"), F.min("obj").alias("obj"), F.min(coord).alias("c"),
                    F.min("before_size").alias("size")).filter("n = 1"))
-    packed = unique.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("obj", "d", "c", "size"))).alias("o"))
-
-    def pairs(a: Column, i: Column) -> Column:
-        rest = F.slice("o", i + 2, F.size("o"))
-        made = F.transform(rest, lambda b: F.struct(
-            (-F.abs(a["c"] - b["c"])).alias("neg"), a["d"].alias("d1"), b["d"].alias("d2"), a["c"].alias("c1"),
-            b["c"].alias("c2"), (a["size"] == b["size"]).alias("same")))
-        if kind == "left_right":
-            return F.filter(made, lambda p: -p["neg"] >= MIN_PIXELS)
-        return F.filter(made, lambda p: p["same"] & (-p["neg"] >= F.greatest(
-            F.lit(MIN_DEPTH), MIN_DEPTH_SHARE * F.least(p["c1"], p["c2"]))))
-
-    best = F.array_min(F.flatten(F.transform("o", pairs)))
+    def widest(o: Column) -> Column:
+        def pairs(a: Column, i: Column) -> Column:
+            made = F.transform(F.slice(o, i + 2, F.size(o)), lambda b: F.struct(
+                (-F.abs(a["c"] - b["c"])).alias("neg"), a["d"].alias("d1"), b["d"].alias("d2"), a["c"].alias("c1"),
+                b["c"].alias("c2"), (a["size"] == b["size"]).alias("same")))
+            if kind == "left_right":
+                return F.filter(made, lambda p: -p["neg"] >= MIN_PIXELS)
+            return F.filter(made, lambda p: p["same"] & (-p["neg"] >= F.greatest(
+                F.lit(MIN_DEPTH), MIN_DEPTH_SHARE * F.least(p["c1"], p["c2"]))))
+
+        return F.array_min(F.flatten(F.transform(o, pairs)))
+
+    # Picked inside the aggregate: a filter on its result then cannot make it run twice.
+    best = let(F.array_sort(F.collect_list(F.struct("obj", "d", "c", "size"))), widest)
     swap = F.substring(hash_order(seed, "scene_id"), 1, 1) >= "8"
-    picked = packed.select("scene_id", best.alias("b"), swap.alias("swap")).filter("b is not null")
+    picked = unique.groupBy("scene_id").agg(best.alias("b")).filter("b is not null").withColumn("swap", swap)
     first, second = F.when(F.col("swap"), F.col("b.d2")).otherwise(F.col("b.d1")), F.when(
         F.col("swap"), F.col("b.d1")).otherwise(F.col("b.d2"))
     c1, c2 = F.when(F.col("swap"), F.col("b.c2")).otherwise(F.col("b.c1")), F.when(
@@ -201,12 +203,17 @@ def counterfactual_qa_rows(edits: DataFrame, max_examples: int, seed: int = 1701
 def enumerate_subsets(scenes: DataFrame, num_edits: str, cap: int | None = None) -> DataFrame:
     """Non-empty subsets of each scene's edits, smallest first, at most `cap` per scene.
 
-    More than MAX_EDITS edits in a scene is an error rather than a silent cut.
+    The output of a scene has 2^edits - 1 rows by definition, so more than MAX_EDITS edits is an error
+    rather than a silent cut. High and low halves of the bit mask are exploded one after the other,
+    which keeps every intermediate array short.
     """
     k = F.when(F.col(num_edits) <= MAX_EDITS, F.col(num_edits)).otherwise(
         F.raise_error(F.concat(F.lit("too many edits in scene "), F.col("scene_id").cast("string"))).cast("bigint"))
-    masks = scenes.select("scene_id", F.col(num_edits), F.explode(F.sequence(
-        F.lit(1).cast("bigint"), F.pow(F.lit(2), k).cast("bigint") - 1)).alias("mask"))
+    half = MAX_EDITS // 2
+    upto = lambda bits: F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), bits).cast("bigint") - 1)
+    high = scenes.select("scene_id", k.alias("__k"), F.explode(upto(F.greatest(k - half, F.lit(0)))).alias("__hi"))
+    both = high.select("scene_id", "__hi", F.explode(upto(F.least(F.col("__k"), F.lit(half)))).alias("__lo"))
+    masks = both.select("scene_id", (F.col("__hi") * (1 << half) + F.col("__lo")).alias("mask")).filter("mask > 0")
     out = masks.select("scene_id", "mask", mask_members(F.col("mask"), MAX_EDITS).alias("keep"))
     if cap is None:
         return out

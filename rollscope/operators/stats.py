@@ -234,7 +234,7 @@ def failure_profile(scored: DataFrame, dims: Sequence[str]) -> DataFrame:
     means = scored.agg(*[F.avg(d).alias(d) for d in dims]).select(F.inline(F.array(*[
         F.struct(F.lit("reward_mean").alias("section"), F.lit(d).alias("name"), F.col(d).alias("value"))
         for d in dims])))
-    tags = (scored.filter(F.col("buffer") == "failure").select(F.explode("failure_tags").alias("name"))
+    tags = (scored.filter(F.col("buffer") == "failure").select(F.explode_outer("failure_tags").alias("name"))
             .filter(F.col("name") != "positive").groupBy("name")
             .agg(F.count(F.lit(1)).cast("double").alias("value"))
             .select(F.lit("failure_tag").alias("section"), "name", "value"))

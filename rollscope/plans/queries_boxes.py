@@ -34,6 +34,8 @@ boxes as (select gen_index, o, is_json, player, c, s, case when error is not nul
 """
 
 
+# Generators over computed arrays are outer ones with a null filter behind them: for an inner generator
+# the optimizer adds a size test below it and so computes the array twice.
 def attempts(spark, sf):
     return view(spark, sf, "v_texts").select("*", B.evidence_attempts(F.col("completion")).alias("attempts"))
 
@@ -48,7 +50,7 @@ select gen_index, cast(row_number() over (partition by gen_index order by o) - 1
  case when c is not null then array_to_string(list_transform(c, lambda v: cast(v as double)::varchar), ',') end as coords,
  case when error in ('conflicting_player_ids', 'unclosed_bbox') then error end as error from boxes"""))
 def evidence_boxes(spark, sf):
-    rows = attempts(spark, sf).select("gen_index", F.posexplode("attempts").alias("idx", "a"))
+    rows = attempts(spark, sf).select("gen_index", F.posexplode_outer("attempts").alias("idx", "a")).filter("idx is not null")
     return rows.select("gen_index", "idx", F.col("a.is_json").alias("is_json"),
                        B.player_id(F.col("a.player")).alias("player"),
                        F.array_join(F.col("a.coords").cast("array<string>"), ",").alias("coords"),
@@ -60,7 +62,7 @@ select gen_index, cast(row_number() over (partition by gen_index order by o) - 1
  case when error is null then round(s[1], 9) end as x1, case when error is null then round(s[2], 9) end as y1,
  case when error is null then round(s[3], 9) end as x2, case when error is null then round(s[4], 9) end as y2 from boxes"""))
 def box_scale(spark, sf):
-    rows = scaled(spark, sf).select("gen_index", F.posexplode("scaled").alias("idx", "a"))
+    rows = scaled(spark, sf).select("gen_index", F.posexplode_outer("scaled").alias("idx", "a")).filter("idx is not null")
     return rows.select("gen_index", "idx", F.col("a.error").alias("error"), *[
         F.round(F.col("a.box")[i], 9).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
@@ -97,7 +99,7 @@ pairs as (select gen_index, g, p, inter / (tot - inter) as iou from ov)
 @register("box_pairs_iou", with_sql(("v_texts", "v_gold_boxes"), PAIRS_SQL + """
 select gen_index, cast(g as integer) g, cast(p as integer) p, round(iou, 9) iou from pairs"""))
 def box_pairs_iou(spark, sf):
-    rows = rollout_boxes(spark, sf).select("gen_index", F.explode(B.iou_pairs(F.col("gold"), F.col("pred"))).alias("x"))
+    rows = rollout_boxes(spark, sf).select("gen_index", F.explode_outer(B.iou_pairs(F.col("gold"), F.col("pred"))).alias("x")).filter("x is not null")
     return rows.select("gen_index", F.col("x.g").alias("g"), F.col("x.p").alias("p"),
                        F.round(-F.col("x.neg"), 9).alias("iou"))
 

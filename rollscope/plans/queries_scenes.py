@@ -56,7 +56,7 @@ def gold_rows(spark, sf):
 
 def fact_table(spark, sf):
     c = claims(spark, sf)
-    said = (c.select("gen_index", F.inline("c.facts")).groupBy("gen_index", "attribute", "before", "after")
+    said = (c.select("gen_index", F.inline_outer("c.facts")).filter("attribute is not null").groupBy("gen_index", "attribute", "before", "after")
             .agg(F.count(F.lit(1)).alias("n")))
     gold = c.select("gen_index", "task_id").join(gold_rows(spark, sf), "task_id").groupBy(
         "gen_index", "attribute", "before", "after").agg(F.count(F.lit(1)).alias("n"))
@@ -193,7 +193,7 @@ select scene_id, cast(size as integer) as size, count(*) as n, cast(sum(mask) as
 def enumerate_subsets(spark, sf):
     per = view(spark, sf, "v_edits").groupBy("scene_id").agg(F.count(F.lit(1)).alias("k"))
     subs = scenes.enumerate_subsets(per, "k")
-    return subs.groupBy("scene_id", F.size("keep").alias("size")).agg(
+    return subs.groupBy("scene_id", F.bit_count("mask").alias("size")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("mask").alias("mask_sum"))
 
 

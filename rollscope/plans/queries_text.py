@@ -87,8 +87,8 @@ select conv_id, turn, unnest(range(0, len(steps))) as step_no, unnest(steps) as
 @register("reasoning_steps", STEPS_SQL)
 def reasoning_steps(spark, sf):
     conv = view(spark, sf, "conversations").filter("role = 'assistant'")
-    return conv.select("conv_id", "turn", F.posexplode(T.reasoning_steps(F.col("text"))).alias("step_no", "step")) \
-        .withColumn("step_no", F.col("step_no").cast("bigint"))
+    return conv.select("conv_id", "turn", F.posexplode_outer(T.reasoning_steps(F.col("text"))).alias("step_no", "step")) \
+        .filter("step_no is not null").withColumn("step_no", F.col("step_no").cast("bigint"))
 
 
 @register("token_jaccard", """
