@@ -180,6 +180,17 @@ def rescore_report(spark, sf):
                   F.count_if(short).alias("shortcut_correct"))
 
 
+@register("score_and_route", with_sql(("v_texts", "v_gold_boxes"), VECTOR_SQL + """
+, route as (select *, case when round(answer, 9) < 1 then 'failure' when not format_valid or grounding < 0.2 or process < 0.4 or shortcut_detected or grounding < 0.5 then 'failure' else 'positive' end as buffer from total),
+per as (select task_id, count(*) filter (where buffer = 'positive') p, count(*) filter (where buffer = 'failure') f from route group by 1)
+select task_id, f as failures, least(p, 1) as positives, greatest(p - 1, 0) as unused from per"""))
+def score_and_route(spark, sf):
+    rollouts = view(spark, sf, "v_texts").select("gen_index", "task_id", "completion", "solution")
+    df = scoring.score_and_route(rollouts, context(spark, sf), CFG)
+    return df.groupBy("task_id").agg(*[F.count_if(F.col("buffer") == b).alias(n) for b, n in (
+        ("failure", "failures"), ("positive", "positives"), ("unused", "unused"))])
+
+
 @register("blind_reward_audit", with_sql(("v_texts", "v_gold_boxes"), VECTOR_SQL + """
 select gen_index % 10 as policy, count(*) filter (where answer = 0) as wrong_rows, round(max(case when answer = 0 then reward_scalar end), 7) as worst, coalesce(max(case when answer = 0 then reward_scalar end) > 0.02, false) as above from total group by 1"""))
 def blind_reward_audit(spark, sf):

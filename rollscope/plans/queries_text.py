@@ -265,8 +265,8 @@ def format_rec(spark, sf):
 
 
 @register("latex_normalize", with_sql("v_rollouts", """
-select gen_index, case gen_index % 8 when 0 then '\\frac{' || spy_pred || '}{' || count_pred || '}' when 1 then '\\frac{1}{2}' when 2 then '\\sqrt{' || spy_pred || '}' when 3 then cast(spy_pred as varchar)
- when 4 then case when spy_pred = 5 then '\\frac{1}{2}' else '0.' || spy_pred end when 5 then '\\frac{' || spy_pred || '}{' || count_pred || '}' when 6 then '\\frac{' || spy_pred || '}{' || count_pred || '}' else '90' end as canon, gen_index % 8 in (0, 5, 6) as same from v_rollouts"""))
+select gen_index, canon, canon = '\\frac{' || gold_a || '}{' || gold_b || '}' as same from (select gen_index, spy_pred as gold_a, count_pred as gold_b, case gen_index % 8 when 0 then '\\frac{' || spy_pred || '}{' || count_pred || '}' when 1 then '\\frac{1}{2}' when 2 then '\\sqrt{' || spy_pred || '}' when 3 then cast(spy_pred as varchar)
+ when 4 then case when spy_pred = 5 then '\\frac{1}{2}' else '0.' || spy_pred end when 5 then '\\frac{' || spy_pred || '}{' || count_pred || '}' when 6 then '\\frac{' || spy_pred || '}{' || count_pred || '}' else '90' end as canon from v_rollouts)"""))
 def latex_normalize(spark, sf):
     q = view(spark, sf, "v_rollouts").selectExpr(
         "gen_index", "spy_pred", "count_pred", "case gen_index % 8 when 0 then concat('\\\\dfrac', spy_pred, count_pred) when 1 then '0.5' when 2 then concat('x = \\\\sqrt', spy_pred) "

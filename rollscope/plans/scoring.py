@@ -16,6 +16,7 @@ from rollscope.functions import text as T
 from rollscope.operators import gates, ranking
 from rollscope.operators.pairs import mean_sibling_evidence, mean_sibling_jaccard
 from rollscope.operators.stats import group_agreement
+from rollscope.session import cut_lineage
 
 
 def extract(rollouts: DataFrame, mode: str = "auto") -> DataFrame:
@@ -90,9 +91,20 @@ def spy_correct():
     return F.when(F.col("spy_gold").isNotNull(), F.coalesce(F.col("spy") == F.col("spy_gold"), F.lit(False)))
 
 
+# Parsed intermediates that nothing after scoring reads.
+SCRATCH = ("attempts", "scaled", "valid", "pred_px", "match", "claims", "steps", "thought", "causal", "structure",
+           "all_name_spy", "words")
+
+
 def score_and_route(rollouts: DataFrame, tasks: DataFrame, cfg: R.RewardConfig | None = None) -> DataFrame:
-    """Scored rollouts where at most the best positive of a task stays positive."""
-    return ranking.top1_positive(score_rollouts(rollouts, tasks, cfg))
+    """Scored rollouts where at most the best positive of a task stays positive.
+
+    The scored rows are stored once before the selection: a filter on `buffer` would otherwise be
+    pushed below the scoring and unfold every parse it depends on again.
+    """
+    scored = score_rollouts(rollouts, tasks, cfg)
+    kept = cut_lineage(scored.drop(*SCRATCH))
+    return ranking.top1_positive(kept)
 
 
 def group_consistency(rollouts: DataFrame, answer: float = 0.4, evidence: float = 0.3, reasoning: float = 0.3) -> DataFrame:
