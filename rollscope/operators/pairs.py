@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscope.operators.skew import with_group_stats
+from rollscope.session import cut_lineage
 
 TILE = 64
 
@@ -27,7 +28,9 @@ def fold_siblings(df: DataFrame, keys: Sequence[str], row_id: str, payload: Sequ
     me = F.struct(F.col(row_id).alias("id"), *[F.col(c) for c in payload])
     sized = with_group_stats(df.select(*keys, row_id, *payload), keys, {"__size": F.count(F.lit(1))})
     tiles = F.ceil(F.col("__size") / F.lit(tile)).cast("int")
-    base = sized.select(*keys, me.alias("__me"), tiles.alias("__tiles"))
+    # Members and probes both read these rows; storing them keeps the payload (often parsed text) from
+    # being computed once per branch.
+    base = cut_lineage(sized.select(*keys, me.alias("__me"), tiles.alias("__tiles")))
     members = base.select(*keys, F.pmod(F.xxhash64(F.col("__me")["id"]), F.col("__tiles")).cast("int").alias("__tile"),
                           F.col("__me"))
     packed = members.groupBy(*keys, "__tile").agg(F.collect_list("__me").alias("__members"))

@@ -111,7 +111,7 @@ def modal_value(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Most frequent non-null value per key, ties to the smallest; counts first, so hot keys stay cheap."""
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
               .agg(F.count(F.lit(1)).alias("c")))
-    best = F.max_by(F.struct(F.col(value), F.col("c")), F.struct(F.col("c"), -F.col(value)))
+    best = F.min_by(F.struct(F.col(value), F.col("c")), F.struct(-F.col("c"), F.col(value)))
     return (counts.groupBy(*keys).agg(best.alias("b"))
             .select(*keys, F.col("b")[value].alias("mode"), F.col("b")["c"].alias("mode_count")))
 
