@@ -12,14 +12,15 @@ from rollscope.sources.views import view, with_sql
 # SQL twin for the spellings that occur in the completions.
 ATTEMPTS_SQL = """
 with att as (
- select gen_index, 1 + row_number() over (partition by gen_index order by 1) as o, tag, false as is_json,
+ select gen_index, 1 + n as o, tag, false as is_json,
   regexp_extract(tag, 'player="([^"]*)"', 1) as player,
   case when regexp_extract(tag, 'coords="([^"]*)"', 1) <> '' then regexp_extract(tag, 'coords="([^"]*)"', 1)
    when contains(tag, 'x1="') then concat_ws(',', regexp_extract(tag, 'x1="([^"]*)"', 1), regexp_extract(tag, 'y1="([^"]*)"', 1),
     regexp_extract(tag, 'x2="([^"]*)"', 1), regexp_extract(tag, 'y2="([^"]*)"', 1))
    else regexp_extract(tag, '\\[(.*)\\]', 1) end as coords,
   case when len(regexp_extract_all(tag, 'player=')) > 1 then 'conflicting_player_ids' end as error
- from (select gen_index, unnest(regexp_extract_all(completion, '(?s)<bbox[ >][^>]*>?.*?</bbox>')) as tag from v_texts)
+ from (select gen_index, unnest(tags) as tag, unnest(range(1, len(tags) + 1)) as n from (select gen_index,
+  regexp_extract_all(completion, '(?s)<bbox[ >][^>]*>?.*?</bbox>') as tags from v_texts))
  union all
  select gen_index, 1, obj, true, regexp_extract(obj, '"player": "([^"]*)"', 1), regexp_extract(obj, '\\[([^\\]]*)\\]', 1), null
  from (select gen_index, unnest(regexp_extract_all(completion, '\\{[^{}]*bbox_2d[^{}]*\\}')) as obj from v_texts)
