@@ -99,14 +99,18 @@ def verdict_normalize(raw: Column) -> Column:
         .alias("reason"))
 
 
+# The two task kinds of a training record.
+SPY_KIND, COUNT_KIND = "clevr_spy", "verified_count_qa"
+
+
 def grpo_rows(tasks: DataFrame) -> DataFrame:
     """Nested training record per task: conversation plus typed context."""
     human = F.when(F.col("image").isNotNull(), F.concat(F.lit("<image>\n"), "problem")).otherwise(F.col("problem"))
     talk = F.array(F.struct(F.lit("human").alias("from"), human.alias("value")),
                    F.struct(F.lit("gpt").alias("from"), F.col("solution").alias("value")))
-    kind = F.when(F.col("kind") == "verified_count_qa", F.lit("verified_count_qa")).otherwise(F.lit("clevr_spy"))
-    qa = F.struct(F.when(kind == "verified_count_qa", F.col("gold_count")).alias("gold_count"),
-                  F.when(kind == "verified_count_qa", F.col("pair_id")).otherwise(F.lit("")).alias("pair_id"))
+    kind = F.when(F.col("kind") == COUNT_KIND, F.lit(COUNT_KIND)).otherwise(F.lit(SPY_KIND))
+    qa = F.struct(F.when(kind == COUNT_KIND, F.col("gold_count")).alias("gold_count"),
+                  F.when(kind == COUNT_KIND, F.col("pair_id")).otherwise(F.lit("")).alias("pair_id"))
     return tasks.select(
         "task_id", talk.alias("conversations"), F.lit("default").alias("accu_reward_method"),
         F.struct(kind.alias("task_kind"), qa.alias("verified_qa")).alias("context"), "image")

@@ -128,8 +128,8 @@ def object_relations(objects: DataFrame, kind: str, seed: int = 1701) -> DataFra
     for a in FX.ATTRIBUTES:
         valid = valid & F.col(f"before_{a}").isin(*FX.DOMAINS[a])
     unique = (objects.filter(valid).groupBy("scene_id", desc.alias("d"))
-              .agg(F.count(F.lit(1)).alias("n"), F.min("obj").alias("obj"), F.min(coord).alias("c"),
-                   F.min("before_size").alias("size")).filter("n = 1"))
+              .agg(F.count(F.lit(1)).alias("n"), F.min("obj").alias("obj"), F.min(coord).alias("c")).filter("n = 1")
+              .withColumn("size", F.substring_index("d", " ", 1)))
     def widest(o: Column) -> Column:
         def pairs(a: Column, i: Column) -> Column:
             made = F.transform(F.slice(o, i + 2, F.size(o)), lambda b: F.struct(

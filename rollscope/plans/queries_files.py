@@ -53,14 +53,16 @@ def scan_scene_docs(spark, sf):
 
 
 @register("discover_pairs", """
-select n_name as base_name from nation where n_nationkey % 5 <> 0 and n_nationkey % 7 <> 0 and n_nationkey % 3 <> 2""")
+select 'scene' || p_partkey as base_name from part where p_size > 5 and p_retailprice > 950 and p_brand <> (select min(p_brand) from part)""")
 def discover_pairs(spark, sf):
-    # A file listing as a table: every nation's original, modified and scene file, some of them absent.
-    n = view(spark, sf, "nation")
-    listing = n.select(F.inline(F.array(
-        F.struct(F.concat(F.lit("/data/img/"), "n_name", F.lit("_original.png")).alias("path"), (F.col("n_nationkey") % 5 != 0).alias("there")),
-        F.struct(F.concat(F.lit("/data/img/"), "n_name", F.lit("_modified.png")).alias("path"), (F.col("n_nationkey") % 7 != 0).alias("there")),
-        F.struct(F.concat(F.lit("/data/scenes/"), "n_name", F.lit("_comparison.json")).alias("path"), (F.col("n_nationkey") % 3 != 2).alias("there")))))
+    # A file listing as a table: every part has an original, a modified and a scene file, some of them absent.
+    low = view(spark, sf, "part").agg(F.min("p_brand")).scalar()
+    name = F.concat(F.lit("scene"), F.col("p_partkey").cast("string"))
+    path = lambda folder, end: F.concat(F.lit(folder), name, F.lit(end)).alias("path")
+    listing = view(spark, sf, "part").select(F.inline(F.array(
+        F.struct(path("/data/img/", "_original.png"), (F.col("p_size") > 5).alias("there")),
+        F.struct(path("/data/img/", "_modified.png"), (F.col("p_retailprice") > 950).alias("there")),
+        F.struct(path("/data/scenes/", "_comparison.json"), (F.col("p_brand") != low).alias("there")))))
     return S.discover_pairs(listing.filter("there"))
 
 
@@ -162,11 +164,13 @@ def union_rounds(spark, sf):
     return per.groupBy("round").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tasks"))
 
 
-@register("scan_scores", "select cast(item_id as varchar) as split, text as note, cast(item_id / 40 as varchar) as overall from benchmark")
+@register("scan_scores", """
+select cast(doc_id as varchar) as split, lang || ', "' || source || '"' as note, cast(n_chars as varchar) as overall from documents""")
 def scan_scores(spark, sf):
     path = S.scratch(spark, "scores")
-    b = view(spark, sf, "benchmark").selectExpr("cast(item_id as string) as split", "text as note", "cast(item_id / 40 as string) as overall")
-    b.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    d = view(spark, sf, "documents").selectExpr(
+        "cast(doc_id as string) as split", "concat(lang, ', \"', source, '\"') as note", "cast(n_chars as string) as overall")
+    d.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return S.scan_table(spark, path, "csv", ["split", "note", "overall"])
 
 

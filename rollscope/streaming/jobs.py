@@ -170,12 +170,6 @@ def reward_health(rollouts: DataFrame, window: str = "1 day", slide: str | None
         F.col("w.start").alias("window_start"), "kind", "n", "mean_reward")
 
 
-def task_sessions(rollouts: DataFrame, gap: str = "6 hours", lateness: str = "2 hours", ts: str = "ts") -> DataFrame:
-    """Bursts of rollouts per task separated by idle gaps."""
-    return rollouts.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap).alias("w"), "task_id").agg(
-        F.count(F.lit(1)).alias("n")).select("task_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
-
-
 def resume_guard(inputs: DataFrame, config: dict, marker: str) -> None:
     """Refuse to continue a scored folder under other inputs or settings; records them on first use."""
     spark = inputs.sparkSession
