@@ -112,7 +112,8 @@ def group_consistency(rollouts: DataFrame, answer: float = 0.4, evidence: float
     words = F.array(*[F.lit(x) for x in R.EVIDENCE_WORDS])
     src = rollouts.select("task_id", "gen_index", T.answer_norm(F.col("completion")).alias("said"),
                           T.tokens(T.reasoning(F.col("completion"))).alias("toks"))
-    src = src.withColumn("keys", F.array_intersect("toks", words))
+    # Three comparisons read these rows several times each: parse once, store, compare.
+    src = cut_lineage(src.withColumn("keys", F.array_intersect("toks", words)))
     same = group_agreement(src.select("task_id", "gen_index", "said"), "task_id", "said")
     ev = mean_sibling_evidence(src, ["task_id"], "gen_index", "keys")
     rs = mean_sibling_jaccard(src, ["task_id"], "gen_index", "toks")
