@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rollscope.session import ensure_checkpoint_dir
 
@@ -56,26 +57,24 @@ def text_values(col: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
 
 
 def add_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fields: T.StructType,
-                text: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
+                text: str = "text", slice_bytes: int = 8 << 20, keep_text: bool = False) -> DataFrame:
     """Rows plus columns computed from each text in Arrow batches.
 
     `make()` runs once per task and returns a function from a list of texts (UTF-8, null as empty) to one value list
     or array per field. Texts go to it in slices of about `slice_bytes`, a single longer text alone. An input column
-    with the name of a result column is replaced by the result.
+    with the name of a result column is replaced by the result. The text itself returns only if `keep_text`.
     """
-    names = set(fields.names)
-    kept = [f for f in df.schema.fields if f.name not in names]
-    src = df.select(*[F.col(f"`{f.name}`") for f in kept],
-                    F.col(f"`{text}`").cast("binary").alias("__text"))
+    kept = [f for f in df.schema.fields if f.name not in fields.names and (keep_text or f.name != text)]
+    own = next((i for i, f in enumerate(kept) if f.name == text), len(kept))
+    src = df.select(*[F.col(f"`{f.name}`") for f in kept], *([F.col(f"`{text}`")] if own == len(kept) else []))
     out = T.StructType([*kept, *fields.fields])
-    types = [_arrow_type(f.dataType) for f in fields.fields]
+    types = [to_arrow_type(f.dataType) for f in fields.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             rest = [batch.column(i) for i in range(len(kept))]
-            texts = batch.column(len(kept))
-            for lo, part in slices(text_values(texts), slice_bytes):
+            for lo, part in slices(text_values(batch.column(own)), slice_bytes):
                 cols = [pa.array(v, type=t) for v, t in zip(fn(part), types)]
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, len(part)) for c in rest], *cols], names=out.names)
 
@@ -96,12 +95,6 @@ def slices(texts: Iterator[bytes], limit: int) -> Iterator[tuple[int, list[bytes
         yield lo, part
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 class WordIds(dict):
     """Numbers words in order of appearance: `map(ids.__getitem__, words)`. New words are listed in `new`."""
 

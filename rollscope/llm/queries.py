@@ -78,3 +78,32 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+OP10_SQL = r"""
+with cut as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (select distinct item_id, least(len(w), 13) as k,
+                   array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as win
+            from (select *, unnest(range(1, len(w) - least(len(w), 13) + 2)) as i from items where len(w) > 0)),
+sizes as (select distinct k from windows),
+grams as (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') as win
+          from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from cut, sizes)),
+hits as (select g.doc_id, g.p, g.k, n.item_id from grams g join windows n using (k, win)),
+words as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from hits) group by 1),
+names as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+          from (select distinct doc_id, item_id from hits) group by 1)
+select c.doc_id, len(c.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(c.w) as contaminated
+from cut c left join words using (doc_id) left join names using (doc_id)
+"""
+
+
+@query("op10_decontaminate", OP10_SQL)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollscope.llm.common import WordTable, slices, text_values
 
@@ -154,7 +155,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, doc_id: s
             levels, bitmaps, ranks = encode_block(np.concatenate(ids))
             row = dict(shard=shard, block=block, first_token=first, n_tokens=held, doc_ids=docs_in, doc_tokens=lengths,
                        levels=levels, bitmaps=bitmaps, ranks=ranks)
-            return pa.RecordBatch.from_pylist([row], schema=_schema(BLOCK))
+            return pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(BLOCK))
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -226,11 +227,3 @@ def read_tokens(blocks: DataFrame, positions: DataFrame) -> DataFrame:
                                                  names=out.names)
 
     return per_block.select("lo", "at", "levels", "bitmaps", "ranks").mapInArrow(run, out)
-
-
-def _schema(kind: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(kind)
-
-
