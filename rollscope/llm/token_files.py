@@ -12,6 +12,7 @@ separate documents; null ids come first; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -108,8 +109,9 @@ def word_pieces(text: bytes) -> list[bytes]:
     return low.split()
 
 
+@functools.cache
 def word_encoder(tokenizer_path: str, limit: int = 600_000) -> WordTable:
-    """Word table over a tokenizers file: each distinct word is encoded once per task."""
+    """Word table over a tokenizers file. A worker process keeps it for all its tasks: each distinct word is encoded once."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
