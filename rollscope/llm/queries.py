@@ -107,3 +107,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.quality_rules import quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, tokenizer("piece_bpe_32k.model"))
