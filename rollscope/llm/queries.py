@@ -115,3 +115,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, tokenizer("piece_bpe_32k.model"))
+
+
+@query("op2_quality_model")
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.quality_model import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
