@@ -129,3 +129,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollscope.llm.language_id import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
