@@ -137,3 +137,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(table(spark, sf_dir, "documents"), keep_first=False, with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.pii import KINDS, joined_spans, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        joined_spans(F.concat("base", "added")).alias("spans"))
