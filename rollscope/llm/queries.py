@@ -146,3 +146,33 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         joined_spans(F.concat("base", "added")).alias("spans"))
+
+
+def _op9_sql() -> str:
+    from rollscope.llm.line_dedup import BLOCKS, ENTITIES, HIDDEN, HOST, LEAST_PAGES, SHARE, TAGS
+
+    text = "coalesce(html, '')"
+    for pattern, by in ((HIDDEN, "''"), (BLOCKS, "chr(10)"), (TAGS, "''")):
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    for name, by in ENTITIES:
+        text = f"replace({text}, '{name}', '{by}')"
+    return rf"""
+with cut as (select row_number() over () as r, page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') as host,
+             list_filter(list_transform(regexp_split_to_array({text}, '[\n\r]'),
+                 lambda x: trim(regexp_replace(x, '[ \t\x0b\f]+', ' ', 'g'))), lambda x: x <> '') as lines from pages),
+totals as (select host, count(*) as pages from cut where host is not null group by 1 having count(*) >= {LEAST_PAGES}),
+counts as (select host, line, count(*) as n from (select host, unnest(list_distinct(lines)) as line from cut) group by 1, 2),
+gone as (select host, list(line) as dropped from counts join totals using (host) where n > {SHARE}::double * pages group by 1),
+kept as (select c.*, case when g.dropped is null then lines
+                     else list_filter(lines, lambda x: not list_contains(g.dropped, x)) end as left_lines
+         from cut c left join gone g on c.host = g.host)
+select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(left_lines))::bigint as n_dropped,
+       coalesce(array_to_string(left_lines, chr(10)), '') as text from kept
+"""
+
+
+@query("op9_line_dedup", _op9_sql())
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.line_dedup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "pages"))
