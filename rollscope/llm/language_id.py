@@ -84,13 +84,19 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
                        F.col(f"`{lang}`").alias("lang"), (F.lit(True) if where is None else where).alias("may"))
     rows = rows.filter(F.col("may") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    langs = rows.agg(F.count_distinct("lang")).first()[0]
-    if not langs:
+    # A language needs at least one row of the sample, so at most `sample_rows` languages, the largest, are learnt.
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()
+    if not sizes:
         return None
-    # The filter on the rank lets every task keep only this many rows of a language before the shuffle.
-    each = max(1, min(1000, sample_rows // langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= each).select("doc_id")
+    each = max(1, min(1000, sample_rows // len(sizes)))
+    # Rows of a language in hashed order: those behind four times the wanted share can't be among the first, so the
+    # ranking below sees a bounded number of rows of any language.
+    span = float(1 << 64)
+    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (4 * each + 100) / r["count"])))]), F.col("lang"))
+    early = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).filter(
+        F.col("h").cast("double") <= share * F.lit(span) - F.lit(span / 2))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = early.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= each).select("doc_id")
     # At most `sample_rows` ids are broadcast, and as many rows of fixed length reach the driver.
     chosen = rows.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")
     field = T.StructType([T.StructField("counts", T.BinaryType())])
