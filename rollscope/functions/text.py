@@ -283,23 +283,32 @@ def yes_no_score(content: Column, solution: Column) -> Column:
     return (yes_no(content) == yes_no(solution)).cast("double")
 
 
-# LaTeX rewrites applied in order (pattern, replacement).
-LATEX_DROPS = ("\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$")
-LATEX_BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}])*+\})*+\})*+)\}"
-
-
 def last_boxed(text: Column) -> Column:
-    """Content of the last boxed answer, up to three levels of braces; null when there is none."""
-    found = F.regexp_extract_all(text, F.lit(LATEX_BOXED), 1)
+    """Content of the last closed boxed answer, braces of any depth; null when there is none."""
+    opened = F.split(F.coalesce(text, F.lit("")), r"\\boxed\{")
+
+    def closed(rest: Column) -> Column:
+        # Pieces between braces and the braces themselves; the content ends where the depth falls below zero.
+        zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+        walk = F.aggregate(F.regexp_extract_all(rest, F.lit(r"[{}]|[^{}]++"), F.lit(0)), zero, lambda a, p: F.when(
+            a["depth"] < 0, a).otherwise(let(a["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0), lambda d: F.struct(
+                d.alias("depth"), F.when(d < 0, a["out"]).otherwise(F.concat(a["out"], p)).alias("out")))))
+        return F.when(walk["depth"] < 0, walk["out"])
+
+    parts = F.transform(F.slice(opened, 2, F.greatest(F.size(opened) - 1, F.lit(0))), closed)
+    found = F.filter(parts, lambda p: p.isNotNull())
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
+# LaTeX rewrites applied in order (old, new).
+LATEX_REWRITES = (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
+                  ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""))
+
+
 def latex_normalize(text: Column) -> Column:
     """Canonical form of a LaTeX answer: spacing, units, fractions and roots written one way."""
     t = F.coalesce(text, F.lit(""))
-    t = F.replace(F.replace(t, F.lit("\n"), F.lit("")), F.lit("\\!"), F.lit(""))
-    t = F.replace(t, F.lit("\\\\"), F.lit("\\"))
-    for old, new in (("tfrac", "frac"), ("dfrac", "frac"), *[(d, "") for d in LATEX_DROPS[2:]]):
+    for old, new in LATEX_REWRITES:
         t = F.replace(t, F.lit(old), F.lit(new))
     # Units follow as a text group; several such groups leave the answer as it is.
     unit = F.lit("\\text{ ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,30 +97,33 @@ def model_benchmark_grid(models: DataFrame, cells: DataFrame, model: str, benchm
 
 
 def benchmark_average(grid: DataFrame, model: str, benchmark: str, required: Sequence[str],
-                      protocols: DataFrame | None = None) -> DataFrame:
-    """Scores per model as columns plus their mean, given only if every cell and one protocol is present."""
+                      protocols: DataFrame) -> DataFrame:
+    """Scores per model as columns plus their mean, given only if every cell is present and all models share one protocol.
+
+    `protocols` has (model, signature) rows; a model without a signature makes the runs incomparable.
+    """
     wide = grid.groupBy(model).pivot(benchmark, list(required)).agg(F.first("score"))
     full = F.lit(True)
     for b in required:
         full = full & F.col(b).isNotNull()
     complete = grid.agg(F.bool_and(F.col("score").isNotNull())).scalar()
-    comparable = F.lit(True)
-    if protocols is not None:
-        comparable = protocols.agg(
-            (F.count_distinct("signature") == 1) & (F.count("signature") == F.count(F.lit(1)))).scalar()
+    signed = grid.select(model).distinct().join(
+        protocols.groupBy(model).agg(F.min("signature").alias("lo"), F.max("signature").alias("hi"),
+                                     F.bool_and(F.col("signature").isNotNull()).alias("all")), model, "left")
+    comparable = signed.agg((F.min("lo") == F.max("hi")) & F.bool_and(F.coalesce(F.col("all"), F.lit(False)))).scalar()
     mean = sum((F.col(b) for b in required), F.lit(0.0)) / len(required)
-    return wide.withColumn("average", F.when(complete & comparable & full, mean))
+    return wide.withColumn("average", F.when(complete & F.coalesce(comparable, F.lit(False)) & full, mean))
 
 
-def protocol_signature(settings: Sequence[Column]) -> Column:
-    """Digest of the canonical JSON of the settings that make runs comparable."""
-    return F.sha2(F.to_json(F.struct(*settings)), 256)
+def protocol_signature(settings: Mapping[str, Column]) -> Column:
+    """Digest of the canonical JSON of the settings that make runs comparable; `settings` maps names to values."""
+    return F.sha2(F.to_json(F.struct(*[settings[k].alias(k) for k in sorted(settings)])), 256)
 
 
 def dataset_fingerprint(records: DataFrame) -> DataFrame:
     """Order-free fingerprint of a record set: summed digest limbs, so it folds without collecting rows."""
     digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(records.columns)]), {"ignoreNullFields": "false"}), 256)
-    limbs = records.select(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"l{i}")
+    limbs = records.select(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)").alias(f"l{i}")
                              for i in range(8)])
     sums = limbs.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"l{i}").alias(f"l{i}") for i in range(8)])
     return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[

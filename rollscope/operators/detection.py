@@ -23,6 +23,12 @@ def top_detections(dets: DataFrame, keys: Sequence[str], n: int, score: str = "s
     return skew.top_per_key(dets, keys, [F.col(score).desc(), F.col(order).asc()], n, rank="det_rank")
 
 
+def _gold_area(gold: DataFrame) -> Column:
+    """Area of an annotation: its own where given, else that of its box."""
+    box = F.col("box")[2] * F.col("box")[3]
+    return F.coalesce(F.col("area"), box) if "area" in gold.columns else box
+
+
 def _in_area(area: Column, name: str) -> Column:
     lo, hi = AREAS[name]
     return (area >= lo) & (area <= hi)
@@ -32,7 +38,8 @@ def coco_match(dets: DataFrame, gold: DataFrame, keys: Sequence[str], thresholds
                areas: Sequence[str] = tuple(AREAS), max_dets: int = 100) -> DataFrame:
     """Detections by score each take their best free gold box, per area range and overlap threshold.
 
-    dets: keys, det_id, score, box [x, y, w, h]; gold: keys, gold_id, box, iscrowd.
+    dets: keys, det_id, score, box [x, y, w, h]; gold: keys, gold_id, box, iscrowd and, if known, the annotation's
+    own area (of its mask), which decides its area range; overlaps always use the boxes.
     At most max_dets detections of a key are scored, so a detection can lose at most max_dets - 1
     boxes to others: its best max_dets boxes per (area membership, crowd) class decide the result
     exactly, however many gold boxes the key has.
@@ -40,13 +47,13 @@ def coco_match(dets: DataFrame, gold: DataFrame, keys: Sequence[str], thresholds
     keys = list(keys)
     top = top_detections(dets, keys, max_dets).withColumn("det_area", F.col("box")[2] * F.col("box")[3])
     member = F.concat(*[_in_area(F.col("gold_area"), a).cast("int").cast("string") for a in areas])
-    g = gold.select(*keys, "gold_id", "iscrowd", F.col("box").alias("gbox"),
-                    (F.col("box")[2] * F.col("box")[3]).alias("gold_area")).withColumn("klass", member)
+    g = gold.select(*keys, "gold_id", "iscrowd", F.col("box").alias("gbox"), _gold_area(gold).alias("gold_area")).withColumn(
+        "klass", member)
     d, o = F.col("box"), F.col("gbox")
     w = F.greatest(F.lit(0.0), F.least(d[0] + d[2], o[0] + o[2]) - F.greatest(d[0], o[0]))
     h = F.greatest(F.lit(0.0), F.least(d[1] + d[3], o[1] + o[3]) - F.greatest(d[1], o[1]))
     inter = w * h
-    union = F.when(F.col("iscrowd"), F.col("det_area")).otherwise(F.col("det_area") + F.col("gold_area") - inter)
+    union = F.when(F.col("iscrowd"), F.col("det_area")).otherwise(F.col("det_area") + o[2] * o[3] - inter)
     pairs = top.select(*keys, "det_id", "box", "det_area").join(g, keys).select(
         *keys, "det_id", "gold_id", "iscrowd", "klass", F.when(union > 0, inter / union).otherwise(F.lit(0.0)).alias("iou"))
     pairs = pairs.filter(F.col("iou") >= min(thresholds))
@@ -89,7 +96,7 @@ def coco_match(dets: DataFrame, gold: DataFrame, keys: Sequence[str], thresholds
 
 def gold_counts(gold: DataFrame, keys: Sequence[str], areas: Sequence[str] = tuple(AREAS)) -> DataFrame:
     """Countable gold boxes per key and area range."""
-    area = F.col("box")[2] * F.col("box")[3]
+    area = _gold_area(gold)
     counts = gold.groupBy(*keys).agg(*[F.count_if(~F.col("iscrowd") & _in_area(area, a)).alias(a) for a in areas])
     return counts.select(*keys, F.inline(F.array(*[F.struct(F.lit(a).alias("area"), F.col(a).alias("positives"))
                                                    for a in areas])))
@@ -181,8 +188,11 @@ def detection_composite(match: Column, n_gold: Column, n_pred: Column) -> Column
     return (F.when(n_gold == 0, (n_pred == 0).cast("double")).when(n_pred == 0, F.lit(0.0)).otherwise(score))
 
 
-def record_map(dets: DataFrame, gold: DataFrame, record: str, label: str) -> DataFrame:
-    """mAP over thresholds and at 0.5 per record, all scores equal; one-sided records are 0."""
+def record_map(dets: DataFrame, gold: DataFrame, record: str, label: str, records: DataFrame | None = None) -> DataFrame:
+    """mAP over thresholds, at 0.5, and mAP with the length penalty per record, all scores equal.
+
+    A record with boxes on one side only is 0. `records` names further records; one without any box is 1.
+    """
     keys = [record, label]
     known = dets.join(gold.select(*keys).distinct(), keys, "left_semi")
     matches = coco_match(known, gold, keys, areas=("all",))
@@ -190,10 +200,21 @@ def record_map(dets: DataFrame, gold: DataFrame, record: str, label: str) -> Dat
     ap = average_precision(matches, positives, [*keys, "area", "thr"], [F.col("score").desc(), F.col("det_rank").asc()])
     cells = positives.filter("positives > 0").select(*keys, F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("thr"))
     full = cells.join(ap.drop("area"), [*keys, "thr"], "left").fillna(0.0, ["ap"])
-    return full.groupBy(record).agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("map50"))
+    scored = full.groupBy(record).agg(F.avg("ap").alias("map"), F.avg(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("map50"))
+    sides = gold.select(record, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(
+        dets.select(record, F.lit(0).alias("g"), F.lit(1).alias("p")))
+    if records is not None:
+        sides = sides.unionByName(records.select(record, F.lit(0).alias("g"), F.lit(0).alias("p")))
+    sizes = sides.groupBy(record).agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"))
+    out = sizes.join(scored, record, "left")
+    none = (F.col("n_gold") == 0) & (F.col("n_pred") == 0)
+    whole = lambda c: F.when(none, F.lit(1.0)).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
+    return out.select(record, whole("map").alias("map"), whole("map50").alias("map50"),
+                      (whole("map") * length_penalty(F.col("n_gold"), F.col("n_pred"))).alias("map_length"))
 
 
 def length_penalty(n_gold: Column, n_pred: Column) -> Column:
+    """Records with more predicted than gold boxes pay in proportion."""
     return F.when(n_gold >= n_pred, F.lit(1.0)).otherwise(n_gold / n_pred)
 
 

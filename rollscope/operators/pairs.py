@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscope.operators.skew import with_group_stats
+from rollscope.operators.skew import null_safe_join, with_group_stats
 from rollscope.session import cut_lineage
 
 TILE = 64
@@ -35,7 +35,7 @@ def fold_siblings(df: DataFrame, keys: Sequence[str], row_id: str, payload: Sequ
                           F.col("__me"))
     packed = members.groupBy(*keys, "__tile").agg(F.collect_list("__me").alias("__members"))
     probes = base.select(*keys, "__me", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"))
-    met = probes.join(packed, [*keys, "__tile"])
+    met = null_safe_join(probes, packed, [*keys, "__tile"])
     def total(fn: Callable[[Column, Column], Column]) -> Column:
         return F.aggregate("__members", F.lit(0.0), lambda acc, m: acc + fn(F.col("__me"), m))
 

@@ -13,23 +13,33 @@ from pyspark.sql import functions as F
 
 from rollscope.session import cut_lineage
 
-# A key above this many rows is split into ceil(rows / ROWS_PER_SPLIT) sub-keys. At most
-# total_rows / ROWS_PER_SPLIT keys can be that large, which bounds the broadcast list of hot keys.
+# A key above this many rows is split into ceil(rows / ROWS_PER_SPLIT) sub-keys. A parameter of every helper that
+# joins per-key values back; the result does not depend on it.
 ROWS_PER_SPLIT = 4_000_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from the left side, once."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def attach_stats(
     df: DataFrame, stats: DataFrame, keys: Sequence[str], size_col: str = "__n",
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """Left-join one stats row per key back to the rows, splitting keys with many rows.
+    """Left-join one stats row per key back to the rows, splitting keys with many rows; null is a key like any other.
 
-    `stats` has one row per key and `size_col` = number of rows of that key in `df`.
+    `stats` has one row per key and `size_col` = number of rows of that key in `df`. The list of keys above
+    `rows_per_split` is joined as its measured size allows, never forced into memory.
     """
     keys = list(keys)
     splits = F.ceil(F.col(size_col) / F.lit(rows_per_split)).cast("int")
     hot = stats.filter(F.col(size_col) > rows_per_split).select(*keys, splits.alias("__splits"))
-    rows = df.join(F.broadcast(hot), keys, "left").withColumn(
+    rows = null_safe_join(df, hot, keys, "left").withColumn(
         "__salt",
         F.when(F.col("__splits").isNull(), F.lit(0)).otherwise(
             F.pmod(F.monotonically_increasing_id(), F.col("__splits")).cast("int")),
@@ -37,7 +47,7 @@ def attach_stats(
     spread = stats.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.greatest(splits, F.lit(1)) - 1))
     ).drop(size_col)
-    return rows.join(spread, [*keys, "__salt"], "left").drop("__salt")
+    return null_safe_join(rows, spread, [*keys, "__salt"], "left").drop("__salt")
 
 
 def with_group_stats(
@@ -50,10 +60,21 @@ def with_group_stats(
     return attach_stats(df, stats, keys, "__n", rows_per_split)
 
 
+# A rank filter of at most this many rows is applied by every task before the shuffle.
+RANK_BEFORE_SHUFFLE = 1000
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                 rank: str | None = None) -> DataFrame:
-    """First n rows per key. The rank filter lets Spark cut each task to n rows per key before the shuffle."""
-    out = df.withColumn("__rk", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """First n rows per key.
+
+    Small n: every task cuts to n rows per key before the shuffle. Larger n: positions come from range-partitioned
+    blocks, so a key with a large share of all rows is spread over many tasks. `order` decides ties for both.
+    """
+    if n <= RANK_BEFORE_SHUFFLE:
+        out = df.withColumn("__rk", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        out = number_rows_by_key(df, keys, order, "__rk")
     out = out.filter(F.col("__rk") <= n)
     return out.withColumnRenamed("__rk", rank) if rank else out.drop("__rk")
 
@@ -111,26 +132,25 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     src = df.select("*", *[c.alias(f"__s_{n}") for n, c in sums.items()],
                     *[c.alias(f"__m_{n}") for n, c in suffix_max.items()])
     rows = _sorted_blocks(src, [*[F.col(k).asc_nulls_first() for k in keys], *order])
-    block = Window.partitionBy("__blk", *keys).orderBy("__pos")
-    head = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = block.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    block = Window.partitionBy("__blk", *keys)
+    head = block.orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Seen from the end a suffix maximum is a running maximum, which costs one step per row.
+    tail = block.orderBy(F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = rows.select(
         "*", *[F.sum(f"__s_{n}").over(head).alias(f"__rs_{n}") for n in sums],
         *[F.max(f"__m_{n}").over(tail).alias(f"__rm_{n}") for n in suffix_max])
     totals = rows.groupBy("__blk", *keys).agg(
         *[F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums],
         *[F.max(f"__m_{n}").alias(f"__x_{n}") for n in suffix_max])
-    over = Window.partitionBy(*keys).orderBy("__blk")
+    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.col("__blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         F.col("__blk"), *keys,
-        *[F.coalesce(F.sum(f"__t_{n}").over(over.rowsBetween(Window.unboundedPreceding, -1)),
-                     F.lit(0)).alias(f"__c_{n}") for n in sums],
-        *[F.max(f"__x_{n}").over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"__d_{n}")
-          for n in suffix_max])
-    joined = part.join(carry, ["__blk", *keys])
-    out = joined.select(
+        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
+        *[F.max(f"__x_{n}").over(behind).alias(f"__d_{n}") for n in suffix_max])
+    joined = null_safe_join(part, carry, ["__blk", *keys])
+    return joined.select(
         *df.columns,
         *[(F.col(f"__rs_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums],
         *[F.greatest(F.col(f"__rm_{n}"), F.coalesce(F.col(f"__d_{n}"), F.col(f"__rm_{n}"))).alias(n)
           for n in suffix_max])
-    return out

@@ -94,28 +94,30 @@ AVG_CELLS = "select l_suppkey % 5 as model, case l_partkey % 3 when 0 then 'MMVP
 
 @register("benchmark_average", f"""
 with c as ({AVG_CELLS}) select model, round(max(case when benchmark = 'MMVP' then score end), 6) as mmvp, round(avg(score), 6) as average, false as withheld from c group by 1
-union all select model + 100, null, null, true from c group by 1""")
+union all select model + 100, null, null, true from c group by 1
+union all select model + 200, null, null, true from c group by 1""")
 def benchmark_average(spark, sf):
     li = view(spark, sf, "lineitem")
     c = li.groupBy((F.col("l_suppkey") % 5).alias("model"), F.expr(
         "case l_partkey % 3 when 0 then 'MMVP' when 1 then 'MMStar' else 'BLINK' end").alias("benchmark")).agg(
         (F.avg("l_discount") * 1000).alias("score"))
-    same = c.select("model").distinct().withColumn("signature", checks.protocol_signature([F.lit("v1").alias("judge")]))
+    same = c.select("model").distinct().withColumn("signature", checks.protocol_signature({"judge": F.lit("v1")}))
     mixed = same.withColumn("signature", F.concat("signature", F.col("model").cast("string")))
     three = ["MMVP", "MMStar", "BLINK"]
     good = checks.benchmark_average(c, "model", "benchmark", three, same)
     bad = checks.benchmark_average(c, "model", "benchmark", three, mixed)
+    unsigned = checks.benchmark_average(c, "model", "benchmark", three, same.filter("model <> 4"))
     show = lambda df, shift, held: df.select(
         (F.col("model") + shift).alias("model"), (F.round("MMVP", 6) if not held else F.lit(None).cast("double")).alias("mmvp"),
         F.round("average", 6).alias("average"), F.col("average").isNull().alias("withheld"))
-    return show(good, 0, False).unionByName(show(bad, 100, True))
+    return show(good, 0, False).unionByName(show(bad, 100, True)).unionByName(show(unsigned, 200, True))
 
 
 @register("protocol_signature", """
 select user_id, sha256('{"judge":"' || event_type || '","props":"' || replace(props, '"', '\\"') || '","use_fast":' || case when value > 100 then 'true' else 'false' end || '}') as signature from events""")
 def protocol_signature(spark, sf):
-    return view(spark, sf, "events").select("user_id", checks.protocol_signature([
-        F.col("event_type").alias("judge"), F.col("props"), (F.col("value") > 100).alias("use_fast")]).alias("signature"))
+    return view(spark, sf, "events").select("user_id", checks.protocol_signature({
+        "use_fast": F.col("value") > 100, "judge": F.col("event_type"), "props": F.col("props")}).alias("signature"))
 
 
 @register("dataset_fingerprint", """

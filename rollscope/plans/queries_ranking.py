@@ -173,28 +173,111 @@ def det_boxes(spark, sf):
 def gold_boxes(spark, sf):
     return view(spark, sf, "embeddings").selectExpr(
         "vec_id as gold_id", "vec_id % 10 as image_id", "cast(label as bigint) as category", "vec_id % 23 = 0 as iscrowd",
+        "if(vec_id % 4 = 0, null, double(vec_id * 13 % 12000)) as area",
         "array(double(vec_id * 7 % 200), double(vec_id * 3 % 150 + vec_id % 4), double(20 + vec_id * 11 % 120), "
         "double(20 + vec_id * 5 % 110)) as box")
 
 
-@register("coco_match")
+BOX_SQL = """
+d0 as (select vec_id as det_id, vec_id % 10 as image_id, cast(label as bigint) as category, (vec_id * 37 % 101) / 100.0e0 as score,
+ (vec_id * 7 % 200 + vec_id % 5)::double x, (vec_id * 3 % 150)::double y, (20 + vec_id * 11 % 120)::double w, (20 + vec_id * 5 % 110)::double h from embeddings),
+g0 as (select vec_id as gold_id, vec_id % 10 as image_id, cast(label as bigint) as category, vec_id % 23 = 0 as iscrowd,
+ (vec_id * 7 % 200)::double x, (vec_id * 3 % 150 + vec_id % 4)::double y, (20 + vec_id * 11 % 120)::double w, (20 + vec_id * 5 % 110)::double h,
+ case when vec_id % 4 = 0 then null else (vec_id * 13 % 12000)::double end as own_area from embeddings)
+"""
+AREA_ROWS = "(values " + ", ".join(f"('{a}', {lo}::double, {hi}::double)" for a, (lo, hi) in detection.AREAS.items()) + ") ar(area, lo, hi)"
+THR_ROWS = "(values " + ", ".join(f"({t}::double)" for t in detection.THRESHOLDS) + ") th(thr)"
+
+
+def match_sql(det: str, gold: str, key: str, areas: str) -> str:
+    """Detections of a key one after the other, each taking its best free box: `walk` of a recursive query."""
+    same = " and ".join(f"{{0}}.{k} = {{1}}.{k}" for k in key.split(", "))
+    on = lambda x, y: same.format(x, y)
+    cols = lambda t: ", ".join(f"{t}.{k}" for k in key.split(", "))
+    inter = "greatest(0.0, least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x)) * greatest(0.0, least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y))"
+    return f"""
+rk as (select *, row_number() over (partition by {key} order by score desc, det_id) as r from {det} qualify r <= 100),
+pr as (select d.det_id, g.gold_id, g.iscrowd, coalesce(g.own_area, g.w * g.h) as garea, {inter} as i,
+ case when g.iscrowd then d.w * d.h else d.w * d.h + g.w * g.h - {inter} end as u from rk d join {gold} g on {on('d', 'g')}),
+cd as (select det_id, area, list(struct_pack(counts := not iscrowd and garea between lo and hi, iou := i / u, gold_id := gold_id, crowd := iscrowd)
+ order by not iscrowd and garea between lo and hi desc, i / u desc, gold_id desc) as cands from pr, {areas} where u > 0 and i / u >= 0.5 group by 1, 2),
+st as (select rk.*, area, lo, hi, thr, coalesce(cands, []) as cands from rk cross join {areas} cross join {THR_ROWS} left join cd using (det_id, area)),
+walk as (select {cols('k')}, area, lo, hi, thr, 0::bigint as r, null::bigint as det_id, null::double as score, []::bigint[] as used, false as matched, false as ignored
+  from (select distinct {key} from rk) k cross join {areas} cross join {THR_ROWS}
+ union all
+ select {cols('f')}, area, lo, hi, thr, r, det_id, score, case when best is null then used else list_append(used, best.gold_id) end,
+  best is not null, case when best is null then size < lo or size > hi else not best.counts end
+ from (select {cols('w')}, w.area, w.lo, w.hi, w.thr, s.r, s.det_id, s.score, s.w * s.h as size, w.used, list_filter(s.cands,
+   lambda c: c.iou >= least(w.thr, 1 - 1e-10) and (c.crowd or not list_contains(w.used, c.gold_id)))[1] as best
+  from walk w join st s on {on('w', 's')} and w.area = s.area and w.thr = s.thr and s.r = w.r + 1) f)
+"""
+
+
+def ap_sql(source: str, positives: str, keys: str) -> str:
+    """AP on 101 recall points and final recall: `ap` over scored rows of `source`, with `positives(keys, positives)`."""
+    return f"""
+ct as (select *, sum(matched::int) over o as tp, sum((not matched)::int) over o as fp from {source} where not ignored
+ window o as (partition by {keys} order by score desc, image_id, r rows unbounded preceding)),
+cv as (select ct.*, tp / positives as rc, tp / (tp + fp) as p from ct join {positives} using (POSKEYS) where positives > 0),
+ce as (select {keys}, floor(rc * 100 + 1e-9) as g, max(p) as p, max(rc) as rc from cv group by all),
+gp as (select {keys}, n.g, coalesce(max(p) filter (where ce.g >= n.g), 0) as p, max(rc) as rc from ce cross join range(0, 101) n(g) group by all),
+ap as (select {keys}, sum(p) / 101 as ap, max(rc) as recall from gp group by all)
+"""
+
+
+MATCH_SQL = "with recursive " + BOX_SQL.strip() + ", " + match_sql("d0", "g0", "image_id, category", AREA_ROWS).strip()
+
+
+@register("coco_match", MATCH_SQL + " select image_id, category, area, thr, det_id, matched, ignored from walk where r > 0")
 def coco_match(spark, sf):
     m = detection.coco_match(det_boxes(spark, sf), gold_boxes(spark, sf), ["image_id", "category"])
     return m.select("image_id", "category", "area", "thr", "det_id", "matched", "ignored")
 
 
-@register("coco_ap_ar")
+def _summary_sql() -> str:
+    top, whole = "max_dets = 100", "area = 'all'"
+    cells = [("AP", "ap", f"{top} and {whole}"), ("AP50", "ap", f"{top} and {whole} and thr = 0.5"), ("AP75", "ap", f"{top} and {whole} and thr = 0.75")]
+    cells += [(f"AP_{a}", "ap", f"{top} and area = '{a}'") for a in ("small", "medium", "large")]
+    cells += [(f"AR{m}", "recall", f"max_dets = {m} and {whole}") for m in detection.MAX_DETS]
+    cells += [(f"AR_{a}", "recall", f"{top} and area = '{a}'") for a in ("small", "medium", "large")]
+    return " union all ".join(f"select '{n}' as metric, round(coalesce(avg({c}) filter (where {w}), -1), 9) as value from fl" for n, c, w in cells)
+
+
+@register("coco_ap_ar", MATCH_SQL + ", tg as (select w.*, md as max_dets from walk w cross join (values (1), (10), (100)) v(md) "
+          "where r > 0 and r <= md and (md = 100 or area = 'all')), "
+          f"ps as (select category, area, count(*) filter (where not iscrowd and coalesce(own_area, w * h) between lo and hi) as positives from g0 cross join {AREA_ROWS} group by 1, 2), "
+          + ap_sql("tg", "ps", "category, area, thr, max_dets").replace("POSKEYS", "category, area").strip()
+          + f""", fl as (select category, area, thr, max_dets, coalesce(ap, 0) as ap, coalesce(recall, 0) as recall from ps cross join {THR_ROWS} cross join (values (1), (10), (100)) v(max_dets)
+ left join ap using (category, area, thr, max_dets) where positives > 0 and (max_dets = 100 or area = 'all')) """ + _summary_sql())
 def coco_ap_ar(spark, sf):
     gold = gold_boxes(spark, sf)
     m = detection.coco_match(det_boxes(spark, sf), gold, ["image_id", "category"])
     return detection.coco_summary(m, gold).select("metric", r9("value"))
 
 
-@register("record_map")
+# Records 0-39: some have boxes on one side only, 40-41 have none.
+RECORD_SQL = BOX_SQL.strip() + """,
+rd as (select * exclude (image_id, score), 0 as image_id, 1.0::double as score, det_id % 40 as record_id from d0 where det_id % 40 <> 3),
+rg as (select * exclude (image_id, iscrowd, own_area), false as iscrowd, w * h as own_area, gold_id % 40 as record_id from g0 where gold_id % 40 not in (5, 6)),
+rw as (select * from rd where exists (select 1 from rg where rg.record_id = rd.record_id and rg.category = rd.category))
+"""
+
+
+@register("record_map", "with recursive " + RECORD_SQL.strip() + ", " + match_sql("rw", "rg", "record_id, category", "(values ('all', 0::double, 1e10::double)) ar(area, lo, hi)").strip()
+          + ", wi as (select *, 0 as image_id from walk where r > 0), ps as (select record_id, category, count(*) as positives from rg group by 1, 2), "
+          + ap_sql("wi", "ps", "record_id, category, thr").replace("POSKEYS", "record_id, category").strip()
+          + f""", fl as (select record_id, thr, coalesce(ap, 0) as ap from ps cross join {THR_ROWS} left join ap using (record_id, category, thr)),
+sc as (select record_id, avg(ap) as map, avg(ap) filter (where thr = 0.5) as map50 from fl group by 1),
+sz as (select record_id, sum(g) as g, sum(p) as p from (select record_id, 1 as g, 0 as p from rg union all select record_id, 0, 1 from rd
+ union all select unnest(range(0, 42)), 0, 0) group by 1)
+select record_id, round(case when g = 0 and p = 0 then 1 else coalesce(map, 0) end, 9) as map, round(case when g = 0 and p = 0 then 1 else coalesce(map50, 0) end, 9) as map50,
+ round(case when g = 0 and p = 0 then 1 else coalesce(map, 0) end * case when g >= p then 1 else g / p end, 9) as map_length from sz left join sc using (record_id)""")
 def record_map(spark, sf):
-    d = det_boxes(spark, sf).withColumn("score", F.lit(1.0)).withColumn("record_id", F.col("det_id") % 40)
-    g = gold_boxes(spark, sf).withColumn("record_id", F.col("gold_id") % 40).withColumn("iscrowd", F.lit(False))
-    return detection.record_map(d, g, "record_id", "category").select("record_id", r9("map"), r9("map50"))
+    d = det_boxes(spark, sf).withColumn("score", F.lit(1.0)).withColumn("record_id", F.col("det_id") % 40).filter("record_id <> 3")
+    g = gold_boxes(spark, sf).drop("area").withColumn("record_id", F.col("gold_id") % 40).withColumn("iscrowd", F.lit(False)).filter(
+        "record_id not in (5, 6)")
+    out = detection.record_map(d, g, "record_id", "category", spark.range(42).withColumnRenamed("id", "record_id"))
+    return out.select("record_id", r9("map"), r9("map50"), r9("map_length"))
 
 
 LABELLED = ("vec_id", "array(named_struct('bbox_2d', array(double(vec_id % 90), 10D, double(vec_id % 90 + 50), 60D), 'label', string(label)), "

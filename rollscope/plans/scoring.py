@@ -16,6 +16,7 @@ from rollscope.functions import text as T
 from rollscope.operators import gates, ranking
 from rollscope.operators.pairs import mean_sibling_evidence, mean_sibling_jaccard
 from rollscope.operators.stats import group_agreement
+from rollscope.operators.skew import null_safe_join
 from rollscope.session import cut_lineage
 
 
@@ -118,5 +119,9 @@ def group_consistency(rollouts: DataFrame, answer: float = 0.4, evidence: float
     ev = mean_sibling_evidence(src, ["task_id"], "gen_index", "keys")
     rs = mean_sibling_jaccard(src, ["task_id"], "gen_index", "toks")
     out = same.join(ev, ["task_id", "gen_index"]).join(rs, ["task_id", "gen_index"])
-    total = answer * F.col("same_share") + evidence * F.col("evidence") + reasoning * F.col("mean_jaccard")
+    # A group of one has nothing to disagree with.
+    sizes = src.groupBy("task_id").agg(F.count(F.lit(1)).alias("members"))
+    out = null_safe_join(out, sizes, ["task_id"])
+    total = F.when(F.col("members") == 1, F.lit(1.0)).otherwise(
+        answer * F.col("same_share") + evidence * F.col("evidence") + reasoning * F.col("mean_jaccard"))
     return out.select("task_id", "gen_index", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)).alias("consistency"))

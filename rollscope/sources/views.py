@@ -6,17 +6,13 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollscope.functions.facts import COLORS, MATERIALS, SHAPES, SIZES
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Attribute domains of scene objects.
-COLORS = ("gray", "red", "blue", "green", "yellow", "purple", "brown", "cyan")
-SHAPES = ("cube", "sphere", "cylinder")
-SIZES = ("small", "large")
-MATERIALS = ("rubber", "metal")
-
 
 def pick(index: str, values: tuple[str, ...]) -> str:
     """SQL text choosing a word by a number."""
