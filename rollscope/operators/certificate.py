@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscope.functions import text as T
-from rollscope.operators.pairs import TILE, overlap
+from rollscope.operators.pairs import TILE
+from rollscope.operators.skew import null_safe_join
 
 
 def answer_certificate(scored: DataFrame, *, min_grounding: float = 0.2, min_facts: float = 1.0,
@@ -41,17 +42,19 @@ def verdict_merge(vectors: DataFrame, verdicts: DataFrame, key: str) -> DataFram
     return vectors.join(one, key, "left").withColumn("answer", lifted).drop("__ok")
 
 
-def step_coverage(reference: DataFrame, model: DataFrame, key: str, step: str, tokens: str) -> DataFrame:
-    """Mean over reference steps of their best model step.
+def step_coverage(reference: DataFrame, model: DataFrame, key: str, step: str, text: str) -> DataFrame:
+    """Mean over reference steps of the similarity to their most similar model step; 0 for keys without model steps.
 
-    Model steps are packed in tiles; each reference step meets the tiles of its key and keeps a maximum.
+    Equal model steps are compared once. They are packed in tiles; each reference step meets the tiles of its key and
+    keeps a maximum.
     """
-    sized = model.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    distinct = model.select(key, text).distinct()
+    sized = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
-    spread = model.join(sized, key).withColumn("__tile", F.pmod(F.xxhash64(step), tiles).cast("int"))
-    packed = spread.groupBy(key, "__tile").agg(F.collect_list(tokens).alias("__m"))
-    probes = reference.join(sized, key).select(
-        key, step, F.col(tokens).alias("__r"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("__tile"))
-    best = F.array_max(F.transform("__m", lambda m: overlap(m, F.col("__r"))))
-    met = probes.join(packed, [key, "__tile"]).select(key, step, best.alias("b"))
+    spread = null_safe_join(distinct, sized, [key]).withColumn("__tile", F.pmod(F.xxhash64(text), tiles).cast("int"))
+    packed = spread.groupBy(key, "__tile").agg(F.collect_list(text).alias("__m"))
+    probes = null_safe_join(reference, sized, [key], "left").select(
+        key, step, F.col(text).alias("__r"), F.explode_outer(F.sequence(F.lit(0), tiles - 1)).alias("__tile"))
+    best = F.coalesce(F.array_max(F.transform("__m", lambda m: T.step_similarity(m, F.col("__r")))), F.lit(0.0))
+    met = null_safe_join(probes, packed, [key, "__tile"], "left").select(key, step, best.alias("b"))
     return met.groupBy(key, step).agg(F.max("b").alias("b")).groupBy(key).agg(F.avg("b").alias("coverage"))

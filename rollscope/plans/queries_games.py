@@ -12,10 +12,10 @@ from rollscope.sources.views import view, with_sql
 
 PLAYERS = 7
 VOTES_SQL = """
-with votes as (select game_id, voter, spy, case when voted = 0 then null else voted end as vote, voted = 0 and voter % 2 = 0 as na from v_votes),
-tally as (select game_id, max(spy) spy, count(*) cast_n, count(*) filter (where vote between 1 and 7) valid, count(*) filter (where na) nas,
+with votes as materialized (select game_id, voter, spy, case when voted = 0 then null else voted end as vote, voted = 0 and voter % 2 = 0 as na from v_votes),
+tally as materialized (select game_id, max(spy) spy, count(*) cast_n, count(*) filter (where vote between 1 and 7) valid, count(*) filter (where na) nas,
  count(*) filter (where vote is null and not na) invalid from votes group by game_id),
-rec as (select t.game_id, t.spy, t.cast_n, t.valid, t.nas, t.invalid, p.player, coalesce(v.c, 0) as got from tally t cross join (select unnest(range(1, 8)) as player) p
+rec as materialized (select t.game_id, t.spy, t.cast_n, t.valid, t.nas, t.invalid, p.player, coalesce(v.c, 0) as got from tally t cross join (select unnest(range(1, 8)) as player) p
  left join (select game_id, vote, count(*) c from votes where vote is not null group by 1, 2) v on v.game_id = t.game_id and v.vote = p.player)
 """
 

@@ -290,22 +290,33 @@ def group_consistency(spark, sf):
     return scoring.group_consistency(df).select("task_id", "gen_index", r9("consistency", 10))
 
 
-@register("step_coverage", """
-with c as (select conv_id, turn, trim(text) as t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) w from conversations where role = 'assistant'),
-r as (select conv_id, turn, trim(text) as t, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) w from conversations where role = 'user'),
-s as (select r.conv_id, r.turn, max(case when len(c.w) = 0 or len(r.w) = 0 then 0 else len(list_intersect(c.w, r.w)) / (len(c.w) + len(r.w) - len(list_intersect(c.w, r.w))) end) as best from r join c on r.conv_id = c.conv_id group by 1, 2)
-select conv_id, round(avg(best), 8) as coverage from s group by 1""")
+# Letters outside ASCII become one mark on both sides: the SQL engine's edit distance counts bytes.
+ASCII_TEXT = "regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g')"
+SIM_SQL = """
+0.5 * case when len({a}w) = 0 or len({b}w) = 0 then 0 else len(list_intersect({a}w, {b}w)) / (len({a}w) + len({b}w) - len(list_intersect({a}w, {b}w))) end
+ + 0.5 * case when greatest(length({a}s), length({b}s)) = 0 then 1 else 1 - levenshtein({a}s, {b}s) / greatest(length({a}s), length({b}s)) end"""
+STEP_SQL = "select *, " + SQ.format("t") + " as s, list_distinct(regexp_extract_all(lower(t), '[a-z0-9_]+')) as w from (select conv_id, turn, role, " + ASCII_TEXT + " as t from conversations)"
+
+
+def ascii_text(df):
+    return df.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "~"))
+
+
+@register("step_coverage", "with c as (" + STEP_SQL + "), m as (select r.conv_id, r.turn, max(case when c.conv_id is null then 0 else "
+          + SIM_SQL.format(a="c.", b="r.") + """ end) as best from c r left join c on r.conv_id = c.conv_id and c.role = 'assistant' where r.role = 'user' group by 1, 2)
+select conv_id, round(avg(best), 8) as coverage from m group by 1""")
 def step_coverage(spark, sf):
     from rollscope.operators.certificate import step_coverage as cover
 
-    conv = view(spark, sf, "conversations")
-    side = lambda r: conv.filter(F.col("role") == r).select("conv_id", "turn", T.tokens(F.col("text")).alias("toks"))
-    return cover(side("user"), side("assistant"), "conv_id", "turn", "toks").select("conv_id", r9("coverage", 8))
+    conv = ascii_text(view(spark, sf, "conversations"))
+    side = lambda r: conv.filter(F.col("role") == r).select("conv_id", "turn", "text")
+    return cover(side("user"), side("assistant"), "conv_id", "turn", "text").select("conv_id", r9("coverage", 8))
 
 
-@register("step_similarity")
+@register("step_similarity", "with c as (" + STEP_SQL + ") select a.conv_id, a.turn, round(" + SIM_SQL.format(a="a.", b="b.")
+          + ", 8) as similarity from c a join c b on a.conv_id = b.conv_id and b.turn = a.turn + 1")
 def step_similarity(spark, sf):
-    conv = view(spark, sf, "conversations").select("conv_id", "turn", "text")
+    conv = ascii_text(view(spark, sf, "conversations")).select("conv_id", "turn", "text")
     nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     return conv.join(nxt, ["conv_id", "turn"]).select(
         "conv_id", "turn", F.round(T.step_similarity(F.col("text"), F.col("next")), 8).alias("similarity"))

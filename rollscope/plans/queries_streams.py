@@ -84,7 +84,8 @@ def stream_breakdown(spark, sf):
 
 @register("stream_group_close", with_sql("v_rollouts", """
 with g as (select task_id || '-' || (row_number() over (partition by task_id order by gen_index) - 1) // 16 as group_id, reward_scalar from v_rollouts)
-select group_id, count(*) n, round(avg(reward_scalar), 9) mean_reward, round(stddev_samp(reward_scalar), 8) std_reward, max(reward_scalar) max_reward, 'complete' as status from g group by 1 having count(*) = 16"""))
+select group_id, count(*) n, round(avg(reward_scalar), 9) mean_reward, round(stddev_samp(reward_scalar), 8) std_reward, max(reward_scalar) max_reward,
+ case when count(*) = 16 then 'complete' else 'incomplete' end as status from g group by 1"""))
 def stream_group_close(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STATE_PROVIDER)
     r = view(spark, sf, "v_rollouts").select("task_id", "gen_index", "reward_scalar", F.col("ts").cast("timestamp").alias("ts"))
@@ -92,30 +93,43 @@ def stream_group_close(spark, sf):
     rows = numbered.select(F.concat(F.col("task_id").cast("string"), F.lit("-"), F.floor((F.col("rn") - 1) / 16).cast("string"))
                            .alias("group_id"), "reward_scalar", "ts")
     src, schema = landed(rows, spark, "close-in", 4)
-    closed = J.group_close(J.file_stream(spark, src, schema, "parquet", 2), 16, lateness="60 days", stale_ms=90 * 86_400_000)
-    out = scratch(spark, "close-out")
-    J.drain(J.stream_append(closed, out, scratch(spark, "close-ck")))
-    return spark.read.parquet(out).select("group_id", "n", r9("mean_reward"), r9("std_reward", 8), "max_reward", "status")
+    out, ck = scratch(spark, "close-out"), scratch(spark, "close-ck")
 
+    def drain() -> None:
+        closed = J.group_close(J.file_stream(spark, src, schema, "parquet", 2), 16, lateness="60 days", stale_ms=90 * 86_400_000)
+        J.drain(J.stream_append(closed, out, ck))
 
-@register("stream_role_ema", with_sql("v_votes", STRATEGIC_SQL + """
-, roles as (select game_id, max(case when is_spy then reward end) s, row_number() over (order by game_id) i from strat group by game_id)
-select a.game_id, round(0.1 * sum(b.s * pow(0.9, a.i - b.i)), 9) as b_spy, round(a.s - 0.1 * sum(b.s * pow(0.9, a.i - b.i)), 9) as spy_adjusted
-from roles a join roles b on b.i between a.i - 420 and a.i group by a.game_id, a.s"""))
+    drain()
+    # Time goes on: rows of a later season move the watermark, and its timers close the groups that lost rollouts.
+    later = rows.agg(F.max("ts").alias("ts")).select(
+        F.lit("later").alias("group_id"), F.lit(0.0).alias("reward_scalar"), (F.col("ts") + F.expr("interval 400 days")).alias("ts"))
+    for _ in range(2):
+        later.write.mode("append").parquet(src)
+        drain()
+    return spark.read.parquet(out).filter("group_id <> 'later'").select(
+        "group_id", "n", r9("mean_reward"), r9("std_reward", 8), "max_reward", "status")
+
+
+RUNS = 32
+
+
+@register("stream_role_ema", with_sql("v_votes", STRATEGIC_SQL + f"""
+, roles as (select game_id, game_id % {RUNS} as run_id, max(case when is_spy then reward end) s,
+ row_number() over (partition by game_id % {RUNS} order by game_id) i from strat group by game_id)
+select a.run_id, a.game_id, round(0.1 * sum(b.s * pow(0.9, a.i - b.i)), 8) as b_spy, round(a.s - 0.1 * sum(b.s * pow(0.9, a.i - b.i)), 8) as spy_adjusted
+from roles a join roles b on a.run_id = b.run_id and b.i between a.i - 420 and a.i group by a.run_id, a.game_id, a.s"""))
 def stream_role_ema(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STATE_PROVIDER)
     roles = games.game_roles(games.strategic_rewards(votes(spark, sf), PLAYERS)).select(
-        F.lit(0).cast("bigint").alias("run_id"), "game_id", "spy_reward")
-    numbered = skew.number_rows(roles, [F.col("game_id")], "rn")
-    half = F.ceil(numbered.agg(F.max("rn")).scalar() / 2)
-    parts = numbered.withColumn("part", F.when(F.col("rn") <= half, 0).otherwise(1)).drop("rn")
+        (F.col("game_id") % RUNS).alias("run_id"), "game_id", "spy_reward")
+    half = roles.agg(F.percentile_approx("game_id", 0.5)).first()[0]
     src, out, ck = scratch(spark, "ema-in"), scratch(spark, "ema-out"), scratch(spark, "ema-ck")
-    # Files arrive in game order over two runs; the baseline survives the restart in between.
-    for part in (0, 1):
-        parts.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(src)
-        rows = J.file_stream(spark, src, "run_id bigint, game_id bigint, spy_reward double", "parquet", 1)
+    # The games arrive in two lots; every run's baseline survives the restart in between.
+    for early in (True, False):
+        roles.filter((F.col("game_id") <= half) == F.lit(early)).write.mode("append").parquet(src)
+        rows = J.file_stream(spark, src, "run_id bigint, game_id bigint, spy_reward double", "parquet", 1000)
         J.drain(J.stream_append(J.role_baseline(rows), out, ck))
-    return spark.read.parquet(out).select("game_id", r9("b_spy"), r9("spy_adjusted"))
+    return spark.read.parquet(out).select("run_id", "game_id", r9("b_spy", 8), r9("spy_adjusted", 8))
 
 
 @register("stream_reward_windows", with_sql("v_rollouts", """

@@ -94,11 +94,13 @@ def reasoning_steps(spark, sf):
 @register("token_jaccard", """
 with d as (select doc_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]+')) a,
  list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9_]+')) b
- from documents d left join benchmark b on d.doc_id % 40 = b.item_id)
+ from documents d left join benchmark b on d.doc_id % (select max(item_id) + 2 from benchmark) = b.item_id)
 select doc_id, round(case when len(a) = 0 or len(b) = 0 then 0 else
  len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) end, 9) as jaccard from d""")
 def token_jaccard(spark, sf):
-    d = view(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    # Every item meets documents; the last remainder meets none.
+    items = view(spark, sf, "benchmark").agg(F.max("item_id") + 2).first()[0]
+    d = view(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % items).alias("item_id"))
     b = view(spark, sf, "benchmark").select("item_id", F.col("text").alias("ref"))
     toks = d.join(b, "item_id", "left").select(
         "doc_id", T.tokens(F.col("text")).alias("a"), T.tokens(F.col("ref")).alias("b"))
@@ -231,13 +233,14 @@ def completion_text(spark, sf):
 @register("fuzzy_text", f"""
 with t as (select d.doc_id, case d.doc_id % 3 when 0 then cast(d.n_chars as varchar) when 1 then trim(lower(b.text)) else trim(lower(b.text)) || ' end' end as said,
  case d.doc_id % 3 when 0 then cast(d.n_chars + d.doc_id % 2 as varchar) else trim(lower(b.text)) end as gold
- from documents d join benchmark b on d.doc_id % 40 = b.item_id),
+ from documents d join benchmark b on d.doc_id % (select max(item_id) + 1 from benchmark) = b.item_id),
 c as (select doc_id, said as raw_said, gold as raw_gold, rtrim(regexp_replace(said, '\\n', ' ', 'g'), '.') said, rtrim(regexp_replace(gold, '\\n', ' ', 'g'), '.') gold from t),
 l as (select *, {choice_sql('raw_gold')} as lg, {choice_sql('raw_said')} as ls from c)
 select doc_id, round(case when raw_said = raw_gold then 1.0 when doc_id % 3 = 0 then 0.0 when lg is not null then coalesce((lg = ls)::int, 0)
  else 1.0 - levenshtein(said, gold) / greatest(length(said), length(gold)) end, 6) as score from l""")
 def fuzzy_text(spark, sf):
-    d = view(spark, sf, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 40).alias("item_id"))
+    items = view(spark, sf, "benchmark").agg(F.max("item_id") + 1).first()[0]
+    d = view(spark, sf, "documents").select("doc_id", "n_chars", (F.col("doc_id") % items).alias("item_id"))
     t = d.join(view(spark, sf, "benchmark"), "item_id").selectExpr(
         "doc_id", "case doc_id % 3 when 0 then cast(n_chars as string) when 1 then trim(lower(text)) else concat(trim(lower(text)), ' end') end as said",
         "if(doc_id % 3 = 0, cast(n_chars + doc_id % 2 as string), trim(lower(text))) as gold")

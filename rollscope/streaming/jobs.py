@@ -73,7 +73,8 @@ GROUP_STATE = "n bigint, mean double, m2 double, top double, closed boolean"
 class GroupCloser(StatefulProcessor):
     """Emit a group's statistics once `size` rollouts are in; a timer closes groups that lost some.
 
-    State is five numbers per group (count, mean, squared spread, maximum, closed), never the rows.
+    State is five numbers per group (count, mean, squared spread, maximum, closed), never the rows. Closed groups keep
+    theirs: a group is emitted exactly once, whatever arrives later.
     """
 
     def __init__(self, size: int, stale_ms: int, std_threshold: float, ts: str):
@@ -94,14 +95,15 @@ class GroupCloser(StatefulProcessor):
         n, mean, m2, top, closed = self._state.get() if self._state.exists() else (0, 0.0, 0.0, float("-inf"), False)
         fresh, first_seen = n == 0, None
         for pdf in rows:
-            if fresh and first_seen is None:
-                first_seen = int(pdf[self._ts].min().timestamp() * 1000)
-            for v in pdf["reward_scalar"]:
-                n += 1
-                d = v - mean
-                mean += d / n
-                m2 += d * (v - mean)
-                top = max(top, v)
+            if fresh:
+                seen = int(pdf[self._ts].min().timestamp() * 1000)
+                first_seen = seen if first_seen is None else min(first_seen, seen)
+            # One frame at a time: its own count, mean and spread join those so far.
+            x = pdf["reward_scalar"]
+            k, d = len(x), float(x.mean()) - mean
+            m2 += float(((x - x.mean()) ** 2).sum()) + d * d * n * k / (n + k)
+            mean += d * k / (n + k)
+            n, top = n + k, max(top, float(x.max()))
         if not closed and n >= self._size:
             closed = True
             yield self._row(key, n, mean, m2, top, "complete" if n == self._size else "overfull")
@@ -112,7 +114,8 @@ class GroupCloser(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self._state.exists():
             n, mean, m2, top, closed = self._state.get()
-            self._state.clear()
+            # The closed mark stays, so a rollout that comes after this never opens the group again.
+            self._state.update((n, mean, m2, top, True))
             if not closed:
                 yield self._row(key, n, mean, m2, top, "incomplete")
 
@@ -142,7 +145,7 @@ class RoleBaseline(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         base = self._state.get()[0] if self._state.exists() else 0.0
-        # A micro-batch of one run; sorting it restores the game order inside the batch.
+        # A micro-batch of one run, bounded by the files of a trigger; sorting restores the game order inside it.
         pdf = pd.concat(list(rows)).sort_values("game_id")
         level = []
         for x in pdf["spy_reward"]:

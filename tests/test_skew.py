@@ -86,3 +86,59 @@ def test_sibling_fold_with_many_tiles(spark):
     finally:
         pairs.fold_siblings.__defaults__ = (plain,)
     assert len(got) == 60 and all(abs(r.mean_jaccard - want[r.id]) < 1e-12 for r in got)
+
+
+def test_ema_keeps_far_carries_at_every_rate(spark):
+    rnd = random.Random(8)
+    values = [1e6 if i == 0 else 0.0 if i < 900 else rnd.random() for i in range(1500)]
+    df = spark.createDataFrame([(None, i, v) for i, v in enumerate(values)], "k int, id int, v double")
+    for alpha in (0.0, 0.2, 0.9, 0.9999, 1.0):
+        base, want = 0.5, []
+        for v in values:
+            base = alpha * base + (1 - alpha) * v
+            want.append(base)
+        got = [r.b for r in ordered.ema(df, ["k"], [F.col("id").asc()], {"b": "v"}, alpha, init=0.5, chunk=5).orderBy("id").collect()]
+        assert len(got) == len(want)
+        assert all(abs(a - b) <= 1e-9 * abs(b) + 1e-300 for a, b in zip(got, want)), alpha
+
+
+def test_stage_switch_over_many_chunks(spark):
+    rnd = random.Random(4)
+    data = [(r, i, rnd.random(), rnd.random() * 0.2) for r in (1, None) for i in range(700)]
+    steps = spark.createDataFrame(data, "run int, step int, acc double, na double")
+    plain = ordered.CHUNK
+    want = {(r.run, r.step): (r.stage, r.switched) for r in ordered.stage_switch(steps, "run", "step", acc_up=0.5).collect()}
+    try:
+        ordered.CHUNK = 6
+        got = {(r.run, r.step): (r.stage, r.switched) for r in ordered.stage_switch(steps, "run", "step", acc_up=0.5).collect()}
+    finally:
+        ordered.CHUNK = plain
+    assert len(want) == 1400 and got == want and any(s for _, s in want.values())
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1, 5.0), (None, 2, 7.0), (1, 3, 1.0)], "k int, id int, v double")
+    assert rows_of(skew.running(df, ["k"], [F.col("id").asc()], sums={"s": F.col("v")}).fillna(-1), "k", "id", "s") == [
+        (-1, 1, 5.0), (-1, 2, 12.0), (1, 3, 1.0)]
+    assert rows_of(skew.number_rows_by_key(df, ["k"], [F.col("id").asc()]).fillna(-1), "k", "id", "rn") == [(-1, 1, 1), (-1, 2, 2), (1, 3, 1)]
+    words = df.select("k", "id", F.array(F.lit("a"), F.col("id").cast("string")).alias("w"))
+    assert {r.id: r.mean_jaccard for r in pairs.mean_sibling_jaccard(words, ["k"], "id", "w").collect()} == {1: 1 / 3, 2: 1 / 3, 3: 0.0}
+
+
+def test_top_per_key_beyond_the_rank_limit(spark):
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, null, id % 2) as k", "id")
+    small, large = (skew.top_per_key(df, ["k"], [F.col("id").desc()], n, rank="r") for n in (1000, 1001))
+    assert large.groupBy("k").count().filter("count = 1001").count() == 3
+    assert rows_of(large.filter("r <= 1000").fillna(-1), "k", "id", "r") == rows_of(small.fillna(-1), "k", "id", "r")
+
+
+def test_suffix_maximum_is_linear(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(n).selectExpr("1 as k", "id", "cast(hash(id) as double) as v")
+        start = time.perf_counter()
+        skew.running(df, ["k"], [F.col("id").asc()], suffix_max={"m": F.col("v")}).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+    seconds(1000)
+    assert seconds(400_000) < 40
