@@ -87,32 +87,34 @@ def seeded_limit(df: DataFrame, seed: int | str, keys: Sequence[str], n: int) ->
 
 
 def difficulty_allocation(mix: DataFrame, total: str, shares: Sequence[str]) -> DataFrame:
-    """Whole-number shares per run that add up to the total; drift goes round the buckets in share order.
+    """Whole-number shares per run that add up to the total.
 
-    Rounds each share half-even, then hands out (or takes back) the remaining units one by one from
-    the largest share on.
+    Every share is rounded half-even. Units that are missing go to all buckets alike, the rest of them to the largest
+    shares. Units too many are taken from all buckets alike down to a common depth (or to zero), the rest of them from
+    the largest shares that still have some.
     """
     k = len(shares)
-    start = F.array(*[F.bround(F.col(s) * F.col(total), 0).cast("bigint") for s in shares])
-    # Bucket numbers in share order, largest first, ties in the given order.
+    whole = lambda c: c.cast("bigint")
+    added = lambda xs: F.aggregate(xs, whole(F.lit(0)), lambda s, x: s + x)
+    base = F.array(*[whole(F.bround(F.col(s) * F.col(total), 0)) for s in shares])
+    # Bucket numbers by share, largest first, ties in the given order.
     order = F.transform(F.array_sort(F.array(*[
         F.struct((-F.col(s)).alias("w"), F.lit(i).alias("i")) for i, s in enumerate(shares)])), lambda x: x["i"])
-    drift = F.col(total) - F.aggregate(start, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    unit = F.signum(drift).cast("bigint")
-    zero = F.struct(start.alias("a"), F.lit(0).alias("at"))
-
-    def step(acc: Column, _: Column) -> Column:
-        # Next bucket round the order that can change: any when adding, a non-empty one when taking back.
-        slot = F.filter(F.transform(F.sequence(acc["at"], acc["at"] + (k - 1)), lambda j: F.struct(
-            j.alias("j"), F.get(order, F.pmod(j, F.lit(k))).alias("i"))),
-            lambda c: (unit > 0) | (F.get(acc["a"], c["i"]) > 0))[0]
-        return F.struct(F.transform(acc["a"], lambda v, i: F.when(i == slot["i"], v + unit).otherwise(v)).alias("a"),
-                        (slot["j"] + 1).alias("at"))
-
-    steps = F.when(drift == 0, F.array().cast("array<bigint>")).otherwise(
-        F.sequence(F.lit(1).cast("bigint"), F.greatest(F.abs(drift), F.lit(1))))
-    shared = mix.withColumn("__a", F.aggregate(steps, zero, step, lambda acc: acc["a"]))
-    return shared.select(*mix.columns, *[F.get("__a", F.lit(i)).alias(f"n_{s}") for i, s in enumerate(shares)])
+    rows = mix.withColumns({"__b": base, "__o": order}).withColumn("__d", whole(F.col(total)) - added(F.col("__b")))
+    up, down = F.greatest(F.col("__d"), F.lit(0)), F.greatest(-F.col("__d"), F.lit(0))
+    # Depth r: the largest whole number with sum(least(bucket, r)) <= down; that sum is the least over all splits of
+    # the sorted buckets into m emptied ones and k - m cut by r.
+    depth = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda m: F.floor(
+        (down - added(F.slice(F.array_sort("__b"), F.lit(1), m))) / (k - m))))
+    rows = rows.withColumns({"__up": up, "__r": whole(depth)})
+    cut = F.transform("__b", lambda b: F.least(b, F.col("__r")))
+    rows = rows.withColumn("__left", (down - added(cut)).cast("int"))
+    more = F.slice("__o", F.lit(1), (F.col("__up") % k).cast("int"))
+    less = F.slice(F.filter("__o", lambda i: F.get("__b", i) > F.col("__r")), F.lit(1), F.col("__left"))
+    one = lambda xs, i: F.array_contains(xs, i).cast("bigint")
+    return rows.select(*mix.columns, *[
+        (F.get("__b", F.lit(i)) + whole(F.floor(F.col("__up") / k)) + one(more, F.lit(i))
+         - F.least(F.get("__b", F.lit(i)), F.col("__r")) - one(less, F.lit(i))).alias(f"n_{s}") for i, s in enumerate(shares)])
 
 
 def cyclic_repeat(df: DataFrame, key: str, seed: int, epoch: int, batch: int, cycle: int, mini: int) -> DataFrame:

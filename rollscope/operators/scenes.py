@@ -15,6 +15,7 @@ from rollscope.functions.boxes import centre_box
 from rollscope.functions.text import let
 from rollscope.operators import skew
 from rollscope.operators.ranking import hash_order
+from rollscope.session import cut_lineage
 
 MAX_EDITS = 30
 
@@ -201,12 +202,15 @@ def counterfactual_qa_rows(edits: DataFrame, max_examples: int, seed: int = 1701
 
 
 def enumerate_subsets(scenes: DataFrame, num_edits: str, cap: int | None = None) -> DataFrame:
-    """Non-empty subsets of each scene's edits, smallest first, at most `cap` per scene.
+    """Non-empty subsets of each scene's edits as (scene_id, mask, keep), smallest first, at most `cap` per scene.
 
-    The output of a scene has 2^edits - 1 rows by definition, so more than MAX_EDITS edits is an error
-    rather than a silent cut. High and low halves of the bit mask are exploded one after the other,
-    which keeps every intermediate array short.
+    Without a cap a scene has 2^edits - 1 rows by definition; more than MAX_EDITS edits is then an error. High and low
+    halves of the bit mask are exploded one after the other, which keeps every intermediate array short. With a cap
+    subsets are made size by size, and only up to the size that fills the cap, so a scene may have any number of edits;
+    `mask` is null beyond 62 edits.
     """
+    if cap is not None:
+        return _first_subsets(scenes, num_edits, cap)
     k = F.when(F.col(num_edits) <= MAX_EDITS, F.col(num_edits)).otherwise(
         F.raise_error(F.concat(F.lit("too many edits in scene "), F.col("scene_id").cast("string"))).cast("bigint"))
     half = MAX_EDITS // 2
@@ -214,10 +218,33 @@ def enumerate_subsets(scenes: DataFrame, num_edits: str, cap: int | None = None)
     high = scenes.select("scene_id", k.alias("__k"), F.explode(upto(F.greatest(k - half, F.lit(0)))).alias("__hi"))
     both = high.select("scene_id", "__hi", F.explode(upto(F.least(F.col("__k"), F.lit(half)))).alias("__lo"))
     masks = both.select("scene_id", (F.col("__hi") * (1 << half) + F.col("__lo")).alias("mask")).filter("mask > 0")
-    out = masks.select("scene_id", "mask", mask_members(F.col("mask"), MAX_EDITS).alias("keep"))
-    if cap is None:
-        return out
-    return skew.top_per_key(out, ["scene_id"], [F.size("keep"), F.col("keep")], cap)
+    return masks.select("scene_id", "mask", mask_members(F.col("mask"), MAX_EDITS).alias("keep"))
+
+
+def _first_subsets(scenes: DataFrame, num_edits: str, cap: int) -> DataFrame:
+    """The first `cap` subsets of each scene by (size, members), grown by one member per round."""
+    n = F.col("__n")
+    # Only the first `cap` subsets of a size can grow into needed ones of the next: members ascend, so a subset sorts by
+    # its prefix. `made` counts what the smaller sizes have delivered.
+    level = scenes.select("scene_id", F.col(num_edits).cast("int").alias("__n"), F.lit(0).cast("bigint").alias("__made"),
+                          F.array().cast("array<int>").alias("keep"))
+    out = None
+    while True:
+        last = F.coalesce(F.try_element_at("keep", F.lit(-1)), F.lit(-1))
+        grown = level.filter(last < n - 1).select("scene_id", "__n", "__made", "keep", F.explode(F.sequence(
+            last + 1, n - 1)).alias("__i"))
+        ranked = skew.top_per_key(grown.select("scene_id", "__n", "__made", F.array_append("keep", F.col("__i")).alias("keep")),
+                                  ["scene_id"], [F.col("keep")], cap, rank="__rk")
+        taken = cut_lineage(ranked.filter(F.col("__rk") + F.col("__made") <= cap))
+        if taken.isEmpty():
+            break
+        out = taken if out is None else out.union(taken)
+        sizes = taken.groupBy("scene_id").agg(F.count(F.lit(1)).alias("__got"))
+        level = skew.null_safe_join(taken, sizes, ["scene_id"]).select(
+            "scene_id", "__n", (F.col("__made") + F.col("__got")).alias("__made"), "keep").filter(F.col("__made") < cap)
+    rows = taken if out is None else out
+    mask = F.when(n <= 62, F.aggregate("keep", F.lit(0).cast("bigint"), lambda m, i: m + F.pow(F.lit(2), i).cast("bigint")))
+    return rows.select("scene_id", mask.alias("mask"), "keep")
 
 
 def mask_members(mask: Column, width: int) -> Column:

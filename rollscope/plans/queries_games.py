@@ -95,14 +95,16 @@ walk as (with recursive w as (
   case when (w.dwell + 1 >= 5 and case when w.stage = 0 then f.up else f.down end) or w.dwell + 1 >= 20 then 0 else w.dwell + 1 end,
   (w.dwell + 1 >= 5 and case when w.stage = 0 then f.up else f.down end) or w.dwell + 1 >= 20
  from w join fl f on f.run_id = w.run_id and f.i = w.i + 1) select * from w)
-select run_id, step, cast(stage as bigint) stage, switched, round(ab, 6) acc_bar, round(nb, 6) na_bar from walk"""))
+select run_id, step, cast(stage as bigint) stage, switched, round(ab, 6) acc_bar, round(nb, 6) na_bar,
+ case when step % 10 < 5 then 'decision' else 'clue' end as fixed_cycle from walk"""))
 def stage_switch(spark, sf):
     g = games.majority_vote(votes(spark, sf), PLAYERS)
     steps = g.groupBy((F.col("game_id") % 10).alias("run_id"),
                       F.expr("((game_id - game_id % 10) div 10) % 300").alias("step")).agg(
         F.avg("correct").alias("acc"), F.avg("na_rate").alias("na"))
     out = ordered.stage_switch(steps, "run_id", "step", acc_up=0.15, na_down=0.09, err_up=0.88)
-    return out.select("run_id", "step", "stage", "switched", r9("acc_bar", 6), r9("na_bar", 6))
+    return out.select("run_id", "step", "stage", "switched", r9("acc_bar", 6), r9("na_bar", 6),
+                      ordered.cycle_stage(F.col("step"), 5).alias("fixed_cycle"))
 
 
 @register("phase_normalize", with_sql("v_votes", STRATEGIC_SQL + """

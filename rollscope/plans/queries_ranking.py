@@ -105,14 +105,26 @@ def cyclic_repeat(spark, sf):
     return out.select("gen_index", "batch_id", "cycle", "repeat", "pos")
 
 
-@register("difficulty_allocation", with_sql("v_tasks", """
-with m as (select difficulty, count(*) c from v_tasks group by 1), t as (select sum(c) s from m)
-select 'r' as run_id, 101 as total, sum(case when difficulty = 'easy' then round_even(101 * 0.3, 0) else 0 end)::bigint as n_easy, 51::bigint as n_medium, 20::bigint as n_hard, max(t.s)::bigint as pool from m, t"""))
+# Runs of one share of the tasks each, with their own shares, with shares that add up to more, and to less.
+MIX = """select scene_id % 97 as run_id, count(*) as total, case scene_id % 97 % 3 when 0 then count(case when difficulty = 'easy' then 1 end) / count(*)
+ when 1 then 0.75e0 else 0.05e0 end as easy, case scene_id % 97 % 3 when 0 then count(case when difficulty = 'medium' then 1 end) / count(*)
+ when 1 then 0.02e0 else 0.15e0 end as medium, case scene_id % 97 % 3 when 0 then count(case when difficulty = 'hard' then 1 end) / count(*)
+ when 1 then 0.75e0 else 0.05e0 end as hard from v_tasks group by scene_id % 97"""
+
+
+@register("difficulty_allocation", with_sql("v_tasks", f"""
+with m as ({MIX}), b as (select run_id, total, unnest([1, 2, 3]) as i, unnest([easy, medium, hard]) as share from m),
+r as (select *, round_even(share * total, 0)::bigint as n, row_number() over (partition by run_id order by share desc, i) - 1 as pos from b),
+d as (select *, total - sum(n) over (partition by run_id) as drift from r),
+-- one unit of surplus after the other, counted by how often each bucket is visited
+v as (select d.*, row_number() over (partition by run_id order by u, pos) as turn from d join range(1, 100000) t(u) on drift < 0 and u <= n),
+t as (select run_id, i, count(*) as taken from v where turn <= -drift group by 1, 2)
+select run_id, total, max(case when i = 1 then g end)::bigint n_easy, max(case when i = 2 then g end)::bigint n_medium, max(case when i = 3 then g end)::bigint n_hard
+from (select run_id, total, i, n + case when drift > 0 then drift // 3 + (pos < drift % 3)::int else 0 end - coalesce(taken, 0) as g from d left join t using (run_id, i)) group by 1, 2"""))
 def difficulty_allocation(spark, sf):
-    pool = view(spark, sf, "v_tasks").agg(F.count(F.lit(1)).alias("pool"))
-    mix = pool.selectExpr("'r' as run_id", "101 as total", "0.3D as easy", "0.5D as medium", "0.2D as hard", "pool")
-    out = ranking.difficulty_allocation(mix, "total", ["easy", "medium", "hard"])
-    return out.select("run_id", "total", "n_easy", "n_medium", "n_hard", "pool")
+    view(spark, sf, "v_tasks").createOrReplaceTempView("v_tasks")
+    out = ranking.difficulty_allocation(spark.sql(MIX), "total", ["easy", "medium", "hard"])
+    return out.select("run_id", "total", "n_easy", "n_medium", "n_hard")
 
 
 @register("dedup_claim", """

@@ -82,18 +82,20 @@ def test_step_similarity_against_levenshtein(spark):
         assert abs(difflib.SequenceMatcher(None, a, b).ratio() - (1 - lev(a, b) / max(len(a), len(b)))) <= 0.5
 
 
-def test_known_task_classes(spark):
-    data = {"solved": ([1.0] * 4, [True] * 4), "hopeless": ([0.1] * 4, [False] * 4),
-            "frontier": ([1.0, 0.2, 0.2, 0.2], [True] + [False] * 3), "middling": ([1.0, 1.0, 0.3, 0.3], [True, True, False, False])}
-    rows = [(k, i, r, s, f"s_{k}") for k, (rs, ss) in data.items() for i, (r, s) in enumerate(zip(rs, ss))]
-    df = spark.createDataFrame(rows, "task_id string, gen_index int, reward_scalar double, solved boolean, scene_id string")
-    st = stats.task_statistics(df)
-    got = {r.task_id: (r["class"], round(r.regret, 4)) for r in st.collect()}
-    assert got == {"solved": ("mastered", 0.0), "hopeless": ("too_hard", 0.0), "frontier": ("trainable", 0.6), "middling": ("trainable", 0.35)}
-    assert stats.solvability_summary(st).first().advantage_collapse_rate == 0.5
-    seeds = ranking.seed_ranking(st, 16).orderBy("rank").collect()
-    assert [(r.task_id, r.direction) for r in seeds] == [("frontier", "easier"), ("middling", "harder")]
-    assert [r.scene_id for r in ranking.retire_scenes(st).collect()] == ["s_solved"]
+def test_task_classes_by_hand(spark):
+    """Five groups of five; mean, headroom and class are worked out by hand."""
+    groups = {10: [(0.9, True)] * 5, 11: [(0.0, False)] * 5, 12: [(0.25, False)] * 4 + [(0.75, True)],
+              13: [(0.5, True)] * 3 + [(0.0, False)] * 2, 14: [(0.6, True)] * 4 + [(0.1, False)]}
+    rows = [(task, i, r, ok, task // 2) for task, group in groups.items() for i, (r, ok) in enumerate(group)]
+    table = stats.task_statistics(spark.createDataFrame(rows, "task_id int, gen_index int, reward_scalar double, solved boolean, scene_id int"))
+    got = {r.task_id: (r["class"], round(r.pass_rate, 6), round(r.regret, 6)) for r in table.collect()}
+    assert got == {10: ("mastered", 1.0, 0.0), 11: ("too_hard", 0.0, 0.0), 12: ("trainable", 0.2, 0.4),
+                   13: ("trainable", 0.6, 0.2), 14: ("trainable", 0.8, 0.1)}
+    ranked = [(r.rank, r.task_id, r.direction) for r in ranking.seed_ranking(table, 2).orderBy("rank").collect()]
+    assert ranked == [(1, 12, "easier"), (2, 13, "harder")]
+    # Scene 5 holds tasks 10 and 11, of which one is not mastered: nothing retires.
+    assert ranking.retire_scenes(table).count() == 0
+    assert [r.task_id for r in ranking.retire_scenes(table.filter("task_id <> 11")).collect()] == [10]
 
 
 def test_incomplete_group_raises(spark):
@@ -102,27 +104,88 @@ def test_incomplete_group_raises(spark):
         stats.group_reward_stats(df, 2).collect()
 
 
-def test_balanced_pick_and_allocation(spark):
-    pool = spark.createDataFrame([(i, 4 if i < 60 else 2) for i in range(80)], "id int, label int")
-    got = ranking.balanced_pick(pool, "label", [F.col("id")], 20).groupBy("label").count().collect()
-    assert {r.label: r["count"] for r in got} == {4: 10, 2: 10}
-
-    def loop(total, mix):
-        alloc = {k: int(round(total * v)) for k, v in mix.items()}
-        drift, order, i = total - sum(alloc.values()), sorted(mix, key=lambda k: -mix[k]), 0
-        while drift:
-            k = order[i % 3]
-            if drift > 0:
-                alloc[k], drift = alloc[k] + 1, drift - 1
-            elif alloc[k] > 0:
-                alloc[k], drift = alloc[k] - 1, drift + 1
-            i += 1
-        return alloc
-    cases = [(101, .3, .5, .2), (7, .5, .5, .5), (3, 0.0, 0.0, 1.0), (10, .05, .05, .05), (5, 1.0, .3, .0)]
+def test_balanced_pick_flattens_the_histogram(spark):
+    pool = spark.createDataFrame([(i, "abc"[0 if i < 50 else 1 if i < 57 else 2]) for i in range(60)], "id int, label string")
+    got = {r.label: r["count"] for r in ranking.balanced_pick(pool, "label", [F.col("id")], 18).groupBy("label").count().collect()}
+    # Three of c, seven of b, the rest from a.
+    assert got == {"c": 3, "b": 7, "a": 8}
+
+
+def test_allocation_by_hand_and_by_its_properties(spark):
+    # (total, easy, medium, hard) -> counts worked out by hand.
+    known = {(10, 0.5, 0.3, 0.2): (5, 3, 2), (11, 0.4, 0.4, 0.1): (5, 5, 1), (9, 0.0, 0.0, 0.5): (2, 1, 6),
+             (6, 1.0, 1.0, 0.0): (3, 3, 0), (8, 1.0, 0.1, 1.0): (4, 0, 4), (0, 0.2, 0.2, 0.2): (0, 0, 0)}
+    rnd = __import__("random").Random(6)
+    drawn = [(rnd.randrange(200), *[round(rnd.random() * rnd.choice([0.2, 0.6, 1.2]), 3) for _ in range(3)]) for _ in range(120)]
+    cases = [*known, *drawn]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, total int, easy double, medium double, hard double")
     for r in ranking.difficulty_allocation(df, "total", ["easy", "medium", "hard"]).collect():
-        t, e, m, h = cases[r.i]
-        assert {"easy": r.n_easy, "medium": r.n_medium, "hard": r.n_hard} == loop(t, {"easy": e, "medium": m, "hard": h})
+        total, *shares = cases[r.i]
+        got = (r.n_easy, r.n_medium, r.n_hard)
+        assert sum(got) == total and min(got) >= 0
+        if cases[r.i] in known:
+            assert got == known[cases[r.i]]
+        moved = [g - round(s * total) for g, s in zip(got, shares)]
+        drift = total - sum(round(s * total) for s in shares)
+        if drift >= 0:
+            # Everybody gets the same, up to one unit, which goes to the larger shares.
+            assert max(moved) - min(moved) <= 1
+            assert all(moved[a] >= moved[b] for a in range(3) for b in range(3) if shares[a] > shares[b])
+        else:
+            # Nobody gains; whoever lost less than the most is empty or one unit behind.
+            assert max(moved) <= 0
+            assert all(g == 0 or m - min(moved) <= 1 for g, m in zip(got, moved))
+
+
+def test_subsets_up_to_a_cap(spark):
+    from itertools import combinations
+
+    from rollscope.operators.scenes import enumerate_subsets
+
+    sizes = {1: 4, 2: 100, 3: 1, 4: 0}
+    df = spark.createDataFrame(list(sizes.items()), "scene_id int, k int")
+    for cap in (1, 7, 120):
+        want = []
+        for scene, n in sizes.items():
+            every = (c for s in range(1, n + 1) for c in combinations(range(n), s))
+            want += [(scene, c) for c, _ in zip(every, range(cap))]
+        got = enumerate_subsets(df, "k", cap)
+        assert sorted((r.scene_id, tuple(r.keep)) for r in got.collect()) == sorted(want)
+    assert {r.mask for r in enumerate_subsets(df.filter("scene_id = 1"), "k", 15).collect()} == set(range(1, 16))
+
+
+def test_records_on_one_side(spark):
+    from rollscope.operators.detection import record_map
+
+    box = [0.0, 0.0, 10.0, 10.0]
+    gold = spark.createDataFrame([(1, 1, 1, box, False), (2, 2, 1, box, False)], "record int, gold_id bigint, label int, box array<double>, iscrowd boolean")
+    dets = spark.createDataFrame([(1, 1, 1, box, 1.0), (1, 4, 1, [50.0, 50.0, 5.0, 5.0], 1.0), (3, 3, 1, box, 1.0)],
+                                 "record int, det_id bigint, label int, box array<double>, score double")
+    got = {r.record: (round(r["map"], 6), round(r.map_length, 6)) for r in record_map(
+        dets, gold, "record", "label", spark.range(5).selectExpr("cast(id as int) as record")).collect()}
+    assert got == {0: (1.0, 1.0), 1: (1.0, 0.5), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (1.0, 1.0)}
+
+
+def test_a_lone_rollout_is_consistent(spark):
+    df = spark.createDataFrame([(1, 0, "<think>red cube</think><answer>a</answer>"), (2, 1, "<answer>a</answer>"), (2, 2, "<answer>b</answer>")],
+                               "task_id int, gen_index int, completion string")
+    got = {r.gen_index: r.consistency for r in scoring.group_consistency(df).collect()}
+    assert got[0] == 1.0 and got[1] < 1.0
+
+
+def test_boxed_answers_of_any_depth(spark):
+    texts = [r"so \boxed{a{b{c{d}}}} it is", r"\boxed{1} or \boxed{2", "none", None, r"\boxed{x} \boxed{\frac{1}{2}}"]
+    assert column(spark, texts, T.last_boxed) == ["a{b{c{d}}}", "1", None, None, r"\frac{1}{2}"]
+
+
+def test_average_needs_one_protocol_for_all(spark):
+    grid = spark.createDataFrame([(m, b, 50.0) for m in (1, 2) for b in ("x", "y")], "model int, bench string, score double")
+    def mean(rows):
+        signed = spark.createDataFrame(rows, "model int, signature string")
+        return {r.model: r.average for r in checks.benchmark_average(grid, "model", "bench", ["x", "y"], signed).collect()}
+    assert mean([(1, "s"), (2, "s")]) == {1: 50.0, 2: 50.0}
+    for rows in ([(1, "s"), (2, "t")], [(1, "s")], [(1, "s"), (2, None)], [(1, "s"), (1, "t"), (2, "s")]):
+        assert mean(rows) == {1: None, 2: None}
 
 
 @pytest.mark.parametrize("bad", [
