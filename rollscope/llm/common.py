@@ -115,7 +115,7 @@ class WordTable:
     that are encoded again in each slice, so memory stays bounded and no word is left out.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
         self.ids = WordIds()
         self.n = np.zeros(0, np.int32)

@@ -110,7 +110,7 @@ def word_pieces(text: bytes) -> list[bytes]:
 
 
 @functools.cache
-def word_encoder(tokenizer_path: str, limit: int = 600_000) -> WordTable:
+def word_encoder(tokenizer_path: str, limit: int = 300_000) -> WordTable:
     """Word table over a tokenizers file. A worker process keeps it for all its tasks: each distinct word is encoded once."""
     import os
 
