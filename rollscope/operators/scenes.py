@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscope.functions import facts as FX
@@ -31,15 +31,22 @@ def edit_facts(edits: DataFrame) -> DataFrame:
 
 
 def gold_facts(edits: DataFrame, stated: DataFrame | None = None) -> DataFrame:
-    """Fact multiset per scene; a scene with any malformed attribute or a wrong stated count has none."""
+    """Fact multiset per scene; a scene with any malformed attribute or a wrong stated count has none.
+
+    One aggregate per (scene, triple): invalid triples are one null row, so a scene has at most one row per triple of
+    the domains and the totals over them are a small window.
+    """
     rows = edit_facts(edits)
-    scenes = rows.groupBy("scene_id").agg(
-        F.bool_and("valid").alias("ok"), F.count_if("changed").alias("total")).filter("ok")
+    only = lambda c: F.when(F.col("valid") & F.col("changed"), F.col(c)).alias(c)
+    counted = rows.select("scene_id", *[only(c) for c in ("attribute", "before", "after")], "valid").groupBy(
+        "scene_id", "attribute", "before", "after").agg(F.count(F.lit(1)).alias("n"), F.bool_and("valid").alias("ok"))
+    scene = Window.partitionBy("scene_id")
+    marked = counted.withColumn("ok", F.bool_and("ok").over(scene)).withColumn(
+        "total", F.sum(F.when(F.col("attribute").isNotNull(), F.col("n"))).over(scene))
+    good = marked.filter("ok and attribute is not null")
     if stated is not None:
-        scenes = scenes.join(stated, "scene_id").filter(F.col("stated") == F.col("total"))
-    counted = (rows.filter("valid and changed").groupBy("scene_id", "attribute", "before", "after")
-               .agg(F.count(F.lit(1)).alias("n")))
-    return counted.join(scenes.select("scene_id"), "scene_id", "left_semi")
+        good = good.join(stated, "scene_id").filter(F.col("stated") == F.col("total"))
+    return good.select("scene_id", "attribute", "before", "after", "n")
 
 
 def fact_sides(claims: DataFrame, gold: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Joins, ranks and running totals that stay balanced when one key holds a large share of all rows.
 
-A window partitioned by a hot key runs in one task. These helpers use partial aggregation, salted
-joins and range-partitioned prefix passes instead, so no step ever needs a whole group in one task.
+A window partitioned by a hot key runs in one task. These helpers use partial aggregation, joins that can be split
+and range-partitioned prefix passes instead, so no step ever needs a whole group in one task.
 """
 
 from __future__ import annotations
@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 
 from rollscope.session import cut_lineage
 
-# A key above this many rows is split into ceil(rows / ROWS_PER_SPLIT) sub-keys. A parameter of every helper that
-# joins per-key values back; the result does not depend on it.
-ROWS_PER_SPLIT = 4_000_000
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null; the keys come from the left side, once."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -27,37 +22,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def attach_stats(
-    df: DataFrame, stats: DataFrame, keys: Sequence[str], size_col: str = "__n",
-    rows_per_split: int = ROWS_PER_SPLIT,
-) -> DataFrame:
-    """Left-join one stats row per key back to the rows, splitting keys with many rows; null is a key like any other.
+def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], size_col: str = "__n") -> DataFrame:
+    """Left-join one stats row per key back to the rows; null is a key like any other.
 
-    `stats` has one row per key and `size_col` = number of rows of that key in `df`. The list of keys above
-    `rows_per_split` is joined as its measured size allows, never forced into memory.
+    `size_col` is dropped. The statistics are broadcast if they measure small; otherwise a key with a large share of
+    the rows is split by the adaptive skew join, since each of its parts meets the same single row.
     """
-    keys = list(keys)
-    splits = F.ceil(F.col(size_col) / F.lit(rows_per_split)).cast("int")
-    hot = stats.filter(F.col(size_col) > rows_per_split).select(*keys, splits.alias("__splits"))
-    rows = null_safe_join(df, hot, keys, "left").withColumn(
-        "__salt",
-        F.when(F.col("__splits").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.monotonically_increasing_id(), F.col("__splits")).cast("int")),
-    ).drop("__splits")
-    spread = stats.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.greatest(splits, F.lit(1)) - 1))
-    ).drop(size_col)
-    return null_safe_join(rows, spread, [*keys, "__salt"], "left").drop("__salt")
-
-
-def with_group_stats(
-    df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
-    rows_per_split: int = ROWS_PER_SPLIT,
-) -> DataFrame:
+    return null_safe_join(df, stats.drop(size_col), list(keys), "left")
+
+
+def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """Rows plus per-key aggregates: a partial/final aggregate joined back, not a window."""
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in aggs.items()])
-    return attach_stats(df, stats, keys, "__n", rows_per_split)
+    return attach_stats(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
 
 
 # A rank filter of at most this many rows is applied by every task before the shuffle.
