@@ -357,11 +357,18 @@ def _shift(to: str, delta: float) -> dict[str, Column]:
     return {k: F.round(v / F.when(total == 0, F.lit(1.0)).otherwise(total), 4) for k, v in d.items()}
 
 
-def next_policy(state: DataFrame) -> DataFrame:
-    """Difficulty mix, target and reasons of the next round for every run at once.
+# What says that a round gave any feedback at all: counts above zero, measured values.
+FEEDBACK_COUNTS = ("too_difficult", "strict_easier", "reduce_difficulty", "num_rejected", "num_suggested", "grounding_failures",
+                   "process_failures", "num_tags")
+FEEDBACK_VALUES = ("solve_rate", "verified_rate", "answer_mean", "grounding_mean")
 
-    One wide row per run: previous mix (prev_easy/medium/hard), prev_target, version, feedback counts,
-    solve_rate, verified_rate, num_certified and reward means; nulls mean "not measured".
+
+def next_policy(state: DataFrame, focus: DataFrame | None = None) -> DataFrame:
+    """Difficulty mix, target, focus weights, seed offset and reasons of the next round for every run at once.
+
+    One wide row per run: previous mix (prev_easy/medium/hard), prev_target, version, prev_seed_offset, feedback counts,
+    solve_rate, verified_rate, num_certified and reward means; nulls mean "not measured". `focus` has the rows of
+    `focus_weights`; there are at most as many per run as foci.
     """
     low, high = BAND
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -401,8 +408,27 @@ def next_policy(state: DataFrame) -> DataFrame:
         F.when((n("grounding_failures") > 0) | (F.col("grounding_mean") < 0.5),
                F.lit("increase_grounding_focus_due_to_grounding_failure")),
         F.when(n("process_failures") > 0, F.lit("increase_process_focus_due_to_process_failure"))))
-    return df.select("run_id", (n("version") + 1).alias("version"), *[mix[k].alias(k) for k in LEVELS],
-                     target.alias("target"), F.array_join(reasons, "; ").alias("reasons"))
+    heard = F.lit(False)
+    for c in FEEDBACK_COUNTS:
+        heard = heard | (n(c) > 0 if c in state.columns else F.lit(False))
+    for c in FEEDBACK_VALUES:
+        heard = heard | F.col(c).isNotNull()
+    text = F.when(heard, F.array_join(reasons, "; ")).otherwise(F.lit("no_feedback_keep_previous_or_minimal_decay"))
+    if focus is not None:
+        packed = focus.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("focus", F.round("weight", 4).alias("weight")))).alias("focus"))
+        df = df.join(packed, "run_id", "left")
+    none = F.array().cast("array<struct<focus:string,weight:double>>")
+    return df.select("run_id", (n("version") + 1).alias("version"), *[mix[k].alias(k) for k in LEVELS], target.alias("target"),
+                     (n("prev_seed_offset") + 1).alias("seed_offset"),
+                     (F.coalesce("focus", none) if focus is not None else none).alias("focus"), text.alias("reasons"))
+
+
+def editing_policy(stats: DataFrame, k: int) -> DataFrame:
+    """What the next round edits: the k seeds with the most headroom, all tasks that are too hard, and retired scenes' tasks."""
+    seeds = ranking.seed_ranking(stats, k).select(F.lit("seed").alias("list"), "task_id", "scene_id", "direction")
+    hard = stats.filter(F.col("class") == "too_hard").select(F.lit("too_hard").alias("list"), "task_id", "scene_id", F.lit("easier").alias("direction"))
+    done = ranking.retire_scenes(stats).select(F.lit("retire").alias("list"), "task_id", "scene_id", F.lit(None).cast("string").alias("direction"))
+    return seeds.unionByName(hard).unionByName(done)
 
 
 def focus_weights(tag_counts: DataFrame) -> DataFrame:

@@ -265,26 +265,43 @@ STATE_SQL = FEEDBACK_SQL + """
 st as (select vec.run_id, am as answer_mean, gm as grounding_mean, case when vec.run_id % 4 = 3 then gf else 0 end as grounding_failures, pf as process_failures,
  case when vec.run_id % 4 = 0 then coalesce(fb.too_difficult, 0) else 0 end as too_difficult, case when vec.run_id % 4 = 0 then coalesce(fb.strict_easier, 0) else 0 end as strict_easier,
  case when vec.run_id % 4 = 0 then coalesce(fb.reduce_difficulty, 0) else 0 end as reduce_difficulty, coalesce(fb.target_echo, 0) as target_echo,
- case when vec.run_id % 3 = 2 then null else vec.run_id / 12.0 end as solve_rate, case when vec.run_id % 2 = 0 then 0.5 end as verified_rate, vec.run_id as version
+ case when vec.run_id % 3 = 2 then null else vec.run_id / 12.0 end as solve_rate, case when vec.run_id % 2 = 0 then 0.5 end as verified_rate, case when vec.run_id % 5 = 1 then 0 end as num_certified, vec.run_id as version
  from vec left join fb on fb.run_id = vec.run_id)
 """
 
 
-@register("next_policy", with_sql(("v_feedback", "v_vectors"), STATE_SQL + """
-, b as (select *, case when reduce_difficulty > 0 or strict_easier > 0 or too_difficult > 0 then 'hint' when solve_rate > 0.65 and verified_rate is not null then 'holde' when solve_rate > 0.65 then 'up'
+FOCUS_CTE = """
+, fw as (select run_id, focus, printf('%.4f', round(count(*) / any_value(total), 4)) as w from
+ (select task_id % 12 as run_id, case when grounding < 0.5 then 'visual_evidence_grounding' when process < 0.5 then 'multi_step_reasoning_structure' when answer < 1 then 'final_decision_reasoning' end as focus from v_vectors)
+ join (select task_id % 12 as r, count(*) total from v_vectors group by 1) on r = run_id where focus is not null group by run_id, focus)
+"""
+
+
+def failure_tags(spark, sf):
+    return view(spark, sf, "v_vectors").groupBy(
+        (F.col("task_id") % 12).alias("run_id"),
+        F.expr("case when grounding < 0.5 then 'grounding_failure' when process < 0.5 then 'process_failure' "
+               "when answer < 1 then 'reasoning_or_final_decision_failure' else 'other' end").alias("tag")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("next_policy", with_sql(("v_feedback", "v_vectors"), STATE_SQL + FOCUS_CTE + """
+, b as (select *, case when reduce_difficulty > 0 or strict_easier > 0 or too_difficult > 0 then 'hint' when num_certified = 0 then 'nocert' when solve_rate > 0.65 and verified_rate is not null then 'holde' when solve_rate > 0.65 then 'up'
  when solve_rate < 0.35 then 'down' when solve_rate is not null then 'band' when answer_mean >= 0.8 then 'aup' when answer_mean <= 0.2 then 'adown' else 'none' end as br from st)
 select run_id, version + 1 as version, case when br in ('hint', 'down', 'adown') then 0.375 when br in ('up', 'aup') then 0.2 else 0.3 end as easy,
  case when br in ('hint', 'down', 'adown') then 0.575 else 0.5 end as medium, case when br in ('hint', 'down', 'adown') then 0.05 when br in ('up', 'aup') then 0.3 else 0.2 end as hard,
- case when br = 'hint' then 'easy' when br in ('up', 'aup') then 'hard' else 'medium' end as target,
+ case when br = 'hint' then 'easy' when br in ('up', 'aup') then 'hard' else 'medium' end as target, run_id * 2 + 1 as seed_offset,
+ coalesce((select string_agg(focus || '=' || w, ',' order by focus) from fw where fw.run_id = b.run_id), '') as focus,
  concat_ws('; ', case when br = 'hint' and too_difficult > 0 then 'reduce_hard_due_to_reference_too_difficult(count=' || too_difficult || ')' end,
  case when br = 'hint' and reduce_difficulty > 0 and too_difficult = 0 then 'reduce_hard_due_to_explicit_reduce_signal(count=' || reduce_difficulty || ')' end,
  case when br = 'hint' and strict_easier > 0 then 'reduce_hard_due_to_strict_easier_suggestion(count=' || strict_easier || ')' end,
- case br when 'holde' then 'hold_difficulty_until_visual_evidence_mastered(0.50)' when 'up' then 'increase_difficulty_solve_rate_above_band(' || printf('%.2f', solve_rate) || ')'
+ case br when 'nocert' then 'hold_difficulty_until_visual_certificate_available' when 'holde' then 'hold_difficulty_until_visual_evidence_mastered(0.50)' when 'up' then 'increase_difficulty_solve_rate_above_band(' || printf('%.2f', solve_rate) || ')'
   when 'down' then 'reduce_difficulty_solve_rate_below_band(' || printf('%.2f', solve_rate) || ')' when 'band' then 'hold_difficulty_solve_rate_in_band(' || printf('%.2f', solve_rate) || ')'
   when 'aup' then 'increase_hard_due_to_strong_answer_accuracy' when 'adown' then 'reduce_difficulty_due_to_low_answer_accuracy' when 'none' then 'no_difficulty_signal_keep_previous' end,
  case when target_echo > 0 and br <> 'hint' then 'ignored_target_echo_suggestions(count=' || target_echo || ')' end,
  case when grounding_failures > 0 or grounding_mean < 0.5 then 'increase_grounding_focus_due_to_grounding_failure' end,
- case when process_failures > 0 then 'increase_process_focus_due_to_process_failure' end) as reasons from b"""))
+ case when process_failures > 0 then 'increase_process_focus_due_to_process_failure' end) as reasons from b
+ union all select run_id, 1, 0.3, 0.5, 0.2, 'hard', 8, '', 'no_feedback_keep_previous_or_minimal_decay' from range(100, 103) q(run_id)"""))
 def next_policy(spark, sf):
     fb = C.feedback_summary(view(spark, sf, "v_feedback"), ["run_id"])
     vec = view(spark, sf, "v_vectors").groupBy((F.col("task_id") % 12).alias("run_id")).agg(
@@ -295,21 +312,31 @@ def next_policy(spark, sf):
         "run_id", "answer_mean", "grounding_mean", "if(run_id % 4 = 3, gf, 0) as grounding_failures", "process_failures",
         only("too_difficult"), only("strict_easier"), only("reduce_difficulty"), "target_echo",
         "if(run_id % 3 = 2, null, run_id / 12.0D) as solve_rate", "if(run_id % 2 = 0, 0.5D, null) as verified_rate",
-        "cast(null as bigint) as num_certified", "run_id as version", "0.3D as prev_easy", "0.5D as prev_medium",
+        "if(run_id % 5 = 1, 0L, null) as num_certified", "run_id as version", "run_id * 2 as prev_seed_offset", "0.3D as prev_easy", "0.5D as prev_medium",
         "0.2D as prev_hard", "'medium' as prev_target")
-    return C.next_policy(state)
+    # Three runs that nobody has said anything about.
+    silent = spark.range(100, 103).selectExpr("id as run_id", *[
+        f"cast({'0' if c == 'version' else '7' if c == 'prev_seed_offset' else '0.3' if c == 'prev_easy' else '0.5' if c == 'prev_medium' else '0.2' if c == 'prev_hard' else 'null'} as {t}) as {c}"
+        if c != "prev_target" else "'hard' as prev_target" for c, t in state.dtypes if c != "run_id"])
+    out = C.next_policy(state.unionByName(silent), C.focus_weights(failure_tags(spark, sf)))
+    text = F.array_join(F.transform("focus", lambda f: F.concat_ws("=", f["focus"], F.format_string("%.4f", f["weight"]))), ",")
+    return out.withColumn("focus", text)
 
 
 @register("focus_weights", with_sql("v_vectors", """
 with t as (select task_id % 12 as run_id, case when grounding < 0.5 then 'visual_evidence_grounding' when process < 0.5 then 'multi_step_reasoning_structure' when answer < 1 then 'final_decision_reasoning' end as focus from v_vectors)
 select run_id, focus, round(count(*) / any_value(total), 9) as weight from t join (select task_id % 12 as r, count(*) total from v_vectors group by 1) on r = run_id where focus is not null group by run_id, focus"""))
 def focus_weights(spark, sf):
-    tags = view(spark, sf, "v_vectors").groupBy(
-        (F.col("task_id") % 12).alias("run_id"),
-        F.expr("case when grounding < 0.5 then 'grounding_failure' when process < 0.5 then 'process_failure' "
-               "when answer < 1 then 'reasoning_or_final_decision_failure' else 'other' end").alias("tag")).agg(
-        F.count(F.lit(1)).alias("n"))
-    return C.focus_weights(tags).select("run_id", "focus", r9("weight"))
+    return C.focus_weights(failure_tags(spark, sf)).select("run_id", "focus", r9("weight"))
+
+
+@register("editing_policy", with_sql("v_rollouts_big", STATS_BIG + """
+, top as (select 'seed' as list, task_id, case when pass_rate >= 0.5 then 'harder' else 'easier' end as direction from stats where class = 'trainable' qualify row_number() over (order by regret desc, task_id) <= 16),
+done as (select s.task_id % 5000 as scene_id from stats s group by 1 having bool_and(class = 'mastered'))
+select list, task_id, task_id % 5000 as scene_id, direction from (select * from top union all select 'too_hard', task_id, 'easier' from stats where class = 'too_hard'
+ union all select 'retire', task_id, null from stats where class = 'mastered' and task_id % 5000 in (select scene_id from done))"""))
+def editing_policy(spark, sf):
+    return C.editing_policy(stats.task_statistics(view(spark, sf, "v_rollouts_big").withColumn("scene_id", F.col("task_id") % 5000)), 16)
 
 
 @register("policy_diff", with_sql("v_vectors", """
