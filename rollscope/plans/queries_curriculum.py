@@ -336,7 +336,7 @@ done as (select s.task_id % 5000 as scene_id from stats s group by 1 having bool
 select list, task_id, task_id % 5000 as scene_id, direction from (select * from top union all select 'too_hard', task_id, 'easier' from stats where class = 'too_hard'
  union all select 'retire', task_id, null from stats where class = 'mastered' and task_id % 5000 in (select scene_id from done))"""))
 def editing_policy(spark, sf):
-    return C.editing_policy(stats.task_statistics(view(spark, sf, "v_rollouts_big").withColumn("scene_id", F.col("task_id") % 5000)), 16)
+    return C.editing_policy(stats.task_statistics(view(spark, sf, "v_rollouts_big").selectExpr("*", "slot as gen_index", "task_id % 5000 as scene_id")), 16)
 
 
 @register("policy_diff", with_sql("v_vectors", """
