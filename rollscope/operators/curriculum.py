@@ -262,8 +262,11 @@ def bootstrap_pairs(edits: DataFrame, clutter: DataFrame, slots: int, seed: int,
         F.struct(F.lit("large").alias("pair_role"), large.alias("keep")))))
 
 
-def fresh_tasks(scenes: DataFrame, players: int, position: Column, version: int, prefix: str) -> DataFrame:
-    """Task rows for scenes: spy slot by position, one image path per player, computed gold answer."""
+def fresh_tasks(scenes: DataFrame, players: int, position: Column, version: int, prefix: str, boxes: DataFrame) -> DataFrame:
+    """Task rows for scenes: spy slot by position, one image path per player, computed gold answer and boxes.
+
+    `boxes` has the gold boxes of each scene (`scene_boxes`).
+    """
     spy = ranking.slot_assignment(position, F.lit(version), F.lit(players))
     base = scenes.withColumn("spy_player", spy)
     name = F.col("scene_id").cast("string")
@@ -271,8 +274,12 @@ def fresh_tasks(scenes: DataFrame, players: int, position: Column, version: int,
         name, F.when(p == F.col("spy_player"), F.lit("_modified.png")).otherwise(F.lit("_original.png"))))
     answer = F.concat(F.lit("<answer>spy="), F.col("spy_player").cast("string"), F.lit("; changed_attributes="),
                       F.col("num_attr_changes").cast("string"), F.lit("</answer>"))
-    return base.select(F.concat(F.lit(prefix + "::"), name).alias("task_id"), "scene_id", "spy_player",
-                       images.alias("image_path"), answer.alias("solution"))
+    none = F.array().cast("array<array<double>>")
+    reason = F.concat(F.lit(f"policy v{version}: sampled_bucket="), F.col("level"))
+    return base.join(boxes, "scene_id", "left").select(
+        F.concat(F.lit(prefix + "::"), name).alias("task_id"), "scene_id", "spy_player", images.alias("image_path"),
+        answer.alias("solution"), F.coalesce("gold_boxes", none).alias("gold_boxes"), F.lit(players).alias("num_players"),
+        "level", reason.alias("generation_reason"))
 
 
 def stratified_take(pool: DataFrame, bucket: str, label: str, key: str, wants: dict[str, int], total: int,

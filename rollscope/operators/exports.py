@@ -104,7 +104,13 @@ SPY_KIND, COUNT_KIND = "clevr_spy", "verified_count_qa"
 
 
 def grpo_rows(tasks: DataFrame) -> DataFrame:
-    """Nested training record per task: conversation plus typed context."""
+    """Nested training record per task: conversation plus typed context.
+
+    Grounding columns (boxes, width, height, players, spy) that a table lacks count as null.
+    """
+    given = lambda c, t: F.col(c).cast(t) if c in tasks.columns else F.lit(None).cast(t)
+    ground = grounding_context(given("boxes", "array<array<double>>"), given("width", "int"), given("height", "int"),
+                               given("players", "bigint"), given("spy", "bigint"))
     human = F.when(F.col("image").isNotNull(), F.concat(F.lit("<image>\n"), "problem")).otherwise(F.col("problem"))
     talk = F.array(F.struct(F.lit("human").alias("from"), human.alias("value")),
                    F.struct(F.lit("gpt").alias("from"), F.col("solution").alias("value")))
@@ -113,7 +119,7 @@ def grpo_rows(tasks: DataFrame) -> DataFrame:
                   F.when(kind == COUNT_KIND, F.col("pair_id")).otherwise(F.lit("")).alias("pair_id"))
     return tasks.select(
         "task_id", talk.alias("conversations"), F.lit("default").alias("accu_reward_method"),
-        F.struct(kind.alias("task_kind"), qa.alias("verified_qa")).alias("context"), "image")
+        F.struct(kind.alias("task_kind"), qa.alias("verified_qa"), ground.alias("grounding")).alias("context"), "image")
 
 
 def aux_cap(solver: DataFrame, oracle: DataFrame, scene: DataFrame, ratio: float) -> DataFrame:

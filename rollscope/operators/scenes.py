@@ -267,23 +267,44 @@ def lattice_pairs(subsets: DataFrame, keys: Sequence[str], keep: str) -> DataFra
     return small.join(probe.filter(F.size("small") > 0), [*keys, "small"])
 
 
+# Size of a scene image.
+IMAGE_WIDTH, IMAGE_HEIGHT = 320, 240
+
+
+def scene_boxes(edits: DataFrame) -> DataFrame:
+    """Gold boxes and descriptions of a scene's edits in object order, as one row per scene."""
+    item = F.struct("obj", centre_box(F.col("px"), F.col("py"), width=IMAGE_WIDTH, height=IMAGE_HEIGHT).alias("box"))
+    return edits.groupBy("scene_id").agg(F.array_sort(F.collect_list(item)).alias("b")).select(
+        "scene_id", F.transform("b", lambda x: x["box"]).alias("gold_boxes"), F.size("b").alias("num_edits"))
+
+
 def variant_rows(picks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Label, object count and boxes of each pick; picks hold a scene and kept object numbers.
+    """Label, gold boxes, spliced flag and images of each pick; picks hold a scene and kept object numbers.
 
-    Boxes go out one per row so that a pick of any size stays splittable.
+    Boxes are in the order of the kept objects; a pick that keeps every edit of its scene is the edited image itself.
+    Picks of unknown objects and picks that change nothing are left out.
     """
     changes = F.lit(0)
     for a in FX.ATTRIBUTES:
         changes = changes + (F.col(f"before_{a}") != F.col(f"after_{a}")).cast("int")
-    items = edits.select("scene_id", "obj", changes.alias("changes"), centre_box(F.col("px"), F.col("py")).alias("box"))
-    rows = picks.select("pick_id", "scene_id", F.explode("keep").alias("obj")).join(items, ["scene_id", "obj"])
+    items = edits.select("scene_id", "obj", changes.alias("changes"), centre_box(
+        F.col("px"), F.col("py"), width=IMAGE_WIDTH, height=IMAGE_HEIGHT).alias("box"))
+    totals = edits.groupBy("scene_id").agg(F.count(F.lit(1)).alias("num_edits"))
+    asked = picks.select("pick_id", "scene_id", F.array_sort(F.array_distinct("keep")).alias("keep"))
+    rows = asked.select("pick_id", "scene_id", F.size("keep").alias("asked"), F.explode("keep").alias("obj")).join(items, ["scene_id", "obj"])
     labels = rows.groupBy("pick_id").agg(
-        F.sum("changes").alias("num_attr_changes"), F.count(F.lit(1)).alias("num_objects"),
-        F.min(F.col("box")[0]).alias("left"), F.max(F.col("box")[2]).alias("right"))
-    ids = picks.select("pick_id", "scene_id", F.concat(
-        F.col("scene_id").cast("string"), F.lit("__keep"),
-        F.array_join(F.array_sort("keep").cast("array<string>"), "-")).alias("variant_id"))
-    return ids.join(labels, "pick_id").filter("num_attr_changes > 0")
+        F.sum("changes").alias("num_attr_changes"), F.count(F.lit(1)).alias("num_objects"), F.max("asked").alias("asked"),
+        F.array_sort(F.collect_list(F.struct("obj", "box"))).alias("b"))
+    name = F.col("scene_id").cast("string")
+    variant = F.concat(name, F.lit("__keep"), F.array_join(F.col("keep").cast("array<string>"), "-"))
+    spliced = F.col("num_objects") < F.col("num_edits")
+    out = asked.join(labels.filter((F.col("num_objects") == F.col("asked")) & (F.col("num_attr_changes") > 0)), "pick_id").join(totals, "scene_id")
+    return out.select(
+        "pick_id", "scene_id", variant.alias("variant_id"), "num_attr_changes", "num_objects",
+        F.transform("b", lambda x: x["box"]).alias("gold_boxes"), spliced.alias("spliced"),
+        F.when(spliced, F.concat(variant, F.lit("_r48.png"))).otherwise(F.concat(name, F.lit("_modified.png"))).alias("spy_image"),
+        F.concat(name, F.lit("_original.png")).alias("civilian_image"),
+        F.lit(IMAGE_WIDTH).alias("image_width"), F.lit(IMAGE_HEIGHT).alias("image_height"))
 
 
 def overlap_anti(edits: DataFrame, picks: DataFrame, radius: float = 48.0, cell: float = 96.0) -> DataFrame:

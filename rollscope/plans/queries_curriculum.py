@@ -204,13 +204,15 @@ def bootstrap_pairs(spark, sf):
 
 
 @register("fresh_tasks", with_sql("v_edits", f"""
-with s as (select scene_id, cast(sum({CHANGED}) as bigint) ch from v_edits group by 1), n as (select *, (scene_id + 3) % 5 + 1 as spy from s)
+with s as (select scene_id, cast(sum({CHANGED}) as bigint) ch, count(*) as boxes, round(sum(greatest(0.0, px - 48)), 6) as lefts from v_edits group by 1), n as (select *, (scene_id + 3) % 5 + 1 as spy from s)
 select 'r1::' || scene_id as task_id, spy as spy_player, '<answer>spy=' || spy || '; changed_attributes=' || ch || '</answer>' as solution,
- array_to_string(list_transform(range(1, 6), lambda p: scene_id || case when p = spy then '_modified.png' else '_original.png' end), ',') as images from n"""))
+ array_to_string(list_transform(range(1, 6), lambda p: scene_id || case when p = spy then '_modified.png' else '_original.png' end), ',') as images, boxes, lefts from n"""))
 def fresh_tasks(spark, sf):
     d = scenes.difficulty(view(spark, sf, "v_edits"))
-    out = C.fresh_tasks(d, 5, F.col("scene_id"), 3, "r1")
-    return out.select("task_id", "spy_player", "solution", F.array_join("image_path", ",").alias("images"))
+    out = C.fresh_tasks(d, 5, F.col("scene_id"), 3, "r1", scenes.scene_boxes(view(spark, sf, "v_edits")))
+    lefts = F.aggregate("gold_boxes", F.lit(0.0), lambda a, b: a + b[0])
+    return out.select("task_id", "spy_player", "solution", F.array_join("image_path", ",").alias("images"),
+                      F.size("gold_boxes").cast("bigint").alias("boxes"), F.round(lefts, 6).alias("lefts"))
 
 
 @register("slot_assignment", with_sql("v_tasks", "select task_id, (task_id + 4) % 6 + 1 as slot from v_tasks"))

@@ -130,17 +130,26 @@ def _grpo_tasks(spark, sf):
     return view(spark, sf, "orders").selectExpr(
         "cast(o_orderkey as string) as task_id", "concat('Q', o_orderkey) as problem", "concat('<answer>', o_orderkey % 7, '</answer>') as solution",
         "if(o_orderkey % 3 = 0, array('a.png'), null) as image", "if(o_orderkey % 5 = 0, 'verified_count_qa', 'clevr_spy') as kind",
-        "o_orderkey % 7 as gold_count", "concat('p', o_orderkey div 2) as pair_id")
+        "o_orderkey % 7 as gold_count", "concat('p', o_orderkey div 2) as pair_id",
+        "array(array(double(o_orderkey % 300), 10D, double(o_orderkey % 300 + 40), 90D), array(5D, 5D, 50D, 60D)) as boxes", "if(o_orderkey % 11 = 0, 0, 320) as width",
+        "240 as height", "o_orderkey % 9 as players", "nullif(o_orderkey % 6, 0) as spy")
 
 
 @register("grpo_rows", """
 select cast(o_orderkey as varchar) as task_id, case when o_orderkey % 3 = 0 then '<image>' || chr(10) else '' end || 'Q' || o_orderkey as human, '<answer>' || o_orderkey % 7 || '</answer>' as gpt,
- case when o_orderkey % 5 = 0 then 'verified_count_qa' else 'clevr_spy' end as task_kind, case when o_orderkey % 5 = 0 then o_orderkey % 7 end as gold_count, case when o_orderkey % 5 = 0 then 'p' || o_orderkey // 2 else '' end as pair_id from orders""")
+ case when o_orderkey % 5 = 0 then 'verified_count_qa' else 'clevr_spy' end as task_kind, case when o_orderkey % 5 = 0 then o_orderkey % 7 end as gold_count, case when o_orderkey % 5 = 0 then 'p' || o_orderkey // 2 else '' end as pair_id,
+ case when o_orderkey % 11 <> 0 and o_orderkey % 300 + 40 <= 320 and o_orderkey % 9 between 2 and 8 and (o_orderkey % 6 = 0 or o_orderkey % 6 <= o_orderkey % 9)
+  then (o_orderkey % 300)::varchar || ',5' else '' end as box_lefts,
+ case when not (o_orderkey % 9 between 2 and 8 and (o_orderkey % 6 = 0 or o_orderkey % 6 <= o_orderkey % 9)) then '' when o_orderkey % 6 > 0 then (o_orderkey % 6)::varchar
+  else array_to_string(range(1, o_orderkey % 9 + 1), ',') end as players, 320 as width from orders""")
 def grpo_rows(spark, sf):
     out = exports.grpo_rows(_grpo_tasks(spark, sf))
     return out.select("task_id", F.col("conversations")[0]["value"].alias("human"), F.col("conversations")[1]["value"].alias("gpt"),
                       F.col("context.task_kind").alias("task_kind"), F.col("context.verified_qa.gold_count").alias("gold_count"),
-                      F.col("context.verified_qa.pair_id").alias("pair_id"))
+                      F.col("context.verified_qa.pair_id").alias("pair_id"),
+                      F.array_join(F.transform("context.grounding.gold_boxes", lambda b: b[0].cast("int").cast("string")), ",").alias("box_lefts"),
+                      F.array_join(F.col("context.grounding.valid_players").cast("array<string>"), ",").alias("players"),
+                      F.col("context.grounding.image_width").alias("width"))
 
 
 @register("scan_step_dumps", with_sql("v_rollouts", """

@@ -216,14 +216,17 @@ def picks(spark, sf):
 
 
 @register("variant_rows", with_sql(("v_proposals", "v_edits"), f"""
-with e as (select scene_id, obj, {CHANGED} as ch, greatest(0.0, px - 48) as x1, least(320.0, px + 48) as x2 from v_edits)
-select p.proposal_id as pick_id, p.proposal_id || '__keep' || array_to_string(list_transform(list_filter(range(0, 5), lambda i: (p.mask >> i) & 1 = 1), lambda i: i + 1), '-') as variant_id,
- cast(sum(ch) as bigint) as num_attr_changes, count(*) as num_objects, round(min(x1), 6) as left_x, round(max(x2), 6) as right_x
-from v_proposals p join e on e.scene_id = p.proposal_id and obj between 1 and 5 and (p.mask >> (obj - 1)) & 1 = 1 group by p.proposal_id, p.mask having sum(ch) > 0"""))
+with e as (select scene_id, obj, {CHANGED} as ch, greatest(0.0, px - 48) as x1, least(320.0, px + 48) as x2, greatest(0.0, py - 48) as y1, least(240.0, py + 48) as y2,
+ count(*) over (partition by scene_id) as total from v_edits),
+p as (select proposal_id, bit_count(mask & 31) as asked, mask, proposal_id || '__keep' || array_to_string(list_transform(list_filter(range(0, 5), lambda i: (mask >> i) & 1 = 1), lambda i: i + 1), '-') as variant_id from v_proposals)
+select p.proposal_id as pick_id, any_value(variant_id) as variant_id, cast(sum(ch) as bigint) as num_attr_changes, count(*) as num_objects,
+ string_agg(printf('%.3f,%.3f,%.3f,%.3f', x1, y1, x2, y2), ';' order by obj, x1, y1, x2, y2) as boxes, count(*) < any_value(total) as spliced,
+ case when count(*) < any_value(total) then any_value(variant_id) || '_r48.png' else p.proposal_id || '_modified.png' end as spy_image
+from p join e on e.scene_id = p.proposal_id and obj between 1 and 5 and (p.mask >> (obj - 1)) & 1 = 1 group by p.proposal_id having sum(ch) > 0 and count(*) = any_value(asked)"""))
 def variant_rows(spark, sf):
     out = scenes.variant_rows(picks(spark, sf), view(spark, sf, "v_edits"))
-    return out.select("pick_id", "variant_id", "num_attr_changes", "num_objects", F.round("left", 6).alias("left_x"),
-                      F.round("right", 6).alias("right_x"))
+    text = F.array_join(F.transform("gold_boxes", lambda b: F.format_string("%.3f,%.3f,%.3f,%.3f", b[0], b[1], b[2], b[3])), ";")
+    return out.select("pick_id", "variant_id", "num_attr_changes", "num_objects", text.alias("boxes"), "spliced", "spy_image")
 
 
 @register("overlap_anti", with_sql(("v_proposals", "v_edits"), """
