@@ -145,6 +145,16 @@ def _hits(text: Column, words: tuple[str, ...]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
 
 
+# Cost of the votes a clue's author received, and the voters of a game when unknown.
+CLUE_VOTE_COST, USUAL_VOTERS = 0.6, 4
+
+
+def clue_with_votes(content: Column, votes_received: Column, total_voters: Column) -> Column:
+    """Clue score less the share of the others' votes against its author; without votes the content alone."""
+    others = F.greatest(F.lit(1), F.coalesce(total_voters, F.lit(USUAL_VOTERS)) - 1)
+    return F.when(votes_received.isNull(), content).otherwise(content - CLUE_VOTE_COST * votes_received / others)
+
+
 def clue_content(text: Column, repetition: Column) -> Column:
     """Content score of a clue: vocabulary gains, then repetition, leak, vagueness and length costs."""
     gains = ((COLORS, 0.2), (SHAPES, 0.25), (POSITIONS, 0.2), (SIZES, 0.15), (RELATIONS, 0.1))

@@ -23,7 +23,7 @@ SQL_TYPES: dict[str, dict[str, str]] = {
     "answer_score": {"fields": "double"},
     "basic_format": {"score": "double"},
     "box_convert": {"sum_y2": "double"},
-    "clue_content": {"score": "double"},
+    "clue_content": {"score": "double", "voted": "double"},
     "clue_repetition": {"penalty": "double"},
     "count_qa_score": {"score": "double"},
     "decision_accuracy": {"accuracy": "double"},

@@ -240,10 +240,16 @@ s as (select event_id, 0.2 + 0.2 * c1::int + 0.25 * c2::int + 0.2 * c3::int + 0.
  + 0.05 * regexp_matches(low, '\\b(larger|smaller|bigger|taller|shorter)\\s+than\\b')::int + 0.05 * regexp_matches(low, '\\bto the (left|right|front|behind)\\s+of\\b')::int
  + 0.05 * regexp_matches(low, '\\b(next to|beside|near|far from)\\b')::int + 0.05 * regexp_matches(low, '\\b(same|different)\\s+(color|size|shape)\\b')::int
  + 0.05 * (c1 and c2)::int as raw from k)
-select event_id, round(greatest(0.0, least(1.0, raw)), 6) as score from s""")
+select event_id, round(greatest(0.0, least(1.0, raw - case event_id % 3 when 1 then 0.2 when 2 then 0.4 else 0 end)), 6) as score,
+ round(greatest(0.0, least(1.0, raw - case event_id % 3 when 1 then 0.2 when 2 then 0.4 else 0 end))
+  - case when event_id % 4 = 0 then 0 else 0.6 * (event_id % 4) / greatest(1, case when event_id % 5 = 0 then 3 else event_id % 5 - 1 end) end, 6) as voted from s""")
 def clue_content(spark, sf):
     text = F.concat(F.lit("<think>I looked at every object</think><answer>"), F.col("clue"), F.lit("</answer>"))
-    return clues(spark, sf).select("event_id", F.round(G.clue_content(text, F.lit(0.0)), 6).alias("score"))
+    repetition = F.element_at(F.array(F.lit(0.0), F.lit(0.2), F.lit(0.4)), (F.col("event_id") % 3 + 1).cast("int"))
+    scored = clues(spark, sf).select("event_id", G.clue_content(text, repetition).alias("s"))
+    votes = F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4)
+    voters = F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 5)
+    return scored.select("event_id", F.round("s", 6).alias("score"), F.round(G.clue_with_votes(F.col("s"), votes, voters), 6).alias("voted"))
 
 
 @register("pairwise_jaccard", """

@@ -237,13 +237,29 @@ def rollout_export_context(spark, sf):
                      F.coalesce("gx", F.col("gen_index") % 200).alias("x1"))
 
 
+# Claims by rollout: exact, one too many, one missing, a malformed one; gold facts of most tasks, one of them twice.
+CLAIMS = ("<change>color:red->blue</change><change>size:small->large</change><change>color:red->blue</change>",
+          "<change>color:red->blue</change><change>color:red->blue</change><change>size:small->large</change><change>shape:cube->sphere</change>",
+          "<change>color:red->blue</change><change>size:small->large</change>",
+          "<change>color:red->blue</change><change>color:red->blue</change><change>size:small->large</change><change>size:small</change>")
+
+
 @register("visual_certificate", with_sql(("v_texts", "v_gold_boxes"), VECTOR_SQL + """
-select gen_index, coalesce(spy = spy_gold and changed = changed_gold, false) and format_valid and not shortcut_detected and grounding >= 0.05 as certified from vec"""))
+select gen_index, coalesce(spy = spy_gold and changed = changed_gold, false) and format_valid and not shortcut_detected and grounding >= 0.05
+ and gen_index % 4 = 0 and task_id % 7 <> 3 and task_id % 5 <> 0 and task_id % 11 <> 2 as certified from vec"""))
 def visual_certificate(spark, sf):
-    from rollscope.operators.certificate import answer_certificate
+    from rollscope.operators.certificate import visual_certificate as certify
 
     df = scored(spark, sf)
-    return df.select("gen_index", answer_certificate(df, min_grounding=0.05, need_player=False).alias("certified"))
+    said = F.element_at(F.array(*[F.lit(c) for c in CLAIMS]), (F.col("gen_index") % 4 + 1).cast("int"))
+    df = df.withColumn("claimed", F.concat(F.lit("<think>x</think>"), said, F.lit("<answer>y</answer>")))
+    # The accepted task differs for some tasks and is absent for others; some have no gold facts.
+    tasks = df.groupBy("task_id").agg(F.min("spy_gold").alias("spy"), F.min("changed_gold").alias("changed"))
+    accepted = tasks.filter("task_id % 11 <> 2").withColumn("spy", F.when(F.col("task_id") % 7 == 3, -1).otherwise(F.col("spy")))
+    gold = tasks.filter("task_id % 5 <> 0").selectExpr(
+        "task_id", "inline(array(struct('color' attribute, 'red' before, 'blue' after, 2 n), struct('size' attribute, 'small' before, 'large' after, 1 n)))")
+    out = certify(df, accepted, gold, claims="claimed", min_grounding=0.05, need_player=False)
+    return out.select("gen_index", "certified")
 
 
 @register("judge_candidates", with_sql("v_texts", """
