@@ -57,7 +57,7 @@ def text_values(col: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
 
 
 def add_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fields: T.StructType,
-                text: str = "text", slice_bytes: int = 8 << 20, keep_text: bool = False) -> DataFrame:
+                text: str = "text", slice_bytes: int = 2 << 20, keep_text: bool = False) -> DataFrame:
     """Rows plus columns computed from each text in Arrow batches.
 
     `make()` runs once per task and returns a function from a list of texts (UTF-8, null as empty) to one value list
@@ -115,7 +115,7 @@ class WordTable:
     that are encoded again in each slice, so memory stays bounded and no word is left out.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 200_000) -> None:
         self.encode, self.limit = encode, limit
         self.ids = WordIds()
         self.n = np.zeros(0, np.int32)

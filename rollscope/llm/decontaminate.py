@@ -27,7 +27,7 @@ from rollscope.llm.common import WordIds, add_columns, stored
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 # ASCII letters to lower case, other ASCII characters but digits to blanks; bytes of other characters stay.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))

@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             return [np.round(model.scores([passages.rows(x) for x in texts]), 6)]
         return run
 
-    return add_columns(docs, make, T.StructType([T.StructField("score", T.DoubleType())]), text, slice_bytes=2 << 20)
+    return add_columns(docs, make, T.StructType([T.StructField("score", T.DoubleType())]), text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7,

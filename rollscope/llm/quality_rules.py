@@ -48,7 +48,7 @@ FIELDS = T.StructType(
 
 
 @functools.cache
-def piece_table(model_path: str, limit: int = 300_000) -> tuple[WordTable, np.ndarray]:
+def piece_table(model_path: str, limit: int = 200_000) -> tuple[WordTable, np.ndarray]:
     """Pieces of each word and the flags of byte pieces, kept by a worker for all its tasks. Pieces never cross words."""
     import sentencepiece
 

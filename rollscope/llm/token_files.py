@@ -110,7 +110,7 @@ def word_pieces(text: bytes) -> list[bytes]:
 
 
 @functools.cache
-def word_encoder(tokenizer_path: str, limit: int = 300_000) -> WordTable:
+def word_encoder(tokenizer_path: str, limit: int = 200_000) -> WordTable:
     """Word table over a tokenizers file. A worker process keeps it for all its tasks: each distinct word is encoded once."""
     import os
 
@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, doc_id: s
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for lo, part in slices(text_values(batch.column(1)), 4 << 20):
+            for lo, part in slices(text_values(batch.column(1)), 2 << 20):
                 for key, x in zip(keys[lo:lo + len(part)], text_ids(table, part)):
                     ids.append(np.append(x, np.int32(end_id)))
                     lengths.append(len(x) + 1)
