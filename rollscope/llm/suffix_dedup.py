@@ -11,8 +11,8 @@ windows meet wherever they stand, and consecutive windows with one anchor form o
    order give the longest previous factor of each, and larger ones the longest next factor.
 3. Every document unites its repeated starts.
 
-An anchor with more than `crowded` different segments is split by the windows themselves: into blocks of `BLOCK` starts,
-by the hash of the bytes that all windows of a block share. Equal windows still meet, and no task gets a whole crowd.
+An anchor with more than `crowded` different segments (the borders of a passage that very many documents share) is no
+task's group: the windows of its segments are counted one by one by their hash, partial counts first.
 
 Defined results: null text is empty; texts below `length` bytes keep everything; rows that are equal in id and text
 are copies of each other and treated alike (none of them is the later one); an empty table gives an empty result.
@@ -34,7 +34,6 @@ from rollscope.llm.common import stored, text_values
 
 LENGTH = 400
 ANCHOR = 200
-BLOCK = 16
 CROWDED = 4096
 CHUNK_BYTES = 3 << 20
 
@@ -189,7 +188,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 # ---- tables ----
 
 SEGMENT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "row", "anchor", "seg")]
-                       + [T.StructField(n, T.IntegerType()) for n in ("lo", "n", "at")])
+                       + [T.StructField(n, T.IntegerType()) for n in ("lo", "n")])
 PART = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "row", "group")]
                     + [T.StructField("lo", T.IntegerType()), T.StructField("text", T.BinaryType())])
 SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "row")]
@@ -205,10 +204,10 @@ def _segment_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
             for doc, key, text in zip(ids, keys, text_values(batch.column(2))):
                 if len(text) < length:
                     continue
-                anchors, whole, first, n, at = segments(text, length, anchor, powers)
+                anchors, whole, first, n, _ = segments(text, length, anchor, powers)
                 held.append(pa.RecordBatch.from_arrays(
                     [pa.array([doc] * len(n), pa.int64()), pa.array(np.full(len(n), key)), pa.array(anchors), pa.array(whole),
-                     pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=SEGMENT.names))
+                     pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=SEGMENT.names))
                 size += len(n)
                 if size > 50_000:
                     yield from pa.Table.from_batches(held).combine_chunks().to_batches()
@@ -220,26 +219,15 @@ def _segment_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _parts(docs: DataFrame, length: int) -> DataFrame:
-    """Text of the wanted segments of each document; crowded ones in blocks keyed by what their windows share."""
+    """Text of the wanted segments of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             for doc, key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                               text_values(batch.column(2)), batch.column(3).to_pylist()):
                 for w in wanted:
-                    lo, n, anchor = w["lo"], w["n"], w["anchor"]
-                    if not w["crowd"]:
-                        out.append((doc, key, anchor, lo, text[lo:lo + n + length - 1]))
-                    else:
-                        # Blocks lie at fixed offsets from the anchor, so equal windows have equal blocks. Every window
-                        # that starts in [a, z] covers text[z:a + length].
-                        for b in range((lo - w["at"]) // BLOCK, (lo + n - 1 - w["at"]) // BLOCK + 1):
-                            a = w["at"] + b * BLOCK
-                            z = a + BLOCK - 1
-                            shared = xxhash.xxh3_64_intdigest(text[z:a + length], b & 0xFFFFFFFF) ^ (anchor & (2**64 - 1))
-                            s, e = max(a, lo), min(z, lo + n - 1)
-                            out.append((doc, key, shared - (shared >> 63 << 64), s, text[s:e + length]))
-                    size += n + length
+                    out.append((doc, key, w["anchor"], w["lo"], text[w["lo"]:w["lo"] + w["n"] + length - 1]))
+                    size += w["n"] + length
                     if size > 4 << 20:
                         yield _batch(out, PART)
                         out, size = [], 0
@@ -249,6 +237,29 @@ def _parts(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, PART)
 
 
+WINDOW = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "row", "anchor", "h")] + [T.StructField("lo", T.IntegerType())])
+
+
+def _windows(docs: DataFrame, length: int) -> DataFrame:
+    """Hash of every owned window of the wanted segments."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                              text_values(batch.column(2)), batch.column(3).to_pylist()):
+                for w in wanted:
+                    for lo in range(w["lo"], w["lo"] + w["n"]):
+                        h = xxhash.xxh3_64_intdigest(text[lo:lo + length])
+                        out.append((doc, key, w["anchor"], h - (h >> 63 << 64), lo))
+                if len(out) > 100_000:
+                    yield _batch(out, WINDOW)
+                    out = []
+            if out:
+                yield _batch(out, WINDOW)
+
+    return docs.mapInArrow(run, WINDOW)
+
+
 def _batch(rows: list[tuple], kind: T.StructType) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -330,7 +341,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     segs = stored(_segment_rows(rows, length, anchor), "segments")
-    place = F.struct("doc_id", "row", "lo", "n", "at")
+    place = F.struct("doc_id", "row", "lo", "n")
     kinds = segs.groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.min(place).alias("rep"))
     shared = kinds.groupBy("anchor").agg(F.sum("c").alias("total"), F.count("*").alias("m")).filter("total > 1")
     hit = stored(kinds.join(shared, "anchor").select("anchor", "seg", "c", "rep", "m"), "shared")
@@ -340,12 +351,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         whole = whole.filter(~place.eqNullSafe(F.col("rep")))
     whole = whole.select("doc_id", "row", "lo", (F.col("lo") + F.col("n")).alias("hi"))
 
-    wanted = hit.filter("m > 1").select("rep.*", "anchor", (F.col("m") > crowded).alias("crowd")).groupBy("doc_id", "row").agg(
-        F.collect_list(F.struct("lo", "n", "at", "anchor", "crowd")).alias("wanted"))
-    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "wanted")
-    texts = rows.join(w, (F.col("row") == F.col("w_row")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    parts = _parts(texts.select("doc_id", "row", "text", "wanted"), length)
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        """Documents with the segments that one representative of each kind of segment is to be read from."""
+        w = chosen.select("rep.*", "anchor").groupBy("doc_id", "row").agg(
+            F.collect_list(F.struct("lo", "n", "anchor")).alias("wanted")).select(
+            F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "wanted")
+        joined = rows.join(w, (F.col("row") == F.col("w_row")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+        return joined.select("doc_id", "row", "text", "wanted")
+
+    parts = _parts(texts_of(hit.filter((F.col("m") > 1) & (F.col("m") <= crowded))), length)
     compared = _compare(parts.repartition("group").sortWithinPartitions("group", "doc_id", "row", "lo"), length, keep_first)
+    crowd = hit.filter(F.col("m") > crowded)
+    if not crowd.isEmpty():
+        # Equal rows give equal windows: one of them speaks for all.
+        windows = stored(_windows(texts_of(crowd), length), "windows")
+        start = F.struct("doc_id", "row", "lo")
+        counts = windows.groupBy("anchor", "h").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter(
+            ~F.col("first").eqNullSafe(F.col("last")))
+        again = windows.join(counts, ["anchor", "h"])
+        again = again.filter(~start.eqNullSafe(F.col("first"))) if keep_first else again
+        compared = compared.union(again.select("doc_id", "row", "lo", (F.col("lo") + 1).alias("hi")))
 
     spans = whole.union(compared).groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
     s = spans.select(F.col("doc_id").alias("s_id"), F.col("row").alias("s_row"), "starts")
