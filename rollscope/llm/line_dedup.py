@@ -1,15 +1,17 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. The share of a line is the number of the host's pages that contain it, divided by the host's
-page total; lines above a boilerplate share are dropped from all pages of the host. Everything is DataFrame
+page total; lines on at least two pages and above a boilerplate share are dropped from all pages of the host, however small
+it is. Everything is DataFrame
 operations: distinct lines of a page are counted by partial aggregates, and the few lines per host that are dropped
 (at most lines per page / share of them) go back to its pages in one join on host and one of `SALTS` parts, so a host
 with a third of all pages is no single key.
 
 Defined results: a page without a host (null or unusable url) keeps all its lines; null html has no lines; lines are
 compared after white space is collapsed, empty ones are left out; a line twice on a page counts once for its share;
-equal rows count as pages each; hosts with fewer than `least_pages` pages keep all lines; an empty table gives an empty
-result. Extra columns are not read.
+equal rows count as pages each; a line on one page alone stays, so the only page of a host keeps all its lines; hosts with
+fewer than `least_pages` pages, where a caller asks for that, keep theirs; an empty table gives an empty result. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from rollscope.llm.common import stored
 
 SHARE = 0.25
+# A line that is dropped stands on so many pages of its host.
+LEAST_ON = 2
+# Host cut of the SQL check; the query has none.
 LEAST_PAGES = 8
 SALTS = 32
 # Parts without text, tags that end a line, other tags, entities. The order is that of their use.
@@ -53,21 +58,21 @@ def page_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
                         html_lines(F.col(f"`{html}`")).alias("lines"))
 
 
-def boilerplate(lines: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(lines: DataFrame, share: float = SHARE, least_pages: int = 1) -> DataFrame:
     """host, hashes of its boilerplate lines, from (host, lines) rows."""
     hosted = lines.filter("host is not null")
     totals = hosted.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     counts = hosted.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")).groupBy(
         "host", "line").agg(F.count("*").alias("n"))
-    # A line above the share stands on at least this many pages of any host that is looked at.
-    often = counts.filter(F.col("n") > share * least_pages).withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
+    # A line above the share stands on more than this many pages of any host that is looked at.
+    often = counts.filter((F.col("n") >= LEAST_ON) & (F.col("n") > share * least_pages)).withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
     spread = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     above = often.join(spread, ["host", "salt"]).filter(F.col("n") > share * F.col("pages"))
     return above.groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
 def drop_boilerplate(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", share: float = SHARE,
-                     least_pages: int = LEAST_PAGES) -> DataFrame:
+                     least_pages: int = 1) -> DataFrame:
     """page_id, host, n_lines, n_dropped, text (remaining lines) of each page row."""
     lines = stored(page_lines(pages, page_id, url, html), "page-lines")
     found = boilerplate(lines, share, least_pages).withColumn(

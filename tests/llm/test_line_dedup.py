@@ -47,3 +47,15 @@ def test_against_brute_force(spark):
         assert got == brute(rows(), share, least)
     assert any(r[3] for r in brute(rows(), 0.25, 8))
     assert drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_small_hosts(spark):
+    pages = [(i, "http://seven.example/a", f"<p>Menu</p><p>own {i}</p>") for i in range(7)]
+    pages += [(10 + i, "http://two.example/a", f"<p>{'Menu' if i < 2 else ''}</p><p>own {i}</p>") for i in range(2)]
+    pages += [(20, "http://one.example/a", "<p>Menu</p><p>Menu</p>")]
+    pages += [(30 + i, "http://eight.example/a", f"<p>{'Menu' if i < 2 else 'Foot' if i < 5 else ''}</p><p>own {i}</p>") for i in range(8)]
+    got = {r.page_id: (r.n_dropped, r.text) for r in drop_boilerplate(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (1, f"own {i}") for i in range(7))
+    assert got[10] == (1, "own 0") and got[11] == (1, "own 1") and got[20] == (0, "Menu\nMenu")
+    # Two of eight pages are not above the share, three are.
+    assert got[30] == (0, "Menu\nown 0") and got[32] == (1, "own 2")
