@@ -1,6 +1,9 @@
+import base64
 import math
+import random
 import re
 from collections import Counter
+from urllib.parse import quote
 
 import public_tokenizers
 import sentencepiece
@@ -68,3 +71,32 @@ def test_filter(spark, docs_of):
     assert left.columns == docs.columns
     assert [r.doc_id for r in left.collect()] == [1, 1]
     assert keep_good(docs.limit(0), PATH).count() == 0
+
+
+FRENCH = ("L'été dernier, la présidente a préféré répéter à des élèves très étonnés que le théâtre où elle était née avait été "
+          "fermé, même après plusieurs années passées à côté d'un café célèbre.")
+RUSSIAN = ("Комитет собрался во вторник, чтобы обсудить годовой бюджет, несколько членов задали вопросы о ремонте дорог, и "
+           "председатель обещал письменный ответ до следующего заседания в старой ратуше.")
+CHINESE = "委员会 在 星期二 开会 讨论 年度 预算 几位 成员 提出 关于 道路 维修 的 问题 主席 答应 在 下次 会议 之前 给出 书面 答复 并且 感谢 大家"
+HINDI = ("समिति की बैठक मंगलवार को वार्षिक बजट पर चर्चा के लिए हुई और कई सदस्यों ने सड़क की मरम्मत के बारे में सवाल उठाए तथा अध्यक्ष ने "
+         "लिखित उत्तर देने का वादा किया")
+GERMAN = ("Größere Städte müssen für ihre Bürger täglich verfügbare Räume öffnen, während ältere Häuser schön geprüft würden und die "
+          "Schlüssel später über die Straße zurück zu den Eigentümern gehören, damit künftig niemand grüßen müsste.")
+
+
+def test_bands(spark, docs_of):
+    rng = random.Random(1)
+    good = [SENTENCE, FRENCH, RUSSIAN, CHINESE, HINDI, GERMAN]
+    encoded = "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(60))
+    escaped = [" ".join(w.encode("unicode_escape").decode() for w in x.split()) for x in (RUSSIAN, CHINESE)]
+    percent = [" ".join(quote(w) for w in x.split()) for x in (FRENCH, GERMAN, RUSSIAN)]
+    mojibake = [x.encode().decode("latin-1") for x in (FRENCH, RUSSIAN, CHINESE, HINDI)]
+    spelled = SENTENCE + " \U00013000"
+    bad = [encoded, *escaped, *percent, *mojibake, spelled]
+    rows = {r.doc_id: r for r in quality_rules(docs_of(list(enumerate(good + bad))), PATH).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert [rows[i].kept for i in range(len(rows))] == [True] * len(good) + [False] * len(bad)
+    # These pass by entropy: only the characters per token, or the byte share, tell them apart.
+    by_entropy = [rows[len(good)], rows[len(rows) - 1]]
+    assert all(r.entropy >= 0.75 * math.log2(min(r.n_tokens, 64)) for r in by_entropy)
+    assert 0.05 < by_entropy[1].byte_share <= 0.15 and 1.5 < by_entropy[1].chars_per_token < 6
