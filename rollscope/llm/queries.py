@@ -176,3 +176,61 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollscope.llm.line_dedup import drop_boilerplate
 
     return drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
+VECTOR = "list_transform(embedding, lambda x: floor(256 * x::double)::bigint)"
+FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)"
+DOT = "coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda z: coalesce(z[1] * z[2], 0))), 0)::bigint"
+
+OP11_SQL = f"""
+with kept as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+                     {VECTOR} as v from embeddings where label is not null and {FINITE}),
+scores as (select a.r as a, a.vec_id as anchor_id, b.r as b, b.vec_id, a.label = b.label as same, {DOT.format(a="a.v", b="b.v")} as score
+           from kept a join kept b on a.vec_id % 50 = 0 and a.r <> b.r),
+pos as (select *, row_number() over (partition by a order by score desc, vec_id nulls last, b) as k from scores where same),
+neg as (select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+               row_number() over (partition by p.a, p.b order by n.score desc, n.vec_id nulls last, n.b) as rank
+        from pos p join scores n on p.a = n.a and p.k <= 5 and not n.same
+             and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from neg where rank <= 3
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def _op13_sql() -> str:
+    from rollscope.llm.centroids import DIMS, K, ROUNDS, SEED
+
+    parts = [f"""
+kept as materialized (select row_number() over () as r, vec_id, {VECTOR} as v from embeddings where len(embedding) = {DIMS} and {FINITE}),
+c0 as materialized (select row_number() over (order by h, v) - 1 as cluster, v
+    from (select sha256('{SEED}:' || vec_id) as h, v from kept where vec_id is not null order by h, v limit {K}) t)"""]
+    for i in range(ROUNDS + 1):
+        parts.append(f"""
+a{i} as materialized (select k.r, min({{'d': list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint,
+    'c': c.cluster}}) as near from kept k, c{i} c group by k.r)""")
+        if i < ROUNDS:
+            parts.append(f"""
+m{i} as (select near.c as cluster, p, sum(x)::bigint as s, count(*)::bigint as n
+    from (select near, unnest(v) as x, generate_subscripts(v, 1) as p from kept join a{i} using (r)) t group by 1, 2),
+c{i + 1} as materialized (select c.cluster, coalesce(t.v, c.v) as v from c{i} c left join
+    (select cluster, list((s - ((s % n) + n) % n) // n order by p) as v from m{i} group by 1) t using (cluster))""")
+    return f"""with {",".join(parts)}
+select vec_id, near.c::int as cluster, near.d as distance, (sum(near.d) over (partition by near.c))::bigint as cluster_inertia,
+       (sum(near.d) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{ROUNDS} a join kept using (r) join c{ROUNDS} c on c.cluster = near.c
+"""
+
+
+@query("op13_centroid_clusters", _op13_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
