@@ -234,3 +234,10 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollscope.llm.centroids import cluster
 
     return cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_html_content")
+def op12_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rollscope.llm.html_content import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
