@@ -24,8 +24,6 @@ from rollscope.llm.common import stored
 SHARE = 0.25
 # A line that is dropped stands on so many pages of its host.
 LEAST_ON = 2
-# Host cut of the SQL check; the query has none.
-LEAST_PAGES = 8
 SALTS = 32
 # Parts without text, tags that end a line, other tags, entities. The order is that of their use.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"

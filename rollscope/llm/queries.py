@@ -149,7 +149,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    from rollscope.llm.line_dedup import BLOCKS, ENTITIES, HIDDEN, HOST, LEAST_PAGES, SHARE, TAGS
+    from rollscope.llm.line_dedup import BLOCKS, ENTITIES, HIDDEN, HOST, LEAST_ON, SHARE, TAGS
 
     text = "coalesce(html, '')"
     for pattern, by in ((HIDDEN, "''"), (BLOCKS, "chr(10)"), (TAGS, "''")):
@@ -160,9 +160,9 @@ def _op9_sql() -> str:
 with cut as (select row_number() over () as r, page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') as host,
              list_filter(list_transform(regexp_split_to_array({text}, '[\n\r]'),
                  lambda x: trim(regexp_replace(x, '[ \t\x0b\f]+', ' ', 'g'))), lambda x: x <> '') as lines from pages),
-totals as (select host, count(*) as pages from cut where host is not null group by 1 having count(*) >= {LEAST_PAGES}),
+totals as (select host, count(*) as pages from cut where host is not null group by 1),
 counts as (select host, line, count(*) as n from (select host, unnest(list_distinct(lines)) as line from cut) group by 1, 2),
-gone as (select host, list(line) as dropped from counts join totals using (host) where n > {SHARE}::double * pages group by 1),
+gone as (select host, list(line) as dropped from counts join totals using (host) where n >= {LEAST_ON} and n > {SHARE}::double * pages group by 1),
 kept as (select c.*, case when g.dropped is null then lines
                      else list_filter(lines, lambda x: not list_contains(g.dropped, x)) end as left_lines
          from cut c left join gone g on c.host = g.host)
