@@ -31,7 +31,53 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write rows as a Parquet table in the shared folder and read them back: lineage is cut, lost executors lose nothing."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by `stored` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+# Bits per wanted key, and the most bits, of the filter below: 16 MB at most are sent to the executors.
+KEY_BITS, MOST_KEY_BITS = 16, 1 << 27
+
+
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, other: bool = False) -> DataFrame:
+    """Rows whose key is in the one long column of `wanted`, and a few more; with `other` the rest of the rows.
+
+    A bitmap of hashed keys is applied where the rows are, so that a join that follows shuffles little else than its
+    matches. Its size is bounded; with more keys than it has room for it lets more rows pass, but never drops a match.
+    """
+    name, names = wanted.columns[0], df.columns
+    bits = 1 << 15
+    n = wanted.count()
+    while bits < min(MOST_KEY_BITS, KEY_BITS * n):
+        bits *= 2
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c, F.lit(3)), F.lit(bits))
+
+    at = place(F.col(name)) + 1
+    parts = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        lo = (r["part"] - 1) * 4096
+        bitmap[lo:lo + 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            left = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
+            yield left.filter(pa.array((bitmap[p >> 3] >> (p & 7) & 1) != other))
+
+    return df.withColumn("__place", place(key)).mapInArrow(run, df.schema)
 
 
 def crc_mod(doc_id: str, n: int) -> Column:

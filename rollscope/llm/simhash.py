@@ -55,6 +55,15 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(packed.view("<i8")[0])
 
 
+def packed_majority(hashes: np.ndarray) -> int:
+    """Signed number of the bits that are set in over half of the 64-bit hashes; zero without any."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at:at + (1 << 16)].astype("<i8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp of each document row."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))

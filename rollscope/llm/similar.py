@@ -1,37 +1,49 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicates by SimHash candidates and exact Jaccard similarity of word shingles, for the pipeline.
 
-Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from a
-prefix filter, which misses no such pair: if all sets are put in one order of shingles, two similar ones share a shingle
-among the first n - ceil(0.8 n) + 1 of each. The order is by hash, with the shingles that are frequent in a sample last,
-so a common passage stands in few prefixes; any order gives the same result. Every candidate is compared by its whole sets.
+Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. SimHash alone cannot find
+these pairs: at 0.8 two fingerprints differ by about 10 of 64 bits, too many for Hamming balls. So its multi-index
+search (at most 4 bits apart) gives the first candidates, and a prefix filter, which misses no pair, gives the rest: if all sets
+are put in one order of shingles, two similar ones share a shingle among the first n - ceil(0.8 n) + 1 of each. The order is by
+hash, with frequent shingles last, so a common passage stands in few prefixes; any order gives the same result. Frequent are those of
+a sample and, by counts over all prefixes of the corpus, those that more than `HOT` of them hold.
 
-Copies meet as distinct sets. A few rounds compare the members of a prefix shingle with one of them only; then members of
-different components are compared, but never those of the largest component of a shingle with each other, since they are
-connected already.
+Each text's hashes are counted in 256 classes. The smaller counts of two texts sum to an upper bound of their common shingles;
+pairs below the threshold go by these counts alone, the others are compared by their whole sets.
 
-Defined results: null and empty texts have the empty set and are copies of each other; a text under five words is one
-shingle; ASCII letters are compared in lower case. A group keeps exactly one row: that of the smallest doc_id (a null id
-only if there is no other), of the smallest text hash if rows with one id differ, and any one of rows equal in id and
-text. Rows are judged one by one, so a row stays whatever happens to another row with its id.
+Copies meet as distinct sets. First the members of a SimHash component and then those of a prefix shingle are compared with one of
+them only; then members of different components are compared, but never those of the largest component of a shingle with each
+other, since they are connected already. Joins on rare keys see rows that a bitmap of the keys lets pass (`maybe_in`), so texts
+and shingles without a partner are not shuffled. Stored tables are removed once their successors are stored.
+
+Defined results: null and empty texts have the empty set and are copies of each other; a text under five words is one shingle;
+texts of any length are compared whole; ASCII letters are compared in lower case. A group keeps exactly one row: that of the smallest
+doc_id (a null id only if there is no other), of the smallest text hash if rows with one id differ, and any one of rows equal in id and
+text. Rows are judged one by one, so a row stays whatever happens to another row with its id. All columns stay as they are, whatever
+their names (but for names that start with two underscores); an empty table stays empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollscope.llm.common import add_columns, stored
+from rollscope.llm.common import add_columns, maybe_in, release, stored
 from rollscope.llm.components import connected_components
-from rollscope.llm.simhash import LOWER
+from rollscope.llm.simhash import LOWER, links, packed_majority
 
 SHINGLE = 5
 # Similarity of at least 4 / 5.
 NUM, DEN = 4, 5
 SAMPLE_ROWS, SAMPLE_LEAST, MOST_FREQUENT = 4000, 3, 200_000
-STAR_ROUNDS = 2
+# Prefix shingles of more distinct sets than HOT are moved behind the others, in so many further passes at most.
+HOT, HOT_PASSES = 2000, 2
+CLASSES = 256
 
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -48,8 +60,8 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter([digest(joined[a:b]) for a, b in pairs], np.uint64)).view(np.int64)
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that are frequent in a sample, sorted, and their ranks by frequency."""
+def _frequent(docs: DataFrame) -> list[int]:
+    """Hashes of shingles that are frequent in a sample, the most frequent first."""
     n = docs.count()
     part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(
         min(1 << 20, SAMPLE_ROWS * (1 << 20) // max(1, n)))).distinct()
@@ -57,37 +69,53 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sets = add_columns(part, lambda: lambda texts: [[shingles(x) for x in texts]], field)
     top = sets.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= SAMPLE_LEAST).orderBy(
         F.desc("count"), "s").limit(MOST_FREQUENT).collect()
-    found = np.array([r["s"] for r in top], np.int64)
-    order = np.argsort(found)
-    # The most frequent comes first in `top` and goes last in a prefix.
-    return found[order], -order
+    return [r["s"] for r in top]
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (hash of the set), n (its size), prefix of each row."""
-    frequent, rank = _frequent(docs)
-    fields = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("prefix", T.ArrayType(T.LongType()))])
+def _prefixes(docs: DataFrame, often: list[int]) -> DataFrame:
+    """doc_id, text_hash, node (hash of the set), n (its size), fp, classes, prefix of each row. `often`: most frequent first."""
+    found = np.array(often, np.int64)
+    order = np.argsort(found)
+    frequent, rank = found[order], -order
+    fields = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()),
+                           T.StructField("classes", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def make():
         def run(texts: list[bytes]) -> list[list]:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, fps, classes, prefixes = [], [], [], [], []
             for x in texts:
                 h = shingles(x)
                 nodes.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)))
                 sizes.append(len(h))
+                fps.append(packed_majority(h))
+                c = np.bincount(h & (CLASSES - 1), minlength=CLASSES)
+                classes.append(c.astype(np.uint8).tobytes() if c.max() < 256 else None)
                 if len(frequent) and len(h):
                     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    often = frequent[at] == h
-                    late = h[often][np.argsort(rank[at[often]], kind="stable")]
-                    h = np.concatenate([h[~often], late])
+                    late = frequent[at] == h
+                    h = np.concatenate([h[~late], h[late][np.argsort(rank[at[late]], kind="stable")]])
                 prefixes.append(h[:len(h) - -(-NUM * len(h) // DEN) + 1])
-            return [nodes, sizes, prefixes]
+            return [nodes, sizes, fps, classes, prefixes]
         return run
 
     return add_columns(docs, make, fields)
 
 
+def _possible(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes allow enough common shingles, from rows a, na, ca, b, nb, cb."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, na, ca, b, nb, cb = (batch.column(i) for i in range(6))
+            both = (ca.is_valid().to_numpy(zero_copy_only=False)) & (cb.is_valid().to_numpy(zero_copy_only=False))
+            keep = np.ones(len(both), bool)
+            x, y = (np.frombuffer(b"".join(c.filter(pa.array(both)).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in (ca, cb))
+            total = (na.to_numpy(zero_copy_only=False) + nb.to_numpy(zero_copy_only=False))[both]
+            keep[both] = (NUM + DEN) * np.minimum(x, y).sum(1, dtype=np.int64) >= NUM * total
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -95,69 +123,136 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter((NUM + DEN) * common >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def components(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, root for every set that shares a prefix shingle with another. `rows` as _prefixes gives them, `docs` with text and text_hash."""
-    sets = rows.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("p", "s"))
-    sets = stored(sets, "prefixes")
-    shared = sets.groupBy("s").count().filter("count > 1").select("s")
-    meet = stored(sets.join(shared, "s"), "shared")
-    members = meet.select("node").distinct()
-    field = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))])
-
-    def whole(pairs: DataFrame) -> DataFrame:
-        """Complete sets of the candidates alone, from one text of each."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-        chosen = docs.select("text_hash", "text").join(texts, "text_hash")
-        return stored(add_columns(chosen, lambda: lambda t: [[shingles(x) for x in t]], field).select("node", "hashes")
-                      .dropDuplicates(["node"]), "sets")
-
-    roots = members.select("node", F.col("node").alias("root"))
-    edges = None
-
-    def fits(a: str, b: str):
-        return ((DEN * F.least(f"{a}.n", f"{b}.n") >= NUM * F.greatest(f"{a}.n", f"{b}.n"))
-                & ((NUM + DEN) * F.least(F.col(f"{a}.n") - F.col(f"{a}.p"), F.col(f"{b}.n") - F.col(f"{b}.p"))
-                   >= NUM * (F.col(f"{a}.n") + F.col(f"{b}.n"))))
-
-    def grown(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        near = stored(pairs.distinct(), "pairs")
-        new = stored(_similar(near, whole(near)), "similar")
-        all_edges = new if edges is None else edges.union(new)
-        found = connected_components(all_edges)
-        return all_edges, stored(members.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-
-    for i in range(STAR_ROUNDS):
-        now = meet.join(roots, "node")
-        star = now.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "p", "root")).alias("c"))
-        star = star.select("s", "c.*")
-        pairs = now.alias("x").join(star.alias("y"), "s").filter(fits("x", "y") & (F.col("x.root") != F.col("y.root")))
-        edges, roots = grown(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
-    now = stored(meet.join(roots, "node"), "rooted")
+class Links:
+    """Verified links between sets, and what they connect so far. `rows`: one row per set (node, n, text_hash, classes)."""
+
+    def __init__(self, rows: DataFrame, docs: DataFrame) -> None:
+        self.rows, self.docs = rows, docs
+        self.edges: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def whole(self, nodes: DataFrame) -> DataFrame:
+        """Complete sets of some nodes, each from one text."""
+        chosen = maybe_in(self.rows.select("node", "text_hash"), F.col("node"), nodes).join(nodes, "node")
+        texts = maybe_in(self.docs.select("text_hash", "text"), F.col("text_hash"), chosen.select("text_hash"))
+        field = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))])
+        one = texts.join(chosen, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
+        return add_columns(one, lambda: lambda t: [[shingles(x) for x in t]], field)
+
+    def add(self, pairs: DataFrame) -> None:
+        """Take in the similar ones of the pairs (a, b)."""
+        near = stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+        def ends(df: DataFrame) -> DataFrame:
+            return df.select("a").union(df.select("b")).toDF("node").distinct()
+
+        needed = ends(near)
+        known = maybe_in(self.rows.select("node", "n", "classes"), F.col("node"), needed).join(needed, "node")
+        possible = stored(_possible(near.join(known.toDF("a", "na", "ca"), "a").join(known.toDF("b", "nb", "cb"), "b")
+                                    .select("a", "na", "ca", "b", "nb", "cb")), "possible")
+        sets = stored(self.whole(ends(possible)), "sets")
+        new = stored(_similar(possible, sets), "similar")
+        release(near, possible, sets)
+        self.edges = new if self.edges is None else self.edges.union(new)
+        found = connected_components(self.edges)
+        old = self.roots
+        self.roots = stored(found, "roots")
+        if old is not None:
+            release(old)
+
+    def named(self, nodes: DataFrame) -> DataFrame:
+        """Rows with `node`, plus the root of its component."""
+        if self.roots is None:
+            return nodes.withColumn("root", F.col("node"))
+        return nodes.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _fits(a: str, b: str):
+    """Prefix positions and sizes allow a similarity of 0.8."""
+    return ((DEN * F.least(f"{a}.n", f"{b}.n") >= NUM * F.greatest(f"{a}.n", f"{b}.n"))
+            & ((NUM + DEN) * F.least(F.col(f"{a}.n") - F.col(f"{a}.p"), F.col(f"{b}.n") - F.col(f"{b}.p"))
+               >= NUM * (F.col(f"{a}.n") + F.col(f"{b}.n"))))
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """One row per set, and a few of the other rows."""
+    first = stored(rows.groupBy("node").agg(F.min("row").alias("row")).select("row"), "first")
+    return maybe_in(rows, F.col("row"), first)
+
+
+def components(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, node) of all documents and roots (node, root) of the sets that are linked, from doc_id, text, text_hash."""
+    often = _frequent(own)
+    for left in range(HOT_PASSES, -1, -1):
+        rows = stored(_prefixes(own, often).withColumn("row", F.monotonically_increasing_id()), "shingles")
+        one = _first_rows(rows)
+        counts = one.select(F.explode("prefix").alias("s")).groupBy("s").count().filter("count > 1")
+        shared = stored(counts, "shared")
+        hot = [r["s"] for r in shared.filter(F.col("count") > HOT).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect()] if left else []
+        new = set(hot) - set(often)
+        if not new:
+            break
+        known = set(hot)
+        often = (hot + [s for s in often if s not in known])[:MOST_FREQUENT]
+        release(rows, shared)
+    entries = one.select("node", "n", F.posexplode("prefix").alias("p", "s"))
+    keys = shared.select("s")
+    meet = stored(maybe_in(entries, F.col("s"), keys).join(keys, "s").dropDuplicates(["s", "node"]), "shared-rows")
+    release(shared)
+    # One row per set without its prefix, for classes and texts.
+    slim = stored(one.select("node", "n", "text_hash", "classes", "fp", "row").dropDuplicates(["node"]), "sets-once")
+    found = Links(slim, own)
+
+    # SimHash: each set with the least of its fingerprint's component.
+    fps = stored(slim.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    joint = stored(connected_components(links(fps)), "fp-roots").withColumnsRenamed({"node": "fp", "root": "fp_root"})
+    leaders = stored(slim.select("node", "fp").join(joint, "fp", "left").withColumn("fp_root", F.coalesce("fp_root", "fp"))
+                     .select("node", "fp_root"), "leaders")
+    least = leaders.groupBy("fp_root").agg(F.min("node").alias("b"))
+    found.add(leaders.join(least, "fp_root").select(F.col("node").alias("a"), "b"))
+    release(fps, leaders)
+
+    # Prefix shingles: each member with one of them, then the members of different components.
+    now = found.named(meet)
+    star = now.groupBy("s").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "p", "root")).alias("c")).select("s", "c.*")
+    found.add(now.alias("x").join(star.alias("y"), "s").filter(_fits("x", "y") & (F.col("x.root") != F.col("y.root")))
+              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    now = stored(found.named(meet), "rooted")
     per = now.groupBy("s", "root").count()
-    main = per.groupBy("s").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("m")).filter("m > 1")
-    mixed = stored(now.join(main, "s"), "mixed")
-    pairs = mixed.filter("root <> main").alias("x").join(mixed.alias("y"), "s").filter(
-        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & fits("x", "y"))
-    return grown(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))[1]
+    main = stored(per.groupBy("s").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("m")).filter("m > 1")
+                  .select("s", "main"), "main")
+    mixed = stored(maybe_in(now, F.col("s"), main.select("s")).join(main, "s"), "mixed")
+    release(now)
+    found.add(mixed.filter("root <> main").alias("x").join(mixed.alias("y"), "s").filter(
+        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _fits("x", "y"))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    keys = stored(rows.select("doc_id", "text_hash", "node"), "keys")
+    release(meet, mixed, main, slim, rows)
+    return keys, found.roots
 
 
 def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of documents that are linked by similarities of 0.8 or more."""
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("text_hash"))
-    rows = stored(_prefixes(own), "shingles")
-    roots = components(rows, own)
+    rows, roots = components(own)
     keys = rows.groupBy("doc_id", "text_hash", "node").count()
-    keys = stored(keys.join(roots, "node", "left").select("doc_id", "text_hash", "count", F.coalesce("root", "node").alias("root")), "keys")
+    keys = stored(keys.join(roots, "node", "left").select("doc_id", "text_hash", "count", F.coalesce("root", "node").alias("root")), "roots-of-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = keys.groupBy("root").agg(F.min(rank).alias("first"))
     judged = keys.join(first, "root").withColumn("stays", F.col("first") == rank)
-    gone = stored(judged.filter("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "gone")
-    again = stored(judged.filter("stays and count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "again")
-    row = docs.withColumn("__text_hash", F.xxhash64(f"`{text}`"))
+    row_key = F.xxhash64(F.col("doc_id"), F.col("text_hash"))
+    # Rows to look at one by one: those that go, and those of which one stays.
+    listed = stored(judged.filter("not stays or count > 1").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays", row_key.alias("__key")).withColumnRenamed("stays", "__stays"), "listed")
+    full = docs.withColumn("__text_hash", F.xxhash64(f"`{text}`"))
+    full = full.withColumn("__row_key", F.xxhash64(F.col(f"`{doc_id}`").cast(own.schema["doc_id"].dataType), F.col("__text_hash")))
+    names = listed.select("__key").distinct()
+    maybe = maybe_in(full, F.col("__row_key"), names)
+    clear = maybe_in(full, F.col("__row_key"), names, other=True)
     same = (F.col("__text_hash") == F.col("__hash")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))
-    left = row.join(gone, same, "left_anti")
+    left = maybe.join(listed, same, "left_anti")
+    out = clear.unionByName(left)
+    again = listed.filter("__stays")
     if not again.isEmpty():
-        twice = row.join(again, same, "left_semi").dropDuplicates([doc_id, "__text_hash"])
-        left = left.join(again, same, "left_anti").unionByName(twice)
-    return left.drop("__text_hash")
+        out = out.unionByName(maybe.join(again, same, "left_semi").dropDuplicates([doc_id, "__text_hash"]))
+    return out.drop("__text_hash", "__row_key")

@@ -79,3 +79,30 @@ def test_rows(spark, docs_of):
     got = sorted(((r.doc_id, r.text) for r in near_duplicates(spark, docs_of(rows), "").collect()), key=str)
     assert got == sorted([(1, a), (1, b), (2, "its own text"), (None, "no id")], key=str)
     assert near_duplicates(spark, docs_of(rows).limit(0), "").count() == 0
+
+
+def test_common_passage_and_long_texts(spark, docs_of, monkeypatch):
+    # No sample: the counts over all prefixes find the passage, which stands in every text.
+    monkeypatch.setattr(similar, "SAMPLE_LEAST", 10**9)
+    monkeypatch.setattr(similar, "HOT", 3)
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts = [f"{passage} " + " ".join(f"{i}x{j}" for j in range(60 + 30 * (i // 4))) for i in range(16)]
+    long = [f"w{i}" for i in range(80_000)]
+    texts += [passage + " " + " ".join(long), passage + " " + " ".join(long[9000:]), " ".join(long[40_000:]), texts[3] + " end"]
+    rows = docs_of(list(enumerate(texts))).selectExpr("*", "1 as node", "2 as root", "3 as n", "4 as prefix", "5 as s")
+    got = near_duplicates(spark, rows, "")
+    assert got.columns == rows.columns
+    assert sorted(r.doc_id for r in got.collect()) == want(texts) and near_duplicates(spark, rows.limit(0), "").count() == 0
+
+
+def test_bitmap_lets_every_match_pass(spark):
+    from pyspark.sql import functions as F
+
+    from rollscope.llm.common import maybe_in
+
+    df = spark.range(0, 20_000, 1, 4).selectExpr("id", "id % 7 as x", "cast(id as string) as t")
+    wanted = spark.range(0, 20_000, 50).toDF("k")
+    got = {r.id for r in maybe_in(df, F.col("id"), wanted).collect()}
+    rest = {r.id for r in maybe_in(df, F.col("id"), wanted, other=True).collect()}
+    assert set(range(0, 20_000, 50)) <= got and len(got) < 2500 and got | rest == set(range(20_000)) and not got & rest
+    assert maybe_in(df, F.col("id"), wanted.limit(0)).count() == 0
