@@ -64,20 +64,17 @@ def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, other: bool = False)
         return F.pmod(F.xxhash64(c, F.lit(3)), F.lit(bits))
 
     at = place(F.col(name)) + 1
-    parts = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+    parts = wanted.select(at.alias("at")).groupBy((F.bitmap_bucket_number("at") - 1).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        lo = (r["part"] - 1) * 4096
-        bitmap[lo:lo + 4096] = np.frombuffer(r["bits"], np.uint8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            left = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
-            yield left.filter(pa.array((bitmap[p >> 3] >> (p & 7) & 1) != other))
-
-    return df.withColumn("__place", place(key)).mapInArrow(run, df.schema)
+    # At most 4096 rows of 512 words.
+    table = [(r["part"], np.frombuffer(r["bits"], "<i8").tolist()) for r in parts]
+    words = df.sparkSession.createDataFrame(table, "__part long, __words array<long>")
+    here = df.withColumn("__place", place(key)).join(
+        F.broadcast(words), F.shiftright("__place", 15) == F.col("__part"), "left" if other else "inner")
+    bit = F.get("__words", F.shiftright(F.col("__place"), 6).bitwiseAND(511).cast("int"))
+    hit = F.expr("shiftrightunsigned(__bit, cast(__place & 63 as int)) & 1") == 1
+    hit = F.coalesce(hit, F.lit(False))
+    return here.withColumn("__bit", bit).filter(~hit if other else hit).select(*[F.col(f"`{c}`") for c in names])
 
 
 def crc_mod(doc_id: str, n: int) -> Column:
@@ -141,6 +138,17 @@ def slices(texts: Iterator[bytes], limit: int) -> Iterator[tuple[int, list[bytes
         yield lo, part
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a worker process keeps between tasks: the last such object alone, so two tokenizers never share its memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class WordIds(dict):
     """Numbers words in order of appearance: `map(ids.__getitem__, words)`. New words are listed in `new`."""
 
@@ -155,28 +163,39 @@ class WordIds(dict):
 
 
 class WordTable:
-    """Per-word values computed once per distinct word and task.
+    """Per-word values computed once per distinct word while the word is in use.
 
-    `encode(words)` returns one int32 array per word. Up to `limit` words are kept for the whole task; the words beyond
-    that are encoded again in each slice, so memory stays bounded and no word is left out.
+    `encode(words)` returns one int32 array per word. Once more than `limit` words are held, the less used half of the limit
+    stays behind and the uses of the others count half, so memory stays bounded and frequent words stay. A word that went is
+    encoded again when it comes back; no word is left out.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 200_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
         self.ids = WordIds()
         self.n = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
+
+    def sweep(self) -> None:
+        """Keep the more used half of the limit."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:max(1, self.limit // 2)])
+        flags = np.zeros(len(self.n), bool)
+        flags[keep] = True
+        words = [w for w, f in zip(self.ids, flags.tolist()) if f]
+        self.ids = WordIds()
+        for w in words:
+            self.ids[w]
+        self.ids.new = []
+        self.flat = self.flat[np.repeat(flags, self.n)]
+        self.n, self.uses = self.n[keep], self.uses[keep] // 2
+        self.start = np.concatenate([[0], np.cumsum(self.n, dtype=np.int64)])
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Row numbers of the words in `n`, `start` and `flat`; valid until the next call."""
-        kept = len(self.ids)
-        if kept > self.limit:
-            for w in list(self.ids)[self.limit:]:
-                del self.ids[w]
-            kept = self.limit
-            self.n, self.start = self.n[:kept], self.start[:kept + 1]
-            self.flat = self.flat[:self.start[-1]]
+        if len(self.ids) > self.limit:
+            self.sweep()
         rows = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         if self.ids.new:
             got = self.encode(self.ids.new)
@@ -185,6 +204,9 @@ class WordTable:
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n, dtype=np.int64)])
             self.flat = np.concatenate([self.flat, *[np.asarray(x, np.int32) for x in got]]) if got else self.flat
             self.ids.new = []
+        uses = np.bincount(rows, minlength=len(self.n))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
         return rows
 
     def tokens(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

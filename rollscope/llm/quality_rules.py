@@ -10,14 +10,12 @@ kept; equal rows are judged alike; an empty table gives an empty result. Columns
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollscope.llm.common import WordTable, add_columns
+from rollscope.llm.common import WordTable, add_columns, held
 
 # script -> least and most characters per token, largest byte-fallback share. Documents at sf 0.1 that pass the base rules
 # lie at 1.55 to 2.7 (latin), clear English prose at 4.7; base64 at 1.2, hex and percent codes at 1.0 to 1.45. Scripts
@@ -49,14 +47,16 @@ FIELDS = T.StructType(
        T.StructField("kept", T.BooleanType())])
 
 
-@functools.cache
-def piece_table(model_path: str, limit: int = 200_000) -> tuple[WordTable, np.ndarray]:
-    """Pieces of each word and the flags of byte pieces, kept by a worker for all its tasks. Pieces never cross words."""
-    import sentencepiece
+def piece_table(model_path: str) -> tuple[WordTable, np.ndarray]:
+    """Pieces of each word and the flags of byte pieces, kept by a worker between tasks. Pieces never cross words."""
+    def make() -> tuple[WordTable, np.ndarray]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        table = WordTable(lambda words: sp.encode([w.decode() for w in words], num_threads=1))
+        return table, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    table = WordTable(lambda words: sp.encode([w.decode() for w in words], num_threads=1), limit)
-    return table, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
+    return held(("pieces", model_path), make)
 
 
 def repeated_words(ids: np.ndarray, window: int = REPEAT_WINDOW) -> int:

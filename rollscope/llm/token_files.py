@@ -12,7 +12,6 @@ separate documents; null ids come first; an empty table gives no blocks.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rollscope.llm.common import WordTable, slices, text_values
+from rollscope.llm.common import WordTable, held, slices, text_values
 
 CHUNK, STRETCH = 8, 512
 END_ID = 1
@@ -83,6 +82,41 @@ def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: i
     return value
 
 
+def ranks_of(bitmap: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Set bits before each position of a level: those before its stretch, from the directory, and those inside it."""
+    stretch = at // STRETCH
+    # A position at the end of the level may lie in a stretch that has no entry.
+    inside = np.minimum(stretch, len(ranks) - 1)
+    first = inside * (STRETCH // 8)
+    index = first[:, None] + np.arange(STRETCH // 8 + 1)
+    byte = bitmap[np.minimum(index, len(bitmap) - 1)]
+    whole = (at >> 3)[:, None]
+    last = (1 << (at & 7)) - 1
+    byte = np.where((index < whole) & (index < len(bitmap)), byte, np.where(index == whole, byte & last[:, None].astype(np.uint8), 0))
+    return ranks[inside].astype(np.int64) + np.bitwise_count(byte).sum(1, dtype=np.int64)
+
+
+def spans_of(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Ids of consecutive spans that end at `ends`. Each is found by the ranks of its borders and read by itself."""
+    bounds = [np.concatenate([[0], ends])]
+    level = [np.frombuffer(x, np.uint8) for x in levels]
+    bits = [np.frombuffer(x, np.uint8) for x in bitmaps]
+    for k in range(len(levels) - 1):
+        bounds.append(ranks_of(bits[k], np.frombuffer(ranks[k], "<u4"), bounds[k]))
+    cuts = [b.tolist() for b in bounds]
+    for d in range(len(ends)):
+        out = level[0][cuts[0][d]:cuts[0][d + 1]].astype(np.uint32)
+        at = None
+        for k in range(1, len(levels)):
+            a, b = cuts[k - 1][d], cuts[k - 1][d + 1]
+            if cuts[k][d] == cuts[k][d + 1]:
+                break
+            more = np.flatnonzero(np.unpackbits(bits[k - 1][a >> 3:(b + 7) >> 3], bitorder="little")[a & 7:(a & 7) + b - a])
+            at = more if at is None else at[more]
+            out[at] |= level[k][cuts[k][d]:cuts[k][d + 1]].astype(np.uint32) << np.uint32(CHUNK * k)
+        yield out
+
+
 # ---- texts to ids ----
 
 # Marks that end a word of letters; the apostrophe is left out because it takes part in contractions.
@@ -109,20 +143,22 @@ def word_pieces(text: bytes) -> list[bytes]:
     return low.split()
 
 
-@functools.cache
-def word_encoder(tokenizer_path: str, limit: int = 200_000) -> WordTable:
-    """Word table over a tokenizers file. A worker process keeps it for all its tasks: each distinct word is encoded once."""
-    import os
+def word_encoder(tokenizer_path: str, limit: int | None = None) -> WordTable:
+    """Word table over a tokenizers file, kept by a worker between tasks: a frequent word is encoded once."""
+    def make() -> WordTable:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(tokenizer_path)
 
-    tok = Tokenizer.from_file(tokenizer_path)
+        def encode(words: list[bytes]) -> list[list[int]]:
+            return [e.ids for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return WordTable(encode) if limit is None else WordTable(encode, limit)
 
-    return WordTable(encode, limit)
+    return held(("words", tokenizer_path, limit), make)
 
 
 def text_ids(table: WordTable, texts: list[bytes]) -> list[np.ndarray]:
@@ -191,21 +227,20 @@ DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start"
 
 
 def document_digests(blocks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone, through their rank directories."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                raw = memoryview(decode_block(row["levels"], row["bitmaps"]).astype("<u4").tobytes())
                 n = np.asarray(row["doc_tokens"], np.int64)
                 ends = np.cumsum(n)
                 starts = ends - n
                 base = row["shard_start"] + row["first_token"]
-                crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(starts, ends)]
+                crc = [zlib.crc32(x.astype("<u4", copy=False)) for x in spans_of(row["levels"], row["bitmaps"], row["ranks"], ends)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + base), pa.array(n),
                      pa.array(crc, pa.int64())], names=DOC.names)
 
-    return blocks.select("shard_start", "first_token", "doc_ids", "doc_tokens", "levels", "bitmaps").mapInArrow(run, DOC)
+    return blocks.select("shard_start", "first_token", "doc_ids", "doc_tokens", "levels", "bitmaps", "ranks").mapInArrow(run, DOC)
 
 
 def read_tokens(blocks: DataFrame, positions: DataFrame) -> DataFrame:

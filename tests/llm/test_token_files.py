@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from rollscope.llm.common import shared_path
 from rollscope.llm.token_files import (
-    decode_block, document_digests, encode_block, read_token_files, read_tokens, text_ids, token_at, word_encoder,
+    decode_block, document_digests, encode_block, read_token_files, read_tokens, spans_of, text_ids, token_at, word_encoder,
     write_token_files)
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,15 @@ def test_code_round_trip(ids):
         assert token_at(levels, bitmaps, ranks, i) == ids[i]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**31), min_size=1, max_size=3000), st.lists(st.integers(0, 700), max_size=9))
+def test_spans_by_ranks(ids, sizes):
+    levels, bitmaps, ranks = encode_block(np.array(ids, np.uint32))
+    ends = np.unique(np.minimum(np.cumsum([*sizes, len(ids)]), len(ids)))
+    got = [x.tolist() for x in spans_of(levels, bitmaps, ranks, ends)]
+    assert got == [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abAB'sStdlmvreÉß.,!?|<>_-# \t\n ́€1²"), max_size=60))
 def test_word_wise_encoding_is_the_whole_encoding(text):
