@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -105,16 +106,20 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list]]
 
     `make()` runs once per task and returns a function from a list of texts (UTF-8, null as empty) to one value list
     or array per field. Texts go to it in slices of about `slice_bytes`, a single longer text alone. An input column
-    with the name of a result column is replaced by the result. The text itself returns only if `keep_text`.
+    with the name of a result column is replaced by the result. The text itself returns only if `keep_text`. The session's
+    Arrow batches are cut to BATCH_ROWS rows from here on.
     """
     kept = [f for f in df.schema.fields if f.name not in fields.names and (keep_text or f.name != text)]
     own = next((i for i, f in enumerate(kept) if f.name == text), len(kept))
     src = df.select(*[F.col(f"`{f.name}`") for f in kept], *([F.col(f"`{text}`")] if own == len(kept) else []))
     out = T.StructType([*kept, *fields.fields])
     types = [to_arrow_type(f.dataType) for f in fields.fields]
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn = started(make)
         for batch in batches:
             rest = [batch.column(i) for i in range(len(kept))]
             for lo, part in slices(text_values(batch.column(own)), slice_bytes):
@@ -138,6 +143,8 @@ def slices(texts: Iterator[bytes], limit: int) -> Iterator[tuple[int, list[bytes
         yield lo, part
 
 
+# Long texts make Arrow batches of the default 10,000 rows large, in the executor as in its Python workers.
+BATCH_ROWS = 1000
 _HELD: dict = {}
 
 
@@ -146,9 +153,21 @@ def held(key: tuple, make: Callable):
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
+    _HELD["used"] = True
     return _HELD[key]
 
 
+def started(make: Callable[[], Callable]) -> Callable:
+    """What `make()` returns, after a worker has let go of what other operators left in it."""
+    _HELD.pop("used", None)
+    fn = make()
+    if not _HELD.pop("used", False) and _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    return fn
+
+
 class WordIds(dict):
     """Numbers words in order of appearance: `map(ids.__getitem__, words)`. New words are listed in `new`."""
 
