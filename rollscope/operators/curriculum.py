@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscope.functions.rewards import learnability
 from rollscope.operators import gates, ranking, skew
 from rollscope.operators.stats import modal_value
+from rollscope.session import cut_lineage, written
 
 # Failure tag to focus, the learnable band and the starting mix.
 TAG_FOCUS = {
@@ -74,66 +74,93 @@ def proposal_report(scored: DataFrame, keep: str) -> DataFrame:
                       (F.col("distinct_subsets") / F.col("num_parsed")).alias("diversity"))
 
 
-def pair_groups(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pair picks of one (scene, players) in order: each takes the first unused superset by one element.
+def one_apart(picks: DataFrame) -> DataFrame:
+    """small, large: names of distinct picks where the large one has one element more, from (name, group, keep) rows.
 
-    Works on bit masks with one sorted queue per distinct mask, so a group costs rows times edits.
+    Each pick offers its subsets by one element, so the pairs come from an equality join and their number is bounded by
+    the picks' own sizes.
     """
-    for pdf in pdfs:
-        pdf = pdf.sort_values("proposal_id")
-        masks, ids = pdf["mask"].tolist(), pdf["proposal_id"].tolist()
-        queues: dict[int, list[int]] = {}
-        for i, m in enumerate(masks):
-            queues.setdefault(m, []).append(i)
-        heads = dict.fromkeys(queues, 0)
-        used = [False] * len(masks)
-        width = max(masks).bit_length() if masks else 0
-
-        def head(m: int) -> int | None:
-            q, h = queues.get(m), heads.get(m, 0)
-            while q is not None and h < len(q) and used[q[h]]:
-                h += 1
-            if q is None:
-                return None
-            heads[m] = h
-            return q[h] if h < len(q) else None
-
-        out: list[tuple[int, int]] = []
-        for i, m in enumerate(masks):
-            if used[i]:
-                continue
-            options = [h for b in range(width) if not m >> b & 1 and (h := head(m | 1 << b)) is not None]
-            if options:
-                j = min(options)
-                used[i] = used[j] = True
-                out.append((ids[i], ids[j]))
-        if out:
-            yield pd.DataFrame({"scene_id": pdf["scene_id"].iloc[0], "num_players": pdf["num_players"].iloc[0],
-                                "small_id": [a for a, _ in out], "large_id": [b for _, b in out]})
-
-
-def proposal_pairing(proposals: DataFrame) -> DataFrame:
-    """Order-dependent pairing inside each (scene, players) group of one round's proposals.
-
-    Picks that have no neighbour one element apart in their group can never pair and are dropped
-    before the grouped step.
+    text = lambda k: F.array_join(k.cast("array<string>"), ",")
+    less = picks.select(F.col("group"), F.col("name").alias("large"), F.explode(
+        F.transform("keep", lambda x: text(F.filter("keep", lambda y: y != x)))).alias("part"))
+    whole = picks.select(F.col("group").alias("group2"), F.col("name").alias("small"), text(F.col("keep")).alias("part2"))
+    return less.join(whole, (F.col("group") == F.col("group2")) & (F.col("part") == F.col("part2"))).select("small", "large")
+
+
+def least_pairs(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """small_id, large_id: what taking pairs in the order of (small id, large id) gives, a pair only if both ends are free.
+
+    `items` holds (name, id), ids unique, and `edges` (small, large) says which names may pair. A pair that is the least at both
+    ends is taken, its ends leave, and so on: that is the sequential result, and all groups advance in the same rounds. Only
+    the least free id of a name can be in such a pair, so a round sees one row per name, however many ids share it. A
+    taken pair of names goes on in the same round for as long as no other pair can come before: its next ids are matched by
+    rank while they are below the least ids that compete.
+    """
+    edges = written(edges)
+    paired = edges.select(F.explode(F.array("small", "large")).alias("name")).distinct()
+    # Ids of a name are used in order, so the free ones are those from some rank on: its head.
+    items = written(skew.number_rows_by_key(items.join(paired, "name"), ["name"], [F.col("id")], "rank").select("name", "rank", "id"))
+    heads = items.filter("rank = 1")
+    taken: list[DataFrame] = []
+    while True:
+        live = written(edges.join(heads.toDF("small", "small_rank", "a"), "small").join(heads.toDF("large", "large_rank", "b"), "large"))
+        if live.isEmpty():
+            break
+        ends = live.select(F.explode(F.array("small", "large")).alias("name"), F.struct("a", "b", "small", "large", "small_rank", "large_rank").alias("e"))
+        best = ends.groupBy("name").agg(F.min("e").alias("e"))
+        won = best.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("e.*")
+        # What competes with a taken pair: pairs that share one of its ends.
+        mine = won.select("small", "large", F.explode(F.array("small", "large")).alias("name"))
+        rival = mine.join(ends, "name").filter((F.col("e.small") != F.col("small")) | (F.col("e.large") != F.col("large")))
+        small_is_small, large_is_small = F.col("e.small") == F.col("small"), F.col("e.small") == F.col("large")
+        limits = rival.groupBy("small", "large").agg(
+            F.min(F.when(~small_is_small & ~large_is_small, F.col("e.a"))).alias("a_below"),
+            F.min(F.when(small_is_small, F.col("e.b"))).alias("b_below"), F.max(large_is_small).alias("chain"))
+        runs = written(won.join(limits, ["small", "large"], "left"))
+
+        def side(end: str, below: str, name: str) -> DataFrame:
+            own = runs.select("small", "large", F.col(end).alias("name"), F.col(f"{end}_rank").alias("first"), F.col(below).alias("below"), "chain")
+            met = own.join(items, "name").filter((F.col("rank") >= F.col("first")) & (F.col("below").isNull() | (F.col("id") < F.col("below"))))
+            return met.select("small", "large", (F.col("rank") - F.col("first")).alias("step"), F.col("id").alias(name),
+                              *(["chain"] if end == "small" else []))
+
+        zipped = side("small", "a_below", "small_id").join(side("large", "b_below", "large_id"), ["small", "large", "step"])
+        # A large pick that is the small one of another pair waits only while its partner comes first.
+        late = F.min(F.when(F.col("chain") & (F.col("step") > 0) & (F.col("small_id") > F.col("large_id")), F.col("step"))).alias("stop")
+        stop = zipped.groupBy("small", "large").agg(late).filter("stop is not null")
+        ok = written(zipped.join(stop, ["small", "large"], "left").filter("stop is null or step < stop").select("small", "large", "small_id", "large_id"))
+        taken.append(ok.select("small_id", "large_id"))
+        moved = ok.select(F.explode(F.array("small", "large")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("used"))
+        at = heads.join(moved, "name", "left").select("name", (F.col("rank") + F.coalesce("used", F.lit(0))).alias("rank"))
+        heads = written(at.join(items, ["name", "rank"]).select("name", "rank", "id"))
+        edges = live.select("small", "large")
+    if not taken:
+        return items.select(F.col("id").alias("small_id"), F.col("id").alias("large_id")).limit(0)
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.union(t)
+    return out
+
+
+def proposal_pairing(proposals: DataFrame, keep: str | None = None) -> DataFrame:
+    """Pairs of one round's proposals that are one element apart, inside each (scene, players) group.
+
+    Each proposal in order of its id takes the first free one that has all its elements and one more; a proposal joins one pair at
+    most. Picks are arrays (`keep`) of any elements from 0 on, or the bits of `mask`. Empty picks, repeated or negative elements, null
+    ids and null scenes never pair; missing player counts are a group of their own. Ids are unique.
     """
-    keys = ["scene_id", "num_players"]
-    src = proposals.select(*keys, "proposal_id", "mask")
-    masks = src.select(*keys, "mask").distinct()
-    bits = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.col("mask").bitwiseXOR(
-        F.pow(F.lit(2), i).cast("bigint")))
-    near = masks.select(*keys, F.explode(bits).alias("near")).join(
-        masks.withColumnRenamed("mask", "near"), [*keys, "near"], "left_semi")
-    live = near.select(*keys, F.col("near").alias("mask")).distinct()
-    kept = src.join(live, [*keys, "mask"], "left_semi")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = list(pair_groups(iter([pdf])))
-        return made[0] if made else pd.DataFrame(columns=["scene_id", "num_players", "small_id", "large_id"])
-
-    return kept.groupBy(*keys).applyInPandas(
-        fold, "scene_id bigint, num_players bigint, small_id bigint, large_id bigint")
+    # A mask has 63 bits besides its sign.
+    pick = F.col(keep) if keep else F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.col("mask").bitwiseAND(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0)
+    group = F.concat_ws("|", F.coalesce(F.col("num_players").cast("string"), F.lit("default")), F.col("scene_id").cast("string"))
+    src = proposals.filter(F.col("scene_id").isNotNull() & F.col("proposal_id").isNotNull()).select(
+        "scene_id", "num_players", "proposal_id", group.alias("group"), F.array_sort(pick).alias("keep"))
+    ok = src.filter((F.size("keep") > 0) & F.forall("keep", lambda i: i >= 0) & (F.size(F.array_distinct("keep")) == F.size("keep")))
+    ok = cut_lineage(ok.withColumn("name", F.concat_ws(":", F.array_join(F.col("keep").cast("array<string>"), ","), "group")))
+    edges = one_apart(ok.groupBy("name").agg(F.first("group").alias("group"), F.first("keep").alias("keep")))
+    pairs = least_pairs(ok.select("name", F.col("proposal_id").alias("id")), edges)
+    return ok.select("scene_id", "num_players", F.col("proposal_id").alias("small_id")).join(pairs, "small_id").select(
+        "scene_id", "num_players", "small_id", "large_id")
 
 
 def pair_member_valid(tasks: DataFrame) -> DataFrame:

@@ -65,10 +65,21 @@ def proposer_sft_rows(spark, sf):
     return rows(p).select("proposal_id", "completion", "source_buffer")
 
 
-@register("proposal_pairing")
+PAIRING_SQL = "with recursive " + with_sql("v_proposals", """
+with edges as materialized (select a.scene_id, a.num_players, a.proposal_id as s, b.proposal_id as l,
+ row_number() over (partition by a.scene_id, a.num_players order by a.proposal_id, b.proposal_id) as i
+ from v_proposals a join v_proposals b on a.scene_id = b.scene_id and a.num_players = b.num_players and a.mask & b.mask = a.mask and bit_count(b.mask) = bit_count(a.mask) + 1),
+walk as (select scene_id, num_players, 0::bigint as i, []::bigint[] as used, null::bigint as s, null::bigint as l from edges where i = 1
+ union all select e.scene_id, e.num_players, e.i, case when list_contains(w.used, e.s) or list_contains(w.used, e.l) then w.used else w.used || [e.s, e.l] end,
+ case when list_contains(w.used, e.s) or list_contains(w.used, e.l) then null else e.s end, e.l
+ from walk w join edges e on e.scene_id = w.scene_id and e.num_players = w.num_players and e.i = w.i + 1)
+select scene_id, cast(num_players as bigint) as num_players, s as small_id, l as large_id from walk where s is not null""").strip()[5:]
+
+
+@register("proposal_pairing", PAIRING_SQL)
 def proposal_pairing(spark, sf):
     return C.proposal_pairing(proposals(spark, sf).select(
-        "scene_id", F.col("num_players").cast("bigint").alias("num_players"), "proposal_id", "mask"))
+        "scene_id", F.col("num_players").cast("bigint").alias("num_players"), "proposal_id", "keep"), "keep")
 
 
 @register("distinct_choices", with_sql("v_proposals", f"""

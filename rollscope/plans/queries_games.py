@@ -34,20 +34,21 @@ def vote_tally(spark, sf):
 
 
 @register("vote_rewards", with_sql("v_votes", VOTES_SQL + """
-, onspy as (select game_id, got as on_spy from rec where player = spy),
+, got as materialized (select game_id, vote as player, count(*) c from votes where vote is not null group by 1, 2),
+seen as (select game_id, voter, vote, na, spy, count(*) filter (where vote = spy) over g as on_spy, count(*) filter (where vote between 1 and 7) over g as valid,
+ count(*) filter (where na) over g as nas from votes window g as (partition by game_id)),
 r as (select v.game_id, v.voter, v.vote, v.na, case when v.voter = v.spy then
- 1.0 - o.on_spy / 6.0 + 0.5 * (t.valid - o.on_spy + 0.5 * t.nas) / 6.0 - case when v.vote = v.spy then 1 else 0 end
+ 1.0 - v.on_spy / 6.0 + 0.5 * (v.valid - v.on_spy + 0.5 * v.nas) / 6.0 - case when v.vote = v.spy then 1 else 0 end
  when v.vote is null and not v.na then -1.0
- else case when v.vote = v.spy then 1.0 else -1.0 end - 0.6 * me.got / 6.0 end as raw
- from votes v join tally t on v.game_id = t.game_id join onspy o on v.game_id = o.game_id
- join rec me on me.game_id = v.game_id and me.player = v.voter)
+ else case when v.vote = v.spy then 1.0 else -1.0 end - 0.6 * coalesce(me.c, 0) / 6.0 end as raw
+ from seen v left join got me on me.game_id = v.game_id and me.player = v.voter)
 select game_id, voter, vote, round(greatest(-1.0, least(1.0, raw)), 9) as reward from r"""))
 def vote_rewards(spark, sf):
     return games.vote_rewards(votes(spark, sf), PLAYERS).select("game_id", "voter", "vote", r9("reward"))
 
 
 STRATEGIC_SQL = VOTES_SQL + """
-, base as (select r.*, o.got as on_spy, (r.valid - o.got) / 6.0 as mean_civ from rec r join rec o on r.game_id = o.game_id and o.player = o.spy),
+, base as (select *, (valid - on_spy) / 6.0 as mean_civ from (select *, max(case when player = spy then got end) over (partition by game_id) as on_spy from rec) t),
 strat as (select game_id, player, player = spy as is_spy, on_spy - mean_civ as psi, case when player = spy then -0.1 * (on_spy - mean_civ)
  else 0.1 * (on_spy - mean_civ) / 6.0 - 0.1 * (got - mean_civ) end as reward from base)
 """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later passes read the same rows even after an executor is lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Rows through a table in the shared folder. Unlike a checkpoint, it forgets what Spark has inferred about the columns;
+    carried from round to round of a loop, that knowledge would grow until planning takes longer than the work."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

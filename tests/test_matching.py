@@ -60,6 +60,45 @@ def test_proposal_pairing_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def brute_pairing(data):
+    """Pairs of (scene, players, id, elements) rows, one proposal after the other."""
+    out = []
+    for key in {(s, n) for s, n, _, _ in data}:
+        group = sorted((i, frozenset(k)) for s, n, i, k in data if (s, n) == key and k and min(k) >= 0 and len(set(k)) == len(k))
+        used = set()
+        for a, x in group:
+            for b, y in group:
+                if a not in used and b not in used and x < y and len(y) == len(x) + 1:
+                    used |= {a, b}
+                    out.append((*key, a, b))
+    return sorted(out, key=str)
+
+
+PICKS = "scene_id bigint, num_players bigint, proposal_id bigint, keep array<int>"
+
+
+def test_proposal_pairing_of_wide_picks(spark):
+    # Elements above bit 30 and 63, a group without a player count, picks that never pair.
+    wide = [40, 70, 1000]
+    data = [(1, 3, 1, [2, 40]), (1, 3, 2, [40]), (1, 3, 3, wide), (1, 3, 4, [70, 1000]), (1, 4, 5, [40, 2, 7]), (1, None, 6, [5]), (1, None, 7, [5, 45]),
+            (1, 3, 8, []), (1, 3, 9, [40, 40]), (1, 3, 10, [-1]), (1, 3, 11, [40, -1]), (2, 3, 12, [40, 3])]
+    got = curriculum.proposal_pairing(spark.createDataFrame(data, PICKS), "keep").collect()
+    assert sorted(map(tuple, got), key=str) == brute_pairing(data) == sorted([(1, 3, 2, 1), (1, 3, 4, 3), (1, None, 6, 7)], key=str)
+    masks = [(1, 3, 1, 1), (1, 3, 2, 1 | 1 << 45), (1, 3, 3, 1 << 62), (1, 3, 4, 1 << 62 | 1 << 31)]
+    got = curriculum.proposal_pairing(spark.createDataFrame(masks, "scene_id bigint, num_players bigint, proposal_id bigint, mask bigint"))
+    assert sorted((r.small_id, r.large_id) for r in got.collect()) == [(1, 2), (3, 4)]
+    assert curriculum.proposal_pairing(spark.createDataFrame(data, PICKS).limit(0), "keep").count() == 0
+
+
+def test_proposal_pairing_of_a_hot_group(spark):
+    # One group with few distinct picks: many proposals share a pick, and whole runs of them are taken in a round.
+    rnd = random.Random(4)
+    picks = [[0], [0, 1], [0, 1, 2], [3]]
+    data = [(1, 3, i, picks[min(3, i // 500)] if i < 1500 else picks[rnd.randrange(4)]) for i in range(1700)]
+    got = curriculum.proposal_pairing(spark.createDataFrame(data, PICKS).repartition(4), "keep").collect()
+    assert sorted(map(tuple, got), key=str) == brute_pairing(data) and len(got) > 500
+
+
 def coco_reference(dets, gold, lo, hi, thr, cap):
     ignored = lambda g: g["crowd"] or not lo <= g["box"][2] * g["box"][3] <= hi
     gold = sorted(gold, key=lambda g: (ignored(g), g["id"]))
