@@ -284,8 +284,20 @@ def yes_no_score(content: Column, solution: Column) -> Column:
 
 
 def last_boxed(text: Column) -> Column:
-    """Content of the last closed boxed answer, braces of any depth; null when there is none."""
-    opened = F.split(F.coalesce(text, F.lit("")), r"\\boxed\{")
+    """Content of the last boxed answer; null when there is none.
+
+    A box without braces comes first and reaches to the next dollar sign or the end. Else it is the last closed box, with braces of
+    any depth, and in texts without `\\boxed` the last closed `\\fbox`.
+    """
+    t = F.coalesce(text, F.lit(""))
+    bare = F.substring_index(F.substring_index(t, "\\boxed ", -1), "$", 1)
+    return F.when(F.instr(t, F.lit("\\boxed ")) > 0, bare).when(F.instr(t, F.lit("\\boxed")) > 0, _last_closed(t, r"\\boxed\{")).otherwise(
+        _last_closed(t, r"\\fbox\{"))
+
+
+def _last_closed(text: Column, opening: str) -> Column:
+    """What the last closed brace after an opening holds."""
+    opened = F.split(text, opening)
 
     def closed(rest: Column) -> Column:
         # Pieces between braces and the braces themselves; the content ends where the depth falls below zero.

@@ -254,7 +254,7 @@ def clue_content(spark, sf):
 
 
 @register("pairwise_jaccard", """
-with t as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from conversations where role = 'assistant'),
+with t as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from conversations),
 p as (select a.conv_id, a.turn, count(b.turn) as n, sum(case when len(a.w) = 0 or len(b.w) = 0 then 0 else
  len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end) as s
  from t a left join t b on a.conv_id = b.conv_id and a.turn <> b.turn group by 1, 2)
@@ -262,7 +262,7 @@ select conv_id, turn, round(case when n > 0 then s / n else 0 end, 9) as mean_ja
 def pairwise_jaccard(spark, sf):
     from rollscope.functions.text import tokens
 
-    df = view(spark, sf, "conversations").filter("role = 'assistant'").select(
+    df = view(spark, sf, "conversations").select(
         "conv_id", "turn", tokens(F.col("text")).alias("w"))
     return pairs.mean_sibling_jaccard(df, ["conv_id"], "turn", "w").select("conv_id", "turn", r9("mean_jaccard"))
 

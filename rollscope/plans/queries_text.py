@@ -77,7 +77,7 @@ def structured_answer(spark, sf):
 
 
 STEPS_SQL = """
-with t as (select conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) as txt from conversations where role = 'assistant'),
+with t as (select conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) as txt from conversations),
 s as (select conv_id, turn, txt, list_filter(list_transform(string_split(regexp_replace(txt, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
  lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: length(x) > 3) as sents from t),
 p as (select conv_id, turn, case when txt = '' then [] when len(sents) >= 2 then sents else [txt] end as steps from s)
@@ -86,7 +86,7 @@ select conv_id, turn, unnest(range(0, len(steps))) as step_no, unnest(steps) as
 
 @register("reasoning_steps", STEPS_SQL)
 def reasoning_steps(spark, sf):
-    conv = view(spark, sf, "conversations").filter("role = 'assistant'")
+    conv = view(spark, sf, "conversations")
     return conv.select("conv_id", "turn", F.posexplode_outer(T.reasoning_steps(F.col("text"))).alias("step_no", "step")) \
         .filter("step_no is not null").withColumn("step_no", F.col("step_no").cast("bigint"))
 

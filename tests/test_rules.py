@@ -176,6 +176,8 @@ def test_a_lone_rollout_is_consistent(spark):
 def test_boxed_answers_of_any_depth(spark):
     texts = [r"so \boxed{a{b{c{d}}}} it is", r"\boxed{1} or \boxed{2", "none", None, r"\boxed{x} \boxed{\frac{1}{2}}"]
     assert column(spark, texts, T.last_boxed) == ["a{b{c{d}}}", "1", None, None, r"\frac{1}{2}"]
+    texts = [r"$\boxed 7$ then", r"\boxed{1} or \boxed x+1", r"a \fbox{b{c}} d", r"\fbox{1} \boxed{2}", r"\fbox{1", r"\fbox{1} \boxed{2"]
+    assert column(spark, texts, T.last_boxed) == ["7", "x+1", "b{c}", "2", None, None]
 
 
 def test_average_needs_one_protocol_for_all(spark):
