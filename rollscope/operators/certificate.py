@@ -65,19 +65,48 @@ def verdict_merge(vectors: DataFrame, verdicts: DataFrame, key: str) -> DataFram
     return vectors.join(one, key, "left").withColumn("answer", lifted).drop("__ok")
 
 
-def step_coverage(reference: DataFrame, model: DataFrame, key: str, step: str, text: str) -> DataFrame:
-    """Mean over reference steps of the similarity to their most similar model step; 0 for keys without model steps.
+def step_coverage(reference: DataFrame, model: DataFrame, key: str, text: str) -> DataFrame:
+    """Per key: `coverage`, the mean over reference steps of the similarity to the most similar model step (0 for keys
+    without model steps), and `edits`, how many edit distances that took.
 
-    Equal model steps are compared once. They are packed in tiles; each reference step meets the tiles of its key and
-    keeps a maximum.
+    Equal steps of either side are compared once and parsed once. Model steps are packed in tiles; each reference step
+    meets the tiles of its key, the most promising members first. Token counts and lengths bound the similarity, and an
+    edit distance is computed only where the bound is above the best so far. A null step is an empty one.
     """
-    distinct = model.select(key, text).distinct()
+    squeezed = T.squeeze(F.col(text)).alias("__s")
+    with_words = lambda d: d.withColumn("__w", T.tokens(F.col("__s")))
+    distinct = with_words(model.select(key, squeezed).distinct())
+    asked = with_words(reference.select(key, squeezed).groupBy(key, "__s").agg(F.count(F.lit(1)).alias("__n")))
     sized = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
-    spread = null_safe_join(distinct, sized, [key]).withColumn("__tile", F.pmod(F.xxhash64(text), tiles).cast("int"))
-    packed = spread.groupBy(key, "__tile").agg(F.collect_list(text).alias("__m"))
-    probes = null_safe_join(reference, sized, [key], "left").select(
-        key, step, F.col(text).alias("__r"), F.explode_outer(F.sequence(F.lit(0), tiles - 1)).alias("__tile"))
-    best = F.coalesce(F.array_max(F.transform("__m", lambda m: T.step_similarity(m, F.col("__r")))), F.lit(0.0))
-    met = null_safe_join(probes, packed, [key, "__tile"], "left").select(key, step, best.alias("b"))
-    return met.groupBy(key, step).agg(F.max("b").alias("b")).groupBy(key).agg(F.avg("b").alias("coverage"))
+    spread = null_safe_join(distinct, sized, [key]).withColumn("__tile", F.pmod(F.xxhash64("__s"), tiles).cast("int"))
+    packed = spread.groupBy(key, "__tile").agg(F.collect_list(F.struct("__s", "__w")).alias("__m"))
+    probes = null_safe_join(asked, sized, [key], "left").select(
+        key, "__s", "__w", "__n", F.explode_outer(F.sequence(F.lit(0), tiles - 1)).alias("__tile"))
+
+    def length_bound(m: Column) -> Column:
+        a, b = F.length(m["__s"]), F.length(F.col("__s"))
+        return F.when(F.greatest(a, b) == 0, F.lit(1.0)).otherwise(1.0 - F.abs(a - b) / F.greatest(a, b))
+
+    def count_bound(m: Column) -> Column:
+        a, b = F.size(m["__w"]), F.size(F.col("__w"))
+        return F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(F.least(a, b) / F.greatest(a, b))
+
+    def improve(acc: Column, m: Column) -> Column:
+        def closer(top: Column) -> Column:
+            exact = 0.5 * T.jaccard(m["__w"], F.col("__w")) + 0.5 * T.edit_ratio(m["__s"], F.col("__s"))
+            return F.when(top <= acc["b"], acc).otherwise(
+                F.struct(F.greatest(acc["b"], exact).alias("b"), (acc["e"] + 1).alias("e")))
+        return F.when(-m["neg"] <= acc["b"], acc).otherwise(
+            T.let(0.5 * T.jaccard(m["__w"], F.col("__w")) + 0.5 * m["len"], closer))
+
+    bounded = F.transform("__m", lambda m: F.struct(
+        (-(0.5 * count_bound(m) + 0.5 * length_bound(m))).alias("neg"), length_bound(m).alias("len"),
+        m["__s"].alias("__s"), m["__w"].alias("__w")))
+    nothing = F.struct(F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("e"))
+    best = F.when(F.col("__m").isNull(), nothing).otherwise(
+        F.aggregate(F.array_sort(bounded), nothing, improve))
+    met = null_safe_join(probes, packed, [key, "__tile"], "left").select(key, "__s", "__n", best.alias("best"))
+    steps = met.groupBy(key, "__s", "__n").agg(F.max("best.b").alias("b"), F.sum("best.e").alias("e"))
+    return steps.groupBy(key).agg((F.sum(F.col("b") * F.col("__n")) / F.sum("__n")).alias("coverage"),
+                                  F.sum("e").alias("edits"))

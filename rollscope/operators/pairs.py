@@ -1,6 +1,6 @@
 """Sibling comparisons inside groups without emitting all pairs.
 
-A group is cut into tiles of about TILE members. Every row meets each tile of its group once and
+Token sets are compared as different sets with counts (`sibling_overlap`). Other payloads are folded: a group is cut into tiles of about TILE members. Every row meets each tile of its group once and
 folds the whole tile to one partial sum, so the shuffle carries rows times tiles, not rows times rows,
 and a large group spreads over as many tasks as it has tiles.
 """
@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rollscope.operators.skew import null_safe_join, with_group_stats
+from rollscope.operators.skew import attach_stats, null_safe_join, with_group_stats
 from rollscope.session import cut_lineage
 
 TILE = 64
@@ -51,25 +54,97 @@ def overlap(a: Column, b: Column) -> Column:
         both / F.size(F.array_union(a, b)))
 
 
+# Sets per block of a large group, and tokens per block where sets are long: a cell of two blocks is one task's work.
+BLOCK, BLOCK_TOKENS = 2048, 500_000
+
+
+def _cell_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    """Per set of two blocks, the weighted similarities to the sets of the other block (of its own on the diagonal).
+
+    An inverted index per block: only tokens on both sides are walked, so sets without a shared token cost nothing.
+    """
+    home = frame["__b"] == frame["__lo"]
+    diagonal = frame["__lo"].iloc[0] == frame["__hi"].iloc[0]
+    left = frame[home]
+    right = left if diagonal else frame[~home]
+    if left.empty or right.empty:
+        return frame.iloc[:0].assign(total=0.0)
+
+    def postings(side: pd.DataFrame) -> dict:
+        index: dict = {}
+        for i, found in enumerate(side["__t"]):
+            for t in found:
+                index.setdefault(t, []).append(i)
+        return index
+
+    rows, cols = postings(left), postings(right)
+    common = np.zeros((len(left), len(right)), dtype=np.int32)
+    for t in rows.keys() & cols.keys():
+        common[np.ix_(rows[t], cols[t])] += 1
+    sizes = [side["__t"].str.len().to_numpy(dtype=np.int32) for side in (left, right)]
+    similar = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)
+    out = left.assign(total=similar @ right["__m"].to_numpy(dtype=float))
+    if diagonal:
+        return out
+    return pd.concat([out, right.assign(total=left["__m"].to_numpy(dtype=float) @ similar)])
+
+
+def sibling_overlap(df: DataFrame, keys: Sequence[str], row_id: str, tokens: str, tile: int = TILE,
+                    block: int = BLOCK) -> DataFrame:
+    """Per row: `own` tokens, `others` rows of its group, `total` Jaccard similarity to them (0 where a side is empty).
+
+    Equal token sets meet once, weighted by how many rows have them. Groups of at most `tile` different sets are
+    compared inside one packed row. Larger ones are cut into blocks, and each pair of blocks is one cell for one task:
+    the shuffle carries sets times blocks. A null set is an empty one; repeated rows are rows of their own.
+    """
+    keys = list(keys)
+    found = F.array_sort(F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>"))))
+    digest = F.sha2(F.to_json("__t"), 256)
+    # Both the sets and the result read these rows; storing them keeps the parse behind the tokens from running twice.
+    rows = cut_lineage(df.select(*keys, row_id, found.alias("__t")))
+    sets = rows.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__m")).withColumn("__set", digest)
+    sizes = sets.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sets"), F.sum("__m").alias("__rows"),
+                                    F.sum(F.size("__t")).alias("__tokens"))
+    blocks = F.greatest(F.ceil(F.col("__sets") / block), F.ceil(F.col("__tokens") / BLOCK_TOKENS), F.lit(1)).cast("int")
+    sized = cut_lineage(attach_stats(sets, sizes, keys).withColumn("__blocks", blocks))
+    packable = (F.col("__sets") <= tile) & (F.col("__blocks") == 1)
+
+    one = F.struct("__set", "__m", "__t")
+    packed = sized.filter(packable).groupBy(*keys).agg(F.collect_list(one).alias("__all"))
+    weighed = F.transform("__all", lambda me: F.struct(me["__set"].alias("__set"), F.aggregate(
+        "__all", F.lit(0.0), lambda acc, m: acc + m["__m"] * overlap(me["__t"], m["__t"])).alias("total")))
+    within = packed.select(*keys, F.inline(weighed))
+
+    home = F.pmod(F.xxhash64("__set"), F.col("__blocks")).cast("int")
+    dealt = sized.filter(~packable).select(*keys, "__set", "__m", "__t", home.alias("__b"), F.explode(
+        F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__o"))
+    cells = dealt.select(*keys, "__set", "__m", "__t", "__b", F.least("__b", "__o").alias("__lo"),
+                         F.greatest("__b", "__o").alias("__hi"))
+    columns = StructType([*[df.schema[k] for k in keys], StructField("__set", StringType()),
+                          StructField("total", DoubleType())])
+    across = cells.groupBy(*keys, "__lo", "__hi").applyInPandas(lambda f: _cell_sums(f)[columns.names], columns)
+    totals = within.unionByName(across.groupBy(*keys, "__set").agg(F.sum("total").alias("total")))
+
+    # A row's own set is among those it met: one of its rows is the row itself.
+    out = null_safe_join(rows.select(*keys, row_id, F.size("__t").alias("own"), digest.alias("__set")),
+                         totals, [*keys, "__set"])
+    out = attach_stats(out, sizes.select(*keys, "__rows"), keys)
+    return out.select(*keys, row_id, "own", (F.col("__rows") - 1).alias("others"),
+                      (F.col("total") - F.when(F.col("own") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("total"))
+
+
 def mean_sibling_jaccard(df: DataFrame, keys: Sequence[str], row_id: str, tokens: str) -> DataFrame:
     """Mean token overlap of each row with its group siblings; empty rows and lone rows are 0."""
-    other = lambda me, m: me["id"] != m["id"]
-    out = fold_siblings(df, keys, row_id, [tokens], {
-        "__sum": lambda me, m: F.when(other(me, m), overlap(me[tokens], m[tokens])).otherwise(F.lit(0.0)),
-        "__cnt": lambda me, m: other(me, m).cast("double")})
-    return out.select(*keys, row_id, F.when(F.col("__cnt") > 0, F.col("__sum") / F.col("__cnt"))
+    met = sibling_overlap(df, keys, row_id, tokens)
+    return met.select(*keys, row_id, F.when(F.col("others") > 0, F.col("total") / F.col("others"))
                       .otherwise(F.lit(0.0)).alias("mean_jaccard"))
 
 
 def mean_sibling_evidence(df: DataFrame, keys: Sequence[str], row_id: str, words: str) -> DataFrame:
     """Mean keyword-set overlap with siblings; a row without keywords is 0, a lone row is 1."""
-    other = lambda me, m: me["id"] != m["id"]
-    out = fold_siblings(df, keys, row_id, [words], {
-        "__sum": lambda me, m: F.when(other(me, m), overlap(me[words], m[words])).otherwise(F.lit(0.0)),
-        "__cnt": lambda me, m: other(me, m).cast("double"),
-        "__own": lambda me, m: F.when(~other(me, m), F.size(me[words]).cast("double")).otherwise(F.lit(0.0))})
-    return out.select(*keys, row_id, F.when(F.col("__cnt") == 0, F.lit(1.0)).when(F.col("__own") == 0, F.lit(0.0))
-                      .otherwise(F.col("__sum") / F.col("__cnt")).alias("evidence"))
+    met = sibling_overlap(df, keys, row_id, words)
+    return met.select(*keys, row_id, F.when(F.col("others") == 0, F.lit(1.0)).when(F.col("own") == 0, F.lit(0.0))
+                      .otherwise(F.col("total") / F.col("others")).alias("evidence"))
 
 
 def mean_sibling_box_overlap(df: DataFrame, keys: Sequence[str], row_id: str, boxes: str) -> DataFrame:

@@ -325,8 +325,8 @@ def step_coverage(spark, sf):
     from rollscope.operators.certificate import step_coverage as cover
 
     conv = ascii_text(view(spark, sf, "conversations"))
-    side = lambda r: conv.filter(F.col("role") == r).select("conv_id", "turn", "text")
-    return cover(side("user"), side("assistant"), "conv_id", "turn", "text").select("conv_id", r9("coverage", 8))
+    side = lambda r: conv.filter(F.col("role") == r).select("conv_id", "text")
+    return cover(side("user"), side("assistant"), "conv_id", "text").select("conv_id", r9("coverage", 8))
 
 
 @register("step_similarity", "with c as (" + STEP_SQL + ") select a.conv_id, a.turn, round(" + SIM_SQL.format(a="a.", b="b.")

@@ -79,13 +79,52 @@ def test_sibling_fold_with_many_tiles(spark):
     for g, i, w in data:
         sims = [len(set(w) & set(x)) / len(set(w) | set(x)) for a, j, x in data if a == g and j != i]
         want[i] = sum(sims) / len(sims)
-    plain = pairs.TILE
-    try:
-        pairs.fold_siblings.__defaults__ = (4,)
-        got = pairs.mean_sibling_jaccard(df, ["g"], "id", "w").collect()
-    finally:
-        pairs.fold_siblings.__defaults__ = (plain,)
-    assert len(got) == 60 and all(abs(r.mean_jaccard - want[r.id]) < 1e-12 for r in got)
+    for tile, block in ((64, 2048), (4, 2048), (4, 7)):
+        got = pairs.sibling_overlap(df, ["g"], "id", "w", tile, block).collect()
+        assert len(got) == 60 and all(abs(r.total / r.others - want[r.id]) < 1e-12 for r in got)
+    assert {r.id: r.mean_jaccard for r in pairs.mean_sibling_jaccard(df, ["g"], "id", "w").collect()}.keys() == want.keys()
+
+
+def test_sibling_sets_null_empty_repeated(spark):
+    data = [(None, 1, ["a", "b"]), (None, 2, ["b", "a", "a"]), (None, 2, ["c"]), (None, 3, []), (None, 4, None), (7, 5, ["a"]), (7, 6, None)]
+    df = spark.createDataFrame(data, "g int, id int, w array<string>")
+    want = [(1, 2, 4, 1.0), (2, 1, 4, 0.0), (2, 2, 4, 1.0), (3, 0, 4, 0.0), (4, 0, 4, 0.0), (5, 1, 1, 0.0), (6, 0, 1, 0.0)]
+    for tile in (64, 0):
+        got = pairs.sibling_overlap(df, ["g"], "id", "w", tile, 2)
+        assert rows_of(got, "id", "own", "others", "total") == want
+        assert pairs.sibling_overlap(df.limit(0), ["g"], "id", "w", tile, 2).count() == 0
+
+
+def test_hot_group_ships_sets_times_blocks(spark):
+    df = spark.range(5000).selectExpr("1 as g", "id", "array(concat('w', id % 1000), concat('x', id % 7), 'all') as w")
+    got = {r.id: r.total for r in pairs.sibling_overlap(df, ["g"], "id", "w", block=300).collect()}
+    for i in (0, 1, 999, 4999):
+        want = 0.0
+        for j in range(5000):
+            if j != i:
+                both = 1 + (i % 1000 == j % 1000) + (i % 7 == j % 7)
+                want += both / (6 - both)
+        assert abs(got[i] - want) < 1e-6
+    assert len(got) == 5000
+
+
+def test_step_coverage_bounds_change_nothing(spark):
+    from rollscope.functions import text as T
+    from rollscope.operators.certificate import step_coverage
+
+    rnd = random.Random(9)
+    step = lambda: " ".join(rnd.choice(["red", "cube", "left", "of", "metal", "sphere", "moved"]) for _ in range(rnd.randrange(0, 9)))
+    ref = [(k, step() if i else None) for k in (1, None, 3) for i in range(6)]
+    said = [(k, step()) for k in (1, None) for _ in range(150)] + [(1, None), (1, ref[1][1])]
+    left, right = (spark.createDataFrame(rows, "k int, text string") for rows in (ref, said))
+    pairs_of = left.withColumn("i", F.monotonically_increasing_id()).alias("l").join(
+        right.withColumn("met", F.lit(True)).alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), "left")
+    plain = pairs_of.groupBy("l.k", "i").agg(F.coalesce(F.max(F.when(
+        F.col("met"), T.step_similarity(F.col("r.text"), F.col("l.text")))), F.lit(0.0)).alias("b"))
+    want = {r.k: r.c for r in plain.groupBy("k").agg(F.avg("b").alias("c")).collect()}
+    got = step_coverage(left, right, "k", "text").collect()
+    assert {r.k for r in got} == set(want) and all(abs(r.coverage - want[r.k]) < 1e-12 for r in got)
+    assert want[3] == 0 and sum(r.edits for r in got) < 0.7 * 5 * 300
 
 
 def test_ema_keeps_far_carries_at_every_rate(spark):
