@@ -244,3 +244,57 @@ def scene_verified(spark, sf):
     from rollscope.operators.checks import scene_verified as check
 
     return check(view(spark, sf, "v_edits")).select("scene_id", "edits", "verified")
+
+
+def scene_documents(spark, sf):
+    """Tasks, scene documents and a listing made of the edits and proposals; some disagree by their numbers."""
+    obj = lambda side: F.struct(*[F.col(f"{side}_{a}").alias(a) for a in FX.ATTRIBUTES])
+    edits = view(spark, sf, "v_edits").groupBy("scene_id").agg(
+        F.array_sort(F.collect_list(F.struct("obj", obj("before").alias("b"), obj("after").alias("a")))).alias("e"))
+    name = lambda what: F.concat(F.lit(what), F.col("scene_id").cast("string"), F.lit(".png"))
+    path = F.concat(F.lit("/scenes/json/"), F.col("scene_id").cast("string"), F.lit(".json"))
+    side = lambda f: F.transform("e", lambda x: x[f])
+    rendered = F.when(F.col("scene_id") % 13 == 0, side("b")).otherwise(side("a"))
+    doc = F.struct(
+        F.struct(side("b").alias("objects")).alias("original_scene"), F.struct(rendered.alias("objects")).alias("modified_scene"),
+        F.struct(F.transform("e", lambda x, i: F.struct(i.alias("index"), x["b"].alias("original"), x["a"].alias("replacement")))
+                 .alias("replaced_objects")).alias("modification"),
+        name("o").alias("original_image"), name("m").alias("modified_image"))
+    scenes_table = edits.select(path.alias("path"), F.to_json(doc).alias("doc"))
+    images = edits.select(F.explode(F.array(
+        F.when(F.col("scene_id") % 7 > 0, F.concat(F.lit("/scenes/json/"), name("o"))),
+        F.concat(F.lit("/scenes/json/"), name("m")), F.concat(F.lit("/scenes/replacement_images/"), name("k")))).alias("path"))
+
+    asked = view(spark, sf, "v_proposals").withColumn("scene_id", F.col("proposal_id")).join(edits, "scene_id", "left")
+    whole = F.col("proposal_id") % 6 == 0
+    kept = F.when(whole, F.sequence(F.lit(0), F.size("e") - 1)).otherwise(scenes.mask_members(F.col("mask"), 5))
+    moved = lambda x: F.filter(F.array(*[F.struct(
+        F.lit(a).alias("attribute"), x["b"][a].alias("before"), x["a"][a].alias("after")) for a in FX.ATTRIBUTES]),
+        lambda f: f["before"] != f["after"])
+    asked = asked.withColumn("keep", kept).withColumn("said", F.flatten(F.transform(
+        F.filter("keep", lambda i: i < F.size("e")), lambda i: moved(F.get("e", i)))))
+    spy = 1 + F.col("proposal_id") % 5
+    shown = F.transform(F.sequence(F.lit(1), F.col("num_players")), lambda i: F.when(
+        i != spy, name("o")).when(whole, name("m")).otherwise(name("k")))
+    variant = F.when(~whole, F.struct(
+        F.col("keep").alias("keep_indices"), (F.size("said") + (F.col("proposal_id") % 11 == 0).cast("int")).alias("num_attr_changes"),
+        (F.col("mask") != 31).alias("spliced"), F.size("keep").alias("num_changed_objects"),
+        name("k").alias("spy_image_path"), name("o").alias("civilian_image_path")))
+    task = F.struct(path.alias("scene_path"), shown.alias("image_path"),
+                    F.when(F.col("proposal_id") % 17 > 0, F.col("said")).alias("changes"),
+                    F.struct(spy.alias("spy_player"), F.col("num_players"), variant.alias("variant")).alias("metadata"))
+    return asked.select("proposal_id", F.to_json(task).alias("doc")), scenes_table, images.filter("path is not null")
+
+
+@register("scene_documents_verified", with_sql(("v_proposals", "v_edits"), f"""
+with s as (select scene_id, count(*) as n, bool_and(before_color <> 'mauve') as known, bool_and({CHANGED} > 0) as moved from v_edits group by 1),
+t as (select p.*, s.*, p.proposal_id % 6 = 0 as whole from v_proposals p left join s on s.scene_id = p.proposal_id),
+r as (select proposal_id, case when n is null then 'document' when not known then 'object attributes' when not moved then 'edit'
+ when not whole and mask >= (1 << n) then 'keep' when proposal_id % 17 = 0 then 'facts'
+ when not whole and proposal_id % 11 = 0 then 'attribute count' when proposal_id % 13 = 0 then 'modified scene' when proposal_id % 7 = 0 then 'images'
+ when not whole and (mask <> 31) <> (bit_count(mask) < n) then 'spliced' when 1 + proposal_id % 5 > num_players then 'players' end as reason from t)
+select proposal_id, reason, reason is null as verified from r"""))
+def scene_documents_verified(spark, sf):
+    from rollscope.operators.scene_documents import verify_scene_documents
+
+    return verify_scene_documents(*scene_documents(spark, sf), task_id="proposal_id")
