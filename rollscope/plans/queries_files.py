@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 from rollscope.operators import exports
 from rollscope.plans.catalog import register
 from rollscope.plans.queries_stats import ROUTE_SQL, r9, routed
+from rollscope.session import cut_lineage
 from rollscope.sources import files as S
 from rollscope.sources.views import view, with_sql
 
@@ -198,3 +199,36 @@ def scan_predictions(spark, sf):
 @register("file_fingerprint")
 def file_fingerprint(spark, sf):
     return S.file_fingerprints(spark, sf, "*.parquet").orderBy("file_name")
+
+
+@register("latest_status_files", """
+with c as (select c_nationkey as cell, count(*) as customers from customer group by 1),
+l as (select *, case when cell % 3 = 0 then 2 when cell % 5 <> 0 then 1 end as run from c)
+select cell, run, case when run is not null and not (run = 2 and cell % 9 = 6) then customers end as customers,
+ case when run is null then 'no status from this run' when run = 2 and cell % 9 = 6 then 'unreadable status'
+ when run = 2 and cell % 6 = 0 then 'another model' when run = 1 and cell % 4 = 1 then 'another mode' end as problem from l""")
+def latest_status_files(spark, sf):
+    # Two runs leave status files; the second covers some cells. Some files of the first were there before.
+    folder = S.scratch(spark, "statuses")
+    per = view(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("cell")).agg(F.count(F.lit(1)).alias("customers"))
+
+    def leave(rows, run):
+        model = F.when((F.lit(run) == 2) & (F.col("cell") % 6 == 0), F.lit("other")).otherwise(F.lit("base"))
+        mode = F.when(F.col("cell") % 2 == 0, F.lit(None)).when(
+            (F.lit(run) == 1) & (F.col("cell") % 4 == 1), F.lit("infer")).otherwise(F.lit("all"))
+        doc = F.to_json(F.struct(model.alias("model_name"), mode.alias("mode"), "customers"))
+        broken = (F.lit(run) == 2) & (F.col("cell") % 9 == 6)
+        text = F.when(broken, F.lit("{")).otherwise(doc)
+        rows.select("cell", text.alias("value")).write.partitionBy("cell").text(f"{folder}/run={run}")
+
+    leave(per, 1)
+    before = cut_lineage(S.list_files(spark, folder, "*.txt").filter(
+        F.regexp_extract("path", r"cell=(\d+)", 1).cast("bigint") % 5 == 0))
+    leave(per.filter("cell % 3 = 0"), 2)
+    cells = {"cell": F.regexp_extract("path", r"cell=(\d+)", 1).cast("bigint")}
+    latest = S.latest_artifacts(S.list_files(spark, folder, "*.txt"), cells, previous=before)
+    expected = per.select("cell", F.lit("base").alias("model_name"), F.lit("all").alias("mode"))
+    out = S.run_statuses(expected, latest, S.read_documents(spark, folder, "*.txt"), ["cell"],
+                         "model_name string, mode string, customers bigint")
+    run = F.when(F.col("path").isNotNull(), F.regexp_extract("path", r"run=(\d+)", 1).cast("int"))
+    return out.select("cell", run.alias("run"), F.col("status.customers").alias("customers"), "problem")

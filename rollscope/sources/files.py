@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from rollscope.operators import ranking
+from rollscope.operators.skew import null_safe_join
 from rollscope.session import ensure_checkpoint_dir
 
 
@@ -183,3 +184,43 @@ def file_fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFr
     """sha256 per file; each file is hashed by one task, files run in parallel."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.sha2("content", 256).alias("sha256"))
+
+
+STAMP = ("path", "modificationTime", "length")
+
+
+def latest_artifacts(files: DataFrame, cell: dict[str, Column], since: Column | None = None,
+                     previous: DataFrame | None = None) -> DataFrame:
+    """The newest eligible file of each cell of a listing; `cell` names columns over its path.
+
+    Eligible is what was modified at or after `since` and does not stand unchanged (path, time and length) in the
+    `previous` listing. Of files with one time the greatest path is taken. Contents are not read.
+    """
+    fresh = files if since is None else files.filter(F.col("modificationTime") >= since)
+    if previous is not None:
+        fresh = fresh.join(previous.select(*STAMP).distinct(), list(STAMP), "left_anti")
+    newest = F.max(F.struct("modificationTime", "path", "length")).alias("f")
+    return fresh.groupBy(*[c.alias(n) for n, c in cell.items()]).agg(newest).select(*cell, *[f"f.{c}" for c in STAMP])
+
+
+def run_statuses(expected: DataFrame, latest: DataFrame, documents: DataFrame, cell: list[str], schema: str) -> DataFrame:
+    """Each expected cell (with its `model_name` and `mode`) with its status document, parsed, and what is wrong with it.
+
+    A cell is judged by its newest eligible file alone: a wrong one is not replaced by an older one. `documents` has
+    `path` and `content`; `schema` must name model_name and mode. A document without a mode suits any mode.
+    """
+    parsed = F.from_json(F.col("content").cast("string"), schema + ", _corrupt_record string",
+                         {"columnNameOfCorruptRecord": "_corrupt_record"})
+    read = documents.join(latest.select("path"), "path", "left_semi").select("path", parsed.alias("status"))
+    rows = null_safe_join(expected, latest.select(*cell, "path"), cell, "left").join(read, "path", "left")
+    bad = F.col("status").isNull() | F.col("status._corrupt_record").isNotNull()
+    problem = (F.when(F.col("path").isNull(), F.lit("no status from this run")).when(bad, F.lit("unreadable status"))
+               .when(~F.col("status.model_name").eqNullSafe(F.col("model_name")), F.lit("another model"))
+               .when(F.col("status.mode") != F.col("mode"), F.lit("another mode")))
+    return rows.withColumn("problem", problem)
+
+
+def read_documents(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """Paths and whole contents of small files, one row per file."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+            .load(folder).select("path", "content"))
