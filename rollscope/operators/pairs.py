@@ -83,9 +83,13 @@ def _cell_sums(frame: pd.DataFrame) -> pd.DataFrame:
         common[np.ix_(rows[t], cols[t])] += 1
     sizes = [side["__t"].str.len().to_numpy(dtype=np.int32) for side in (left, right)]
     similar = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)
-    out = left.assign(total=similar @ right["__m"].to_numpy(dtype=float))
+    weights = right["__m"].to_numpy(dtype=float)
     if diagonal:
-        return out
+        # A set meets its own other rows; the row itself is left out.
+        own = similar.diagonal() * (weights - 1)
+        np.fill_diagonal(similar, 0.0)
+        return left.assign(total=similar @ weights + own)
+    out = left.assign(total=similar @ weights)
     return pd.concat([out, right.assign(total=left["__m"].to_numpy(dtype=float) @ similar)])
 
 
@@ -112,7 +116,8 @@ def sibling_overlap(df: DataFrame, keys: Sequence[str], row_id: str, tokens: str
     one = F.struct("__set", "__m", "__t")
     packed = sized.filter(packable).groupBy(*keys).agg(F.collect_list(one).alias("__all"))
     weighed = F.transform("__all", lambda me: F.struct(me["__set"].alias("__set"), F.aggregate(
-        "__all", F.lit(0.0), lambda acc, m: acc + m["__m"] * overlap(me["__t"], m["__t"])).alias("total")))
+        "__all", F.lit(0.0), lambda acc, m: acc + overlap(me["__t"], m["__t"]) * (
+            m["__m"] - (m["__set"] == me["__set"]).cast("int"))).alias("total")))
     within = packed.select(*keys, F.inline(weighed))
 
     home = F.pmod(F.xxhash64("__set"), F.col("__blocks")).cast("int")
@@ -125,12 +130,10 @@ def sibling_overlap(df: DataFrame, keys: Sequence[str], row_id: str, tokens: str
     across = cells.groupBy(*keys, "__lo", "__hi").applyInPandas(lambda f: _cell_sums(f)[columns.names], columns)
     totals = within.unionByName(across.groupBy(*keys, "__set").agg(F.sum("total").alias("total")))
 
-    # A row's own set is among those it met: one of its rows is the row itself.
     out = null_safe_join(rows.select(*keys, row_id, F.size("__t").alias("own"), digest.alias("__set")),
                          totals, [*keys, "__set"])
     out = attach_stats(out, sizes.select(*keys, "__rows"), keys)
-    return out.select(*keys, row_id, "own", (F.col("__rows") - 1).alias("others"),
-                      (F.col("total") - F.when(F.col("own") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("total"))
+    return out.select(*keys, row_id, "own", (F.col("__rows") - 1).alias("others"), "total")
 
 
 def mean_sibling_jaccard(df: DataFrame, keys: Sequence[str], row_id: str, tokens: str) -> DataFrame:
