@@ -26,10 +26,10 @@ BALANCED = {"easy": 0.3, "medium": 0.5, "hard": 0.2}
 LEVELS = ("easy", "medium", "hard")
 
 
-def unique_rows(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs once; repeated keys lose authority altogether."""
-    cols = [c for c in df.columns if c != key]
-    one = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+def unique_rows(df: DataFrame, key: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key occurs once (within `keys`); repeated keys lose authority altogether."""
+    cols = [c for c in df.columns if c not in (key, *keys)]
+    one = df.filter(F.col(key).isNotNull()).groupBy(*keys, key).agg(
         F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(c) for c in cols])
     return one.filter("__n = 1").select(*df.columns)
 
@@ -57,16 +57,16 @@ def proposal_score(proposals: DataFrame, tasks: DataFrame, stats: DataFrame) ->
         F.when(reached, learnability(rate)).otherwise(F.lit(0.0)).alias("learnability"))
 
 
-def proposal_report(scored: DataFrame, keep: str) -> DataFrame:
-    """Parse rate, reach, mean learnability, distinct subsets and diversity in one row."""
+def proposal_report(scored: DataFrame, keep: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Parse rate, reach, mean learnability, distinct subsets and diversity in one row, or one per key."""
     text = F.array_join(F.col(keep).cast("array<string>"), ",")
     parsed = F.coalesce(F.size(keep) > 0, F.lit(False))
     # Group by subset first: the distinct count is then a plain row count.
-    per = scored.groupBy(F.when(parsed, text).alias("subset")).agg(
+    per = scored.groupBy(*keys, F.when(parsed, text).alias("subset")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("reached").alias("reached"),
         F.sum(F.when(F.col("reached"), F.col("learnability"))).alias("learn"),
         F.count_if(F.col("reached") & (F.col("solver_class") == "trainable")).alias("trainable"))
-    out = per.agg(
+    out = per.groupBy(*keys).agg(
         F.sum("n").alias("num_proposals"), F.sum(F.when(F.col("subset").isNotNull(), F.col("n"))).alias("num_parsed"),
         F.sum("reached").alias("num_reached"), (F.sum("learn") / F.sum("reached")).alias("mean_learnability"),
         F.sum("trainable").alias("num_trainable"), F.count("subset").alias("distinct_subsets"))
@@ -172,17 +172,18 @@ def pair_member_valid(tasks: DataFrame) -> DataFrame:
         & (F.size(k) > 0) & F.forall(k, lambda i: i >= 0) & (F.size(F.array_distinct(k)) == F.size(k)))
 
 
-def counterfactual_pairs(rollouts: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Verified one-object pairs with the modal predicted count of each side.
+def counterfactual_pairs(rollouts: DataFrame, tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Verified one-object pairs with the modal predicted count of each side; nothing meets across `by`.
 
     Sides are aggregated to one row per pair first, so the pairing needs no self-join.
     """
-    valid = pair_member_valid(unique_rows(tasks, "task_id"))
-    seen = rollouts.join(valid.select("task_id"), "task_id", "left_semi")
-    modes = modal_value(seen, ["task_id"], "count_pred")
-    present = seen.select("task_id").distinct()
-    sides = valid.join(present, "task_id").join(modes, "task_id", "left")
-    keys = ["pair_id", "scene_id", "num_players", "spy_player"]
+    task = [*by, "task_id"]
+    valid = pair_member_valid(unique_rows(tasks, "task_id", by))
+    seen = rollouts.join(valid.select(*task), task, "left_semi")
+    modes = modal_value(seen, task, "count_pred")
+    present = seen.select(*task).distinct()
+    sides = valid.join(present, task).join(modes, task, "left")
+    keys = [*by, "pair_id", "scene_id", "num_players", "spy_player"]
     side = lambda role, col: F.max(F.when(F.col("pair_role") == role, F.col(col)))
     per = sides.groupBy(*keys).agg(
         F.count_if(F.col("pair_role") == "small").alias("n_small"), F.count_if(F.col("pair_role") == "large").alias("n_large"),
@@ -194,11 +195,12 @@ def counterfactual_pairs(rollouts: DataFrame, tasks: DataFrame) -> DataFrame:
         *keys, "small_mode", "large_mode")
 
 
-def counterfactual_sensitivity(pairs: DataFrame) -> DataFrame:
+def counterfactual_sensitivity(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Share of pairs whose count moved, and of those whose count went up with the larger side, over all or per key."""
     moved = F.col("small_mode") != F.col("large_mode")
-    out = pairs.agg(F.count(F.lit(1)).alias("num_pairs"), F.count_if(moved).alias("moved"),
+    out = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_pairs"), F.count_if(moved).alias("moved"),
                     F.count_if(F.col("large_mode") > F.col("small_mode")).alias("moved_up"))
-    return out.select("num_pairs", F.when(F.col("num_pairs") > 0, F.col("moved") / F.col("num_pairs"))
+    return out.select(*keys, "num_pairs", F.when(F.col("num_pairs") > 0, F.col("moved") / F.col("num_pairs"))
                       .alias("sensitivity"), F.when(F.col("num_pairs") > 0, F.col("moved_up") / F.greatest(
                           F.col("moved"), F.lit(1))).alias("direction_correct"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscope.operators.skew import attach_stats, with_group_stats
+from rollscope.operators.skew import attach_stats, null_safe_join, with_group_stats
 
 # Pass-rate classes.
 TOO_HARD, TRAINABLE, MASTERED = "too_hard", "trainable", "mastered"
@@ -42,8 +42,8 @@ def pass_class(pass_rate: Column, verified_rate: Column | None = None) -> Column
 
 def task_statistics(rollouts: DataFrame, *, task: str = "task_id", reward: str = "reward_scalar",
                     solved: str = "solved", scene: str | None = "scene_id",
-                    order: str | None = "gen_index") -> DataFrame:
-    """One row per task: size, pass rate, mean / max reward, regret, population std, class, scene.
+                    order: str | None = "gen_index", keys: Sequence[str] = ()) -> DataFrame:
+    """One row per task (of each of `keys`): size, pass rate, mean / max reward, regret, population std, class, scene.
 
     One partial/final hash aggregate on the task; no row of a task is ever gathered.
     """
@@ -56,15 +56,15 @@ def task_statistics(rollouts: DataFrame, *, task: str = "task_id", reward: str =
     ]
     if scene is not None:
         aggs.append((F.min_by(scene, order) if order else F.min(scene)).alias("scene_id"))
-    out = rollouts.groupBy(task).agg(*aggs)
+    out = rollouts.groupBy(*keys, task).agg(*aggs)
     return out.select(
         "*", (F.col("max_reward") - F.col("mean_reward")).alias("regret"),
         pass_class(F.col("pass_rate")).alias("class"))
 
 
-def solvability_summary(stats: DataFrame, std_floor: float = 0.02) -> DataFrame:
-    """One row over all tasks. The collapse test reads the std rounded to 4 places, as reported."""
-    return stats.agg(
+def solvability_summary(stats: DataFrame, std_floor: float = 0.02, keys: Sequence[str] = ()) -> DataFrame:
+    """One row over all tasks, or per key. The collapse test reads the std rounded to 4 places, as reported."""
+    return stats.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_tasks"),
         F.avg("pass_rate").alias("mean_solve_rate"),
         F.avg("regret").alias("mean_regret"),
@@ -124,7 +124,7 @@ def answer_diagnostics(rollouts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg(hit("count_pred", "count_gold")).alias("count_acc"),
         F.count_if(F.col("count_pred").isNull()).alias("parse_failed"))
     mode = modal_value(rollouts, keys, "count_pred")
-    return base.join(mode, list(keys), "left").select(
+    return null_safe_join(base, mode, list(keys), "left").select(
         *keys, "n", "mode", (F.coalesce(F.col("mode_count"), F.lit(0)) / F.col("n")).alias("mode_share"),
         "spy_acc", "count_acc", "parse_failed")
 

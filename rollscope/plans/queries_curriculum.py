@@ -363,9 +363,9 @@ def policy_diff(spark, sf):
     return C.policy_diff(p, ["a", "n"])
 
 
-@register("round_feedback", with_sql(("v_feedback", "v_vectors"), STATE_SQL + """
+@register("feedback_by_next_run", with_sql(("v_feedback", "v_vectors"), STATE_SQL + """
 select run_id + 1 as for_round, round(answer_mean, 9) as prev_answer_mean, target_echo as prev_target_echo from st"""))
-def round_feedback(spark, sf):
+def feedback_by_next_run(spark, sf):
     fb = C.feedback_summary(view(spark, sf, "v_feedback"), ["run_id"])
     vec = view(spark, sf, "v_vectors").groupBy((F.col("task_id") % 12).alias("run_id")).agg(F.avg("answer").alias("answer_mean"))
     return vec.join(fb, "run_id", "left").select(

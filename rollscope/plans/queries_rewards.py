@@ -392,9 +392,9 @@ def sft_replay_rows(spark, sf):
     return exports.sft_replay_rows(df).select("gen_index", "task_id", "solution", "source_buffer", "routing_reason")
 
 
-@register("round_report", with_sql("v_vectors", ROUTE_SQL + """
+@register("round_totals", with_sql("v_vectors", ROUTE_SQL + """
 select kind as round, count(*) n, round(avg(reward_scalar), 9) mean_reward, count(distinct task_id) tasks, count(*) filter (where buffer = 'positive') positives, round(avg(grounding), 9) mean_grounding from buffered group by 1"""))
-def round_report(spark, sf):
+def round_totals(spark, sf):
     df = routed(spark, sf)
     per_task = df.groupBy("kind", "task_id").agg(F.count(F.lit(1)).alias("n"), F.sum("reward_scalar").alias("r"),
                                                  F.count_if(F.col("buffer") == "positive").alias("p"), F.sum("grounding").alias("g"))
