@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from rollscope.functions.boxes import best_recall, box_iou, is_box
 from rollscope.operators.skew import attach_stats, null_safe_join, with_group_stats
 from rollscope.session import cut_lineage
 
@@ -150,17 +151,79 @@ def mean_sibling_evidence(df: DataFrame, keys: Sequence[str], row_id: str, words
                       .otherwise(F.col("total") / F.col("others")).alias("evidence"))
 
 
+# A group's grid has cells of its mean box, and at most this many along a side.
+GRID = 16
+
+
+def _usable(box: Column) -> Column:
+    finite = F.forall(box, lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.coalesce(is_box(box) & finite, F.lit(False))
+
+
+def _cells(box: Column) -> Column:
+    """Grid cells that a box touches."""
+    at = lambda i, lo: F.floor((box[i] - F.col(lo)) / F.col("__cell")).cast("int")
+    return F.flatten(F.transform(F.sequence(at(0, "__x0"), at(2, "__x0")), lambda x: F.transform(
+        F.sequence(at(1, "__y0"), at(3, "__y0")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
 def mean_sibling_box_overlap(df: DataFrame, keys: Sequence[str], row_id: str, boxes: str) -> DataFrame:
-    """Mean recall of siblings' boxes by a row's boxes; rows without boxes are 0."""
-    from rollscope.functions.boxes import best_recall
-
-    other = lambda me, m: (me["id"] != m["id"]) & m[boxes].isNotNull()
-    out = fold_siblings(df, keys, row_id, [boxes], {
-        "__sum": lambda me, m: F.when(other(me, m) & me[boxes].isNotNull(), best_recall(m[boxes], me[boxes]))
-        .otherwise(F.lit(0.0)),
-        "__cnt": lambda me, m: other(me, m).cast("double")})
-    return out.select(*keys, row_id, F.when(F.col("__cnt") > 0, F.col("__sum") / F.col("__cnt"))
-                      .otherwise(F.lit(0.0)).alias("evidence"))
+    """Mean recall of siblings' boxes by a row's boxes.
+
+    Equal boxes of a group carry one weight, the sum over its rows of their share in the row's boxes. A row's total is the
+    sum over these weights of its best overlap with each; only boxes that share a grid cell meet, and no two rows do. The
+    row's own recall is taken off. A null set names no boxes: the row gets 0 and is nobody's sibling. An unusable box (not
+    four finite numbers) makes its row's boxes unrecallable (0) and is passed over on the recalling side. A row with no
+    sibling that has boxes gets 0, a lone row 1. Repeated rows are rows of their own; boxes without area overlap nothing.
+    """
+    keys = list(keys)
+    # A negative zero is a zero here, so that equal boxes are one.
+    plain = F.transform(F.col(boxes).cast("array<array<double>>"), lambda b: F.transform(b, lambda v: v + F.lit(0.0)))
+    rows = cut_lineage(df.select(*keys, row_id, plain.alias("__b")))
+    digest = F.sha2(F.to_json("__b"), 256)
+    usable = F.filter("__b", _usable)
+    sets = rows.filter(F.col("__b").isNotNull()).groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__m"))
+    sets = sets.select(*keys, "__m", digest.alias("__set"), usable.alias("__p"), F.size("__b").alias("__n")).withColumn(
+        "__whole", (F.col("__n") > 0) & (F.size("__p") == F.col("__n")))
+    sets = cut_lineage(sets.withColumn("__own", F.when(F.col("__whole"), best_recall(F.col("__p"), F.col("__p"))).otherwise(F.lit(0.0))))
+
+    box = F.col("__box")
+    flat = sets.select(*keys, "__set", "__m", "__n", "__whole", F.explode("__p").alias("__box")).filter(
+        (box[2] > box[0]) & (box[3] > box[1]))
+    wide, high = F.max(box[2]) - F.min(box[0]), F.max(box[3]) - F.min(box[1])
+    grid = flat.groupBy(*keys).agg(
+        F.greatest(F.avg(F.greatest(box[2] - box[0], box[3] - box[1])), wide / GRID, high / GRID).alias("__cell"),
+        F.min(box[0]).alias("__x0"), F.min(box[1]).alias("__y0"))
+    cell = F.col("__c")
+    placed = lambda d: attach_stats(d, grid, keys).withColumn("__c", F.explode(_cells(box))).select(
+        *d.columns, "__cell", "__x0", "__y0", cell["x"].alias("__cx"), cell["y"].alias("__cy"))
+    gold = placed(flat.filter("__whole").groupBy(*keys, "__box").agg(F.sum(F.col("__m") / F.col("__n")).alias("__w")))
+    gold = gold.drop("__cell", "__x0", "__y0").withColumnRenamed("__box", "__g")
+    probes = placed(flat.select(*keys, "__set", "__box").distinct())
+    # Two boxes meet in the one cell that holds the lower corner of what they share.
+    first = lambda i, lo: F.floor((F.greatest(box[i], F.col("__g")[i]) - F.col(lo)) / F.col("__cell")).cast("int")
+    met = null_safe_join(probes, gold, [*keys, "__cx", "__cy"]).filter(
+        (first(0, "__x0") == F.col("__cx")) & (first(1, "__y0") == F.col("__cy")))
+    best = met.groupBy(*keys, "__set", "__g").agg(F.max(box_iou(box, F.col("__g"))).alias("__iou"), F.first("__w").alias("__w"))
+    totals = best.groupBy(*keys, "__set").agg(F.sum(F.col("__iou") * F.col("__w")).alias("__total"))
+    totals = null_safe_join(sets.select(*keys, "__set", "__own"), totals, [*keys, "__set"], "left")
+
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.count("__b").alias("__with"))
+    out = null_safe_join(rows.select(*keys, row_id, digest.alias("__set")), totals, [*keys, "__set"], "left")
+    out = attach_stats(out, counts, keys)
+    others = F.col("__with") - 1
+    mean = F.greatest(F.lit(0.0), F.coalesce(F.col("__total"), F.lit(0.0)) - F.col("__own")) / others
+    return out.select(*keys, row_id, F.when(F.col("__rows") == 1, F.lit(1.0)).when(
+        F.col("__own").isNull() | (others <= 0), F.lit(0.0)).otherwise(mean).alias("evidence"))
+
+
+def sibling_evidence(df: DataFrame, keys: Sequence[str], row_id: str, words: str, boxes: str) -> DataFrame:
+    """Evidence agreement with siblings: boxes where a group gives any, words otherwise; `method` names which."""
+    keys = list(keys)
+    rows = cut_lineage(with_group_stats(df.select(*keys, row_id, words, boxes), keys, {"__given": F.count(boxes)}))
+    seen = mean_sibling_box_overlap(rows.filter("__given > 0"), keys, row_id, boxes)
+    said = mean_sibling_evidence(rows.filter("__given = 0"), keys, row_id, words)
+    return seen.withColumn("method", F.lit("boxes")).unionByName(said.withColumn("method", F.lit("words")))
 
 
 # Fixed values: (similarity at least, penalty) bands and the word-overlap penalty of repeated clues.

@@ -288,3 +288,37 @@ def pairwise_evidence(spark, sf):
 select gen_index, case gen_index % 8 when 0 then 1.0 when 1 then 1.0 when 2 then 1.0 when 3 then 0.3 when 4 then 0.3 when 5 then 0.7 when 6 then 0.0 else 0.3 end as score from t"""))
 def basic_format(spark, sf):
     return replies(spark, sf).select("gen_index", G.basic_format(F.col("reply")).alias("score"))
+
+
+# Predicted boxes of a clue: none in every third group, none in every seventh row, else one to three.
+BOX_COLUMN = """if(user_id % 3 = 0 or event_id % 7 = 0, null, transform(sequence(0, cast(event_id % 3 as int)), k -> array(
+ double((event_id * 37 + k * 53) % 260), double((event_id * 11 + k * 29) % 180), double((event_id * 37 + k * 53) % 260 + 20 + event_id * 7 % 60),
+ double((event_id * 11 + k * 29) % 180 + 20 + (event_id + k) * 5 % 50)))) as boxes"""
+BOX_EVIDENCE_SQL = """
+bx as (select user_id, event_id, k, event_id % 3 + 1 as nb, (event_id * 37 + k * 53) % 260 as x1, (event_id * 11 + k * 29) % 180 as y1, (event_id * 37 + k * 53) % 260 + 20 + event_id * 7 % 60 as x2,
+ (event_id * 11 + k * 29) % 180 + 20 + (event_id + k) * 5 % 50 as y2 from events, range(0, 3) q(k) where user_id % 3 <> 0 and event_id % 7 <> 0 and k <= event_id % 3),
+pairs as (select a.user_id, a.event_id, g.event_id as sib, g.k, g.nb, greatest(0, least(a.x2, g.x2) - greatest(a.x1, g.x1)) * greatest(0, least(a.y2, g.y2) - greatest(a.y1, g.y1)) as inter,
+ (a.x2 - a.x1) * (a.y2 - a.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) as areas from bx a join bx g on a.user_id = g.user_id and a.event_id <> g.event_id),
+tops as (select user_id, event_id, sib, k, any_value(nb) as nb, max(inter / (areas - inter)) as top from pairs group by 1, 2, 3, 4),
+seen as (select user_id, event_id, sum(top / nb) / count(distinct sib) as ev from tops group by 1, 2),
+grp as (select user_id, count(*) as members, count(*) filter (where user_id % 3 <> 0 and event_id % 7 <> 0) as given from events group by 1)
+"""
+
+
+@register("pairwise_box_evidence", f"""
+{CLUES_SQL}, {BOX_EVIDENCE_SQL}, w as (select user_id, c.event_id, list_filter(list_distinct(regexp_extract_all(lower(clue), '[a-z0-9_]+')),
+ lambda x: x in ('red', 'blue', 'green', 'cube', 'sphere', 'large', 'small')) as ks from clues c join events e on c.event_id = e.event_id),
+p as (select a.user_id, a.event_id, len(a.ks) as own, count(b.event_id) as n, sum(case when len(a.ks) = 0 or len(b.ks) = 0 then 0 else
+ len(list_intersect(a.ks, b.ks)) / (len(a.ks) + len(b.ks) - len(list_intersect(a.ks, b.ks))) end) as s
+ from w a left join w b on a.user_id = b.user_id and a.event_id <> b.event_id group by 1, 2, 3)
+select p.user_id, p.event_id, case when grp.given > 0 then 'boxes' else 'words' end as method,
+ round(case when members = 1 then 1 when grp.given > 0 then coalesce(seen.ev, 0) when own = 0 then 0 else s / n end, 9) as evidence
+from p join grp on grp.user_id = p.user_id left join seen on seen.user_id = p.user_id and seen.event_id = p.event_id""")
+def pairwise_box_evidence(spark, sf):
+    from rollscope.functions.rewards import EVIDENCE_WORDS
+    from rollscope.functions.text import tokens
+
+    words = F.array(*[F.lit(w) for w in EVIDENCE_WORDS])
+    df = view(spark, sf, "events").selectExpr("user_id", "event_id", CLUES[2], BOX_COLUMN).select(
+        "user_id", "event_id", F.array_intersect(tokens(F.col("clue")), words).alias("k"), "boxes")
+    return pairs.sibling_evidence(df, ["user_id"], "event_id", "k", "boxes").select("user_id", "event_id", "method", r9("evidence"))

@@ -306,6 +306,22 @@ def group_consistency(spark, sf):
     return scoring.group_consistency(df).select("task_id", "gen_index", r9("consistency", 10))
 
 
+# With boxes, these are the evidence of a group that gives any: one box per rollout here, in two of three groups.
+@register("group_consistency_boxes", with_sql("v_rollouts", GROUP_SQL[:GROUP_SQL.rindex("select p.task_id")].rstrip() + """,
+b as (select task_id, gen_index, gen_index * 37 % 100 as x, gen_index * 11 % 80 as y from v_rollouts where task_id % 3 <> 0 and gen_index % 7 <> 0),
+o as (select a.task_id, a.gen_index, greatest(0, 60 - abs(a.x - g.x)) * greatest(0, 50 - abs(a.y - g.y)) as inter from b a join b g on a.task_id = g.task_id and a.gen_index <> g.gen_index),
+v as (select task_id, gen_index, avg(inter / (6000 - inter)) as iou from o group by 1, 2), have as (select distinct task_id from b)
+select p.task_id, p.gen_index, round(case when n.n = 1 then 1 else 0.4 * s.c / n.n + 0.3 * case when have.task_id is null then ev else coalesce(iou, 0) end + 0.3 * rs end, 10) as consistency
+ from p join n on p.task_id = n.task_id join s on s.task_id = p.task_id and s.said = p.said left join have on have.task_id = p.task_id left join v on v.task_id = p.task_id and v.gen_index = p.gen_index"""))
+def group_consistency_boxes(spark, sf):
+    df = view(spark, sf, "v_rollouts").selectExpr(
+        "gen_index", "task_id", "concat('<think>', kind, case gen_index % 4 when 0 then ' red cube' when 1 then ' blue cube' "
+        "else ' large red sphere' end, '</think><answer>', kind, '</answer>') as completion",
+        "if(task_id % 3 = 0 or gen_index % 7 = 0, null, array(array(double(gen_index * 37 % 100), double(gen_index * 11 % 80), "
+        "double(gen_index * 37 % 100 + 60), double(gen_index * 11 % 80 + 50)))) as boxes")
+    return scoring.group_consistency(df, boxes="boxes").select("task_id", "gen_index", r9("consistency", 10))
+
+
 # Letters outside ASCII become one mark on both sides: the SQL engine's edit distance counts bytes.
 ASCII_TEXT = "regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g')"
 SIM_SQL = """

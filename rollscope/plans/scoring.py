@@ -14,7 +14,7 @@ from rollscope.functions import facts as FX
 from rollscope.functions import rewards as R
 from rollscope.functions import text as T
 from rollscope.operators import gates, ranking
-from rollscope.operators.pairs import mean_sibling_evidence, mean_sibling_jaccard
+from rollscope.operators.pairs import mean_sibling_evidence, mean_sibling_jaccard, sibling_evidence
 from rollscope.operators.stats import group_agreement
 from rollscope.operators.skew import null_safe_join
 from rollscope.session import cut_lineage
@@ -108,15 +108,23 @@ def score_and_route(rollouts: DataFrame, tasks: DataFrame, cfg: R.RewardConfig |
     return ranking.top1_positive(kept)
 
 
-def group_consistency(rollouts: DataFrame, answer: float = 0.4, evidence: float = 0.3, reasoning: float = 0.3) -> DataFrame:
-    """Agreement of a rollout with its group: same answer, shared evidence words, similar reasoning."""
+def group_consistency(rollouts: DataFrame, answer: float = 0.4, evidence: float = 0.3, reasoning: float = 0.3,
+                      boxes: str | None = None) -> DataFrame:
+    """Agreement of a rollout with its group: same answer, shared evidence, similar reasoning.
+
+    Evidence is the words of the reasoning; in a group where the column `boxes` names predicted boxes, it is these.
+    """
     words = F.array(*[F.lit(x) for x in R.EVIDENCE_WORDS])
+    given = [F.col(boxes).alias("boxes")] if boxes else []
     src = rollouts.select("task_id", "gen_index", T.answer_norm(F.col("completion")).alias("said"),
-                          T.tokens(T.reasoning(F.col("completion"))).alias("toks"))
+                          T.tokens(T.reasoning(F.col("completion"))).alias("toks"), *given)
     # Three comparisons read these rows several times each: parse once, store, compare.
     src = cut_lineage(src.withColumn("keys", F.array_intersect("toks", words)))
     same = group_agreement(src.select("task_id", "gen_index", "said"), "task_id", "said")
-    ev = mean_sibling_evidence(src, ["task_id"], "gen_index", "keys")
+    if boxes:
+        ev = sibling_evidence(src, ["task_id"], "gen_index", "keys", "boxes").drop("method")
+    else:
+        ev = mean_sibling_evidence(src, ["task_id"], "gen_index", "keys")
     rs = mean_sibling_jaccard(src, ["task_id"], "gen_index", "toks")
     out = same.join(ev, ["task_id", "gen_index"]).join(rs, ["task_id", "gen_index"])
     # A group of one has nothing to disagree with.
