@@ -218,11 +218,82 @@ def length_penalty(n_gold: Column, n_pred: Column) -> Column:
     return F.when(n_gold >= n_pred, F.lit(1.0)).otherwise(n_gold / n_pred)
 
 
-def coco_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """Annotations, images and categories of annotation documents (one document per row)."""
-    return {
-        "annotations": docs.select(F.inline("annotations")),
-        "images": docs.select(F.inline("images")), "categories": docs.select(F.inline("categories"))}
+ANNOTATIONS = "array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int>>"
+IMAGES = "array<struct<id:bigint,width:int,height:int,file_name:string>>"
+CATEGORIES = "array<struct<id:bigint,name:string>>"
+RESULTS = ("array<struct<image_id:bigint,category_id:bigint,score:double,caption:string,bbox:array<double>,"
+           "segmentation:array<array<double>>,keypoints:array<double>,iscrowd:int>>")
+
+
+def coco_tables(docs: DataFrame, doc: str = "doc", body: str = "body") -> dict[str, DataFrame]:
+    """Annotations, images and categories of annotation documents (JSON text, one document per row), and images per category.
+
+    An id that a document names twice keeps its last entry in `annotations`, `images` and `categories`, as a dictionary
+    would; `category_images` has one row per annotation entry, repeats included, of documents that name categories. A part
+    that a document lacks has no rows; a text that is no JSON object raises. Entries without an id have the id null.
+    """
+    parts = {"annotations": ANNOTATIONS, "images": IMAGES, "categories": CATEGORIES}
+    schema = "struct<" + ",".join(f"{name}:{kind}" for name, kind in parts.items()) + ",_bad:string>"
+    read = F.from_json(F.col(body), schema, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = docs.select(F.col(doc).alias("doc"), read.alias("__d"))
+    sound = F.col("__d").isNotNull() & F.col("__d")["_bad"].isNull()
+    parsed = parsed.withColumn("__d", F.when(sound, F.col("__d")).otherwise(
+        F.raise_error(F.concat(F.lit("not an annotation document: "), F.coalesce(F.col("doc").cast("string"), F.lit("null")))).cast(schema)))
+    entries = {n: parsed.select("doc", F.posexplode(F.col("__d")[n]).alias("__at", "__e")) for n in parts}
+    out = {}
+    for name, rows in entries.items():
+        last = rows.groupBy("doc", F.col("__e")["id"].alias("__id")).agg(F.max_by("__e", "__at").alias("__e"))
+        out[name] = last.select("doc", "__e.*")
+    linked = parsed.filter(F.col("__d")["categories"].isNotNull()).select("doc", F.explode(F.col("__d")["annotations"]).alias("__e"))
+    out["category_images"] = linked.select("doc", F.col("__e")["category_id"].alias("category_id"), F.col("__e")["image_id"].alias("image_id"))
+    return out
+
+
+def result_tables(docs: DataFrame, images: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
+    """Results of result documents (a JSON array each) as annotations: id by position, kind, box, area, crowd flag.
+
+    The first entry decides the kind of its document. `caption`: neither box nor area. `box`: [x, y, width, height], area by
+    its sides, and the outline as polygon where none is given. `polygon`: rings of x, y; area by the shoelace rule over the rings (run-length masks are not
+    read), box around them unless one is given (an empty one is none). `points`: x, y, visibility; box and area around all points. Images that
+    `images` (doc, id) does not name, and entries that lack what their kind needs, raise. Empty documents give no rows.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), F.from_json(F.col(body), RESULTS).alias("__r")).select(
+        "doc", F.get("__r", F.lit(0)).alias("__one"), F.posexplode("__r").alias("__at", "__e"))
+    one, e = F.col("__one"), F.col("__e")
+    kind = (F.when(one["caption"].isNotNull(), F.lit("caption")).when(F.size(one["bbox"]) > 0, F.lit("box"))
+            .when(one["segmentation"].isNotNull(), F.lit("polygon")).when(one["keypoints"].isNotNull(), F.lit("points")))
+    rows = rows.select("doc", (F.col("__at") + 1).cast("bigint").alias("id"), kind.alias("kind"), "__e")
+    every = lambda a, step, at: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / step).cast("int") - 1), lambda i: F.get(a, i * step + at))
+    around = lambda x, y: F.array(F.array_min(x), F.array_min(y), F.array_max(x) - F.array_min(x), F.array_max(y) - F.array_min(y))
+    rings = e["segmentation"]
+    flat = F.flatten(rings)
+
+    def shoelace(ring: Column) -> Column:
+        n = F.floor(F.size(ring) / 2).cast("int")
+        turn = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ring, 2 * i) * F.get(ring, 2 * ((i + 1) % n) + 1)
+                           - F.get(ring, 2 * ((i + 1) % n)) * F.get(ring, 2 * i + 1))
+        return F.abs(F.aggregate(turn, F.lit(0.0), lambda s, v: s + v)) / 2
+
+    whole = (F.when(F.col("kind") == "caption", e["caption"].isNotNull()).when(F.col("kind") == "box", F.size(e["bbox"]) == 4)
+             .when(F.col("kind") == "polygon", (F.size(rings) > 0) & F.forall(rings, lambda r: (F.size(r) >= 6) & (F.size(r) % 2 == 0)))
+             .when(F.col("kind") == "points", (F.size(e["keypoints"]) >= 3) & (F.size(e["keypoints"]) % 3 == 0)))
+    checked = F.when(F.coalesce(whole, F.lit(False)), F.col("id")).otherwise(F.raise_error(F.concat(
+        F.lit("result lacks what its kind needs: "), F.col("doc").cast("string"), F.lit("/"), F.col("id").cast("string"))).cast("bigint"))
+    box = (F.when(F.col("kind") == "box", e["bbox"])
+           .when(F.col("kind") == "polygon", F.when(F.size(e["bbox"]) > 0, e["bbox"]).otherwise(around(every(flat, 2, 0), every(flat, 2, 1))))
+           .when(F.col("kind") == "points", around(every(e["keypoints"], 3, 0), every(e["keypoints"], 3, 1))))
+    area = (F.when(F.col("kind") == "polygon", F.aggregate(F.transform(rings, shoelace), F.lit(0.0), lambda s, v: s + v))
+            .when(F.col("kind") != "caption", F.col("box")[2] * F.col("box")[3]))
+    right, low = F.col("box")[0] + F.col("box")[2], F.col("box")[1] + F.col("box")[3]
+    outline = F.array(F.array(F.col("box")[0], F.col("box")[1], F.col("box")[0], low, right, low, right, F.col("box")[1]))
+    made = rows.select("doc", checked.alias("id"), "kind", "__e", box.alias("box")).select(
+        "doc", "id", "kind", e["image_id"].alias("image_id"), e["category_id"].alias("category"), e["score"].alias("score"), "box",
+        area.alias("area"), F.when(F.col("kind") == "box", F.coalesce(rings, outline)).when(F.col("kind") == "polygon", rings).alias("polygon"),
+        F.when(F.col("kind").isin("box", "polygon"), F.lit(0)).otherwise(e["iscrowd"]).alias("iscrowd"))
+    named = images.select(F.col("doc"), F.col("id").alias("image_id"), F.lit(True).alias("__known")).distinct()
+    known = F.when(F.coalesce("__known", F.lit(False)), F.col("image_id")).otherwise(
+        F.raise_error(F.lit("results name unknown images")).cast("bigint"))
+    return made.join(named, ["doc", "image_id"], "left").withColumn("image_id", known).drop("__known")
 
 
 def load_results(results: DataFrame, images: DataFrame, start_id: int = 1) -> DataFrame:

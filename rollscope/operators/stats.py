@@ -230,18 +230,24 @@ def label_correlation(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -
 
 
 def failure_profile(scored: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Long profile: reward means, tag counts over the failure buffer without `positive`, buffer counts."""
-    means = scored.agg(*[F.avg(d).alias(d) for d in dims]).select(F.inline(F.array(*[
-        F.struct(F.lit("reward_mean").alias("section"), F.lit(d).alias("name"), F.col(d).alias("value"))
-        for d in dims])))
-    tags = (scored.filter(F.col("buffer") == "failure").select(F.explode_outer("failure_tags").alias("name"))
-            .filter(F.col("name") != "positive").groupBy("name")
-            .agg(F.count(F.lit(1)).cast("double").alias("value"))
-            .select(F.lit("failure_tag").alias("section"), "name", "value"))
-    buffers = (scored.groupBy(F.col("buffer").alias("name"))
-               .agg(F.count(F.lit(1)).cast("double").alias("value"))
-               .select(F.lit("buffer").alias("section"), "name", "value"))
-    return means.unionByName(tags).unionByName(buffers)
+    """Long profile: reward means, tag counts over the failure buffer without `positive`, buffer counts.
+
+    One aggregate per (buffer, tag list) reads the rows once; the sections come from its few rows. Without rows the means are null.
+    """
+    per = scored.groupBy("buffer", "failure_tags").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(d).cast("double")).alias(f"s_{d}") for d in dims], *[F.count(d).alias(f"n_{d}") for d in dims])
+    # A row for no rows: an empty input still has its means.
+    none = scored.sparkSession.range(1).select(*[F.lit(0 if c[1] == "bigint" else None).cast(c[1]).alias(c[0]) for c in per.dtypes])
+    cell = lambda section, name, total, n: F.struct(
+        F.lit(section).alias("section"), name.alias("name"), total.cast("double").alias("total"), n.alias("n"))
+    means = F.array(*[cell("reward_mean", F.lit(d), F.col(f"s_{d}"), F.col(f"n_{d}")) for d in dims])
+    failed = F.when(F.col("buffer") == "failure", F.filter("failure_tags", lambda t: t != "positive"))
+    tags = F.transform(F.coalesce(failed, F.array().cast("array<string>")), lambda t: cell("failure_tag", t, F.col("n"), F.col("n")))
+    cells = F.concat(means, tags, F.array(cell("buffer", F.col("buffer"), F.col("n"), F.col("n"))))
+    out = per.unionByName(none).select(F.inline(cells)).groupBy("section", "name").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    mean = F.col("section") == "reward_mean"
+    return out.filter(mean | (F.col("n") > 0)).select(
+        "section", "name", F.when(mean, F.col("total") / F.nullif(F.col("n"), F.lit(0))).otherwise(F.col("total")).alias("value"))
 
 
 def label_histograms(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -333,9 +333,9 @@ def coco_filter(spark, sf):
     return kept.join(whole, "image_id", "left").select(F.col("gold_id").alias("det_id"), F.coalesce("has_all", F.lit(False)).alias("has_all"))
 
 
-@register("coco_tables", "with d as (select " + ", ".join(DETS) + """ from embeddings), r as (select *, (20 + det_id * 11 % 120) * (20 + det_id * 5 % 110) as area from d)
+@register("coco_results", "with d as (select " + ", ".join(DETS) + """ from embeddings), r as (select *, (20 + det_id * 11 % 120) * (20 + det_id * 5 % 110) as area from d)
 select image_id, count(*) as dets, min(case when id_ok then 1 else 0 end) as ids_ok, cast(sum(area) as double) as area from (select *, true as id_ok from r) group by 1""")
-def coco_tables(spark, sf):
+def coco_results(spark, sf):
     res = det_boxes(spark, sf).select("image_id", "category", "score", "box")
     images = gold_boxes(spark, sf).select("image_id").distinct()
     out = detection.load_results(res, images)
@@ -343,6 +343,51 @@ def coco_tables(spark, sf):
                                        F.sum("area").alias("area"))
 
 
+# Annotation and result documents of 40 images: doc 0 has boxes as results, 1 polygons (a triangle and a square), 2 key points.
+COCO_DOC_SQL = """
+with e as (select vec_id, vec_id % 3 as doc, vec_id // 3 as nr, cast(label as bigint) as category, vec_id % 40 as image, vec_id % 200 + 0.5e0 as x, vec_id * 3 % 150 as y, 20 + vec_id * 11 % 120 as w, 20 + vec_id * 5 % 110 as h from embeddings),
+im as (select distinct doc, image from e),
+ids as (select *, nr // 2 as id, row_number() over (partition by doc, nr // 2 order by vec_id desc) as back from e),
+res as (select *, row_number() over (partition by doc order by vec_id) as pos from e)
+select 'annotation' as part, doc, id, image as image_id, category, null as kind, cast(x as double) as x, cast(y as double) as y, cast(w as double) as w, cast(h as double) as h, cast(w * h as double) as area from ids where back = 1
+union all select 'image', doc, image, image, null, null, null, null, 320, 240, null from im
+union all select 'category', doc, category, null, category, 'c' || category, null, null, null, null, count(*) from e group by doc, category
+union all select 'result', doc, pos, image, category, ['box', 'polygon', 'points'][doc + 1], x, y, w, h, case doc when 1 then w * h / 2.0 + 4 else w * h end from res"""
+
+
+@register("coco_tables", COCO_DOC_SQL)
+def coco_tables(spark, sf):
+    e = view(spark, sf, "embeddings").selectExpr(
+        "vec_id", "vec_id % 3 as doc", "(vec_id div 3) div 2 as id", "cast(label as bigint) as category", "vec_id % 40 as image",
+        "vec_id % 200 + 0.5D as x", "double(vec_id * 3 % 150) as y", "double(20 + vec_id * 11 % 120) as w", "double(20 + vec_id * 5 % 110) as h")
+    # Every id is written twice; the second entry counts. The polygon's square lies inside the box of its triangle.
+    listed = e.groupBy("doc").agg(
+        F.expr("transform(array_sort(collect_list(struct(vec_id, id, image as image_id, category as category_id, array(x, y, w, h) as bbox, w * h as area, 0 as iscrowd))), "
+               "a -> struct(a.id, a.image_id, a.category_id, a.bbox, a.area, a.iscrowd))").alias("annotations"),
+        F.expr("transform(array_sort(collect_set(image)), i -> struct(i as id, 320 as width, 240 as height, concat(i, '.png') as file_name))").alias("images"),
+        F.expr("transform(array_sort(collect_set(category)), c -> struct(c as id, concat('c', c) as name))").alias("categories"))
+    docs = listed.select("doc", F.to_json(F.struct("annotations", "images", "categories")).alias("body"))
+    shape = F.expr("struct(vec_id, image as image_id, category as category_id, 0.5D as score, if(doc = 0, array(x, y, w, h), null) as bbox, "
+                   "if(doc = 1, array(array(x, y, x + w, y, x, y + h), array(x + 1, y + 1, x + 3, y + 1, x + 3, y + 3, x + 1, y + 3)), null) as segmentation, "
+                   "if(doc = 2, array(x, y, 2, x + w, y + h, 1, x + w / 2, y, 0), null) as keypoints)")
+    results = e.select("doc", shape.alias("r")).groupBy("doc").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("body"))
+    t = detection.coco_tables(docs)
+    none = lambda kind: F.lit(None).cast(kind)
+    box = lambda c: [F.col(c)[i].alias(n) for i, n in enumerate("xywh")]
+    ann = t["annotations"].select(F.lit("annotation").alias("part"), "doc", "id", "image_id", F.col("category_id").alias("category"),
+                                  none("string").alias("kind"), *box("bbox"), "area")
+    images = t["images"].select(F.lit("image").alias("part"), "doc", "id", F.col("id").alias("image_id"), none("bigint").alias("category"),
+                                none("string").alias("kind"), none("double").alias("x"), none("double").alias("y"),
+                                F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"), none("double").alias("area"))
+    per = t["category_images"].groupBy("doc", F.col("category_id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("area"))
+    cats = t["categories"].join(per, ["doc", "id"], "left").select(
+        F.lit("category").alias("part"), "doc", "id", none("bigint").alias("image_id"), F.col("id").alias("category"), F.col("name").alias("kind"),
+        *[none("double").alias(n) for n in "xywh"], "area")
+    found = detection.result_tables(results, t["images"]).select(
+        F.lit("result").alias("part"), "doc", "id", "image_id", "category", "kind", *box("box"), "area")
+    return ann.unionByName(images).unionByName(cats).unionByName(found)
+
+
 @register("oks_match", """
 with p as (select vec_id, vec_id % 7 as dx, vec_id % 5 as dy, vec_id % 3 = 0 as hidden, 400.0 + vec_id as area from embeddings)
 select vec_id, round(case when hidden then (2 + exp(-pow(greatest(0.0, 10 + dx - 60), 2) / 0.04 / area / 2)) / 3
