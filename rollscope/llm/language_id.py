@@ -3,13 +3,15 @@
 A text becomes counts of its byte trigrams and bigrams (lower-case ASCII, everything else between letters as one
 blank) in a fixed number of hashed dimensions, damped, weighted by inverse document frequency and normalised. Each
 language has several centroids from spherical k-means; a text takes the language of the centroid with the largest
-cosine, and is rejected if it is farther from it than nearly all learnt texts of that language.
+cosine, and is rejected if it is farther from it than nearly all learnt texts of that centroid (all but the share `accept`).
 
 The model is fitted on at most `sample_rows` labelled rows (a documented bound; an equal share per language, chosen by
 hash). Prediction reads every whole text in one pass, without a shuffle.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything if nothing can be
-learnt; null languages are not learnt from; equal rows get equal results; empty tables give empty results.
+learnt; null languages are not learnt from; of centroids with equal cosines the first counts (languages by code point);
+very long texts are counted whole; equal rows get equal results; input columns named like the results (score, held_out,
+rejected) are not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -112,7 +114,10 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         c = _kmeans(own, centroids)
         names += [str(name)] * len(c)
         found.append(c)
-        radius += [float(np.quantile((own @ c.T).max(axis=1), accept)) * 0.5] * len(c)
+        cosines = own @ c.T
+        near = cosines.argmax(axis=1)
+        # A centroid that no learnt text is nearest to takes the distance of the language as a whole.
+        radius += [float(np.quantile(cosines[near == j, j] if (near == j).any() else cosines.max(axis=1), accept)) for j in range(len(c))]
     return Centroids(idf, tuple(names), np.concatenate(found).astype(np.float32), np.array(radius))
 
 

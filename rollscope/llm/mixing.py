@@ -6,7 +6,10 @@ for each integer boundary that its stretch of the sum crosses. In order of size
 most the size of the source's largest document.
 
 Defined results: null text has size 0; null source is a source of its own, after all others; equal rows are separate
-documents; a source without words has target 0; empty tables give empty results.
+documents, also under one id or none; rows of equal size stand in order of their id, and rows of equal size and id get the
+counts of their places in order of a hash of the row; a very long text is one document that crosses its boundaries like
+any other; a source without words has target 0; other columns, of any name, come back unchanged; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscope.llm.common import WORD, stored
-from rollscope.operators.skew import number_rows
+from rollscope.operators.skew import null_safe_join, number_rows, number_rows_by_key
 
 # Weights of the sources in order of their code points, repeating.
 WEIGHTS = (5, 2, 1)
@@ -59,7 +62,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0,
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
              **targets) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for each document row."""
+    """doc_id, source, size, source_size, target, copies, taken and at (place in the order) for each document row."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
                        word_count(f"`{text}`").alias("size"))
     numbered = number_rows(rows, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")], "at")
@@ -77,15 +80,33 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     copies = (F.floor((k + 1) * rate + F.col("u")) - F.floor(k * rate + F.col("u"))).cast("long")
     return joined.withColumn("copies", copies).select(
         "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"))
+        (F.col("copies") * F.col("size")).alias("taken"), "at")
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                   **targets) -> DataFrame:
-    """The mix: each document row as many times as it is taken. Rows with equal ids get the largest count among them."""
-    plan = mix_plan(docs, doc_id, text, source, **targets)
-    copies = plan.filter(F.col("copies") > 0).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max("copies").alias("__copies"))
-    taken = docs.join(copies, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """The mix: each document row as often as its own row of the plan says.
+
+    An id that stands on one row finds its count by the id. Rows that share an id (or have none) are paired with the
+    plan's rows of the same id, source and size by position, in order of a hash of the row, so no row is taken for another.
+    """
+    plan = stored(mix_plan(docs, doc_id, text, source, **targets).select("doc_id", "source", "size", "copies", "at"), "mix-plan")
+    rows = plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.max("copies").alias("__copies"))
+    ident = F.col(f"`{doc_id}`")
+    single = docs.join(rows.filter((F.col("__rows") == 1) & (F.col("__copies") > 0)).select(F.col("doc_id").alias("__id"), "__copies"),
+                       ident.eqNullSafe(F.col("__id")))
+    shared = rows.filter(F.col("__rows") > 1).select(F.col("doc_id").alias("__id"))
+    key = ["__id", "__source", "__size"]
+    placed = number_rows_by_key(
+        plan.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(
+            F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "at", "copies"),
+        key, [F.col("at")], "__rn")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = docs.join(shared, ident.eqNullSafe(F.col("__id")), "left_semi").select(
+        whole.alias("__row"), ident.alias("__id"), F.col(f"`{source}`").alias("__source"), word_count(f"`{text}`").alias("__size"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__hash"))
+    several = number_rows_by_key(several, key, [F.col("__hash")], "__rn")
+    paired = null_safe_join(several, placed.select(*key, "__rn", F.col("copies").alias("__copies")), [*key, "__rn"]).filter("__copies > 0")
+    taken = single.select(whole.alias("__row"), "__copies").unionByName(paired.select("__row", "__copies"))
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(
+        *[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -101,3 +101,69 @@ def test_folds(spark):
 
     rows = spark.range(50).select("id", crc_mod("id", 4).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
+
+
+def test_language_against_plain_loops(spark, tables):
+    """The same fitted model, applied text by text and n-gram by n-gram."""
+    import math
+
+    docs = tables["documents"]
+    model = language_id.learn(docs, where=crc_mod("doc_id", 5) != 0)
+    some = docs.filter("doc_id % 97 = 0").unionByName(
+        spark.createDataFrame([(-1, "x y", "s", "en"), (-2, "¡Ärger! 12 %%  ok", "s", "de")], "doc_id long, text string, source string, lang string"),
+        allowMissingColumns=True)
+    got = {r.doc_id: r for r in language_id.predict(some, model).collect()}
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for key, text in texts.items():
+        squeezed = [0x20]
+        for b in text.encode() + b" ":
+            b = b | 0x20 if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A else b if b >= 0x80 else 0x20
+            if b != 0x20 or squeezed[-1] != 0x20:
+                squeezed.append(b)
+        counts = {}
+        for width, salt in ((2, 1), (3, 2)):
+            for i in range(len(squeezed) - width + 1):
+                code = int.from_bytes(bytes(squeezed[i:i + width]), "big") + (salt << 24)
+                at = (code * 2654435761 & 0xFFFFFFFF) >> 20
+                counts[at] = counts.get(at, 0) + 1
+        weights = {at: math.log1p(n) * float(model.idf[at]) for at, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in weights.values()))
+        cosines = [sum(v * float(row[at]) for at, v in weights.items()) / norm for row in model.rows]
+        best = max(cosines)
+        assert abs(got[key].score - min(1, max(0, best))) < 2e-5, key
+        close = {model.langs[j] for j, c in enumerate(cosines) if best - c < 1e-5}
+        assert got[key].lang_pred in close, key
+        if all(abs(best - r) > 1e-4 for r in model.radius):
+            assert got[key].rejected in {best < model.radius[j] for j, c in enumerate(cosines) if best - c < 1e-5}
+
+
+def test_unlearnt_language_is_rejected(spark, tables):
+    docs = tables["documents"].filter("lang is not null")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    for out in langs:
+        model = language_id.learn(docs, where=(crc_mod("doc_id", 5) != 0) & (docs.lang != out))
+        got = language_id.predict(docs.filter("crc32(cast(doc_id as string)) % 5 = 0"), model).toPandas()
+        strange = got.lang == out
+        assert got[strange].rejected.mean() > 0.9
+        assert got[~strange].rejected.mean() < 0.05
+
+
+def test_quality_scores_against_plain_loops():
+    import math
+
+    rng = np.random.default_rng(5)
+    bags = [rng.normal(0, 1, (int(rng.integers(1, 6)), FEATURES)).astype(np.float32) for _ in range(30)]
+    w = fit(bags, np.array([i % 2 for i in range(30)], float), np.ones(30), epochs=3)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for bag, score in zip(bags, Model(0.5, w).scores(bags)):
+        hidden, energy = [], []
+        for row in bag:
+            x = [(float(v) - m) / s for v, m, s in zip(row, w["mean"], w["scale"])]
+            h = [math.tanh(sum(x[i] * w["W"][i][j] for i in range(FEATURES)) + w["b"][j]) for j in range(len(w["b"]))]
+            t = [math.tanh(sum(h[i] * w["V"][i][j] for i in range(len(h)))) for j in range(len(w["a"]))]
+            g = [sig(sum(h[i] * w["U"][i][j] for i in range(len(h)))) for j in range(len(w["a"]))]
+            hidden.append(h)
+            energy.append(sum(t[j] * g[j] * w["a"][j] for j in range(len(t))))
+        att = [math.exp(e) / sum(map(math.exp, energy)) for e in energy]
+        z = [sum(a * h[j] for a, h in zip(att, hidden)) for j in range(len(w["c"]))]
+        assert abs(score - sig(sum(v * c for v, c in zip(z, w["c"])) + w["d"][0])) < 1e-6

@@ -102,3 +102,30 @@ def test_mix(spark, docs_of):
     repeated = docs_of([(1, "a b", "x"), (1, "a b", "x"), (None, "c", "x")])
     assert sum(r.copies for r in mix_plan(repeated).collect()) in range(3, 6)
     assert mix_plan(docs.limit(0)).count() == 0
+
+
+def test_rows_with_one_id_keep_their_own_counts(spark):
+    """Each row is taken as often as the plan says for its id, source and size, also under a shared or missing id."""
+    from collections import Counter
+
+    from rollscope.llm.mixing import mix_documents
+
+    rows = [(1, "one two three", "a", 5), (1, "four five six", "a", 6), (1, "four five six", "a", 6), (1, "long " * 40, "a", 7), (1, "x", "b", 8),
+            (None, "some words", "a", 9), (None, "some words", None, 9), (None, None, "a", 1), (2, "alone here", "a", 2), (3, "", "a", 3)]
+    rows += [(i, "plain words of text " * (i % 5 + 1), "abc"[i % 3], i) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long").withColumnsRenamed({"doc_id": "id"})
+    plan = Counter()
+    for r in mix_plan(docs, doc_id="id").collect():
+        plan[r.doc_id, r.source, r["size"]] += r.copies
+    got = mix_documents(docs, doc_id="id")
+    assert got.columns == docs.columns
+    taken = Counter()
+    texts = Counter()
+    for r in got.collect():
+        taken[r.id, r.source, len((r.text or "").split())] += 1
+        texts[tuple(r)] += 1
+    assert taken == +plan and set(texts) <= set(rows)
+    # Documents of equal size and source never differ by more than one copy.
+    assert all(n <= 2 * rows.count(k) for k, n in texts.items())
+    assert sorted(map(str, got.collect())) == sorted(map(str, mix_documents(docs, doc_id="id").collect()))
+    assert mix_documents(docs.limit(0), doc_id="id").count() == 0
