@@ -10,7 +10,8 @@ pass, without a shuffle.
 
 Defined results: null and empty texts have one empty passage and get a score like any other; without labels of both
 kinds every score is the share of label 1 (0.5 without labels); documents with several labels are learnt from once per
-distinct label; equal rows get equal scores; empty tables give empty results.
+distinct label; very long texts are scored over all their passages; equal rows get equal scores; input columns named like the
+results are not read; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ bits apart exactly if their Hamming balls of radius 2 share a point, so its fing
 points with one minimum per point. That is exact and linear.
 
 Defined results: null or empty texts have fingerprint zero and are linked with each other like any other; equal rows
-share a component; the component of null ids alone is null; empty tables give empty results.
+share a component; a bit set in exactly half the shingles is 0; very long texts are hashed whole; the component of null ids
+alone is null; other columns, of any name, are not read; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ An anchor with more than `crowded` different segments (the borders of a passage
 task's group: the windows of its segments are counted one by one by their hash, partial counts first.
 
 Defined results: null text is empty; texts below `length` bytes keep everything; rows that are equal in id and text
-are copies of each other and treated alike (none of them is the later one); an empty table gives an empty result.
+are copies of each other and treated alike (none of them is the later one); texts of any length are cut into segments
+and compared whole; whole segments are taken for equal by a 64-bit hash of their bytes; other columns, of any name,
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

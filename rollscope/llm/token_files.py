@@ -7,7 +7,8 @@ is read without decoding a block. Blocks are rows of Parquet files: one shard pe
 the ids and lengths of their documents. Writers go through Spark, so the files may live in any store it reaches.
 
 Defined results: null text is empty; every document ends with the end id, so it has at least one token; equal rows are
-separate documents; null ids come first; an empty table gives no blocks.
+separate documents; rows of equal id stand in order of a hash of their text; very long texts are encoded whole and lie
+in one block each; null ids come first; other columns, of any name, are not written; an empty table gives no blocks.
 """
 
 from __future__ import annotations
