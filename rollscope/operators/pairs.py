@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rollscope.functions.boxes import best_recall, box_iou, is_box
+from rollscope.functions.boxes import best_recall, is_box
 from rollscope.operators.skew import attach_stats, null_safe_join, with_group_stats
 from rollscope.session import cut_lineage
 
@@ -151,8 +151,9 @@ def mean_sibling_evidence(df: DataFrame, keys: Sequence[str], row_id: str, words
                       .otherwise(F.col("total") / F.col("others")).alias("evidence"))
 
 
-# A group's grid has cells of its mean box, and at most this many along a side.
-GRID = 16
+# A group's grid has at most this many cells along a side; one of at most SMALL boxes is a single cell. A cell is cut
+# into tiles of about BOXES boxes and sets.
+GRID, SMALL, BOXES = 16, 1024, 2048
 
 
 def _usable(box: Column) -> Column:
@@ -161,18 +162,66 @@ def _usable(box: Column) -> Column:
 
 
 def _cells(box: Column) -> Column:
-    """Grid cells that a box touches."""
-    at = lambda i, lo: F.floor((box[i] - F.col(lo)) / F.col("__cell")).cast("int")
-    return F.flatten(F.transform(F.sequence(at(0, "__x0"), at(2, "__x0")), lambda x: F.transform(
-        F.sequence(at(1, "__y0"), at(3, "__y0")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    """Grid cells, level by level, whose boxes may overlap this one.
+
+    A box lives in the one cell of its lower corner, at the first level whose cells are no smaller than the box.
+    """
+    def level(n: Column) -> Column:
+        side = F.col("__cell") * F.pow(F.lit(2.0), n)
+        at = lambda i, lo: F.floor((box[i] - F.col(lo)) / side).cast("int")
+        span = lambda i, lo: F.sequence(F.greatest(at(i, lo) - 1, F.lit(0)), at(i + 2, lo))
+        return F.flatten(F.transform(span(0, "__x0"), lambda x: F.transform(span(1, "__y0"), lambda y: F.struct(
+            n.alias("l"), x.alias("x"), y.alias("y")))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.col("__levels")), level))
+
+
+def _level(side: Column) -> Column:
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side / F.col("__cell"), F.lit(1.0))))).cast("int")
+
+
+def _tile_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    """Per set of a tile, the weights of the tile's boxes times the set's best overlap with each."""
+    gold = frame["__set"].isna().to_numpy()
+    probes = frame[~gold].sort_values("__set", kind="stable")
+    if probes.empty or not gold.any():
+        return frame.iloc[:0].assign(__total=0.0)
+    sides = ["__x1", "__y1", "__x2", "__y2"]
+    g, p = frame.loc[gold, sides].to_numpy().T[:, None, :], probes[sides].to_numpy().T[:, :, None]
+    weights, area = frame.loc[gold, "__w"].to_numpy(), (g[2] - g[0]) * (g[3] - g[1])
+    starts = np.flatnonzero(np.r_[True, probes["__set"].to_numpy()[1:] != probes["__set"].to_numpy()[:-1]])
+    ends = np.r_[starts[1:], len(probes)]
+    totals, step = np.zeros(len(starts)), max(1, 500_000 // g.shape[2])
+    for i, (lo, end) in enumerate(zip(starts, ends)):
+        if end - lo > step:  # one set of very many boxes
+            best = np.zeros(g.shape[2])
+            for at in range(lo, end, step):
+                best = np.maximum(best, _overlaps(p[:, at:min(end, at + step)], g, area).max(axis=0))
+            totals[i] = best @ weights
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, "right")))
+        if ends[i] - starts[i] <= step:
+            iou = _overlaps(p[:, starts[i]:ends[j - 1]], g, area)
+            totals[i:j] = np.maximum.reduceat(iou, starts[i:j] - starts[i], axis=0) @ weights
+        i = j
+    return probes.iloc[starts].assign(__total=totals)
+
+
+def _overlaps(p: np.ndarray, g: np.ndarray, area: np.ndarray) -> np.ndarray:
+    both = np.maximum(np.minimum(p[2], g[2]) - np.maximum(p[0], g[0]), 0.0) * np.maximum(
+        np.minimum(p[3], g[3]) - np.maximum(p[1], g[1]), 0.0)
+    union = (p[2] - p[0]) * (p[3] - p[1]) + area - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
 
 
 def mean_sibling_box_overlap(df: DataFrame, keys: Sequence[str], row_id: str, boxes: str) -> DataFrame:
     """Mean recall of siblings' boxes by a row's boxes.
 
     Equal boxes of a group carry one weight, the sum over its rows of their share in the row's boxes. A row's total is the
-    sum over these weights of its best overlap with each; only boxes that share a grid cell meet, and no two rows do. The
-    row's own recall is taken off. A null set names no boxes: the row gets 0 and is nobody's sibling. An unusable box (not
+    sum over these weights of its best overlap with each. A group's boxes lie in grid cells, each in one; a set meets the
+    cells it may overlap, in tiles of bounded size that give one sum per set, so no pair of boxes is ever a row. The row's
+    own recall is taken off. A null set names no boxes: the row gets 0 and is nobody's sibling. An unusable box (not
     four finite numbers) makes its row's boxes unrecallable (0) and is passed over on the recalling side. A row with no
     sibling that has boxes gets 0, a lone row 1. Repeated rows are rows of their own; boxes without area overlap nothing.
     """
@@ -188,24 +237,41 @@ def mean_sibling_box_overlap(df: DataFrame, keys: Sequence[str], row_id: str, bo
     sets = cut_lineage(sets.withColumn("__own", F.when(F.col("__whole"), best_recall(F.col("__p"), F.col("__p"))).otherwise(F.lit(0.0))))
 
     box = F.col("__box")
-    flat = sets.select(*keys, "__set", "__m", "__n", "__whole", F.explode("__p").alias("__box")).filter(
+    flat = lambda c: sets.select(*keys, "__set", "__m", "__n", "__whole", F.explode(c).alias("__box")).filter(
         (box[2] > box[0]) & (box[3] > box[1]))
-    wide, high = F.max(box[2]) - F.min(box[0]), F.max(box[3]) - F.min(box[1])
-    grid = flat.groupBy(*keys).agg(
-        F.greatest(F.avg(F.greatest(box[2] - box[0], box[3] - box[1])), wide / GRID, high / GRID).alias("__cell"),
-        F.min(box[0]).alias("__x0"), F.min(box[1]).alias("__y0"))
-    cell = F.col("__c")
-    placed = lambda d: attach_stats(d, grid, keys).withColumn("__c", F.explode(_cells(box))).select(
-        *d.columns, "__cell", "__x0", "__y0", cell["x"].alias("__cx"), cell["y"].alias("__cy"))
-    gold = placed(flat.filter("__whole").groupBy(*keys, "__box").agg(F.sum(F.col("__m") / F.col("__n")).alias("__w")))
-    gold = gold.drop("__cell", "__x0", "__y0").withColumnRenamed("__box", "__g")
-    probes = placed(flat.select(*keys, "__set", "__box").distinct())
-    # Two boxes meet in the one cell that holds the lower corner of what they share.
-    first = lambda i, lo: F.floor((F.greatest(box[i], F.col("__g")[i]) - F.col(lo)) / F.col("__cell")).cast("int")
-    met = null_safe_join(probes, gold, [*keys, "__cx", "__cy"]).filter(
-        (first(0, "__x0") == F.col("__cx")) & (first(1, "__y0") == F.col("__cy")))
-    best = met.groupBy(*keys, "__set", "__g").agg(F.max(box_iou(box, F.col("__g"))).alias("__iou"), F.first("__w").alias("__w"))
-    totals = best.groupBy(*keys, "__set").agg(F.sum(F.col("__iou") * F.col("__w")).alias("__total"))
+    side = F.greatest(box[2] - box[0], box[3] - box[1])
+    extent = F.greatest(F.max(box[2]) - F.min(box[0]), F.max(box[3]) - F.min(box[1]))
+    grid = flat("__p").groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) <= SMALL, 2 * extent).otherwise(F.greatest(F.least(F.max(side), 4 * F.avg(side)), extent / GRID))
+        .alias("__cell"), F.max(side).alias("__side"), F.min(box[0]).alias("__x0"), F.min(box[1]).alias("__y0"),
+        (F.count(F.lit(1)) <= SMALL).alias("__small"))
+    grid = cut_lineage(grid.withColumn("__levels", _level(F.col("__side"))).drop("__side"))
+    gold = attach_stats(flat("__p").filter("__whole").groupBy(*keys, "__box").agg(F.sum(F.col("__m") / F.col("__n")).alias("__w")),
+                        grid, keys)
+    lower = lambda i, lo: F.floor((box[i] - F.col(lo)) / (F.col("__cell") * F.pow(F.lit(2.0), F.col("__l")))).cast("int")
+    gold = gold.withColumn("__l", _level(side)).withColumn("__cx", lower(0, "__x0")).withColumn("__cy", lower(1, "__y0"))
+    probes = attach_stats(flat(F.array_distinct("__p")), grid, keys).withColumn("__c", F.explode(_cells(box)))
+    probes = probes.select(*keys, "__small", "__set", "__box", F.col("__c.l").alias("__l"), F.col("__c.x").alias("__cx"),
+                           F.col("__c.y").alias("__cy"))
+
+    # A small group is one tile. Otherwise a cell has tiles of its boxes times blocks of its sets.
+    at = [*keys, "__l", "__cx", "__cy"]
+    no_set, no_weight = F.lit(None).cast("string").alias("__set"), F.lit(None).cast("double").alias("__w")
+    one = [F.lit(0).alias("__t"), F.lit(0).alias("__k")]
+    shape = [*at, "__t", "__k", "__set", "__w", *[box[i].alias(f"__{n}") for i, n in enumerate(("x1", "y1", "x2", "y2"))]]
+    few = gold.filter("__small").select("*", no_set, *one).select(shape).unionByName(
+        probes.filter("__small").select("*", no_weight, *one).select(shape))
+    large, asking = gold.filter("not __small"), probes.filter("not __small")
+    count = lambda d, n: d.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BOXES).cast("int").alias(n))
+    tiles = null_safe_join(count(large, "__ts"), count(asking, "__ks"), at)
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    many = null_safe_join(large, tiles, at).select("*", no_set, tile("__box", "__ts").alias("__t"), every("__ks").alias(
+        "__k")).select(shape).unionByName(null_safe_join(asking, tiles, at).select(
+            "*", no_weight, every("__ts").alias("__t"), tile("__set", "__ks").alias("__k")).select(shape))
+    columns = StructType([*[df.schema[k] for k in keys], StructField("__set", StringType()), StructField("__total", DoubleType())])
+    best = few.unionByName(many).groupBy(*at, "__t", "__k").applyInPandas(lambda f: _tile_sums(f)[columns.names], columns)
+    totals = best.groupBy(*keys, "__set").agg(F.sum("__total").alias("__total"))
     totals = null_safe_join(sets.select(*keys, "__set", "__own"), totals, [*keys, "__set"], "left")
 
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.count("__b").alias("__with"))

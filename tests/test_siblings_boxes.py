@@ -83,3 +83,50 @@ def test_boxes_win_over_words(spark):
     df = spark.createDataFrame(rows, "grp int, id int, words array<string>, boxes array<array<double>>")
     got = {r.id: (r.method, r.evidence) for r in pairs.sibling_evidence(df, ["grp"], "id", "words", "boxes").collect()}
     assert got == {1: ("boxes", 1.0), 2: ("boxes", 1.0), 3: ("boxes", 0.0), 4: ("words", 1.0), 5: ("words", 1.0), 6: ("words", 1.0)}
+
+
+def test_tiles_against_double_loop(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SMALL", 4)
+    monkeypatch.setattr(pairs, "BOXES", 8)
+    rnd = random.Random(5)
+    rows, i = [], 0
+    for group, n, side in ((1, 60, 12), (2, 120, 60), (None, 30, 8), (3, 2, 5)):
+        for boxes in sets(rnd, n, side):
+            rows.append((group, i, boxes))
+            i += 1
+    df = spark.createDataFrame(rows, "grp int, id int, boxes array<array<double>>")
+    got = {r.id: r.evidence for r in pairs.mean_sibling_box_overlap(df, ["grp"], "id", "boxes").collect()}
+    want = plain(rows)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_tile_in_steps():
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(6)
+    box = lambda: (lambda x, y: [x, y, x + rnd.randint(1, 9), y + rnd.randint(1, 9)])(rnd.randint(0, 30), rnd.randint(0, 30))
+    gold, probes = [box() for _ in range(2000)], [(f"s{i % 7 if i < 600 else 0}", box()) for i in range(900)]
+    frame = pd.DataFrame([(None, 0.5, *g) for g in gold] + [(s, np.nan, *b) for s, b in probes],
+                         columns=["__set", "__w", "__x1", "__y1", "__x2", "__y2"])
+    got = pairs._tile_sums(frame).set_index("__set")["__total"].to_dict()
+    for name in {s for s, _ in probes}:
+        mine = [b for s, b in probes if s == name]
+        assert abs(got[name] - sum(0.5 * max(iou(g, p) for p in mine) for g in gold)) < 1e-6
+
+
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(
+        None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+
+def test_overlapping_pairs_are_not_shuffled(spark):
+    n = 600
+    rows = [(1, i, [[float(i % 40), float(i % 30), 50.0 + i, 60.0 + i], [1.0, 1.0, 70.0, 80.0 + i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "grp int, id int, boxes array<array<double>>")
+    before = shuffled_rows(spark)
+    assert all(r.evidence > 0 for r in pairs.mean_sibling_box_overlap(df, ["grp"], "id", "boxes").collect())
+    assert shuffled_rows(spark) - before < 40 * n
