@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscope.functions import facts as FX
@@ -33,20 +33,26 @@ def edit_facts(edits: DataFrame) -> DataFrame:
 def gold_facts(edits: DataFrame, stated: DataFrame | None = None) -> DataFrame:
     """Fact multiset per scene; a scene with any malformed attribute or a wrong stated count has none.
 
-    One aggregate per (scene, triple): invalid triples are one null row, so a scene has at most one row per triple of
-    the domains and the totals over them are a small window.
+    Triples travel as small numbers. A scene's verdict is one aggregate of its own, so only changed triples are shuffled.
     """
-    rows = edit_facts(edits)
-    only = lambda c: F.when(F.col("valid") & F.col("changed"), F.col(c)).alias(c)
-    counted = rows.select("scene_id", *[only(c) for c in ("attribute", "before", "after")], "valid").groupBy(
-        "scene_id", "attribute", "before", "after").agg(F.count(F.lit(1)).alias("n"), F.bool_and("valid").alias("ok"))
-    scene = Window.partitionBy("scene_id")
-    marked = counted.withColumn("ok", F.bool_and("ok").over(scene)).withColumn(
-        "total", F.sum(F.when(F.col("attribute").isNotNull(), F.col("n"))).over(scene))
-    good = marked.filter("ok and attribute is not null")
+    triples = [(a, v, w) for a in FX.ATTRIBUTES for v in FX.DOMAINS[a] for w in FX.DOMAINS[a]]
+    valid, total, codes = F.lit(True), F.lit(0), []
+    for a in FX.ATTRIBUTES:
+        before, after, values = F.col(f"before_{a}"), F.col(f"after_{a}"), FX.DOMAINS[a]
+        valid = valid & F.coalesce(before.isin(*values) & after.isin(*values), F.lit(False))
+        changed = F.coalesce(before != after, F.lit(False))
+        total = total + changed.cast("int")
+        at = lambda c: F.array_position(F.array(*[F.lit(v) for v in values]), c)  # noqa: B023, E731
+        codes.append(F.when(changed & before.isin(*values) & after.isin(*values), (
+            triples.index((a, values[0], values[0])) + (at(before) - 1) * len(values) + at(after)).cast("int")))
+    counted = edits.select("scene_id", F.explode(F.array(*codes)).alias("__c")).filter("__c is not null").groupBy(
+        "scene_id", "__c").agg(F.count(F.lit(1)).alias("n"))
+    scenes = edits.groupBy("scene_id").agg(F.bool_and(valid).alias("ok"), F.sum(total).alias("total")).filter("ok")
     if stated is not None:
-        good = good.join(stated, "scene_id").filter(F.col("stated") == F.col("total"))
-    return good.select("scene_id", "attribute", "before", "after", "n")
+        scenes = scenes.join(stated, "scene_id").filter(F.col("stated") == F.col("total"))
+    good = skew.null_safe_join(counted, scenes.select("scene_id"), ["scene_id"])
+    part = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in triples]), F.col("__c"))
+    return good.select("scene_id", part(0).alias("attribute"), part(1).alias("before"), part(2).alias("after"), "n")
 
 
 def fact_sides(claims: DataFrame, gold: DataFrame, key: str) -> DataFrame:
@@ -95,14 +101,65 @@ def changed_objects(edits: DataFrame) -> DataFrame:
                         text.alias("description"))
 
 
+NEW_SIDE = 32
+
+
+def _value_counts(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edits per attribute value before (old) and after (new).
+
+    First one row per scene (of less than 2^31 edits) with a column for each value of the domains, both counts in one number;
+    then rows (scene_id, attribute, value, old, new) for every other value, null included.
+    """
+    one = lambda a, v: F.when(F.col(f"before_{a}") == v, F.lit(1)).otherwise(F.lit(0)).cast("bigint") + F.when(
+        F.col(f"after_{a}") == v, F.lit(1 << NEW_SIDE)).otherwise(F.lit(0)).cast("bigint")
+    known = edits.groupBy("scene_id").agg(F.count(F.lit(1)).alias("__edits"), *[
+        F.sum(one(a, v)).alias(f"__{a}_{v}") for a in FX.ATTRIBUTES for v in FX.DOMAINS[a]])
+    inside = lambda c, a: F.coalesce(F.col(c).isin(*FX.DOMAINS[a]), F.lit(False))
+    odd = F.lit(False)
+    for a in FX.ATTRIBUTES:
+        odd = odd | ~inside(f"before_{a}", a) | ~inside(f"after_{a}", a)
+    sides = [F.struct(F.lit(a).alias("attribute"), F.col(f"{side}_{a}").alias("value"), F.lit(int(side == "before")).alias("o"),
+                      F.lit(int(side == "after")).alias("n")) for a in FX.ATTRIBUTES for side in ("before", "after")]
+    rows = edits.filter(odd).select("scene_id", F.inline(F.array(*sides)))
+    other = rows.filter(~F.coalesce(FX.in_domain(F.col("attribute"), F.col("value")), F.lit(False))).groupBy(
+        "scene_id", "attribute", "value").agg(F.sum("o").alias("old"), F.sum("n").alias("new"))
+    return known, other
+
+
+def _sides(a: str, v: str) -> tuple[Column, Column]:
+    both = F.col(f"__{a}_{v}")
+    return both.bitwiseAND(F.lit((1 << NEW_SIDE) - 1)), F.shiftright(both, NEW_SIDE)
+
+
 def count_deltas(edits: DataFrame) -> DataFrame:
     """Attribute values whose object count differs before and after the edits."""
-    rows = edit_facts(edits)
-    sides = rows.select("scene_id", "attribute", F.inline(F.array(
-        F.struct(F.col("before").alias("value"), F.lit(1).alias("o"), F.lit(0).alias("n")),
-        F.struct(F.col("after").alias("value"), F.lit(0).alias("o"), F.lit(1).alias("n")))))
-    return (sides.groupBy("scene_id", "attribute", "value")
-            .agg(F.sum("o").alias("old"), F.sum("n").alias("new")).filter("old <> new"))
+    known, other = _value_counts(edits)
+    cells = []
+    for a in FX.ATTRIBUTES:
+        for v in FX.DOMAINS[a]:
+            old, new = _sides(a, v)
+            cells.append(F.when(old != new, F.struct(F.lit(a).alias("attribute"), F.lit(v).alias("value"), old.alias("old"),
+                                                     new.alias("new"))))
+    rows = known.select("scene_id", F.inline(F.array(*cells))).filter("attribute is not null")
+    return rows.unionByName(other.filter("old <> new"))
+
+
+def first_count_deltas(edits: DataFrame, seed: int = 1701) -> DataFrame:
+    """`hash_rank_first` of the count deltas per scene and attribute, picked inside the one row per scene."""
+    known, other = _value_counts(edits)
+    ranked = other.filter("old <> new").withColumn("rank", hash_order(seed, "scene_id", "attribute", "value"))
+    pick = F.struct("rank", "value", "old", "new")
+    rest = ranked.groupBy("scene_id").agg(*[F.min(F.when(F.col("attribute") == a, pick)).alias(f"__o_{a}") for a in FX.ATTRIBUTES])
+    firsts = []
+    for a in FX.ATTRIBUTES:
+        cells = [F.col(f"__o_{a}")]
+        for v in FX.DOMAINS[a]:
+            old, new = _sides(a, v)
+            rank = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("scene_id").cast("string"), F.lit(a), F.lit(v)), 256)
+            cells.append(F.when(old != new, F.struct(rank.alias("rank"), F.lit(v).alias("value"), old.alias("old"), new.alias("new"))))
+        firsts.append(F.struct(F.lit(a).alias("attribute"), F.array_min(F.array(*cells)).alias("b")))
+    rows = skew.null_safe_join(known, rest.hint("shuffle_hash"), ["scene_id"], "left").select("scene_id", F.inline(F.array(*firsts)))
+    return rows.filter("b is not null").select("scene_id", "attribute", "b.value", "b.old", "b.new", "b.rank")
 
 
 # Order in which count questions look for a usable attribute.
@@ -111,56 +168,71 @@ COUNT_ORDER = ("shape", "color", "material", "size")
 
 def attribute_counts(objects: DataFrame) -> DataFrame:
     """First (attribute, value) of a scene that 2 or more but not all objects share."""
-    rows = objects.select("scene_id", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(a).alias("attribute"), F.col(f"before_{a}").alias("value"))
-        for i, a in enumerate(COUNT_ORDER)])))
-    counts = rows.groupBy("scene_id", "rank", "attribute", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.filter("rank = 0").groupBy("scene_id").agg(F.sum("n").alias("total"))
-    usable = counts.join(totals, "scene_id").filter("total >= 3 and n >= 2 and n < total")
-    best = F.min_by(F.struct("attribute", "value", "n", "total"), F.struct("rank", "value"))
-    return usable.groupBy("scene_id").agg(best.alias("b")).select("scene_id", "b.*")
+    known, other = _value_counts(objects)
+    # Of one attribute's other values the least is enough: where it covers the whole scene there is no second one.
+    rest = other.filter("old >= 2").groupBy("scene_id").agg(*[
+        F.min(F.when(F.col("attribute") == a, F.struct("value", "old"))).alias(f"__o_{a}") for a in COUNT_ORDER])
+    cells = []
+    for i, a in enumerate(COUNT_ORDER):
+        counts = [(F.col(f"__o_{a}.value"), F.col(f"__o_{a}.old"))] + [(F.lit(v), _sides(a, v)[0]) for v in FX.DOMAINS[a]]
+        cells += [F.when((n >= 2) & (n < F.col("__edits")), F.struct(
+            F.lit(i).alias("rank"), v.alias("value"), F.lit(a).alias("attribute"), n.alias("n"))) for v, n in counts]
+    rows = skew.null_safe_join(known.filter("__edits >= 3"), rest.hint("shuffle_hash"), ["scene_id"], "left").select(
+        "scene_id", F.array_min(F.array(*cells)).alias("b"), F.col("__edits").alias("total"))
+    return rows.filter("b is not null").select("scene_id", "b.attribute", "b.value", "b.n", "total")
 
 
 # Smallest gaps that count as clearly apart.
 MIN_PIXELS, MIN_DEPTH, MIN_DEPTH_SHARE = 32.0, 2.0, 0.2
+RELATION_COORD = {"left_right": "px", "depth": "depth"}
 
 
-def object_relations(objects: DataFrame, kind: str, seed: int = 1701) -> DataFrame:
-    """Widest clear left-right or depth pair of uniquely described objects per scene.
+def _relations(objects: DataFrame, kinds: Sequence[str], seed: int) -> DataFrame:
+    """Per scene and kind (as a struct column) the widest clear pair of uniquely described objects, null without one.
 
     Only descriptions that occur once stay, and there are 96 of them, which bounds a scene's list.
     """
-    coord = {"left_right": "px", "depth": "depth"}[kind]
     desc = F.concat_ws(" ", *[F.col(f"before_{a}") for a in ("size", "color", "material", "shape")])
     valid = F.lit(True)
     for a in FX.ATTRIBUTES:
         valid = valid & F.col(f"before_{a}").isin(*FX.DOMAINS[a])
     unique = (objects.filter(valid).groupBy("scene_id", desc.alias("d"))
-              .agg(F.count(F.lit(1)).alias("n"), F.min("obj").alias("obj"), F.min(coord).alias("c")).filter("n = 1")
-              .withColumn("size", F.substring_index("d", " ", 1)))
-    def widest(o: Column) -> Column:
-        def pairs(a: Column, i: Column) -> Column:
-            made = F.transform(F.slice(o, i + 2, F.size(o)), lambda b: F.struct(
-                (-F.abs(a["c"] - b["c"])).alias("neg"), a["d"].alias("d1"), b["d"].alias("d2"), a["c"].alias("c1"),
-                b["c"].alias("c2"), (a["size"] == b["size"]).alias("same")))
-            if kind == "left_right":
-                return F.filter(made, lambda p: -p["neg"] >= MIN_PIXELS)
-            return F.filter(made, lambda p: p["same"] & (-p["neg"] >= F.greatest(
-                F.lit(MIN_DEPTH), MIN_DEPTH_SHARE * F.least(p["c1"], p["c2"]))))
-
-        return F.array_min(F.flatten(F.transform(o, pairs)))
-
-    # Picked inside the aggregate: a filter on its result then cannot make it run twice.
-    best = let(F.array_sort(F.collect_list(F.struct("obj", "d", "c", "size"))), widest)
+              .agg(F.count(F.lit(1)).alias("n"), F.min("obj").alias("obj"), *[F.min(RELATION_COORD[k]).alias(f"c_{k}") for k in kinds])
+              .filter("n = 1").withColumn("size", F.substring_index("d", " ", 1)))
+
+    def widest(kind: str):
+        def best(o: Column) -> Column:
+            def pairs(a: Column, i: Column) -> Column:
+                made = F.transform(F.slice(o, i + 2, F.size(o)), lambda b: F.struct(
+                    (-F.abs(a["c"] - b["c"])).alias("neg"), a["d"].alias("d1"), b["d"].alias("d2"), a["c"].alias("c1"),
+                    b["c"].alias("c2"), (a["size"] == b["size"]).alias("same")))
+                if kind == "left_right":
+                    return F.filter(made, lambda p: -p["neg"] >= MIN_PIXELS)
+                return F.filter(made, lambda p: p["same"] & (-p["neg"] >= F.greatest(
+                    F.lit(MIN_DEPTH), MIN_DEPTH_SHARE * F.least(p["c1"], p["c2"]))))
+
+            return F.array_min(F.flatten(F.transform(o, pairs)))
+        # Picked inside the aggregate: a filter on its result then cannot make it run twice.
+        return let(F.array_sort(F.collect_list(F.struct("obj", "d", F.col(f"c_{kind}").alias("c"), "size"))), best).alias(kind)
+
     swap = F.substring(hash_order(seed, "scene_id"), 1, 1) >= "8"
-    picked = unique.groupBy("scene_id").agg(best.alias("b")).filter("b is not null").withColumn("swap", swap)
-    first, second = F.when(F.col("swap"), F.col("b.d2")).otherwise(F.col("b.d1")), F.when(
-        F.col("swap"), F.col("b.d1")).otherwise(F.col("b.d2"))
-    c1, c2 = F.when(F.col("swap"), F.col("b.c2")).otherwise(F.col("b.c1")), F.when(
-        F.col("swap"), F.col("b.c1")).otherwise(F.col("b.c2"))
+    return unique.groupBy("scene_id").agg(*[widest(k) for k in kinds]).withColumn("swap", swap)
+
+
+def _told(kind: str) -> tuple[Column, Column, Column]:
+    """First and second description of a pair in the order they are asked, and the answer."""
+    b = F.col(kind)
+    side = lambda x, y: F.when(F.col("swap"), b[y]).otherwise(b[x])
     less, more = {"left_right": ("left", "right"), "depth": ("closer", "farther")}[kind]
-    return picked.select("scene_id", first.alias("first"), second.alias("second"), (-F.col("b.neg")).alias("gap"),
-                         F.when(c1 < c2, F.lit(less)).otherwise(F.lit(more)).alias("answer"))
+    return (side("d1", "d2"), side("d2", "d1"),
+            F.when(side("c1", "c2") < side("c2", "c1"), F.lit(less)).otherwise(F.lit(more)))
+
+
+def object_relations(objects: DataFrame, kind: str, seed: int = 1701) -> DataFrame:
+    """Widest clear left-right or depth pair of uniquely described objects per scene."""
+    first, second, answer = _told(kind)
+    return _relations(objects, [kind], seed).filter(F.col(kind).isNotNull()).select(
+        "scene_id", first.alias("first"), second.alias("second"), (-F.col(kind)["neg"]).alias("gap"), answer.alias("answer"))
 
 
 def _plural(attribute: Column, value: Column) -> Column:
@@ -177,15 +249,19 @@ def scene_qa_rows(objects: DataFrame, seed: int = 1701) -> DataFrame:
     cnt = attribute_counts(objects).select(
         "scene_id", F.lit("count").alias("kind"), count_question(F.col("attribute"), F.col("value")).alias("problem"),
         F.col("n").cast("string").alias("answer"))
-    lr = object_relations(objects, "left_right", seed).select(
-        "scene_id", F.lit("left_right").alias("kind"), F.concat(
-            F.lit("In the image, is the "), "first", F.lit(" to the left or right of the "), "second",
-            F.lit("? Respond with <answer>left</answer> or <answer>right</answer> only.")).alias("problem"), "answer")
-    dp = object_relations(objects, "depth", seed).select(
-        "scene_id", F.lit("depth").alias("kind"), F.concat(
-            F.lit("Is the "), "first", F.lit(" closer to or farther from the camera than the "), "second",
-            F.lit("? Respond with <answer>closer</answer> or <answer>farther</answer> only.")).alias("problem"), "answer")
-    return cnt.unionByName(lr).unionByName(dp).withColumn(
+    asked = {"left_right": ("In the image, is the ", " to the left or right of the ",
+                            "? Respond with <answer>left</answer> or <answer>right</answer> only."),
+             "depth": ("Is the ", " closer to or farther from the camera than the ",
+                       "? Respond with <answer>closer</answer> or <answer>farther</answer> only.")}
+
+    def question(kind: str) -> Column:
+        first, second, answer = _told(kind)
+        head, middle, tail = (F.lit(t) for t in asked[kind])
+        return F.when(F.col(kind).isNotNull(), F.struct(
+            F.lit(kind).alias("kind"), F.concat(head, first, middle, second, tail).alias("problem"), answer.alias("answer")))
+
+    pairs = _relations(objects, list(asked), seed).select("scene_id", F.inline(F.array(*[question(k) for k in asked])))
+    return cnt.unionByName(pairs.filter("kind is not null")).withColumn(
         "completion", F.concat(F.lit("<answer>"), "answer", F.lit("</answer>")))
 
 
@@ -198,7 +274,7 @@ def hash_rank_first(rows: DataFrame, keys: Sequence[str], parts: Sequence[str],
 def counterfactual_qa_rows(edits: DataFrame, max_examples: int, seed: int = 1701) -> DataFrame:
     """Count questions asked on both images of a scene; whole pairs in hash order up to the cap."""
     parts = ["scene_id", "attribute", "value"]
-    first = hash_rank_first(count_deltas(edits), ["scene_id", "attribute"], parts, seed)
+    first = first_count_deltas(edits, seed)
     pairs = first.orderBy("rank", *parts).limit(max_examples // 2)
     pair_id = F.concat(F.lit("counterfactual_qa::"), F.substring(
         F.sha2(F.concat_ws("|", *[F.col(p).cast("string") for p in parts]), 256), 1, 20))

@@ -172,8 +172,7 @@ firsts as (select * from h qualify row_number() over (partition by scene_id, att
 @register("hash_rank_first", with_sql("v_edits", HASH_SQL + """
 select scene_id, attribute, value, cast(old as bigint) as old, cast(new as bigint) as new from firsts"""))
 def hash_rank_first(spark, sf):
-    out = scenes.hash_rank_first(scenes.count_deltas(view(spark, sf, "v_edits")), ["scene_id", "attribute"],
-                                 ["scene_id", "attribute", "value"])
+    out = scenes.first_count_deltas(view(spark, sf, "v_edits"))
     return out.select("scene_id", "attribute", "value", "old", "new")
 
 
