@@ -3,6 +3,8 @@
 import random
 
 from rollscope.operators import pairs
+from rollscope.plans import scoring
+from tests.shuffled import shuffled
 
 NAN = float("nan")
 
@@ -116,17 +118,19 @@ def test_a_tile_in_steps():
         assert abs(got[name] - sum(0.5 * max(iou(g, p) for p in mine) for g in gold)) < 1e-6
 
 
-def shuffled_rows(spark):
-    jvm = spark.sparkContext._jvm
-    stages = spark.sparkContext._jsc.sc().statusStore().stageList(
-        None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-    return sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
-
-
 def test_overlapping_pairs_are_not_shuffled(spark):
     n = 600
     rows = [(1, i, [[float(i % 40), float(i % 30), 50.0 + i, 60.0 + i], [1.0, 1.0, 70.0, 80.0 + i]]) for i in range(n)]
     df = spark.createDataFrame(rows, "grp int, id int, boxes array<array<double>>")
-    before = shuffled_rows(spark)
+    before = shuffled(spark)[0]
     assert all(r.evidence > 0 for r in pairs.mean_sibling_box_overlap(df, ["grp"], "id", "boxes").collect())
-    assert shuffled_rows(spark) - before < 40 * n
+    assert shuffled(spark)[0] - before < 40 * n
+
+
+def test_group_consistency_does_not_shuffle_pairs(spark):
+    n = 500
+    rows = [(1, i, "<think>red cube</think><answer>a</answer>", [[float(i % 40), float(i % 30), 50.0 + i, 60.0 + i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "task_id int, gen_index int, completion string, boxes array<array<double>>")
+    before = shuffled(spark)[0]
+    assert len(scoring.group_consistency(df, boxes="boxes").collect()) == n
+    assert shuffled(spark)[0] - before < 60 * n
