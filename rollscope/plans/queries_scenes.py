@@ -8,6 +8,7 @@ from rollscope.functions import facts as FX
 from rollscope.operators import scenes, skew
 from rollscope.plans.catalog import register
 from rollscope.plans.queries_stats import r9
+from rollscope.session import written
 from rollscope.sources.views import view, with_sql
 
 ATTRS = FX.ATTRIBUTES
@@ -250,6 +251,8 @@ def scene_documents(spark, sf):
     obj = lambda side: F.struct(*[F.col(f"{side}_{a}").alias(a) for a in FX.ATTRIBUTES])
     edits = view(spark, sf, "v_edits").groupBy("scene_id").agg(
         F.array_sort(F.collect_list(F.struct("obj", obj("before").alias("b"), obj("after").alias("a")))).alias("e"))
+    # The documents, the listing and the tasks are all made of these.
+    edits = written(edits)
     name = lambda what: F.concat(F.lit(what), F.col("scene_id").cast("string"), F.lit(".png"))
     path = F.concat(F.lit("/scenes/json/"), F.col("scene_id").cast("string"), F.lit(".json"))
     side = lambda f: F.transform("e", lambda x: x[f])
