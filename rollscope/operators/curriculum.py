@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict, deque
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from rollscope.functions.rewards import learnability
 from rollscope.operators import gates, ranking, skew
@@ -142,12 +147,64 @@ def least_pairs(items: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+# A group whose picks have squared sizes of at most this sum is paired in order by one task; a larger one advances in rounds.
+SMALL_GROUP = 250_000
+
+
+def _pairs_in_order(picks: Sequence[tuple]) -> Iterator[tuple]:
+    """Pairs of one group's (id, sorted elements) in order of id."""
+    free = defaultdict(deque)
+    for at, keep in picks:
+        free[keep].append(at)
+    larger = defaultdict(list)
+    for keep in free:
+        for i in range(len(keep)):
+            less = keep[:i] + keep[i + 1:]
+            if less in free:
+                larger[less].append(free[keep])
+    used = set()
+    for at, keep in picks:
+        if at in used or keep not in larger:
+            continue
+        heads = larger[keep]
+        for ids in heads:
+            while ids and ids[0] in used:
+                ids.popleft()
+        best = min((ids[0] for ids in heads if ids), default=None)
+        if best is not None:
+            used.update((at, best))
+            yield at, best
+
+
+def small_group_pairs(rows: DataFrame) -> DataFrame:
+    """scene_id, num_players, small_id, large_id of groups that fit in a task, from (group, proposal_id, keep, scene_id, num_players)."""
+    kind = lambda name, of: StructField(name, rows.schema[of].dataType)
+    out = StructType([kind("scene_id", "scene_id"), kind("num_players", "num_players"), kind("small_id", "proposal_id"), kind("large_id", "proposal_id")])
+    shape = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        found = []
+        for _, members in groupby(stream, key=lambda r: r[0]):
+            picks = list(members)
+            found += [(*picks[0][3:], a, b) for a, b in _pairs_in_order([(r[1], tuple(r[2])) for r in picks])]
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), shape.types)], schema=shape)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), shape.types)], schema=shape)
+
+    return rows.select("group", "proposal_id", "keep", "scene_id", "num_players").repartition("group").sortWithinPartitions(
+        "group", "proposal_id").mapInArrow(run, out)
+
+
 def proposal_pairing(proposals: DataFrame, keep: str | None = None) -> DataFrame:
     """Pairs of one round's proposals that are one element apart, inside each (scene, players) group.
 
     Each proposal in order of its id takes the first free one that has all its elements and one more; a proposal joins one pair at
     most. Picks are arrays (`keep`) of any elements from 0 on, or the bits of `mask`. Empty picks, repeated or negative elements, null
-    ids and null scenes never pair; missing player counts are a group of their own. Ids are unique.
+    ids and null scenes never pair; missing player counts are a group of their own. Ids are unique. A group of up to SMALL_GROUP is paired in
+    order by one task; larger ones are held in none and advance in rounds.
     """
     # A mask has 63 bits besides its sign.
     pick = F.col(keep) if keep else F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.col("mask").bitwiseAND(
@@ -156,11 +213,17 @@ def proposal_pairing(proposals: DataFrame, keep: str | None = None) -> DataFrame
     src = proposals.filter(F.col("scene_id").isNotNull() & F.col("proposal_id").isNotNull()).select(
         "scene_id", "num_players", "proposal_id", group.alias("group"), F.array_sort(pick).alias("keep"))
     ok = src.filter((F.size("keep") > 0) & F.forall("keep", lambda i: i >= 0) & (F.size(F.array_distinct("keep")) == F.size("keep")))
-    ok = cut_lineage(ok.withColumn("name", F.concat_ws(":", F.array_join(F.col("keep").cast("array<string>"), ","), "group")))
-    edges = one_apart(ok.groupBy("name").agg(F.first("group").alias("group"), F.first("keep").alias("keep")))
-    pairs = least_pairs(ok.select("name", F.col("proposal_id").alias("id")), edges)
-    return ok.select("scene_id", "num_players", F.col("proposal_id").alias("small_id")).join(pairs, "small_id").select(
-        "scene_id", "num_players", "small_id", "large_id")
+    width = F.size("keep").cast("bigint")
+    ok = cut_lineage(skew.with_group_stats(ok, ["group"], {"__work": F.sum(width * width)}))
+    few = small_group_pairs(ok.filter(F.col("__work") <= SMALL_GROUP))
+    many = ok.filter(F.col("__work") > SMALL_GROUP)
+    if many.isEmpty():
+        return few
+    many = many.withColumn("name", F.concat_ws(":", F.array_join(F.col("keep").cast("array<string>"), ","), "group"))
+    edges = one_apart(many.groupBy("name").agg(F.first("group").alias("group"), F.first("keep").alias("keep")))
+    pairs = least_pairs(many.select("name", F.col("proposal_id").alias("id")), edges)
+    return few.unionByName(many.select("scene_id", "num_players", F.col("proposal_id").alias("small_id")).join(pairs, "small_id").select(
+        "scene_id", "num_players", "small_id", "large_id"))
 
 
 def pair_member_valid(tasks: DataFrame) -> DataFrame:

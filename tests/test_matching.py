@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollscope.functions import boxes as B
@@ -99,6 +100,19 @@ def test_proposal_pairing_of_a_hot_group(spark):
     assert sorted(map(tuple, got), key=str) == brute_pairing(data) and len(got) > 500
 
 
+@pytest.mark.parametrize("limit", [0, 60, 250_000])
+def test_proposal_pairing_of_small_groups_takes_no_rounds(spark, monkeypatch, limit):
+    """Groups within the limit are paired by one task each; before, all took rounds of joins. 0: all take them; 60: some do."""
+    monkeypatch.setattr(curriculum, "SMALL_GROUP", limit)
+    if limit > 60:
+        monkeypatch.delattr(curriculum, "least_pairs")
+    rnd = random.Random(5)
+    data = [(rnd.randrange(6) if i % 3 else None if i % 7 == 0 else 9, rnd.choice([3, 4, None]), (i * 37) % 181,
+             rnd.sample([0, 1, 2, 70], rnd.randrange(5)) + [5] * (i % 11 == 0)) for i in range(181)]
+    got = curriculum.proposal_pairing(spark.createDataFrame(data, PICKS).repartition(3), "keep").collect()
+    assert sorted(map(tuple, got), key=str) == brute_pairing([r for r in data if r[0] is not None]) and len(got) > 30
+
+
 def coco_reference(dets, gold, lo, hi, thr, cap):
     ignored = lambda g: g["crowd"] or not lo <= g["box"][2] * g["box"][3] <= hi
     gold = sorted(gold, key=lambda g: (ignored(g), g["id"]))
