@@ -154,6 +154,16 @@ def test_subsets_up_to_a_cap(spark):
     assert {r.mask for r in enumerate_subsets(df.filter("scene_id = 1"), "k", 15).collect()} == set(range(1, 16))
 
 
+def test_agreement_query_does_not_join_rows_with_their_shares(spark):
+    """A row per answer meets its group's totals; the rows themselves, read a second time before, meet nothing."""
+    from rollscope.operators import stats
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, ""), (2, "x"), (None, "x"), (3, "")], "task_id int, answer string")
+    got = {(r.task_id, r.answer): (r.cnt, round(r.same_share, 9), round(r.modal_share, 9)) for r in stats.answer_shares(df, "task_id", "answer").collect()}
+    assert got == {(1, "a"): (2, 0.5, 0.666666667), (1, "b"): (1, 0.25, 0.666666667), (1, ""): (1, 0.0, 0.666666667), (2, "x"): (1, 1.0, 1.0), (3, ""): (1, 0.0, 1.0)}
+    assert stats.group_agreement(df, "task_id", "answer").count() == 7
+
+
 def test_records_on_one_side(spark):
     from rollscope.operators.detection import record_map
 
