@@ -5,6 +5,7 @@ Scenes are kept as rows (one object or edit per row); whole-scene rules are part
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from rollscope.operators.ranking import hash_order
 from rollscope.session import cut_lineage
 
 MAX_EDITS = 30
+SUBSETS_PER_TASK = 2_000_000
 
 
 def edit_facts(edits: DataFrame) -> DataFrame:
@@ -298,7 +300,13 @@ def enumerate_subsets(scenes: DataFrame, num_edits: str, cap: int | None = None)
         F.raise_error(F.concat(F.lit("too many edits in scene "), F.col("scene_id").cast("string"))).cast("bigint"))
     half = MAX_EDITS // 2
     upto = lambda bits: F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), bits).cast("bigint") - 1)
-    high = scenes.select("scene_id", k.alias("__k"), F.explode(upto(F.greatest(k - half, F.lit(0)))).alias("__hi"))
+    # Subsets are made in as many tasks as their number asks for, not in as many as the scenes' few bytes would get.
+    sized = cut_lineage(scenes.select("scene_id", k.alias("__k")))
+    made = sized.agg(F.sum(F.pow(F.lit(2.0), "__k"))).first()[0] or 0.0
+    tasks = math.ceil(made / SUBSETS_PER_TASK)
+    if tasks > scenes.sparkSession.sparkContext.defaultParallelism:
+        sized = sized.repartition(tasks, "scene_id")
+    high = sized.select("scene_id", "__k", F.explode(upto(F.greatest(F.col("__k") - half, F.lit(0)))).alias("__hi"))
     both = high.select("scene_id", "__hi", F.explode(upto(F.least(F.col("__k"), F.lit(half)))).alias("__lo"))
     masks = both.select("scene_id", (F.col("__hi") * (1 << half) + F.col("__lo")).alias("mask")).filter("mask > 0")
     return masks.select("scene_id", "mask", mask_members(F.col("mask"), MAX_EDITS).alias("keep"))

@@ -154,6 +154,18 @@ def test_subsets_up_to_a_cap(spark):
     assert {r.mask for r in enumerate_subsets(df.filter("scene_id = 1"), "k", 15).collect()} == set(range(1, 16))
 
 
+def test_subsets_take_as_many_tasks_as_their_number_asks_for(spark, monkeypatch):
+    """Scenes are few bytes: before, adaptive execution put all their subsets into one task."""
+    from rollscope.operators import scenes
+
+    monkeypatch.setattr(scenes, "SUBSETS_PER_TASK", 100)
+    df = spark.range(50).select(F.col("id").alias("scene_id"), (F.col("id") % 8).alias("k")).coalesce(1)
+    got = scenes.enumerate_subsets(df, "k")
+    rows = got.select("scene_id", "mask", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.scene_id, r.mask) for r in rows) == [(s, m) for s in range(50) for m in range(1, 1 << s % 8)]
+    assert len({r.task for r in rows}) > 8
+
+
 def test_agreement_query_does_not_join_rows_with_their_shares(spark):
     """A row per answer meets its group's totals; the rows themselves, read a second time before, meet nothing."""
     from rollscope.operators import stats
