@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscope.llm.common import WORD, stored
+from rollscope.llm.common import WORD, maybe_in, stored
 from rollscope.operators.skew import null_safe_join, number_rows, number_rows_by_key
 
 # Weights of the sources in order of their code points, repeating.
@@ -91,22 +91,28 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     plan's rows of the same id, source and size by position, in order of a hash of the row, so no row is taken for another.
     """
     plan = stored(mix_plan(docs, doc_id, text, source, **targets).select("doc_id", "source", "size", "copies", "at"), "mix-plan")
-    rows = plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.max("copies").alias("__copies"))
+    # Stored, so that the joins below know their size before any document is shuffled.
+    rows = stored(plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.max("copies").alias("__copies")), "mix-rows")
     ident = F.col(f"`{doc_id}`")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     single = docs.join(rows.filter((F.col("__rows") == 1) & (F.col("__copies") > 0)).select(F.col("doc_id").alias("__id"), "__copies"),
                        ident.eqNullSafe(F.col("__id")))
+    taken = single.select(whole.alias("__row"), "__copies")
     shared = rows.filter(F.col("__rows") > 1).select(F.col("doc_id").alias("__id"))
-    key = ["__id", "__source", "__size"]
-    placed = number_rows_by_key(
-        plan.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(
-            F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "at", "copies"),
-        key, [F.col("at")], "__rn")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    several = docs.join(shared, ident.eqNullSafe(F.col("__id")), "left_semi").select(
-        whole.alias("__row"), ident.alias("__id"), F.col(f"`{source}`").alias("__source"), word_count(f"`{text}`").alias("__size"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__hash"))
-    several = number_rows_by_key(several, key, [F.col("__hash")], "__rn")
-    paired = null_safe_join(several, placed.select(*key, "__rn", F.col("copies").alias("__copies")), [*key, "__rn"]).filter("__copies > 0")
-    taken = single.select(whole.alias("__row"), "__copies").unionByName(paired.select("__row", "__copies"))
+    if not shared.isEmpty():
+        key = ["__id", "__source", "__size"]
+        placed = number_rows_by_key(
+            plan.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(
+                F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "at", "copies"),
+            key, [F.col("at")], "__rn")
+        several = docs.select(
+            whole.alias("__row"), ident.alias("__id"), F.col(f"`{source}`").alias("__source"), word_count(f"`{text}`").alias("__size"),
+            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__hash"))
+        # Only documents whose id may be shared are shuffled again; a semi join would be moved in front of that filter.
+        several = maybe_in(several, F.xxhash64("__id"), shared.select(F.xxhash64("__id").alias("__name")))
+        several = several.join(shared.select(F.col("__id").alias("__shared")), F.col("__id").eqNullSafe(F.col("__shared"))).drop("__shared")
+        several = number_rows_by_key(several, key, [F.col("__hash")], "__rn")
+        paired = null_safe_join(several, placed.select(*key, "__rn", F.col("copies").alias("__copies")), [*key, "__rn"]).filter("__copies > 0")
+        taken = taken.unionByName(paired.select("__row", "__copies"))
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(
         *[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -129,3 +129,26 @@ def test_rows_with_one_id_keep_their_own_counts(spark):
     assert all(n <= 2 * rows.count(k) for k, n in texts.items())
     assert sorted(map(str, got.collect())) == sorted(map(str, mix_documents(docs, doc_id="id").collect()))
     assert mix_documents(docs.limit(0), doc_id="id").count() == 0
+
+
+def test_mix_shuffles_each_text_once_at_most(spark):
+    """Before, all texts were shuffled a second time to look for ids that several rows share."""
+    from pyspark.sql import functions as F
+
+    from rollscope.llm.mixing import mix_documents
+    from tests.shuffled import shuffled
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.md5(
+        F.concat_ws("-", "id", i)))).alias("text"), F.lit("a").alias("source"))
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        for rows, most in ((docs, 1.1), (docs.union(docs.limit(3)), 1.2)):
+            before = shuffled(spark)[1]
+            assert mix_documents(rows).select(F.sum(F.length("text"))).first()[0] > 400 * 9000
+            texts = rows.select(F.sum(F.length("text"))).first()[0]
+            assert shuffled(spark)[1] - before < most * texts, (shuffled(spark)[1] - before) / texts
+    finally:
+        for name in names:
+            spark.conf.unset(name)
