@@ -250,9 +250,10 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     maybe = maybe_in(full, F.col("__row_key"), names)
     clear = maybe_in(full, F.col("__row_key"), names, other=True)
     same = (F.col("__text_hash") == F.col("__hash")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))
-    left = maybe.join(listed, same, "left_anti")
+    # Outer and inner joins: an anti or semi join would be moved in front of the filter, and all texts be shuffled for it.
+    left = maybe.join(listed.select("__id", "__hash"), same, "left").filter("__hash is null").drop("__id", "__hash")
     out = clear.unionByName(left)
     again = listed.filter("__stays")
     if not again.isEmpty():
-        out = out.unionByName(maybe.join(again, same, "left_semi").dropDuplicates([doc_id, "__text_hash"]))
+        out = out.unionByName(maybe.join(again.select("__id", "__hash"), same).drop("__id", "__hash").dropDuplicates([doc_id, "__text_hash"]))
     return out.drop("__text_hash", "__row_key")
