@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscope.llm.common import WORD, maybe_in, stored
+from rollscope.llm.common import WORD, maybe_in, stored, with_bit
 from rollscope.operators.skew import null_safe_join, number_rows, number_rows_by_key
 
 # Weights of the sources in order of their code points, repeating.
@@ -87,19 +87,45 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                   **targets) -> DataFrame:
     """The mix: each document row as often as its own row of the plan says.
 
-    An id that stands on one row finds its count by the id. Rows that share an id (or have none) are paired with the
-    plan's rows of the same id, source and size by position, in order of a hash of the row, so no row is taken for another.
+    An id that stands on one row finds its count by the id, where the row is: its bits stand in two bitmaps, one of the ids that
+    have the bit and one of the ids that the first names wrongly. Only rows that both name are joined with the plan, so texts
+    are not shuffled. Rows that share an id (or have none) are paired with the plan's rows of the same id, source and size by
+    position, in order of a hash of the row, so no row is taken for another.
     """
     plan = stored(mix_plan(docs, doc_id, text, source, **targets).select("doc_id", "source", "size", "copies", "at"), "mix-plan")
     # Stored, so that the joins below know their size before any document is shuffled.
     rows = stored(plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.max("copies").alias("__copies")), "mix-rows")
     ident = F.col(f"`{doc_id}`")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    single = docs.join(rows.filter((F.col("__rows") == 1) & (F.col("__copies") > 0)).select(F.col("doc_id").alias("__id"), "__copies"),
-                       ident.eqNullSafe(F.col("__id")))
-    taken = single.select(whole.alias("__row"), "__copies")
     shared = rows.filter(F.col("__rows") > 1).select(F.col("doc_id").alias("__id"))
-    if not shared.isEmpty():
+    some_shared = not shared.isEmpty()
+    own = rows.filter("__rows = 1").select("doc_id", "__copies", F.xxhash64("doc_id").alias("__name"))
+    most = own.agg(F.max("__copies")).first()[0] or 0
+    # Both the documents and the plan's rows are judged by the same bitmaps: `sure` rows have their count in `__copies`.
+    bits = []
+    for k in range(most.bit_length()):
+        has = F.shiftright("__copies", k).bitwiseAND(1) == 1
+        named = own.filter(has).select("__name")
+        wrong = stored(maybe_in(own.filter(~has), F.col("__name"), named).select("__name"), "mix-wrong")
+        bits.append((named, wrong))
+
+    def judged(df: DataFrame) -> DataFrame:
+        sure, copies = F.lit(True), F.lit(0)
+        for k, (named, wrong) in enumerate(bits):
+            df = with_bit(with_bit(df, F.col("__name"), named, f"__named{k}"), F.col("__name"), wrong, f"__wrong{k}", seed=5)
+            sure = sure & ~(F.col(f"__named{k}") & F.col(f"__wrong{k}"))
+            copies = copies + F.when(F.col(f"__named{k}"), F.lit(1 << k)).otherwise(F.lit(0))
+        if some_shared:
+            df = with_bit(df, F.col("__name"), shared.select(F.xxhash64("__id").alias("__name")), "__several")
+            sure = sure & ~F.col("__several")
+        return df.withColumn("__sure", sure).withColumn("__found", copies.cast("long"))
+
+    seen = judged(docs.select(whole.alias("__row"), ident.alias("__key"), F.xxhash64(ident).alias("__name")))
+    taken = seen.filter("__sure and __found > 0").select("__row", F.col("__found").alias("__copies"))
+    unsure = stored(judged(own).filter("not __sure").filter("__copies > 0").select(F.col("doc_id").alias("__id"), "__copies"), "mix-unsure")
+    if not unsure.isEmpty():
+        taken = taken.unionByName(seen.filter("not __sure").join(unsure, F.col("__key").eqNullSafe(F.col("__id"))).select("__row", "__copies"))
+    if some_shared:
         key = ["__id", "__source", "__size"]
         placed = number_rows_by_key(
             plan.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(

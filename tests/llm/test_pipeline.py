@@ -152,3 +152,42 @@ def test_mix_shuffles_each_text_once_at_most(spark):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_mix_moves_few_texts(spark):
+    """Before, the join of counts by id moved every text once the counts were too many to broadcast."""
+    from pyspark.sql import functions as F
+
+    from rollscope.llm.mixing import mix_documents
+    from tests.shuffled import shuffled
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.md5(
+        F.concat_ws("-", "id", i)))).alias("text"), F.lit("a").alias("source"))
+    docs = docs.union(docs.filter("doc_id < 3"))
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        before = shuffled(spark)[1]
+        assert mix_documents(docs).select(F.sum(F.length("text"))).first()[0] > 400 * 9000
+        texts = docs.select(F.sum(F.length("text"))).first()[0]
+        assert shuffled(spark)[1] - before < 0.2 * texts, (shuffled(spark)[1] - before) / texts
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+def test_counts_by_crowded_bitmaps(spark, monkeypatch):
+    """Bitmaps without room name most ids; those rows find their counts by a join. More copies than three, too."""
+    from pyspark.sql import functions as F
+
+    from rollscope.llm import common
+    from rollscope.llm.mixing import mix_documents
+
+    monkeypatch.setattr(common, "KEY_BITS", 0)
+    docs = spark.range(70_000).selectExpr("id as doc_id", "repeat('w ', int(id % 7)) as text", "concat('s', id % 3) as source")
+    docs = docs.union(spark.sql("select cast(null as long), 'one two', 's1'"))
+    for targets in ({}, {"share": 5.0, "most": 6.0}):
+        plan = mix_plan(docs, **targets).filter("copies > 0").select("doc_id", "copies")
+        got = mix_documents(docs, **targets).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+        assert plan.exceptAll(got).isEmpty() and got.exceptAll(plan).isEmpty() and got.count() > 60_000

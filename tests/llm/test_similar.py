@@ -132,3 +132,25 @@ def test_texts_without_a_partner_are_not_shuffled(spark):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_members_of_a_shingle_meet_across_blocks(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 3)
+    monkeypatch.setattr(similar, "SAMPLE_LEAST", 10**9)
+    texts = pairs(20)
+    got = sorted(r.doc_id for r in near_duplicates(spark, docs_of(list(enumerate(texts))), "").collect())
+    assert got == want(texts)
+
+
+def test_a_common_passage_makes_no_row_per_pair(spark, docs_of, monkeypatch):
+    """Before, each two of the texts were rows of several joins: the square of their number."""
+    from tests.shuffled import shuffled
+
+    monkeypatch.setattr(similar, "SAMPLE_LEAST", 10**9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [passage + " " + " ".join(f"{i}x{j}" for j in range(100)) for i in range(700)]
+    texts += [x + " end" for x in texts[:50]]
+    rows = docs_of(list(enumerate(texts)))
+    before = shuffled(spark)[0]
+    assert near_duplicates(spark, rows, "").count() == 700
+    assert shuffled(spark)[0] - before < 200_000
