@@ -23,26 +23,43 @@ def answer_certificate(scored: DataFrame, *, min_grounding: float = 0.2, min_fac
     return F.coalesce(ok, F.lit(False))
 
 
-def visual_certificate(scored: DataFrame, accepted: DataFrame, gold: DataFrame, *, claims: str = "completion",
-                       min_grounding: float = 0.2, need_player: bool = True) -> DataFrame:
-    """Scored rows with `certified`: the answer certificate against the accepted task and its gold facts.
+def _with_claims_met(rows: DataFrame, accepted: DataFrame, gold: DataFrame, claims: str, name: str, where: Column) -> DataFrame:
+    """Rows plus a boolean: `where` holds, gold and answer equal the accepted task's and the claims are exactly its gold facts.
 
-    The rollout's own gold and its answer must equal the accepted task's (task_id, spy, changed), and the change claims
-    of the text in `claims` must be exactly its gold facts (task_id, attribute, before, after, n): no false claim, none
-    missing, none malformed. A task without an accepted row or without gold facts certifies nothing.
+    Claims are parsed only where `where` holds.
     """
     triple = F.concat_ws(":", "attribute", "before", "after")
     # A task has at most one row per triple of the attribute domains.
     packed = gold.groupBy("task_id").agg(F.array_sort(F.flatten(F.collect_list(
         F.array_repeat(triple, F.col("n").cast("int"))))).alias("__gold"))
     known = accepted.select("task_id", F.col("spy").alias("__spy"), F.col("changed").alias("__changed"))
-    rows = scored.withColumn("__claims", FX.change_claims(F.col(claims))).join(known, "task_id", "left").join(packed, "task_id", "left")
+    out = rows.withColumn("__claims", F.when(where, FX.change_claims(F.col(claims)))).join(known, "task_id", "left").join(packed, "task_id", "left")
     said = F.array_sort(F.transform("__claims.facts", lambda f: F.concat_ws(":", f["attribute"], f["before"], f["after"])))
     same = lambda field: (F.col(f"__{field}") == F.col(f"{field}_gold")) & (F.col(f"__{field}") == F.col(field))
     whole = (same("spy") & same("changed") & (F.size("__gold") > 0) & (said == F.col("__gold"))
              & (F.col("__claims.invalid") == 0))
+    return out.withColumn(name, F.coalesce(whole, F.lit(False))).drop("__claims", "__spy", "__changed", "__gold")
+
+
+def may_certify(parsed: DataFrame, accepted: DataFrame, gold: DataFrame, *, claims: str = "completion") -> DataFrame:
+    """Parsed rows with `open`: whether `visual_certificate` may hold, by fields, format and claims alone.
+
+    Boxes and reasoning need not be parsed for it; a row that is not open is not certified, whatever these say.
+    """
+    fields = (F.col("spy") == F.col("spy_gold")) & (F.col("changed") == F.col("changed_gold")) & F.col("format_valid")
+    return _with_claims_met(parsed, accepted, gold, claims, "open", fields)
+
+
+def visual_certificate(scored: DataFrame, accepted: DataFrame, gold: DataFrame, *, claims: str = "completion",
+                       min_grounding: float = 0.2, need_player: bool = True) -> DataFrame:
+    """Scored rows with `certified`: the answer certificate against the accepted task and its gold facts.
+
+    The rollout's own gold and its answer must equal the accepted task's (task_id, spy, changed), and the change claims
+    of the text in `claims` must be exactly its gold facts (task_id, attribute, before, after, n): no false claim, none
+    missing, none malformed. A task without an accepted row or without gold facts certifies nothing.
+    """
     base = answer_certificate(scored, min_grounding=min_grounding, need_player=need_player)
-    return rows.withColumn("certified", base & F.coalesce(whole, F.lit(False))).drop("__claims", "__spy", "__changed", "__gold")
+    return _with_claims_met(scored, accepted, gold, claims, "certified", base)
 
 
 def judge_reason(completion: Column, solution: Column) -> Column:

@@ -13,6 +13,7 @@ from rollscope.plans.catalog import register
 from rollscope.plans.queries_boxes import GREEDY_SQL
 from rollscope.plans.queries_stats import DIMS, ROUTE_SQL, r9, routed
 from rollscope.plans.queries_text import CNT, FORMAT_SQL, SPY, SQ, THINK_SQL, field_sql
+from rollscope.session import cut_lineage
 from rollscope.sources.views import view, with_sql
 
 CFG = R.RewardConfig()
@@ -248,18 +249,27 @@ CLAIMS = ("<change>color:red->blue</change><change>size:small->large</change><ch
 select gen_index, coalesce(spy = spy_gold and changed = changed_gold, false) and format_valid and not shortcut_detected and grounding >= 0.05
  and gen_index % 4 = 0 and task_id % 7 <> 3 and task_id % 5 <> 0 and task_id % 11 <> 2 as certified from vec"""))
 def visual_certificate(spark, sf):
-    from rollscope.operators.certificate import visual_certificate as certify
+    from rollscope.operators.certificate import may_certify, visual_certificate as certify
 
-    df = scored(spark, sf)
+    rollouts = view(spark, sf, "v_texts").select("gen_index", "task_id", "kind", "completion", "solution")
     said = F.element_at(F.array(*[F.lit(c) for c in CLAIMS]), (F.col("gen_index") % 4 + 1).cast("int"))
-    df = df.withColumn("claimed", F.concat(F.lit("<think>x</think>"), said, F.lit("<answer>y</answer>")))
+    c, s = F.col("completion"), F.col("solution")
+    rollouts = rollouts.withColumn("claimed", F.concat(F.lit("<think>x</think>"), said, F.lit("<answer>y</answer>")))
+    answers = rollouts.join(context(spark, sf).select("task_id"), "task_id").withColumns({
+        "spy": T.spy_field(c), "changed": T.count_field(c), "spy_gold": T.spy_field(s), "changed_gold": T.count_field(s),
+        "format_valid": T.format_valid(c)})
     # The accepted task differs for some tasks and is absent for others; some have no gold facts.
-    tasks = df.groupBy("task_id").agg(F.min("spy_gold").alias("spy"), F.min("changed_gold").alias("changed"))
+    tasks = answers.groupBy("task_id").agg(F.min("spy_gold").alias("spy"), F.min("changed_gold").alias("changed"))
     accepted = tasks.filter("task_id % 11 <> 2").withColumn("spy", F.when(F.col("task_id") % 7 == 3, -1).otherwise(F.col("spy")))
     gold = tasks.filter("task_id % 5 <> 0").selectExpr(
         "task_id", "inline(array(struct('color' attribute, 'red' before, 'blue' after, 2 n), struct('size' attribute, 'small' before, 'large' after, 1 n)))")
+    # Only open rows are scored. Stored, since a filter on them would be pushed below the parsing.
+    rows = may_certify(answers, accepted, gold, claims="claimed").select(
+        "gen_index", "open", F.when(F.col("open"), F.struct(*rollouts.columns)).alias("rollout"))
+    rows = cut_lineage(rows)
+    df = scoring.score_rollouts(rows.filter("open").select("rollout.*"), context(spark, sf), CFG)
     out = certify(df, accepted, gold, claims="claimed", min_grounding=0.05, need_player=False)
-    return out.select("gen_index", "certified")
+    return rows.filter("not open").select("gen_index", F.lit(False).alias("certified")).unionByName(out.select("gen_index", "certified"))
 
 
 @register("judge_candidates", with_sql("v_texts", """
