@@ -12,8 +12,9 @@ pairs below the threshold go by these counts alone, the others are compared by t
 
 Copies meet as distinct sets. First the members of a SimHash component and then those of a prefix shingle are compared with one of
 them only; then members of different components are compared, but never those of the largest component of a shingle with each
-other, since they are connected already. They meet in cells of at most two blocks of members, whose pairs are looked at in place: only
-pairs that their classes allow become rows. Joins on rare keys see rows that a bitmap of the keys lets pass (`maybe_in`), so texts
+other, since they are connected already. They meet in cells of at most two blocks of members, whose pairs are looked at in place, twice:
+by shingle and classes, which gives groups of components that may be linked, and by group and whole sets. No pair becomes a row unless it
+connects what its task had not yet connected, so rows grow with the members and not with their pairs. Joins on rare keys see rows that a bitmap of the keys lets pass (`maybe_in`), so texts
 and shingles without a partner are not shuffled. Stored tables are removed once their successors are stored.
 
 Defined results: null and empty texts have the empty set and are copies of each other; a text under five words is one shingle;
@@ -25,12 +26,12 @@ their names (but for names that start with two underscores); an empty table stay
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,8 @@ HOT, HOT_PASSES = 2000, 2
 CLASSES = 256
 # Members of a prefix shingle in one block; the blocks of a shingle meet in pairs. Pairs looked at, and compared by classes, at once.
 BLOCK, LOOKED_AT, COMPARED = 512, 1 << 18, 1 << 15
+# Members, or hashes of their whole sets, in one block of a group whose sets are compared.
+SET_BLOCK, SET_HASHES = 2048, 1 << 20
 
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -129,44 +132,65 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _met_in_cells(members: DataFrame, block: int) -> DataFrame:
-    """The possible pairs (a, b) of members of one shingle and different components, without a row for any other pair.
-
-    `members`: s, members (of the shingle), in_main (of its largest component), node, root, n, p, classes. A shingle's members
-    are dealt to blocks and each pair of blocks is a cell, in one task. Members of the largest component come last in a cell and
-    start no pair, so they never meet each other.
-    """
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = dealt.select("s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "in_main", "own", "node", "root",
-                         "n", "p", "classes")
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        s, lo, hi, in_main, own, node, root, n, p = (rows.column(i).to_numpy() for i in range(9))
-        classes, valid = _class_rows(rows.column(9).combine_chunks())
-        ends = np.append(_cell_starts(s, lo, hi)[1:], len(s))
-        i = np.flatnonzero(~in_main)
-        count = ends[np.searchsorted(ends, i, "right")] - i - 1
-        until = np.cumsum(count)
-        at = 0
-        while at < len(i):
-            to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + LOOKED_AT, "right")))
-            k = count[at:to]
-            x = np.repeat(i[at:to], k)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
-            total = n[x] + n[y]
-            fits = ((root[x] != root[y]) & ((lo[x] == hi[x]) | (own[x] != own[y])) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
-                    & ((NUM + DEN) * np.minimum(n[x] - p[x], n[y] - p[y]) >= NUM * total))
-            x, y, total = x[fits], y[fits], total[fits]
-            for c in range(0, len(x), COMPARED):
-                a, b = x[c:c + COMPARED], y[c:c + COMPARED]
-                keep = ~(valid[a] & valid[b]) | _enough(classes[a], classes[b], total[c:c + COMPARED])
-                a, b = node[a[keep]], node[b[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            at = to
-
+class _Joined:
+    """Roots that a task has joined so far. `label` names the part of each row of one table; rows with one label need no pair."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def start(self, root: np.ndarray) -> None:
+        names, at = np.unique(root, return_inverse=True)
+        self.label = np.array([self._top(r) for r in names.tolist()], np.int64)[at]
+
+    def _top(self, root: int) -> int:
+        way = []
+        while root in self.up:
+            way.append(root)
+            root = self.up[root]
+        for r in way:
+            self.up[r] = root
+        return root
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the rows had different labels, which are one from now on."""
+        a, b = int(self.label[x]), int(self.label[y])
+        if a == b:
+            return False
+        self.label[self.label == b] = a
+        self.up[b] = a
+        return True
+
+
+def _apart(joined: _Joined, ends: np.ndarray, starting: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, n: np.ndarray, p: np.ndarray,
+           classes: np.ndarray, valid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of possible pairs with different labels, some at a time. Rows are sorted by cell, cells end at `ends`; of each pair
+    the first row is in `starting`."""
+    label = joined.label
+    count = ends[np.searchsorted(ends, starting, "right")] - starting - 1
+    until = np.cumsum(count)
+    at = 0
+    while at < len(starting):
+        to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + LOOKED_AT, "right")))
+        k = count[at:to]
+        x = np.repeat(starting[at:to], k)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        total = n[x] + n[y]
+        fits = ((label[x] != label[y]) & ((lo[x] == hi[x]) | (own[x] != own[y])) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
+                & ((NUM + DEN) * np.minimum(n[x] - p[x], n[y] - p[y]) >= NUM * total))
+        x, y, total = x[fits], y[fits], total[fits]
+        for c in range(0, len(x), COMPARED):
+            a, b, both = x[c:c + COMPARED], y[c:c + COMPARED], total[c:c + COMPARED]
+            open_ = label[a] != label[b]
+            a, b, both = a[open_], b[open_], both[open_]
+            keep = ~(valid[a] & valid[b]) | _enough(classes[a], classes[b], both)
+            yield a[keep], b[keep]
+        at = to
+
+
+def _by_cells(rows: DataFrame, key: str, order: list[str], make: Callable[[], Callable[[pa.Table], pa.RecordBatch]]) -> DataFrame:
+    """Pairs (a, b) that `make()`'s function finds in whole cells (key, lo, hi), the first three columns of `rows`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
         # The last cell of a batch may go on in the next one.
         left: list[pa.RecordBatch] = []
         for batch in batches:
@@ -174,12 +198,111 @@ def _met_in_cells(members: DataFrame, block: int) -> DataFrame:
             if not len(rows):
                 continue
             cut = int(_cell_starts(*(rows.column(i).to_numpy() for i in range(3)))[-1])
-            yield from pairs(rows.slice(0, cut))
+            if cut:
+                yield find(rows.slice(0, cut))
             left = rows.slice(cut).to_batches()
         if left:
-            yield from pairs(pa.Table.from_batches(left))
+            yield find(pa.Table.from_batches(left))
+
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", *order).mapInArrow(run, "a long, b long")
+
+
+def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
+    """Members once for each cell of two blocks that they are in: plus own, lo, hi."""
+    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
 
-    return cells.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi", "in_main").mapInArrow(run, "a long, b long")
+def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _met_in_cells(members: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of roots that connect, directly or not, all roots with a possible pair of members of one shingle.
+
+    `members`: s, members (of the shingle), in_main (of its largest component), node, root, n, p, classes. A shingle's members
+    are dealt to blocks and each pair of blocks is a cell, in one task. Members of the largest component come last in a cell and
+    start no pair, so they never meet each other. A task returns fewer pairs than it sees roots.
+    """
+    cells = _dealt(members, F.ceil(F.col("members") / F.lit(block)).cast("int")).select(
+        "s", "lo", "hi", "in_main", "own", "node", "root", "n", "p", "classes")
+
+    def make():
+        joined = _Joined()
+
+        def find(rows: pa.Table) -> pa.RecordBatch:
+            s, lo, hi, in_main, own, _, root, n, p = (rows.column(i).to_numpy() for i in range(9))
+            classes, valid = _class_rows(rows.column(9).combine_chunks())
+            ends = np.append(_cell_starts(s, lo, hi)[1:], len(s))
+            joined.start(root)
+            a, b = [], []
+            for x, y in _apart(joined, ends, np.flatnonzero(~in_main), lo, hi, own, n, p, classes, valid):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    if joined.join(i, j):
+                        a.append(int(root[i]))
+                        b.append(int(root[j]))
+            return _edges(a, b)
+        return find
+
+    return _by_cells(cells, "s", ["in_main"], make)
+
+
+def _linked_in_cells(members: DataFrame, block: int, block_hashes: int) -> DataFrame:
+    """Pairs (a, b) of similar sets that connect all members of one group that similar sets connect, from their whole sets.
+
+    `members`: group, members (of the group), hashes_in_all (sizes in sum), node, root, n, hashes. Cells are made as above, of
+    blocks of about `block` members or `block_hashes` hashes. Sets are compared where they are; a task returns fewer pairs than
+    it sees roots.
+    """
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("hashes_in_all") / F.lit(block_hashes))).cast("int")
+    cells = _dealt(members, F.greatest(blocks, F.lit(1))).select("group", "lo", "hi", "own", "node", "root", "n", "hashes")
+
+    def make():
+        joined = _Joined()
+
+        def cell(rows: pa.Table) -> Iterator[tuple[int, int]]:
+            lo, hi, own, node, root, n = (rows.column(i).to_numpy() for i in range(1, 7))
+            # The largest component last; it starts no pair.
+            names, at, count = np.unique(root, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                return
+            in_main = at == count.argmax()
+            order = np.argsort(in_main, kind="stable")
+            lo, hi, own, node, root, n = (v[order] for v in (lo, hi, own, node, root, n))
+            column = rows.column(7).combine_chunks().take(pa.array(order))
+            ids = np.unique(column.flatten().to_numpy(), return_inverse=True)[1]
+            until = np.cumsum(n)
+            classes = np.bincount(np.repeat(np.arange(len(n)) * CLASSES, n) + (column.flatten().to_numpy() & (CLASSES - 1)),
+                                  minlength=len(n) * CLASSES).astype(np.int32).reshape(-1, CLASSES)
+            mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+            joined.start(root)
+            label = joined.label
+            for x, y in _apart(joined, np.array([len(n)]), np.flatnonzero(~in_main[order]), lo, hi, own, n, np.zeros(len(n), np.int64), classes,
+                               np.ones(len(n), bool)):
+                cuts = np.flatnonzero(np.diff(x, prepend=-1))
+                for i, others in zip(x[cuts].tolist(), np.split(y, cuts[1:])):
+                    mark[ids[until[i] - n[i]:until[i]]] = True
+                    others = others[label[others] != label[i]]
+                    while len(others):
+                        few = others[:max(1, int(np.searchsorted(np.cumsum(n[others]), LOOKED_AT, "right")))]
+                        ends = np.cumsum(n[few])
+                        hit = mark[ids[np.repeat(until[few] - ends, n[few]) + np.arange(int(ends[-1]))]]
+                        common = np.diff(np.concatenate([[0], np.cumsum(hit)])[ends], prepend=0)
+                        for j in few[(NUM + DEN) * common >= NUM * (n[i] + n[few])].tolist():
+                            if joined.join(i, j):
+                                yield int(node[i]), int(node[j])
+                        others = others[len(few):]
+                        others = others[label[others] != label[i]]
+                    mark[ids[until[i] - n[i]:until[i]]] = False
+
+        def find(rows: pa.Table) -> pa.RecordBatch:
+            starts = _cell_starts(*(rows.column(i).to_numpy() for i in range(3)))
+            pairs = [e for a, b in zip(starts, np.append(starts[1:], len(rows))) for e in cell(rows.slice(a, b - a))]
+            return _edges([a for a, _ in pairs], [b for _, b in pairs])
+        return find
+
+    return _by_cells(cells, "group", [], make)
 
 
 def _cell_starts(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -215,22 +338,24 @@ class Links:
         """node, n, classes of some nodes."""
         return maybe_in(self.rows.select("node", "n", "classes"), F.col("node"), nodes).join(nodes, "node")
 
-    def add(self, pairs: DataFrame, judged: bool = False) -> None:
-        """Take in the similar ones of the pairs (a, b); `judged`: those that their classes rule out are not among them."""
+    def add(self, pairs: DataFrame) -> None:
+        """Take in the similar ones of the pairs (a, b)."""
         near = stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
         def ends(df: DataFrame) -> DataFrame:
             return df.select("a").union(df.select("b")).toDF("node").distinct()
 
-        possible = near
-        if not judged:
-            known = self.classes(ends(near))
-            possible = stored(_possible(near.join(known.toDF("a", "na", "ca"), "a").join(known.toDF("b", "nb", "cb"), "b")
-                                        .select("a", "na", "ca", "b", "nb", "cb")), "possible")
-            release(near)
+        known = self.classes(ends(near))
+        possible = stored(_possible(near.join(known.toDF("a", "na", "ca"), "a").join(known.toDF("b", "nb", "cb"), "b")
+                                    .select("a", "na", "ca", "b", "nb", "cb")), "possible")
+        release(near)
         sets = stored(self.whole(ends(possible)), "sets")
         new = stored(_similar(possible, sets), "similar")
         release(possible, sets)
+        self.take(new)
+
+    def take(self, new: DataFrame) -> None:
+        """Take in pairs (a, b) of similar sets from a stored table."""
         self.edges = new if self.edges is None else self.edges.union(new)
         found = connected_components(self.edges)
         old = self.roots
@@ -302,7 +427,15 @@ def components(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = stored(maybe_in(now, F.col("s"), main.select("s")).join(main, "s").withColumn("in_main", F.col("root") == F.col("main")), "mixed")
     release(now)
     known = found.classes(mixed.select("node").distinct()).select("node", "classes")
-    found.add(_met_in_cells(mixed.join(known, "node"), BLOCK), judged=True)
+    # Roots that possible pairs connect are a group; in it, each set meets each other one once, whatever shingles they share.
+    maybe = stored(_met_in_cells(mixed.join(known, "node"), BLOCK).distinct(), "possible-roots")
+    groups = stored(connected_components(maybe), "groups").toDF("root", "group")
+    grouped = stored(mixed.select("node", "root", "n").dropDuplicates(["node"]).join(groups, "root"), "grouped")
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("hashes_in_all"))
+    sets = stored(found.whole(grouped.select("node")), "sets")
+    new = stored(_linked_in_cells(grouped.join(sizes, "group").join(sets, "node"), SET_BLOCK, SET_HASHES), "similar")
+    found.take(new)
+    release(maybe, grouped, sets)
     keys = stored(rows.select("doc_id", "text_hash", "node"), "keys")
     release(meet, mixed, main, slim, rows)
     return keys, found.roots

@@ -154,3 +154,38 @@ def test_a_common_passage_makes_no_row_per_pair(spark, docs_of, monkeypatch):
     before = shuffled(spark)[0]
     assert near_duplicates(spark, rows, "").count() == 700
     assert shuffled(spark)[0] - before < 200_000
+
+
+def test_members_that_all_may_be_linked_make_no_row_per_pair(spark):
+    """Before, a shingle whose members all had like classes gave a row for each two of them: 44,850 here."""
+    from pyspark.sql import functions as F
+
+    members = spark.range(300).select(
+        F.lit(1).cast("long").alias("s"), F.lit(300).cast("long").alias("members"), F.lit(False).alias("in_main"), F.col("id").alias("node"),
+        F.col("id").alias("root"), F.lit(60).cast("long").alias("n"), F.lit(0).alias("p"), F.expr("unhex(repeat('01', 256))").alias("classes"))
+    pairs = [tuple(r) for r in similar._met_in_cells(members, similar.BLOCK).collect()]
+    assert len(pairs) == 299
+    reached = {0}
+    for _ in range(300):
+        reached |= {x for p in pairs if reached & set(p) for x in p}
+    assert len(reached) == 300
+
+
+@pytest.mark.parametrize("block, hashes", [(2048, 1 << 20), (4, 1 << 20), (2048, 300)])
+def test_links_inside_a_large_group_of_near_copies(spark, docs_of, monkeypatch, block, hashes):
+    """Chains of texts of which only neighbours are similar, all with one passage; blocks by members and by sizes."""
+    monkeypatch.setattr(similar, "SAMPLE_LEAST", 10**9)
+    monkeypatch.setattr(similar, "SET_BLOCK", block)
+    monkeypatch.setattr(similar, "SET_HASHES", hashes)
+    monkeypatch.setattr(similar, "COMPARED", 64)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for chain in range(6):
+        words = [f"{chain}w{i}" for i in range(40)]
+        for step in range(8):
+            texts.append(" ".join(passage + words))
+            for _ in range(rng.choice((1, 1, 2, 6))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    got = sorted(r.doc_id for r in near_duplicates(spark, docs_of(list(enumerate(texts))), "").collect())
+    assert got == want(texts) and 1 < len(got) < len(texts)
