@@ -47,9 +47,9 @@ SAMPLE_ROWS, SAMPLE_LEAST, MOST_FREQUENT = 4000, 3, 200_000
 HOT, HOT_PASSES = 2000, 2
 CLASSES = 256
 # Members of a prefix shingle in one block; the blocks of a shingle meet in pairs. Pairs looked at, and compared by classes, at once.
-BLOCK, LOOKED_AT, COMPARED = 512, 1 << 18, 1 << 15
+BLOCK, LOOKED_AT, COMPARED = 512, 1 << 17, 1 << 13
 # Members, or hashes of their whole sets, in one block of a group whose sets are compared.
-SET_BLOCK, SET_HASHES = 2048, 1 << 20
+SET_BLOCK, SET_HASHES = 1024, 1 << 18
 
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -271,15 +271,17 @@ def _linked_in_cells(members: DataFrame, block: int, block_hashes: int) -> DataF
             order = np.argsort(in_main, kind="stable")
             lo, hi, own, node, root, n = (v[order] for v in (lo, hi, own, node, root, n))
             column = rows.column(7).combine_chunks().take(pa.array(order))
-            ids = np.unique(column.flatten().to_numpy(), return_inverse=True)[1]
+            hashes = column.flatten().to_numpy()
+            ids = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
             until = np.cumsum(n)
-            classes = np.bincount(np.repeat(np.arange(len(n)) * CLASSES, n) + (column.flatten().to_numpy() & (CLASSES - 1)),
-                                  minlength=len(n) * CLASSES).astype(np.int32).reshape(-1, CLASSES)
+            counts = np.bincount(np.repeat(np.arange(len(n)) * CLASSES, n) + (hashes & (CLASSES - 1)), minlength=len(n) * CLASSES).reshape(-1, CLASSES)
+            valid, classes = counts.max(axis=1) < 256, counts.astype(np.uint8)
+            del hashes, counts, column
             mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
             joined.start(root)
             label = joined.label
             for x, y in _apart(joined, np.array([len(n)]), np.flatnonzero(~in_main[order]), lo, hi, own, n, np.zeros(len(n), np.int64), classes,
-                               np.ones(len(n), bool)):
+                               valid):
                 cuts = np.flatnonzero(np.diff(x, prepend=-1))
                 for i, others in zip(x[cuts].tolist(), np.split(y, cuts[1:])):
                     mark[ids[until[i] - n[i]:until[i]]] = True
