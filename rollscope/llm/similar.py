@@ -12,8 +12,10 @@ pairs below the threshold go by these counts alone, the others are compared by t
 
 Copies meet as distinct sets. First the members of a SimHash component and then those of a prefix shingle are compared with one of
 them only; then members of different components are compared, but never those of the largest component of a shingle with each
-other, since they are connected already. They meet in cells of at most two blocks of members, whose pairs are looked at in place, twice:
-by shingle and classes, which gives groups of components that may be linked, and by group and whole sets. No pair becomes a row unless it
+other, since they are connected already. They meet in cells of at most two blocks of members, whose pairs are looked at in place, three times:
+by shingle and classes, which gives groups of components that may be linked, by group and bitmaps, which gives smaller groups, and by these and
+whole sets. Classes say little of texts of thousands of shingles (the counts of any two are alike), so the bitmaps grow with the sets, and whole
+sets are dealt only to the few cells of what the bitmaps leave. No pair becomes a row unless it
 connects what its task had not yet connected, so rows grow with the members and not with their pairs. Joins on rare keys see rows that a bitmap of the keys lets pass (`maybe_in`), so texts
 and shingles without a partner are not shuffled. Stored tables are removed once their successors are stored.
 
@@ -50,6 +52,9 @@ CLASSES = 256
 BLOCK, LOOKED_AT, COMPARED = 512, 1 << 17, 1 << 13
 # Members, or hashes of their whole sets, in one block of a group whose sets are compared.
 SET_BLOCK, SET_HASHES = 1024, 1 << 18
+# A set's bitmap has at least so many bits, and two for each hash. Members, or hashes of their sets, in one block of a group whose bitmaps are
+# compared, and bytes of bitmaps compared at once.
+LEAST_BITS, BITS_BLOCK, BITS_HASHES, BITS_COMPARED = 256, 1024, 1 << 25, 1 << 22
 
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -132,6 +137,47 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """Bits at the hashes modulo the size, a power of two."""
+    bits = np.zeros(max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0), bool)
+    bits[hashes & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class _Bitmaps:
+    """Bitmaps of some sets by their sizes in bytes, each also folded to half its size. Sets whose numbers of hashes allow a similarity
+    of 0.8 have bitmaps of one size, or one of twice the other."""
+
+    def __init__(self, bitmaps: list[bytes], n: np.ndarray) -> None:
+        self.n, self.size = n, np.fromiter(map(len, bitmaps), np.int64, len(bitmaps))
+        self.own, self.half = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.concatenate([self.size, self.size // 2])).tolist():
+            whole, twice = np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)
+            rows = np.frombuffer(b"".join(bitmaps[i] for i in whole), np.uint8).reshape(-1, size)
+            folded = np.frombuffer(b"".join(bitmaps[i] for i in twice), np.uint8).reshape(-1, 2 * size)
+            rows = np.concatenate([rows, folded[:, :size] | folded[:, size:]]).view(np.uint64)
+            self.own[whole], self.half[twice] = np.arange(len(whole)), len(whole) + np.arange(len(twice))
+            self.by_size[size] = rows, np.bitwise_count(rows).sum(1, dtype=np.int64)
+
+    def enough(self, x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Whether bitmaps allow enough common shingles: a bit that one set alone has stands for a shingle that it alone has."""
+        keep = np.zeros(len(x), bool)
+        sizes = np.minimum(self.size[x], self.size[y])
+        for size in np.unique(sizes).tolist():
+            rows, ones = self.by_size[size]
+            here = np.flatnonzero(sizes == size)
+            step = max(1, BITS_COMPARED // size)
+            for at in range(0, len(here), step):
+                part = here[at:at + step]
+                i, j = x[part], y[part]
+                a, b = (np.where(self.size[v] == size, self.own[v], self.half[v]) for v in (i, j))
+                both = np.bitwise_count(rows[a] & rows[b]).sum(1, dtype=np.int64)
+                common = both + np.minimum(self.n[i] - ones[a], self.n[j] - ones[b])
+                keep[part] = (NUM + DEN) * common >= NUM * total[part]
+        return keep
+
+
 class _Joined:
     """Roots that a task has joined so far. `label` names the part of each row of one table; rows with one label need no pair."""
 
@@ -162,9 +208,9 @@ class _Joined:
 
 
 def _apart(joined: _Joined, ends: np.ndarray, starting: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, n: np.ndarray, p: np.ndarray,
-           classes: np.ndarray, valid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of possible pairs with different labels, some at a time. Rows are sorted by cell, cells end at `ends`; of each pair
-    the first row is in `starting`."""
+           enough: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs with different labels that are possible by sizes, positions and `enough`, some at a time. Rows are sorted by
+    cell, cells end at `ends`; of each pair the first row is in `starting`."""
     label = joined.label
     count = ends[np.searchsorted(ends, starting, "right")] - starting - 1
     until = np.cumsum(count)
@@ -182,11 +228,15 @@ def _apart(joined: _Joined, ends: np.ndarray, starting: np.ndarray, lo: np.ndarr
             a, b, both = x[c:c + COMPARED], y[c:c + COMPARED], total[c:c + COMPARED]
             open_ = label[a] != label[b]
             a, b, both = a[open_], b[open_], both[open_]
-            keep = ~(valid[a] & valid[b]) | _enough(classes[a], classes[b], both)
+            keep = enough(a, b, both)
             yield a[keep], b[keep]
         at = to
 
 
+def _by_classes(classes: np.ndarray, valid: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    return lambda x, y, total: ~(valid[x] & valid[y]) | _enough(classes[x], classes[y], total)
+
+
 def _by_cells(rows: DataFrame, key: str, order: list[str], make: Callable[[], Callable[[pa.Table], pa.RecordBatch]]) -> DataFrame:
     """Pairs (a, b) that `make()`'s function finds in whole cells (key, lo, hi), the first three columns of `rows`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +287,7 @@ def _met_in_cells(members: DataFrame, block: int) -> DataFrame:
             ends = np.append(_cell_starts(s, lo, hi)[1:], len(s))
             joined.start(root)
             a, b = [], []
-            for x, y in _apart(joined, ends, np.flatnonzero(~in_main), lo, hi, own, n, p, classes, valid):
+            for x, y in _apart(joined, ends, np.flatnonzero(~in_main), lo, hi, own, n, p, _by_classes(classes, valid)):
                 for i, j in zip(x.tolist(), y.tolist()):
                     if joined.join(i, j):
                         a.append(int(root[i]))
@@ -248,15 +298,44 @@ def _met_in_cells(members: DataFrame, block: int) -> DataFrame:
     return _by_cells(cells, "s", ["in_main"], make)
 
 
+def _grouped_cells(members: DataFrame, block: int, block_hashes: int, last: str) -> DataFrame:
+    """Cells as above of groups, of blocks of about `block` members or `block_hashes` hashes. `members`: group, members (of the group),
+    hashes_in_all (sizes in sum), node, root, n and the column `last`."""
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("hashes_in_all") / F.lit(block_hashes))).cast("int")
+    return _dealt(members, F.greatest(blocks, F.lit(1))).select("group", "lo", "hi", "own", "node", "root", "n", last)
+
+
+def _near_in_cells(members: DataFrame, block: int, block_hashes: int) -> DataFrame:
+    """Pairs (a, b) of roots that connect all roots of one group with a pair that their `bitmap`s allow."""
+    def make():
+        joined = _Joined()
+
+        def find(rows: pa.Table) -> pa.RecordBatch:
+            group, lo, hi, own, _, root, n = (rows.column(i).to_numpy() for i in range(7))
+            ends = np.append(_cell_starts(group, lo, hi)[1:], len(n))
+            joined.start(root)
+            a, b = [], []
+            for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                if (joined.label[start:end] == joined.label[start]).all():
+                    continue
+                bitmaps = _Bitmaps(rows.column(7).slice(start, end - start).to_pylist(), n[start:end])
+                for x, y in _apart(joined, ends, np.arange(start, end), lo, hi, own, n, np.zeros(len(n), np.int64),
+                                   lambda x, y, total: bitmaps.enough(x - start, y - start, total)):
+                    for i, j in zip(x.tolist(), y.tolist()):
+                        if joined.join(i, j):
+                            a.append(int(root[i]))
+                            b.append(int(root[j]))
+            return _edges(a, b)
+        return find
+
+    return _by_cells(_grouped_cells(members, block, block_hashes, "bitmap"), "group", [], make)
+
+
 def _linked_in_cells(members: DataFrame, block: int, block_hashes: int) -> DataFrame:
-    """Pairs (a, b) of similar sets that connect all members of one group that similar sets connect, from their whole sets.
+    """Pairs (a, b) of similar sets that connect all members of one group that similar sets connect, from their whole sets `hashes`.
 
-    `members`: group, members (of the group), hashes_in_all (sizes in sum), node, root, n, hashes. Cells are made as above, of
-    blocks of about `block` members or `block_hashes` hashes. Sets are compared where they are; a task returns fewer pairs than
-    it sees roots.
+    Sets are compared where they are; a task returns fewer pairs than it sees roots.
     """
-    blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("hashes_in_all") / F.lit(block_hashes))).cast("int")
-    cells = _dealt(members, F.greatest(blocks, F.lit(1))).select("group", "lo", "hi", "own", "node", "root", "n", "hashes")
 
     def make():
         joined = _Joined()
@@ -280,8 +359,8 @@ def _linked_in_cells(members: DataFrame, block: int, block_hashes: int) -> DataF
             mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
             joined.start(root)
             label = joined.label
-            for x, y in _apart(joined, np.array([len(n)]), np.flatnonzero(~in_main[order]), lo, hi, own, n, np.zeros(len(n), np.int64), classes,
-                               valid):
+            for x, y in _apart(joined, np.array([len(n)]), np.flatnonzero(~in_main[order]), lo, hi, own, n, np.zeros(len(n), np.int64),
+                               _by_classes(classes, valid)):
                 cuts = np.flatnonzero(np.diff(x, prepend=-1))
                 for i, others in zip(x[cuts].tolist(), np.split(y, cuts[1:])):
                     mark[ids[until[i] - n[i]:until[i]]] = True
@@ -304,7 +383,7 @@ def _linked_in_cells(members: DataFrame, block: int, block_hashes: int) -> DataF
             return _edges([a for a, _ in pairs], [b for _, b in pairs])
         return find
 
-    return _by_cells(cells, "group", [], make)
+    return _by_cells(_grouped_cells(members, block, block_hashes, "hashes"), "group", [], make)
 
 
 def _cell_starts(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -328,13 +407,18 @@ class Links:
         self.edges: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def whole(self, nodes: DataFrame) -> DataFrame:
-        """Complete sets of some nodes, each from one text."""
+    def whole(self, nodes: DataFrame, bitmaps: bool = False) -> DataFrame:
+        """Complete sets of some nodes, each from one text; with `bitmaps` also the bitmap of each."""
         chosen = maybe_in(self.rows.select("node", "text_hash"), F.col("node"), nodes).join(nodes, "node")
         texts = maybe_in(self.docs.select("text_hash", "text"), F.col("text_hash"), chosen.select("text_hash"))
-        field = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType()))])
+        fields = [T.StructField("hashes", T.ArrayType(T.LongType()))] + [T.StructField("bitmap", T.BinaryType())] * bitmaps
         one = texts.join(chosen, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
-        return add_columns(one, lambda: lambda t: [[shingles(x) for x in t]], field)
+
+        def columns(t: list[bytes]) -> list[list]:
+            hashes = [shingles(x) for x in t]
+            return [hashes, [_bitmap(h) for h in hashes]] if bitmaps else [hashes]
+
+        return add_columns(one, lambda: columns, T.StructType(fields))
 
     def classes(self, nodes: DataFrame) -> DataFrame:
         """node, n, classes of some nodes."""
@@ -385,6 +469,11 @@ def _first_rows(rows: DataFrame) -> DataFrame:
     return maybe_in(rows, F.col("row"), first)
 
 
+def _sized(grouped: DataFrame) -> DataFrame:
+    """Rows (group, node, root, n) plus members and sum of n of their group."""
+    return grouped.join(grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("hashes_in_all")), "group")
+
+
 def components(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, node) of all documents and roots (node, root) of the sets that are linked, from doc_id, text, text_hash."""
     often = _frequent(own)
@@ -433,11 +522,13 @@ def components(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     maybe = stored(_met_in_cells(mixed.join(known, "node"), BLOCK).distinct(), "possible-roots")
     groups = stored(connected_components(maybe), "groups").toDF("root", "group")
     grouped = stored(mixed.select("node", "root", "n").dropDuplicates(["node"]).join(groups, "root"), "grouped")
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("hashes_in_all"))
-    sets = stored(found.whole(grouped.select("node")), "sets")
-    new = stored(_linked_in_cells(grouped.join(sizes, "group").join(sets, "node"), SET_BLOCK, SET_HASHES), "similar")
+    sets = stored(found.whole(grouped.select("node"), bitmaps=True), "sets")
+    near = stored(_near_in_cells(_sized(grouped).join(sets.select("node", "bitmap"), "node"), BITS_BLOCK, BITS_HASHES).distinct(), "near-roots")
+    closer = stored(connected_components(near), "near-groups").toDF("root", "group")
+    regrouped = stored(grouped.drop("group").join(closer, "root"), "regrouped")
+    new = stored(_linked_in_cells(_sized(regrouped).join(sets.select("node", "hashes"), "node"), SET_BLOCK, SET_HASHES), "similar")
     found.take(new)
-    release(maybe, grouped, sets)
+    release(maybe, grouped, sets, near, regrouped)
     keys = stored(rows.select("doc_id", "text_hash", "node"), "keys")
     release(meet, mixed, main, slim, rows)
     return keys, found.roots

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpus_pipeline import near_duplicates
@@ -189,3 +190,34 @@ def test_links_inside_a_large_group_of_near_copies(spark, docs_of, monkeypatch,
                 words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
     got = sorted(r.doc_id for r in near_duplicates(spark, docs_of(list(enumerate(texts))), "").collect())
     assert got == want(texts) and 1 < len(got) < len(texts)
+
+
+def test_whole_sets_of_long_unlike_texts_are_not_dealt_to_blocks(spark, docs_of, monkeypatch):
+    """Class counts of texts of 8000 shingles are alike, so these were one group whose whole sets went to every block."""
+    from tests.shuffled import shuffled
+
+    monkeypatch.setattr(similar, "SAMPLE_LEAST", 10**9)
+    monkeypatch.setattr(similar, "SET_HASHES", 16_000)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"{i}x{j}" for j in range(8000)) for i in range(40)]
+    texts += [" ".join(x.split()[:7800]) for x in texts[:2]]
+    rows = docs_of(list(enumerate(texts)))
+    before = shuffled(spark)[1]
+    assert sorted(r.doc_id for r in near_duplicates(spark, rows, "").collect()) == list(range(40))
+    moved = shuffled(spark)[1] - before
+    assert moved < 12 * sum(map(len, texts)), moved / sum(map(len, texts))
+
+
+def test_bitmaps_of_two_sizes_bound_common_shingles():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-2**63, 2**63, n)) for n in (0, 1, 100, 128, 129, 150, 500, 520, 600)]
+    sets += [np.concatenate([s[len(s) // 10:], rng.integers(-2**63, 2**63, len(s) // 10)]) for s in sets] + [sets[3][:110]]
+    n = np.array([len(s) for s in sets])
+    bitmaps = similar._Bitmaps([similar._bitmap(s) for s in sets], n)
+    x, y = np.triu_indices(len(n), 1)
+    fit = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
+    x, y = x[fit], y[fit]
+    common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    enough = bitmaps.enough(x, y, n[x] + n[y])
+    assert enough[9 * common >= 4 * (n[x] + n[y])].all() and not enough[(common == 0) & (n[x] > 0)].any()
+    assert len({len(similar._bitmap(s)) for s in sets}) > 2
