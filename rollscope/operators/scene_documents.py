@@ -42,6 +42,12 @@ def _distinct_within(values: Column, limit: Column) -> Column:
     return (F.size(values) > 0) & inside & (F.size(F.array_distinct(values)) == F.size(values))
 
 
+def _apart(side: DataFrame) -> DataFrame:
+    """One side of a join that never goes whole through the driver: sizes are estimated from compressed files and without the lengths of
+    documents and lists, so a broadcast could be many times what it was planned for."""
+    return side.hint("merge")
+
+
 def resolve_paths(rows: DataFrame, key: str, scene_path: str, names: str, files: DataFrame) -> DataFrame:
     """(key, resolved): each different name of an array to the first existing path among those it may stand for.
 
@@ -54,7 +60,7 @@ def resolve_paths(rows: DataFrame, key: str, scene_path: str, names: str, files:
     tried = F.when(F.startswith("name", F.lit("/")), F.array("name")).otherwise(
         F.array(F.concat_ws("/", "folder", "name"), F.concat_ws("/", "above", F.lit("replacement_images"), "name")))
     candidates = once.filter("name <> ''").select(key, "name", F.posexplode(tried).alias("rank", "path"))
-    met = candidates.join(files.select("path").distinct(), "path")
+    met = candidates.join(_apart(files.select("path").distinct()), "path")
     # At most two entries per image that a single document names.
     found = F.array_sort(F.collect_set(F.struct("name", "rank", "path")))
     return met.groupBy(key).agg(F.map_from_entries(F.transform(let(found, lambda f: F.filter(
@@ -145,7 +151,7 @@ def verify_scene_documents(tasks: DataFrame, scenes: DataFrame, files: DataFrame
     """
     one = scenes.groupBy(F.col("path").alias("__path")).agg(F.count(F.lit(1)).alias("__n"), F.min("doc").alias("__scene"))
     rows = tasks.select(task_id, "doc", parsed(F.col("doc"), TASK).alias("t")).withColumn("__path", F.col("t.scene_path"))
-    rows = _prepared(rows.join(one.filter("__n = 1").select("__path", "__scene"), "__path", "left").select(
+    rows = _prepared(rows.join(_apart(one.filter("__n = 1").select("__path", "__scene")), "__path", "left").select(
         task_id, "t", parsed(F.col("__scene"), SCENE).alias("s"), F.unhex(F.sha2(F.coalesce("doc", F.lit("")), 256)).alias("__key")))
     no_names = F.array().cast("array<string>")
     names = F.concat(F.array("s.original_image", "s.modified_image", "t.metadata.variant.spy_image_path",
@@ -164,5 +170,5 @@ def verify_scene_documents(tasks: DataFrame, scenes: DataFrame, files: DataFrame
     checks = [(name, on_paths[name] if name in on_paths else F.get("held", F.lit(i))) for i, (name, _) in enumerate(_checks())]
     refused = reduce(lambda rest, check: F.when(~F.coalesce(check[1], F.lit(False)), F.lit(check[0])).otherwise(rest),
                      reversed(checks), F.lit(None).cast("string"))
-    out = rows.join(paths, "__key", "left").select(task_id, refused.alias("reason"))
+    out = rows.join(_apart(paths), "__key", "left").select(task_id, refused.alias("reason"))
     return out.withColumn("verified", F.col("reason").isNull())

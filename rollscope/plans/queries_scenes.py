@@ -267,7 +267,7 @@ def scene_documents(spark, sf):
         F.when(F.col("scene_id") % 7 > 0, F.concat(F.lit("/scenes/json/"), name("o"))),
         F.concat(F.lit("/scenes/json/"), name("m")), F.concat(F.lit("/scenes/replacement_images/"), name("k")))).alias("path"))
 
-    asked = view(spark, sf, "v_proposals").withColumn("scene_id", F.col("proposal_id")).join(edits, "scene_id", "left")
+    asked = view(spark, sf, "v_proposals").withColumn("scene_id", F.col("proposal_id")).join(edits.hint("merge"), "scene_id", "left")
     whole = F.col("proposal_id") % 6 == 0
     kept = F.when(whole, F.sequence(F.lit(0), F.size("e") - 1)).otherwise(scenes.mask_members(F.col("mask"), 5))
     moved = lambda x: F.filter(F.array(*[F.struct(

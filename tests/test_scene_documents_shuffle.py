@@ -13,3 +13,15 @@ def test_documents_are_shuffled_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert per < 2400, per
+
+
+def test_no_document_is_broadcast(spark, monkeypatch):
+    """Files of documents are small, what they hold is not: sides planned by file sizes were sent through the driver."""
+    from rollscope.operators import scene_documents
+
+    plans = []
+    written = scene_documents.written
+    monkeypatch.setattr(scene_documents, "written", lambda df: plans.append(df) or written(df))
+    plans.append(se.queries()["scene_documents_verified"](spark, "/root/testdata/sf0.001"))
+    assert len(plans) == 2
+    assert not [p for p in plans if "Broadcast" in p._jdf.queryExecution().executedPlan().toString()]
