@@ -295,3 +295,19 @@ def test_exponential_text_is_parsed_in_bounded_time(spark):
     assert column(spark, [text], T.format_valid) == [True]
     (found,) = column(spark, [text], B.evidence_attempts)
     assert len(found) == 3000
+
+
+def test_agreement_query_gives_every_row_its_shares(spark, tmp_path, monkeypatch):
+    """Before, the shares of the different answers were the result and no row met its own."""
+    import __spark_entry__ as se
+    from rollscope.operators import stats
+
+    seen = []
+    whole = stats.group_agreement
+    monkeypatch.setattr(stats, "group_agreement", lambda *a: seen.append(whole(*a)) or seen[-1])
+    spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 3), (None, 3)], "l_orderkey bigint, l_linenumber int").selectExpr(
+        "*", "0.1d as l_discount", "'R' as l_returnflag", "1 as l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.task_id, r.answer): (r.cnt, r.same_share, r.modal_share) for r in se.queries()["group_agreement"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "1"): (2, 0.666666667, 0.666666667), (1, "2"): (1, 0.333333333, 0.666666667), (2, "3"): (1, 1.0, 1.0)}
+    assert sorted((r.task_id, r.answer, round(r.same_share, 9)) for r in seen[0].collect()) == [
+        (1, "1", 0.666666667), (1, "1", 0.666666667), (1, "2", 0.333333333), (2, "3", 1.0)]
